@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["q_did"]
+MODULES = ["q_did", "q_profile"]
 
 
 def load_all() -> None:
