@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["q_did", "q_profile"]
+MODULES = ["q_did", "q_profile", "q_clean"]
 
 
 def load_all() -> None:
