@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["q_did", "q_profile", "q_clean"]
+MODULES = ["q_did", "q_profile", "q_clean", "q_panel"]
 
 
 def load_all() -> None:
