@@ -171,3 +171,14 @@ def impact_series(df: DataFrame, unit: str | None, date: str, observed: str, pre
                      (F.col(upper) if upper else F.lit(None).cast("double")).alias("upper"),
                      eff.alias("effect"), F.sum(post_eff).over(w).alias("cum_effect"),
                      F.col(post).alias("is_post"))
+
+
+def zero_fill(panel: DataFrame, unit: str, date: str, values: Sequence[str], step: str = "MONTH") -> DataFrame:
+    """Balance a panel: every unit gets every period between the global first and last date
+    (per-unit ``explode(sequence)`` over scalar-subquery bounds, no cross join); missing
+    cells are 0 (sum semantics of a pivot over existing groups)."""
+    b = panel.agg(F.struct(F.min(date).alias("lo"), F.max(date).alias("hi"))).scalar()
+    units = panel.select(unit).distinct()
+    spine = units.select(unit, F.explode(F.sequence(b.getField("lo"), b.getField("hi"),
+                                                    F.expr(f"INTERVAL 1 {step}"))).alias(date))
+    return spine.join(panel, [unit, date], "left").fillna(0, subset=list(values))

@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["q_did", "q_profile", "q_clean", "q_panel", "q_observational"]
+MODULES = ["q_did", "q_profile", "q_clean", "q_panel", "q_observational", "q_quasi"]
 
 
 def load_all() -> None:
