@@ -31,21 +31,44 @@ def _as_col(c) -> Column:
 
 
 def moments(df: DataFrame, exprs: dict[str, Column | str], keys: Sequence[str] = (),
-            weight: Column | str | None = None, shift: bool = True) -> tuple[DataFrame, list[str]]:
+            weight: Column | str | None = None, shift: bool = True,
+            shift_from: DataFrame | None = None, fixed_shifts: dict[str, float] | None = None
+            ) -> tuple[DataFrame, list[str]]:
     """Weighted moment table.
 
     Returns (DataFrame, names).  Columns: keys..., ``_n`` (rows), ``_sw`` (sum of
     weights), ``_c{i}`` (shift of column i), ``_s{i}`` and ``_s{i}_{j}`` (i<=j)
-    sums of w*z_i and w*z_i*z_j over shifted columns z.
+    sums of w*z_i and w*z_i*z_j over shifted columns z = x - c.
+
+    Unweighted: one pass with ``avg`` and ``covar_pop`` per group (Welford-style
+    mergeable buffers, numerically stable at any row count): the shift is the
+    group mean, so s_i = 0 and s_ij = n * covar_pop.
+    Weighted (replicates): raw weighted sums of columns shifted by global means
+    taken from ``shift_from`` (e.g. the data *before* replicate explosion, so the
+    expensive replicate pipeline runs once), or by ``fixed_shifts``.
     """
     names = list(exprs)
+    m = len(names)
     base = df.select(*[_as_col(k) for k in keys],
                      *[_as_col(e).cast("double").alias(f"_z{i}") for i, e in enumerate(exprs.values())],
                      *([_as_col(weight).cast("double").alias("_w")] if weight is not None else []))
-    base = base.dropna(subset=[f"_z{i}" for i in range(len(names))])
-    m = len(names)
-    if shift:
-        means = base.agg(F.struct(*[F.avg(f"_z{i}").alias(f"m{i}") for i in range(m)]).alias("s")).scalar()
+    base = base.dropna(subset=[f"_z{i}" for i in range(m)])
+    if weight is None and shift:
+        n = F.count(F.lit(1))
+        aggs = [n.alias("_n"), n.cast("double").alias("_sw")]
+        aggs += [F.avg(f"_z{i}").alias(f"_c{i}") for i in range(m)]
+        aggs += [F.lit(0.0).alias(f"_s{i}") for i in range(m)]
+        for i in range(m):
+            for j in range(i, m):
+                aggs.append((F.covar_pop(f"_z{i}", f"_z{j}") * n).alias(f"_s{i}_{j}"))
+        g = base.groupBy(*keys).agg(*aggs) if keys else base.agg(*aggs)
+        return g, names
+    if fixed_shifts is not None:
+        shifts = [F.lit(float(fixed_shifts.get(nm, 0.0))) for nm in names]
+    elif shift:
+        src = base if shift_from is None else shift_from.select(
+            *[_as_col(e).cast("double").alias(f"_z{i}") for i, e in enumerate(exprs.values())])
+        means = src.agg(F.struct(*[F.avg(f"_z{i}").alias(f"m{i}") for i in range(m)]).alias("s")).scalar()
         shifts = [F.coalesce(means.getField(f"m{i}"), F.lit(0.0)) for i in range(m)]
     else:
         shifts = [F.lit(0.0) for _ in range(m)]

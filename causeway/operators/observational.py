@@ -453,7 +453,7 @@ def bootstrap(df: DataFrame, treatment: str, outcome: str, confounders: Sequence
     w = poisson1(uniform(F.col(row_id), F.lit(seed), F.col("_rep")))
     exprs = {c: F.col(c) for c in xs}
     exprs["__y"] = F.col(outcome)
-    g, names = moments(rep.withColumn("_w", w), exprs, keys=["_rep"], weight="_w")
+    g, names = moments(rep.withColumn("_w", w), exprs, keys=["_rep"], weight="_w", shift_from=base)
     per = solve_moments(g, names, "__y", xs, keys=["_rep"], with_se=False, terms=[treatment])
     from .gram import ols
     point = ols(base, outcome, xs, terms=[treatment]).select("estimate").scalar()
@@ -478,7 +478,7 @@ def bootstrap_replicates(df: DataFrame, treatment: str, outcome: str, confounder
     w = poisson1(uniform(F.col(row_id), F.lit(seed), F.col("_rep")))
     exprs = {c: F.col(c) for c in xs}
     exprs["__y"] = F.col(outcome)
-    g, names = moments(rep.withColumn("_w", w), exprs, keys=["_rep"], weight="_w")
+    g, names = moments(rep.withColumn("_w", w), exprs, keys=["_rep"], weight="_w", shift_from=base)
     per = solve_moments(g, names, "__y", xs, keys=["_rep"], with_se=False, terms=[treatment])
     return per.select(F.col("_rep").alias("rep"), "estimate")
 

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import std_normal, uniform
+from ..functions.columns import std_normal, uniform, uniform_pair  # noqa: F401
 from .gram import moments, ols, solve_moments
 
 
@@ -47,11 +47,11 @@ def random_common_cause(df: DataFrame, treatment: str, outcome: str, confounders
     xs = [treatment, *confounders]
     base = df.select(F.col(row_id), *[F.col(c) for c in xs], F.col(outcome)).dropna()
     rep = base.select("*", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("_rep"))
-    noise = std_normal(uniform(F.col(row_id), F.lit(seed), F.col("_rep"), F.lit("u1")),
-                       uniform(F.col(row_id), F.lit(seed), F.col("_rep"), F.lit("u2")))
+    noise = std_normal(*uniform_pair(F.col(row_id), F.lit(seed), F.col("_rep")))
     exprs = {c: F.col(c) for c in xs}
     exprs["_rcc"] = noise
     exprs["__y"] = F.col(outcome)
+    # replicate-keyed single-pass covariance moments
     g, names = moments(rep, exprs, keys=["_rep"])
     per = solve_moments(g, names, "__y", [*xs, "_rcc"], keys=["_rep"], with_se=False, terms=[treatment])
     per = per.select(F.col("_rep").alias("rep"), "estimate")

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.columns import poisson1_cdf, rnd, sql_poisson1, sql_rnd, sql_uniform
+from ..functions.columns import poisson1_cdf, rnd, sql_poisson1, sql_rnd, sql_uniform, sql_uniform_pair
 from ..operators import hte, observational as O, refute
 from ..operators.regression import logit_effect, ols_effect
 from .registry import query
@@ -322,8 +322,7 @@ def est12_bootstrap(spark, sf_dir):
 
 
 _R = 20
-_N1 = sql_uniform("o_orderkey", "42", "rep", "'u1'")
-_N2 = sql_uniform("o_orderkey", "42", "rep", "'u2'")
+_N1, _N2 = sql_uniform_pair("o_orderkey", "42", "rep")
 
 
 @query("ref1_random_common_cause", sql=f"""WITH {_V7},
