@@ -57,7 +57,8 @@ def iptw(df: DataFrame, treatment: str, outcome: str, propensity: str = "propens
         e = F.least(F.greatest(e, F.lit(clip[0])), F.lit(clip[1]))
     t = F.col(treatment).cast("double")
     y = F.col(outcome).cast("double")
-    base = df.select(t.alias("t"), y.alias("y"), e.alias("e")).dropna()
+    # positivity: rows with e(x) in {0, 1} have no inverse weight and are excluded
+    base = df.select(t.alias("t"), y.alias("y"), e.alias("e")).dropna().filter((F.col("e") > 0) & (F.col("e") < 1))
     a1 = F.col("t") * F.col("y") / F.col("e")
     a0 = (F.lit(1.0) - F.col("t")) * F.col("y") / (F.lit(1.0) - F.col("e"))
     w1 = F.col("t") / F.col("e")

@@ -104,3 +104,28 @@ def refutation_supported(method: str, binary_outcome_logit: bool = False) -> str
     if binary_outcome_logit:
         return "Refutation is not available for logistic-outcome models"
     return None
+
+
+def refute_effect(df: DataFrame, treatment: str, outcome: str, confounders: Sequence[str], row_id: str,
+                  method: str = "OLS", refuter: str = "random_common_cause", binary_outcome_logit: bool = False,
+                  replicates: int = 100, seed: int = 42, post: str | None = None) -> DataFrame:
+    """Refutation dispatcher with the REF3 support rule.
+
+    Unsupported methods (DiD, logit outcomes) still report the original estimate and carry
+    the reason in ``error``; supported ones return the REF1 / REF2 summary."""
+    reason = refutation_supported(method, binary_outcome_logit)
+    if reason is not None:
+        if post is not None:
+            from .did import did_ols
+            est = did_ols(df, treatment, post, outcome, confounders)
+        else:
+            from .regression import ols_effect
+            est = ols_effect(df, treatment, outcome, confounders)
+        return est.select(F.lit(method).alias("method"), F.lit(refuter).alias("refuter"),
+                          F.col("estimate").alias("original_effect"), F.lit(None).cast("double").alias("new_effect"),
+                          F.lit(None).cast("double").alias("p_value"), F.lit(None).cast("boolean").alias("passed"),
+                          F.lit(reason).alias("error"))
+    fn = random_common_cause if refuter == "random_common_cause" else placebo_treatment
+    _, s = fn(df, treatment, outcome, confounders, row_id, replicates=replicates, seed=seed)
+    return s.select(F.lit(method).alias("method"), F.lit(refuter).alias("refuter"), "original_effect", "new_effect",
+                    "p_value", "passed", F.lit(None).cast("string").alias("error"))

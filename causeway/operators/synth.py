@@ -53,20 +53,127 @@ def with_fixed_effects(panel: DataFrame, pre: F.Column, y: str = "y", keys: Sequ
 
 # Gram ---------------------------------------------------------------------------------------------
 
-def donor_gram(panel_pre: DataFrame, y: str = "y_fit", keys: Sequence[str] = ()) -> DataFrame:
-    """(keys, a, b, g = sum_t y_a,t * y_b,t) over the given (pre-period) rows: one self-join on
-    (keys, date) and one aggregate; output size units^2 per key."""
-    a = panel_pre.select(*keys, "date", F.col("unit").alias("a"), F.col(y).alias("ya"))
-    b = panel_pre.select(*keys, "date", F.col("unit").alias("b"), F.col(y).alias("yb"))
-    return a.join(b, [*keys, "date"]).groupBy(*keys, "a", "b").agg(F.sum(F.col("ya") * F.col("yb")).alias("g"))
+def panel_units(panel: DataFrame) -> list[str]:
+    """Sorted distinct units (a bounded collect, checked against MAX_UNITS)."""
+    units = [r[0] for r in panel.select("unit").distinct().orderBy("unit").limit(MAX_UNITS + 1).collect()]
+    if len(units) > MAX_UNITS:
+        raise ValueError(f"more than {MAX_UNITS} units; restrict the donor pool (unit_correlations)")
+    return units
+
+
+PAIR_FIELDS = ["n", "sa", "sb", "saa", "sbb", "sab"]
+
+
+def pair_moments(panel: DataFrame, y: str = "y_fit", keys: Sequence[str] = (), units: list[str] | None = None,
+                 fields: Sequence[str] = ("sab",)) -> DataFrame:
+    """Pairwise moments of unit series over common dates, without emitting unit pairs per date.
+
+    Each (keys, date) becomes one vector of at most #units values; every task
+    accumulates its partial units x units matrices in numpy (n = co-presence
+    count, sa = sum y_a where b present, saa, sab = sum y_a y_b) and one
+    aggregate sums the partials: rows (keys, a, b, fields...).
+    """
+    units = units if units is not None else panel_units(panel)
+    pos = {u: i for i, u in enumerate(units)}
+    U = len(units)
+    idx_map = F.create_map(*[x for u, i in pos.items() for x in (F.lit(u), F.lit(i))])
+    vec = (panel.select(*keys, "date", idx_map[F.col("unit")].alias("_i"), F.col(y).cast("double").alias("_v"))
+           .dropna().groupBy(*keys, "date").agg(F.collect_list(F.struct("_i", "_v")).alias("_vec")))
+    key_fields = [vec.schema[k] for k in keys]
+    key_ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in key_fields)
+    schema = (key_ddl + ", " if key_ddl else "") + "a string, b string, " + ", ".join(f"{f} double" for f in fields)
+    ua = np.array(units, dtype=object)
+
+    def accumulate(batches):
+        acc = {}
+        for pdf in batches:
+            for _, row in pdf.iterrows():
+                k = tuple(row[x] for x in keys)
+                st = acc.get(k)
+                if st is None:
+                    st = acc[k] = {f: np.zeros((U, U)) for f in fields}
+                v = np.zeros(U)
+                m = np.zeros(U)
+                for it in row["_vec"]:
+                    i, val = it["_i"], it["_v"]
+                    v[i], m[i] = val, 1.0
+                if "n" in st:
+                    st["n"] += np.outer(m, m)
+                if "sa" in st:
+                    st["sa"] += np.outer(v, m)
+                if "sb" in st:
+                    st["sb"] += np.outer(m, v)
+                if "saa" in st:
+                    st["saa"] += np.outer(v * v, m)
+                if "sbb" in st:
+                    st["sbb"] += np.outer(m, v * v)
+                if "sab" in st:
+                    st["sab"] += np.outer(v, v)
+        for k, st in acc.items():
+            A, B = np.meshgrid(np.arange(U), np.arange(U), indexing="ij")
+            out = {"a": ua[A.ravel()], "b": ua[B.ravel()]}
+            for f in fields:
+                out[f] = st[f].ravel()
+            frame = pd.DataFrame(out)
+            for j, kname in enumerate(keys):
+                frame.insert(j, kname, k[j])
+            yield frame
+
+    partial = vec.mapInPandas(accumulate, schema)
+    return partial.groupBy(*keys, "a", "b").agg(*[F.sum(f).alias(f) for f in fields])
+
+
+def donor_gram(panel_pre: DataFrame, y: str = "y_fit", keys: Sequence[str] = (), units: list[str] | None = None
+               ) -> DataFrame:
+    """(keys, a, b, g = sum_t y_a,t * y_b,t) over the given (pre-period) rows (Gramian partials
+    per task, summed by one aggregate; output units^2 rows per key)."""
+    pm = pair_moments(panel_pre, y, keys, units, ("sab",))
+    return pm.select(*keys, "a", "b", F.col("sab").alias("g"))
 
 
 def unit_correlations(panel_pre: DataFrame, y: str = "y") -> DataFrame:
-    """QX15: Pearson correlation of every unit pair over the pre period (self-join on date)."""
-    a = panel_pre.select("date", F.col("unit").alias("a"), F.col(y).alias("ya"))
-    b = panel_pre.select("date", F.col("unit").alias("b"), F.col(y).alias("yb"))
-    return (a.join(b, "date").filter(F.col("a") < F.col("b"))
-            .groupBy("a", "b").agg(F.corr("ya", "yb").alias("corr"), F.count(F.lit(1)).alias("n")))
+    """QX15: Pearson correlation of every unit pair over their common pre-period dates."""
+    pm = pair_moments(panel_pre, y, (), None, PAIR_FIELDS).filter(F.col("a") < F.col("b"))
+    num = F.col("n") * F.col("sab") - F.col("sa") * F.col("sb")
+    den = F.sqrt((F.col("n") * F.col("saa") - F.col("sa") ** 2) * (F.col("n") * F.col("sbb") - F.col("sb") ** 2))
+    return pm.select("a", "b", (num / den).alias("corr"), F.col("n").cast("long").alias("n"))
+
+
+def unit_dtw(panel_pre: DataFrame, treated: Sequence[str], y: str = "y", window: int | None = None) -> DataFrame:
+    """QX15 (DTW): dynamic-time-warping distance between each treated unit and every other unit.
+
+    Each unit's (date-ordered) series is one array -- its length is the number
+    of dates, not rows.  Donor series rows are replicated to the treated units
+    with ``explode`` and matched by an equi-join; the O(T^2) recursion (optional
+    Sakoe-Chiba ``window``) runs in Arrow batches of pairs."""
+    from pyspark.sql.functions import pandas_udf
+    from pyspark.sql.types import DoubleType
+
+    series = (panel_pre.groupBy("unit")
+              .agg(F.sort_array(F.collect_list(F.struct("date", F.col(y).alias("v")))).alias("s"))
+              .select("unit", F.col("s.v").alias("v")))
+    a = series.filter(F.col("unit").isin(list(treated))).select(F.col("unit").alias("a"), F.col("v").alias("va"))
+    b = series.select(F.col("unit").alias("b"), F.col("v").alias("vb"),
+                      F.explode(F.array(*[F.lit(t) for t in treated])).alias("a")).filter(F.col("a") != F.col("b"))
+    pairs = a.join(b, "a")
+
+    def dtw(x, z):
+        n, m = len(x), len(z)
+        w = max(window or max(n, m), abs(n - m))
+        D = np.full((n + 1, m + 1), np.inf)
+        D[0, 0] = 0.0
+        for i in range(1, n + 1):
+            lo, hi = max(1, i - w), min(m, i + w)
+            for j in range(lo, hi + 1):
+                c = abs(x[i - 1] - z[j - 1])
+                D[i, j] = c + min(D[i - 1, j], D[i, j - 1], D[i - 1, j - 1])
+        return float(D[n, m])
+
+    def dist(va: pd.Series, vb: pd.Series) -> pd.Series:
+        return pd.Series([dtw(np.asarray(x, float), np.asarray(z, float)) for x, z in zip(va, vb)])
+
+    udf = pandas_udf(dist, DoubleType())
+    return pairs.select("a", "b", udf(F.col("va"), F.col("vb")).alias("dtw"))
 
 
 # Weights --------------------------------------------------------------------------------------------
@@ -210,9 +317,10 @@ def effect_grid_ci(shifts: DataFrame, att: DataFrame, alpha: float = 0.1, grid:
     so A_s(theta) = A_s - theta * c_s.  Keeps theta with p >= alpha; returns min/max."""
     g = att.select(*keys, "unit", "ate", "scale")
     span = F.lit(5.0) * F.greatest(F.abs(F.col("ate")), F.col("scale"), F.lit(1e-9))
-    g = g.select(*keys, "unit", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("k"), "ate", span.alias("span"))
-    g = g.select(*keys, "unit", (F.col("ate") - F.col("span") + F.col("k") * 2.0 * F.col("span") / (grid - 1)).alias("theta"))
-    j = shifts.join(g, [*keys, "unit"])
+    g = g.select(*keys, "unit", "ate", span.alias("span"))
+    # one row per unit joined to its T shift rows (1:n), then the grid is an explode
+    j = shifts.join(g, [*keys, "unit"]).select("*", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("k"))
+    j = j.withColumn("theta", F.col("ate") - F.col("span") + F.col("k") * 2.0 * F.col("span") / (grid - 1))
     s = j.select(*keys, "unit", "theta", "shift", _stat(F.col("A") - F.col("theta") * F.col("c"), stat_test).alias("S"))
     w = Window.partitionBy(*keys, "unit", "theta")
     s = s.select("*", F.max(F.when(F.col("shift") == 0, F.col("S"))).over(w).alias("S0"))

@@ -415,3 +415,59 @@ def arc2_ab_test(spark, sf_dir):
 
 
 __all__ = ["poisson1_cdf"]
+
+
+@query("est11_iptw_by_quarter", sql=f"""WITH {SQL_V1},
+p AS (SELECT CAST(date_trunc('quarter', l_shipdate) AS DATE) AS period, * FROM v1),
+e AS (SELECT *, avg(treated) OVER (PARTITION BY period, l_linestatus, l_linenumber) AS e FROM p),
+a AS (SELECT period, treated * l_extendedprice / e - (1 - treated) * l_extendedprice / (1 - e) AS a FROM e
+  WHERE e > 0 AND e < 1)
+SELECT period, {sql_rnd('avg(a)', 4)} AS ATE, {sql_rnd('stddev_samp(a) / sqrt(count(*))', 4)} AS std_error,
+  count(*) AS n FROM a GROUP BY period HAVING count(*) >= 20""")
+def est11_iptw_by_quarter(spark, sf_dir):
+    """EST11 with the IPTW estimator: saturated propensity per (quarter, cell), one grouped aggregate."""
+    v = _v1(spark, sf_dir).withColumn("period", F.to_date(F.date_trunc("quarter", "l_shipdate")))
+    e = O.iptw_by_period(v, "treated", "l_extendedprice", CELLS, "period")
+    return e.select("period", rnd("ATE", 4).alias("ATE"), rnd("std_error", 4).alias("std_error"), "n")
+
+
+@query("est5_iptw_logistic")
+def est5_iptw_logistic(spark, sf_dir):
+    """EST5 Hajek IPTW with logistic propensities on (l_quantity, l_tax), clipped to [0.05, 0.95]."""
+    p = O.with_propensity(_v1(spark, sf_dir), "treated", ["l_quantity", "l_tax"], mode="logistic")
+    return O.iptw(p, "treated", "l_extendedprice", normalized=True, clip=(0.05, 0.95))
+
+
+@query("est6_psm_logistic")
+def est6_psm_logistic(spark, sf_dir):
+    """EST6 nearest-neighbour matching on logistic propensity scores (rounded to 1e-6)."""
+    p = O.with_propensity(_v1(spark, sf_dir), "treated", ["l_quantity", "l_tax"], mode="logistic")
+    return O.psm(p, "treated", "l_extendedprice")
+
+
+@query("ref3_unsupported_did")
+def ref3_unsupported_did(spark, sf_dir):
+    """REF3 the refutation dispatcher refuses DiD: original estimate plus the reason."""
+    from .views import v3_did
+    return refute.refute_effect(v3_did(spark, sf_dir), "treated", "o_totalprice", [], "o_orderkey",
+                                method="DiD (OLS)", post="post")
+
+
+@query("ref1_dispatch_ols")
+def ref1_dispatch_ols(spark, sf_dir):
+    """REF1 through the dispatcher for an OLS effect (supported): p-value and pass flag."""
+    return refute.refute_effect(_v7(spark, sf_dir), "t", "o_totalprice", [], "o_orderkey", method="OLS",
+                                refuter="placebo", replicates=_R)
+
+
+@query("snk2_scored_roundtrip", sql=f"""WITH {_ITE}
+SELECT l_orderkey, l_linenumber, l_partkey, {sql_rnd('ite', 4)} AS Estimated_ITE FROM sc""")
+def snk2_scored_roundtrip(spark, sf_dir):
+    """SNK2 write the table with Estimated_ITE to the shared folder (parquet) and read it back."""
+    from ..session import shared_path
+    from ..sources import io as IO
+    s = O.t_learner_saturated(_v1(spark, sf_dir), "treated", "l_extendedprice", CELLS)
+    path = IO.write_table(s.select("l_orderkey", "l_linenumber", "l_partkey", "Estimated_ITE"),
+                          shared_path(spark, "snk2"))
+    back = IO.read_parquet(spark, path)
+    return back.select("l_orderkey", "l_linenumber", "l_partkey", rnd("Estimated_ITE", 4).alias("Estimated_ITE"))

@@ -258,3 +258,20 @@ def snk1_src1_csv_roundtrip(spark, sf_dir):
     back = IO.read_csv(spark, path)
     return back.select(F.col("o_orderkey").cast("long").alias("o_orderkey"), "o_orderstatus",
                        F.col("o_totalprice").cast("double").alias("o_totalprice"), "is_filled")
+
+
+@query("qx15_dtw")
+def qx15_dtw(spark, sf_dir):
+    """QX15 DTW distance between 'purchase' and every other event type's pre-period series."""
+    d = v4_daily(spark, sf_dir).filter(F.col("date") < F.lit(START_V4).cast("date"))
+    return S.unit_dtw(d, ["purchase"])
+
+
+@query("snk3_series_roundtrip")
+def snk3_series_roundtrip(spark, sf_dir):
+    """SNK3 counterfactual series written as parquet to the shared folder and read back."""
+    r = S.synth_impact(v4_daily(spark, sf_dir), "date", "unit", "y", ["purchase"], START_V4, duration=7,
+                       with_ci=False)
+    s = TS.impact_series(r["series"], "unit", "date", "observed", "predicted")
+    path = IO.write_table(s, shared_path(spark, "snk3"))
+    return IO.read_parquet(spark, path)
