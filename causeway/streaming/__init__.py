@@ -1 +1,9 @@
-"""streaming."""
+"""Streaming.
+
+The reference workbench has no streaming input, watermark, window state or late data,
+so there is no streaming operator to match.  Every batch operator in
+``causeway.operators`` is a plain DataFrame transformation; the stateless ones
+(cleaning projections, encodings, filters) can be applied to a streaming DataFrame as
+they are, and the aggregate-based estimators can run per micro-batch through
+``writeStream.foreachBatch``.  No streaming-only operator is added here on purpose.
+"""
