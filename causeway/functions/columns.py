@@ -103,3 +103,53 @@ def all_of(conds: list[Column]) -> Column:
 
 def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
+
+
+# Replicate streams ------------------------------------------------------------------------------
+# Fixed values of the Lehmer ("minimal standard") generator: modulus 2^31 - 1, multiplier 48271.
+LEHMER_M = 2147483647
+LEHMER_A = 48271
+
+
+def lehmer_consts(replicates: int, per_rep: int = 1) -> list[list[int]]:
+    """a^k mod m for the ``per_rep`` draws of every replicate r = 1..replicates (k = (r-1)*per_rep + j + 1)."""
+    return [[pow(LEHMER_A, (r - 1) * per_rep + j + 1, LEHMER_M) for j in range(per_rep)]
+            for r in range(1, replicates + 1)]
+
+
+def row_seed(*parts: Column | str) -> Column:
+    """Per-row stream seed in [1, m-1] from the first 32 bits of md5(parts)."""
+    h = F.conv(F.substring(F.md5(_key(*parts)), 1, 8), 16, 10).cast("long")
+    return F.pmod(h, F.lit(LEHMER_M - 1)) + F.lit(1)
+
+
+def sql_row_seed(*parts: str) -> str:
+    inner = ", ".join(f"CAST({p} AS VARCHAR)" for p in parts)
+    return f"((CAST(('0x' || substr(md5(concat_ws('|', {inner})), 1, 8)) AS BIGINT) % {LEHMER_M - 1}) + 1)"
+
+
+def explode_replicates(df, seed_col: Column, replicates: int, per_rep: int = 1, rep_name: str = "_rep",
+                       u_prefix: str = "_u"):
+    """Replicate every row ``replicates`` times with ``per_rep`` uniforms each.
+
+    u_j = (seed * a^k mod m) / m: the k-th element of the row's Lehmer stream, so a row costs one
+    md5 however many replicates it feeds, and the draws stay partition independent and exactly
+    reproducible in SQL (the product stays below 2^62)."""
+    consts = lehmer_consts(replicates, per_rep)
+    arr = F.array(*[F.struct(F.lit(r + 1).alias("r"), *[F.lit(c).cast("long").alias(f"a{j}") for j, c in enumerate(cs)])
+                    for r, cs in enumerate(consts)])
+    x = df.select("*", seed_col.alias("_seed"), F.explode(arr).alias("_c"))
+    us = [(F.pmod(F.col("_seed") * F.col(f"_c.a{j}"), F.lit(LEHMER_M)).cast("double") / F.lit(float(LEHMER_M)))
+          .alias(f"{u_prefix}{j}") for j in range(per_rep)]
+    return x.select(*[c for c in df.columns], F.col("_c.r").alias(rep_name), *us)
+
+
+def sql_replicate_values(replicates: int, per_rep: int = 1) -> str:
+    """VALUES table (rep, a0, a1, ...) of the replicate constants for the oracle SQL."""
+    rows = ", ".join("(" + ", ".join(str(v) for v in [r + 1, *cs]) + ")" for r, cs in enumerate(lehmer_consts(replicates, per_rep)))
+    cols = ", ".join(["rep"] + [f"a{j}" for j in range(per_rep)])
+    return f"(SELECT * FROM (VALUES {rows}) AS c({cols}))"
+
+
+def sql_lehmer_u(seed_expr: str, a_col: str) -> str:
+    return f"(CAST((({seed_expr}) * {a_col}) % {LEHMER_M} AS DOUBLE) / CAST({LEHMER_M} AS DOUBLE))"

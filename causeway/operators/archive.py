@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .gram import ols
 
 
-def twoway_fixed_effects(panel: DataFrame, unit: str, time: str, y: str, x: str) -> DataFrame:
+def twoway_fixed_effects(panel: DataFrame, unit: str, time: str, y: str, x: str, materialize: bool = True) -> DataFrame:
     """ARC1: entity + time fixed effects on a balanced panel by two-way demeaning
     (y - ybar_i - ybar_t + ybar), slope by one aggregate, entity-clustered SE
     (sum over units of the squared score, G/(G-1) correction) by a second grouped aggregate.
@@ -16,6 +16,8 @@ def twoway_fixed_effects(panel: DataFrame, unit: str, time: str, y: str, x: str)
     Unit and time means are aggregates joined back (a hot unit is combined map-side)."""
     d = panel.select(F.col(unit).alias("_u"), F.col(time).alias("_t"), F.col(y).cast("double").alias("_y"),
                      F.col(x).cast("double").alias("_x")).dropna()
+    if materialize:  # five aggregates read the panel: write it once to the shared checkpoint folder
+        d = d.checkpoint(eager=True)
     um = d.groupBy("_u").agg(F.avg("_y").alias("_uy"), F.avg("_x").alias("_ux"))
     tm = d.groupBy("_t").agg(F.avg("_y").alias("_ty"), F.avg("_x").alias("_tx"))
     gm = d.agg(F.struct(F.avg("_y").alias("y"), F.avg("_x").alias("x"))).scalar()

@@ -434,29 +434,36 @@ def iptw_by_period(df: DataFrame, treatment: str, outcome: str, cells: Sequence[
 
 # EST12 --------------------------------------------------------------------------------------------
 
-def bootstrap(df: DataFrame, treatment: str, outcome: str, confounders: Sequence[str], row_id: str,
-              replicates: int = 50, seed: int = 42, alpha: float = 0.05) -> DataFrame:
-    """Poisson(1) bootstrap of the OLS/difference-in-means effect.
-
-    Each row carries md5-derived Poisson weights for every replicate
-    (``explode(sequence(1, B))`` feeding a partial aggregate, so only B small
-    moment rows per partition are shuffled); every replicate is solved in
-    ``mapInPandas``.  Returns estimate, boot_mean, boot_se (ddof 1),
-    percentile bounds and the number of successful replicates.
-    """
-    from ..functions.columns import poisson1
+def _replicate_moments(df: DataFrame, treatment: str, outcome: str, confounders: Sequence[str], row_id: str,
+                       replicates: int, seed: int):
+    from ..functions.columns import explode_replicates, poisson1, row_seed
     from .gram import moments, solve_moments
-    if not 10 <= replicates <= 500:
-        raise ValueError("replicates must be within [10, 500]")
     xs = [treatment, *confounders]
     base = df.select(F.col(row_id), *[F.col(c) for c in xs], F.col(outcome)).dropna()
-    rep = base.select("*", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("_rep"))
-    w = poisson1(uniform(F.col(row_id), F.lit(seed), F.col("_rep")))
+    rep = explode_replicates(base, row_seed(F.col(row_id), F.lit(seed)), replicates, 1)
     exprs = {c: F.col(c) for c in xs}
     exprs["__y"] = F.col(outcome)
-    g, names = moments(rep.withColumn("_w", w), exprs, keys=["_rep"], weight="_w", shift_from=base)
+    g, names = moments(rep.withColumn("_w", poisson1(F.col("_u0"))), exprs, keys=["_rep"], weight="_w",
+                       shift_from=base)
     per = solve_moments(g, names, "__y", xs, keys=["_rep"], with_se=False, terms=[treatment])
+    return base, xs, per
+
+
+def bootstrap(df: DataFrame, treatment: str, outcome: str, confounders: Sequence[str], row_id: str,
+              replicates: int = 50, seed: int = 42, alpha: float = 0.05) -> DataFrame:
+    """Poisson(1) bootstrap of the OLS/difference-in-means effect.
+
+    Each row carries a Lehmer stream seeded by md5(row_id, seed); replicate r's
+    weight is the Poisson(1) inverse-CDF of the stream's r-th uniform.  Rows are
+    exploded over the replicates straight into a partial aggregate, so only B
+    small moment rows per partition are shuffled; every replicate is solved in
+    ``mapInPandas``.  Returns estimate, boot_mean, boot_se (ddof 1), percentile
+    bounds and the number of successful replicates.
+    """
     from .gram import ols
+    if not 10 <= replicates <= 500:
+        raise ValueError("replicates must be within [10, 500]")
+    base, xs, per = _replicate_moments(df, treatment, outcome, confounders, row_id, replicates, seed)
     point = ols(base, outcome, xs, terms=[treatment]).select("estimate").scalar()
     lo, hi = alpha / 2, 1 - alpha / 2
     s = per.filter(F.col("estimate").isNotNull() & ~F.isnan("estimate")).agg(
@@ -464,23 +471,13 @@ def bootstrap(df: DataFrame, treatment: str, outcome: str, confounders: Sequence
         F.percentile("estimate", F.array(F.lit(lo), F.lit(hi))).alias("_q"),
         F.count(F.lit(1)).cast("long").alias("replicates_ok"))
     return s.select(point.alias("estimate"), "boot_mean", "boot_se",
-                                F.col("_q")[0].alias("ci_lower"), F.col("_q")[1].alias("ci_upper"),
-                                "replicates_ok")
+                    F.col("_q")[0].alias("ci_lower"), F.col("_q")[1].alias("ci_upper"), "replicates_ok")
 
 
 def bootstrap_replicates(df: DataFrame, treatment: str, outcome: str, confounders: Sequence[str], row_id: str,
                          replicates: int = 50, seed: int = 42) -> DataFrame:
     """Per-replicate estimates (rep, estimate) of the Poisson bootstrap."""
-    from ..functions.columns import poisson1
-    from .gram import moments, solve_moments
-    xs = [treatment, *confounders]
-    base = df.select(F.col(row_id), *[F.col(c) for c in xs], F.col(outcome)).dropna()
-    rep = base.select("*", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("_rep"))
-    w = poisson1(uniform(F.col(row_id), F.lit(seed), F.col("_rep")))
-    exprs = {c: F.col(c) for c in xs}
-    exprs["__y"] = F.col(outcome)
-    g, names = moments(rep.withColumn("_w", w), exprs, keys=["_rep"], weight="_w", shift_from=base)
-    per = solve_moments(g, names, "__y", xs, keys=["_rep"], with_se=False, terms=[treatment])
+    _, _, per = _replicate_moments(df, treatment, outcome, confounders, row_id, replicates, seed)
     return per.select(F.col("_rep").alias("rep"), "estimate")
 
 

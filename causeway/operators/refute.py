@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import std_normal, uniform, uniform_pair  # noqa: F401
+from ..functions.columns import explode_replicates, row_seed, std_normal
 from .gram import moments, ols, solve_moments
 
 
@@ -46,8 +46,8 @@ def random_common_cause(df: DataFrame, treatment: str, outcome: str, confounders
     re-estimate; returns (per-replicate estimates, summary)."""
     xs = [treatment, *confounders]
     base = df.select(F.col(row_id), *[F.col(c) for c in xs], F.col(outcome)).dropna()
-    rep = base.select("*", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("_rep"))
-    noise = std_normal(*uniform_pair(F.col(row_id), F.lit(seed), F.col("_rep")))
+    rep = explode_replicates(base, row_seed(F.col(row_id), F.lit(seed)), replicates, 2)
+    noise = std_normal(F.col("_u0"), F.col("_u1"))
     exprs = {c: F.col(c) for c in xs}
     exprs["_rcc"] = noise
     exprs["__y"] = F.col(outcome)
@@ -61,29 +61,34 @@ def random_common_cause(df: DataFrame, treatment: str, outcome: str, confounders
 
 def placebo_treatment(df: DataFrame, treatment: str, outcome: str, confounders: Sequence[str], row_id: str,
                       replicates: int = 100, seed: int = 42, rows_per_bucket: int = 200_000,
-                      n_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
+                      n_rows: int | None = None, binary: bool = True) -> tuple[DataFrame, DataFrame]:
     """REF2: permute the treatment and re-estimate.
 
-    The permutation is drawn inside random buckets (bucket = md5 draw per row
-    and replicate, about ``rows_per_bucket`` rows each): rows are ranked by two
-    independent md5 keys within (replicate, bucket) and row i receives the
-    treatment of the row whose second-key rank equals i's first-key rank.  The
-    placebo treatment is therefore independent of (Y, X) with exactly the
-    original treated count, and no task ever holds more than one bucket.
+    The permutation is drawn inside random buckets (bucket from the row's stream
+    per replicate, about ``rows_per_bucket`` rows each), so no task holds more
+    than one bucket.  For a binary treatment a permutation is the same as
+    treating the n1 rows with the smallest random key, where n1 is the bucket's
+    treated count: one window (rank + bucket total), no join.  Otherwise rows
+    are ranked by two independent keys and row i takes the treatment of the row
+    whose second-key rank equals its first-key rank (a 1:1 equi-join).  Either
+    way the placebo is independent of (Y, X) with the original treated count.
     """
     xs = [treatment, *confounders]
     base = df.select(F.col(row_id), *[F.col(c) for c in xs], F.col(outcome)).dropna()
     n = n_rows if n_rows is not None else base.count()
     buckets = max(1, math.ceil(n / rows_per_bucket))
-    rep = base.select("*", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("_rep"))
-    rep = rep.withColumn("_b", F.floor(uniform(F.col(row_id), F.lit(seed), F.col("_rep"), F.lit("b")) * buckets))
-    w1 = Window.partitionBy("_rep", "_b").orderBy(uniform(F.col(row_id), F.lit(seed), F.col("_rep"), F.lit("k1")),
-                                                 F.col(row_id))
-    w2 = Window.partitionBy("_rep", "_b").orderBy(uniform(F.col(row_id), F.lit(seed), F.col("_rep"), F.lit("k2")),
-                                                 F.col(row_id))
-    a = rep.withColumn("_r", F.row_number().over(w1))
-    donors = rep.select("_rep", "_b", F.row_number().over(w2).alias("_r"), F.col(treatment).alias("_placebo"))
-    perm = a.join(donors, ["_rep", "_b", "_r"])
+    rep = explode_replicates(base, row_seed(F.col(row_id), F.lit(seed)), replicates, 3)
+    rep = rep.withColumn("_b", F.floor(F.col("_u0") * buckets))
+    part = Window.partitionBy("_rep", "_b")
+    w1 = part.orderBy(F.col("_u1"), F.col(row_id))
+    if binary:
+        perm = rep.select("*", F.row_number().over(w1).alias("_r"), F.sum(F.col(treatment)).over(part).alias("_n1"))
+        perm = perm.withColumn("_placebo", (F.col("_r") <= F.col("_n1")).cast("int"))
+    else:
+        w2 = part.orderBy(F.col("_u2"), F.col(row_id))
+        a = rep.withColumn("_r", F.row_number().over(w1))
+        donors = rep.select("_rep", "_b", F.row_number().over(w2).alias("_r"), F.col(treatment).alias("_placebo"))
+        perm = a.join(donors, ["_rep", "_b", "_r"])
     exprs = {"_placebo": F.col("_placebo"), **{c: F.col(c) for c in confounders}}
     exprs["__y"] = F.col(outcome)
     g, names = moments(perm, exprs, keys=["_rep"])

@@ -361,7 +361,9 @@ def synth_impact(df: DataFrame, date: str, unit: str, kpi: str, treated: Sequenc
     (relative CI = cum bound / (cum / lift)), conformal p, alpha, significant, imbalance).
     """
     panel, p0, p1, T_ = prepare_panel(df, date, unit, kpi, start, duration, fixed_effects)
-    panel = panel.persist()
+    # the aggregated panel is read by several jobs (Gram, counterfactual, tests): write it once to
+    # the shared checkpoint folder so the source aggregation is not repeated and lineage is cut
+    panel = panel.checkpoint(eager=True)
     gram = donor_gram(panel.filter(F.col("idx") < p0))
     w = synth_weights(gram, treated, model)
     series = counterfactual(panel.filter(F.col("idx") <= p1), w)
@@ -437,7 +439,7 @@ def market_power(df: DataFrame, date: str, unit: str, kpi: str, duration: int =
         pk = with_fixed_effects(pk, pre, keys=["k"])
     else:
         pk = pk.select("*", F.lit(0.0).alias("mu"), F.col("y").alias("y_fit"))
-    pk = pk.persist()
+    pk = pk.checkpoint(eager=True)  # read by the Gram, counterfactual and test jobs
     gram = donor_gram(pk.filter(pre), keys=["k"])
     w = synth_weights(gram, candidates, model, keys=["k"], buckets=max(1, min(64, len(candidates or []) or 16)))
     series = counterfactual(pk, w, keys=["k"])

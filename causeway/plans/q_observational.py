@@ -5,7 +5,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.columns import poisson1_cdf, rnd, sql_poisson1, sql_rnd, sql_uniform, sql_uniform_pair
+from ..functions.columns import (poisson1_cdf, rnd, sql_lehmer_u, sql_poisson1, sql_replicate_values, sql_rnd,
+                                 sql_row_seed, sql_uniform)
 from ..operators import hte, observational as O, refute
 from ..operators.regression import logit_effect, ols_effect
 from .registry import query
@@ -303,12 +304,13 @@ def _v7(spark, sf_dir):
 
 
 _B = 50
-_W = sql_poisson1(sql_uniform("o_orderkey", "42", "rep"))
+_SEED = sql_row_seed("o_orderkey", "42")
+_W = sql_poisson1(sql_lehmer_u("s", "c.a0"))
 
 
 @query("est12_bootstrap", sql=f"""WITH {_V7},
-r AS (SELECT range AS rep FROM range(1, {_B + 1})),
-w AS (SELECT r.rep, v7.t, v7.o_totalprice AS y, {_W} AS w FROM v7, r),
+c AS {sql_replicate_values(_B, 1)},
+w AS (SELECT c.rep, x.t, x.o_totalprice AS y, {_W} AS w FROM (SELECT *, {_SEED} AS s FROM v7) x, c),
 e AS (SELECT rep, sum(w * t * y) / sum(w * t) - sum(w * (1 - t) * y) / sum(w * (1 - t)) AS est FROM w GROUP BY rep),
 pt AS (SELECT avg(CASE WHEN t = 1 THEN o_totalprice END) - avg(CASE WHEN t = 0 THEN o_totalprice END) AS p FROM v7)
 SELECT {sql_rnd('(SELECT p FROM pt)', 4)} AS estimate, {sql_rnd('avg(est)', 4)} AS boot_mean,
@@ -322,15 +324,16 @@ def est12_bootstrap(spark, sf_dir):
 
 
 _R = 20
-_N1, _N2 = sql_uniform_pair("o_orderkey", "42", "rep")
+_N1, _N2 = sql_lehmer_u("s", "c.a0"), sql_lehmer_u("s", "c.a1")
 
 
 @query("ref1_random_common_cause", sql=f"""WITH {_V7},
-r AS (SELECT range AS rep FROM range(1, {_R + 1})),
-x AS (SELECT r.rep, t, o_totalprice AS y, sqrt(-2.0 * ln(1.0 - {_N1})) * cos(2.0 * pi() * {_N2}) AS z FROM v7, r),
-c AS (SELECT rep, covar_pop(t, t) AS tt, covar_pop(z, z) AS zz, covar_pop(t, z) AS tz, covar_pop(t, y) AS ty,
+c AS {sql_replicate_values(_R, 2)},
+x AS (SELECT c.rep, t, o_totalprice AS y, sqrt(-2.0 * ln(1.0 - {_N1})) * cos(2.0 * pi() * {_N2}) AS z
+  FROM (SELECT *, {_SEED} AS s FROM v7) v, c),
+cv AS (SELECT rep, covar_pop(t, t) AS tt, covar_pop(z, z) AS zz, covar_pop(t, z) AS tz, covar_pop(t, y) AS ty,
   covar_pop(z, y) AS zy FROM x GROUP BY rep),
-e AS (SELECT (zz * ty - tz * zy) / (tt * zz - tz * tz) AS est FROM c),
+e AS (SELECT (zz * ty - tz * zy) / (tt * zz - tz * tz) AS est FROM cv),
 pt AS (SELECT avg(CASE WHEN t = 1 THEN o_totalprice END) - avg(CASE WHEN t = 0 THEN o_totalprice END) AS p FROM v7)
 SELECT {sql_rnd('(SELECT p FROM pt)', 4)} AS original_effect, {sql_rnd('avg(est)', 4)} AS new_effect,
   {sql_rnd('stddev_samp(est)', 4)} AS new_sd, count(*) AS replicates FROM e""")
@@ -347,17 +350,16 @@ def ref1_random_common_cause_full(spark, sf_dir):
     return refute.random_common_cause(_v7(spark, sf_dir), "t", "o_totalprice", [], "o_orderkey", replicates=_R)[1]
 
 
-_K1 = sql_uniform("o_orderkey", "42", "rep", "'k1'")
-_K2 = sql_uniform("o_orderkey", "42", "rep", "'k2'")
-_BK = sql_uniform("o_orderkey", "42", "rep", "'b'")
+_BK, _K1, _K2 = (sql_lehmer_u("s", f"c.a{j}") for j in range(3))
 
 
 @query("ref2_placebo", sql=f"""WITH {_V7},
-r AS (SELECT range AS rep FROM range(1, {_R + 1})),
-x AS (SELECT r.rep, o_orderkey, t, o_totalprice AS y, CAST(floor({_BK} * 1) AS BIGINT) AS b,
-  row_number() OVER (PARTITION BY r.rep, floor({_BK} * 1) ORDER BY {_K1}, o_orderkey) AS r1,
-  row_number() OVER (PARTITION BY r.rep, floor({_BK} * 1) ORDER BY {_K2}, o_orderkey) AS r2 FROM v7, r),
-p AS (SELECT a.rep, a.y, d.t AS pt FROM x a JOIN x d ON a.rep = d.rep AND a.b = d.b AND a.r1 = d.r2),
+c AS {sql_replicate_values(_R, 3)},
+x AS (SELECT c.rep, o_orderkey, t, o_totalprice AS y,
+  row_number() OVER (PARTITION BY c.rep, floor({_BK} * 1) ORDER BY {_K1}, o_orderkey) AS r1,
+  sum(t) OVER (PARTITION BY c.rep, floor({_BK} * 1)) AS n1
+  FROM (SELECT *, {_SEED} AS s FROM v7) v, c),
+p AS (SELECT rep, y, CAST(r1 <= n1 AS INTEGER) AS pt FROM x),
 e AS (SELECT rep, avg(CASE WHEN pt = 1 THEN y END) - avg(CASE WHEN pt = 0 THEN y END) AS est FROM p GROUP BY rep),
 pt AS (SELECT avg(CASE WHEN t = 1 THEN o_totalprice END) - avg(CASE WHEN t = 0 THEN o_totalprice END) AS p FROM v7)
 SELECT {sql_rnd('(SELECT p FROM pt)', 4)} AS original_effect, {sql_rnd('avg(est)', 4)} AS new_effect,
