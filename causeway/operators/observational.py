@@ -332,7 +332,10 @@ def linear_dml(df: DataFrame, treatment: str, outcome: str, confounders: Sequenc
     ATE = theta0.  HC1 standard error from a second aggregate of the score outer products."""
     spark = df.sparkSession
     modifiers = list(confounders if modifiers is None else modifiers)
-    d = crossfit_folds(df.dropna(subset=[treatment, outcome, *confounders]), row_id, k, seed)
+    cols = list(dict.fromkeys([treatment, outcome, row_id, *confounders, *modifiers]))
+    # the folded input feeds several nuisance aggregates and the final stages: keep it for this eager fit
+    d = crossfit_folds(df.select(*cols).dropna(subset=[treatment, outcome, *confounders]), row_id, k, seed)
+    d = d.persist()
     if nuisance == "saturated":
         r = crossfit_saturated(d, treatment, outcome, confounders, k)
     elif nuisance == "linear":
@@ -369,6 +372,7 @@ def linear_dml(df: DataFrame, treatment: str, outcome: str, confounders: Sequenc
             meat_aggs.append(F.sum(F.col(f"_z{i}") * F.col(f"_z{j}") * resid * resid).alias(f"m{i}_{j}"))
     mrow = res.agg(*meat_aggs).collect()[0]
     res.unpersist()
+    d.unpersist()
     meat = np.empty((p, p))
     for i in range(p):
         for j in range(i, p):
