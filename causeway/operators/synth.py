@@ -249,6 +249,53 @@ def _stable_hash(s: str) -> int:
     return zlib.crc32(str(s).encode())
 
 
+# GSYN: interactive fixed effects ---------------------------------------------------------------
+
+def gsyn_series(panel: DataFrame, treated: Sequence[str], p0: int, rank: int = 2, max_dates: int = MAX_UNITS) -> DataFrame:
+    """QX8 ``gsyn``: generalized synthetic control (interactive fixed effects) counterfactual.
+
+    Time factors are the top ``rank`` eigenvectors of the dates x dates Gram of the control
+    units' (demeaned) series -- ``pair_moments`` with the roles of unit and date swapped, so
+    no unit-by-unit rows are emitted; the treated unit's own outer product is subtracted in
+    its solve task.  Loadings are fitted on the pre-period (positions < p0) and the
+    counterfactual is F * loading (+ the unit's pre-mean).  Returns (unit, idx, predicted).
+    """
+    T_ = int(panel.agg(F.max("idx") + 1).collect()[0][0])
+    if T_ > max_dates:
+        raise ValueError("too many dates for the dates x dates Gram")
+    swapped = panel.select(F.col("idx").cast("string").alias("unit"), F.col("unit").alias("date"), "y_fit")
+    dates = [str(i) for i in range(T_)]
+    tg = pair_moments(swapped, "y_fit", units=dates, fields=("sab",))
+    treated = list(treated)
+    tser = {r["unit"]: (r["v"], r["mu"]) for r in panel.filter(F.col("unit").isin(treated))
+            .groupBy("unit").agg(F.sort_array(F.collect_list(F.struct("idx", "y_fit"))).alias("s"),
+                                 F.first(F.coalesce("mu", F.lit(0.0))).alias("mu"))
+            .select("unit", F.col("s.y_fit").alias("v"), "mu").collect()}  # treated series: #dates values each
+    B = max(1, min(len(treated), 64))
+    rep = tg.select("*", F.explode(F.sequence(F.lit(0), F.lit(B - 1))).alias("_bucket"))
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        bucket = int(pdf["_bucket"].iloc[0])
+        G = np.zeros((T_, T_))
+        G[pdf["a"].astype(int).to_numpy(), pdf["b"].astype(int).to_numpy()] = pdf["sab"].to_numpy()
+        rows = []
+        for u in treated:
+            if _stable_hash(u) % B != bucket or u not in tser:
+                continue
+            y, mu = np.asarray(tser[u][0], float), float(tser[u][1])
+            if len(y) != T_:
+                continue
+            Gc = G - np.outer(y, y)
+            vals, vecs = np.linalg.eigh(Gc)
+            Fm = vecs[:, ::-1][:, :rank]
+            lam, *_ = np.linalg.lstsq(Fm[:p0], y[:p0], rcond=None)
+            pred = Fm @ lam + mu
+            rows.extend((u, int(t), float(pred[t])) for t in range(T_))
+        return pd.DataFrame(rows, columns=["unit", "idx", "predicted"])
+
+    return rep.groupBy("_bucket").applyInPandas(solve, "unit string, idx int, predicted double")
+
+
 # Counterfactual series --------------------------------------------------------------------------
 
 def counterfactual(panel: DataFrame, weights: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -353,7 +400,8 @@ def prepare_panel(df: DataFrame, date: str, unit: str, kpi: str, start: str, dur
 
 def synth_impact(df: DataFrame, date: str, unit: str, kpi: str, treated: Sequence[str] | None, start: str,
                  duration: int = 14, model: str = "none", alpha: float = 0.1, stat_test: str = "Total",
-                 fixed_effects: bool = True, grid: int = 250, with_ci: bool = True) -> dict[str, DataFrame]:
+                 fixed_effects: bool = True, grid: int = 250, with_ci: bool = True,
+                 gsyn_rank: int = 2) -> dict[str, DataFrame]:
     """QX6: synthetic-control impact for the treated units (None = every unit, in-space placebo).
 
     Returns dict of DataFrames: ``weights``, ``series`` (TS13 layout), ``impact`` (one row per
@@ -365,8 +413,15 @@ def synth_impact(df: DataFrame, date: str, unit: str, kpi: str, treated: Sequenc
     # the shared checkpoint folder so the source aggregation is not repeated and lineage is cut
     panel = panel.checkpoint(eager=True)
     gram = donor_gram(panel.filter(F.col("idx") < p0))
-    w = synth_weights(gram, treated, model)
-    series = counterfactual(panel.filter(F.col("idx") <= p1), w)
+    w = synth_weights(gram, treated, "none" if model == "gsyn" else model)
+    if model == "gsyn":
+        units = treated if treated is not None else [r[0] for r in panel.select("unit").distinct().collect()]
+        g = gsyn_series(panel, units, p0, rank=gsyn_rank)
+        obs = panel.select("unit", "date", "idx", F.col("y").alias("observed"))
+        series = g.join(obs, ["unit", "idx"]).filter(F.col("idx") <= p1).select("unit", "date", "idx", "observed",
+                                                                                  "predicted")
+    else:
+        series = counterfactual(panel.filter(F.col("idx") <= p1), w)
     series = series.withColumn("is_post", _post_flag(F.col("idx"), F.lit(p0), F.lit(p1)).cast("int"))
     eff = F.col("observed") - F.col("predicted")
     post = F.col("is_post") == 1
@@ -376,8 +431,16 @@ def synth_impact(df: DataFrame, date: str, unit: str, kpi: str, treated: Sequenc
         F.sqrt(F.avg(F.when(~post, eff * eff))).alias("scale"))
     shifts = shift_sums(series.select("unit", "idx", "observed", "predicted"), p0, p1, n_periods=p1 + 1)
     pv = conformal_pvalue(shifts, stat_test)
-    imb = w.groupBy(F.col("treated").alias("unit")).agg(F.first("l2_imbalance").alias("l2_imbalance"),
-                                                        F.first("scaled_l2_imbalance").alias("scaled_l2_imbalance"))
+    if model == "gsyn":  # pre-period fit of the factor model; scaled by the plain SC's uniform-weight imbalance
+        pre_sq = series.filter(F.col("idx") < p0).groupBy("unit").agg(
+            F.sqrt(F.sum((F.col("observed") - F.col("predicted")) ** 2)).alias("l2_imbalance"))
+        uni = w.groupBy(F.col("treated").alias("unit")).agg(
+            (F.first("l2_imbalance") / F.first("scaled_l2_imbalance")).alias("_u"))
+        imb = pre_sq.join(uni, "unit", "left").select(
+            "unit", "l2_imbalance", (F.col("l2_imbalance") / F.col("_u")).alias("scaled_l2_imbalance"))
+    else:
+        imb = w.groupBy(F.col("treated").alias("unit")).agg(F.first("l2_imbalance").alias("l2_imbalance"),
+                                                            F.first("scaled_l2_imbalance").alias("scaled_l2_imbalance"))
     out = att.join(pv, "unit").join(imb, "unit")
     if with_ci:
         ci = effect_grid_ci(shifts, att, alpha, grid, stat_test)

@@ -82,11 +82,12 @@ def qx6_synth_weights(spark, sf_dir):
 
 @query("qx8_augmented_ridge")
 def qx8_augmented_ridge(spark, sf_dir):
-    """QX8 ridge-augmented and 'best' synthetic control on the nation panel."""
+    """QX8 ridge-augmented, 'best' and GSYN (interactive fixed effects) synthetic control on the nation panel."""
     p = _v5_balanced(spark, sf_dir)
     ridge = S.synth_impact(p, "date", "unit", "y", ["NATION_0"], START_V5, 12, model="ridge", grid=50)["impact"]
     best = S.synth_impact(p, "date", "unit", "y", ["NATION_0"], START_V5, 12, model="best", grid=50)["impact"]
-    return ridge.unionByName(best)
+    gsyn = S.synth_impact(p, "date", "unit", "y", ["NATION_0"], START_V5, 12, model="gsyn", grid=50)["impact"]
+    return ridge.unionByName(best).unionByName(gsyn)
 
 
 @query("ts13_synth_series")

@@ -136,3 +136,17 @@ def test_bsts_single_series_trend_truth_5(spark):
     draws = bayes.bsts_impact_draws(d, "2023-03-12", [], niter=300, burn=100, trend=True)
     r = bayes.impact_summary(draws, d).collect()[0]
     assert 4 <= r["ate"] <= 6
+
+
+def test_gsyn_and_ridge_panel_truth_5(spark):
+    for model in ("gsyn", "ridge"):
+        r = synth.synth_impact(city_panel(spark), "Date", "City", "Sales", ["Los Angeles"], "2023-03-12",
+                               duration=30, model=model, with_ci=False)
+        assert 4 <= r["impact"].collect()[0]["ate"] <= 6, model
+
+
+def test_weights_simplex_all_units(spark):
+    r = synth.synth_impact(city_panel(spark), "Date", "City", "Sales", None, "2023-03-12", duration=30,
+                           with_ci=False)
+    sums = {row["treated"]: row["s"] for row in r["weights"].groupBy("treated").agg(F.sum("weight").alias("s")).collect()}
+    assert len(sums) == 3 and all(abs(v - 1) < 1e-6 for v in sums.values())
