@@ -153,3 +153,18 @@ def sql_replicate_values(replicates: int, per_rep: int = 1) -> str:
 
 def sql_lehmer_u(seed_expr: str, a_col: str) -> str:
     return f"(CAST((({seed_expr}) * {a_col}) % {LEHMER_M} AS DOUBLE) / CAST({LEHMER_M} AS DOUBLE))"
+
+
+def one_row(agg_df) -> dict:
+    """Collect a one-row aggregate (fitted statistics: a bounded result) as a dict.
+
+    Statistics used in several expressions are turned into literals this way: Spark does not
+    reuse a struct-valued scalar sub-query referenced through several fields, so each
+    reference would re-run the aggregate."""
+    rows = agg_df.limit(2).collect()
+    return rows[0].asDict(recursive=True) if rows else {}
+
+
+def dlit(v) -> Column:
+    """Double literal (null-safe)."""
+    return F.lit(None).cast("double") if v is None else F.lit(float(v))

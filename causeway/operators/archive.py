@@ -20,13 +20,14 @@ def twoway_fixed_effects(panel: DataFrame, unit: str, time: str, y: str, x: str,
         d = d.checkpoint(eager=True)
     um = d.groupBy("_u").agg(F.avg("_y").alias("_uy"), F.avg("_x").alias("_ux"))
     tm = d.groupBy("_t").agg(F.avg("_y").alias("_ty"), F.avg("_x").alias("_tx"))
-    gm = d.agg(F.struct(F.avg("_y").alias("y"), F.avg("_x").alias("x"))).scalar()
+    from ..functions.columns import dlit, one_row
+    gm = one_row(d.agg(F.avg("_y").alias("y"), F.avg("_x").alias("x")))
     j = d.join(um, "_u").join(tm, "_t")
-    yd = F.col("_y") - F.col("_uy") - F.col("_ty") + gm.getField("y")
-    xd = F.col("_x") - F.col("_ux") - F.col("_tx") + gm.getField("x")
+    yd = F.col("_y") - F.col("_uy") - F.col("_ty") + dlit(gm["y"])
+    xd = F.col("_x") - F.col("_ux") - F.col("_tx") + dlit(gm["x"])
     dm = j.select("_u", yd.alias("yd"), xd.alias("xd"))
-    beta = dm.agg((F.sum(F.col("xd") * F.col("yd")) / F.sum(F.col("xd") * F.col("xd"))).alias("b")).scalar()
-    sxx = dm.agg(F.sum(F.col("xd") * F.col("xd"))).scalar()
+    bs = one_row(dm.agg(F.sum(F.col("xd") * F.col("yd")).alias("sxy"), F.sum(F.col("xd") * F.col("xd")).alias("sxx")))
+    beta, sxx = dlit(bs["sxy"] / bs["sxx"]), dlit(bs["sxx"])
     score = dm.groupBy("_u").agg(F.sum(F.col("xd") * (F.col("yd") - beta * F.col("xd"))).alias("s"))
     g = score.agg(F.count(F.lit(1)).alias("G"), F.sum(F.col("s") * F.col("s")).alias("ss"))
     se = F.sqrt(F.col("ss") * F.col("G") / (F.col("G") - 1)) / sxx

@@ -38,9 +38,10 @@ def histogram(df: DataFrame, x: str, bins: int = 30, color: str | None = None) -
 
     Bounds are a scalar sub-query; counting is one partial aggregate.
     """
+    from ..functions.columns import dlit, one_row
     v = F.col(x).cast("double")
-    b = df.agg(F.struct(F.min(v).alias("lo"), F.max(v).alias("hi"))).scalar()
-    lo, hi = b.getField("lo"), b.getField("hi")
+    b = one_row(df.agg(F.min(v).alias("lo"), F.max(v).alias("hi")))
+    lo, hi = dlit(b.get("lo") or 0.0), dlit(b.get("hi") or 0.0)
     width = (hi - lo) / F.lit(float(bins))
     idx = F.when(hi == lo, F.lit(1)).otherwise(
         F.least(F.floor((v - lo) / (hi - lo) * F.lit(float(bins))) + 1, F.lit(bins)))
@@ -60,8 +61,9 @@ def box_stats(df: DataFrame, y: str, by: Sequence[str] = ()) -> DataFrame:
         q = q.select(*keys, F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
         j = base.join(q, keys)  # q has one row per group; AQE broadcasts it when small
     else:
-        qs = base.agg(pct).scalar()
-        j = base.select("_v", qs[0].alias("q1"), qs[1].alias("median"), qs[2].alias("q3"))
+        from ..functions.columns import dlit, one_row
+        qs = one_row(base.agg(pct.alias("q"))).get("q") or [None, None, None]
+        j = base.select("_v", dlit(qs[0]).alias("q1"), dlit(qs[1]).alias("median"), dlit(qs[2]).alias("q3"))
     lo = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))
     hi = F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))
     agg = j.groupBy(*keys, "q1", "median", "q3").agg(

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import uniform
+from ..functions.columns import dlit, one_row, uniform
 from .profile import NUMERIC, categorical_columns, numeric_columns
 
 # PRE1 ---------------------------------------------------------------------------------------------
@@ -57,8 +57,8 @@ def impute_numeric(df: DataFrame, cols: Sequence[str] | None = None, method: str
     fills = {}
     if method in ("Mean", "Median"):
         agg = F.avg if method == "Mean" else F.median
-        stats = df.agg(F.struct(*[agg(F.col(c).cast("double")).alias(f"s{i}") for i, c in enumerate(cols)])).scalar()
-        fills = {c: stats.getField(f"s{i}") for i, c in enumerate(cols)}
+        stats = one_row(df.agg(*[agg(F.col(c).cast("double")).alias(f"s{i}") for i, c in enumerate(cols)]))
+        fills = {c: dlit(stats[f"s{i}"]) for i, c in enumerate(cols)}
     elif method == "Zero":
         fills = {c: F.lit(0.0) for c in cols}
     elif method == "Custom":
@@ -74,8 +74,8 @@ def impute_categorical(df: DataFrame, cols: Sequence[str] | None = None, method:
     """Fill nulls of non-numeric columns with the Mode (smallest on ties), "Missing" or a Custom value."""
     cols = list(cols or [c for c in df.columns if not isinstance(df.schema[c].dataType, NUMERIC)])
     if method == "Mode":
-        stats = df.agg(F.struct(*[F.mode(F.col(c), True).alias(f"s{i}") for i, c in enumerate(cols)])).scalar()
-        fills = {c: stats.getField(f"s{i}") for i, c in enumerate(cols)}
+        stats = one_row(df.agg(*[F.mode(F.col(c), True).alias(f"s{i}") for i, c in enumerate(cols)]))
+        fills = {c: F.lit(stats[f"s{i}"]).cast(df.schema[c].dataType) for i, c in enumerate(cols)}
     elif method == "Missing":
         fills = {c: F.lit("Missing") for c in cols}
     elif method == "Custom":
@@ -91,31 +91,31 @@ def winsorize(df: DataFrame, cols: Sequence[str], p: float = 0.05) -> DataFrame:
     """Clip to [q(p), q(1-p)] (linear-interpolated quantiles), 0.01 <= p <= 0.25."""
     if not 0.01 <= p <= 0.25:
         raise ValueError("p must be within [0.01, 0.25]")
-    q = df.agg(F.struct(*[F.percentile(F.col(c).cast("double"), F.array(F.lit(p), F.lit(1 - p))).alias(f"q{i}")
-                          for i, c in enumerate(cols)])).scalar()
-    repl = {c: F.least(F.greatest(F.col(c).cast("double"), q.getField(f"q{i}")[0]), q.getField(f"q{i}")[1])
+    q = one_row(df.agg(*[F.percentile(F.col(c).cast("double"), F.array(F.lit(p), F.lit(1 - p))).alias(f"q{i}")
+                         for i, c in enumerate(cols)]))
+    repl = {c: F.least(F.greatest(F.col(c).cast("double"), dlit((q[f"q{i}"] or [None, None])[0])),
+                       dlit((q[f"q{i}"] or [None, None])[1]))
             for i, c in enumerate(cols)}
     return df.select(*[repl[c].alias(c) if c in repl else F.col(c) for c in df.columns])
 
 
 def log_transform(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """log1p of each column; a column holding any negative value is left unchanged."""
-    mins = df.agg(F.struct(*[F.min(F.col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(cols)])).scalar()
-    repl = {c: F.when(F.coalesce(mins.getField(f"m{i}"), F.lit(0.0)) >= 0, F.log1p(F.col(c).cast("double")))
-            .otherwise(F.col(c).cast("double")) for i, c in enumerate(cols)}
+    mins = one_row(df.agg(*[F.min(F.col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(cols)]))
+    repl = {c: (F.log1p(F.col(c).cast("double")) if (mins[f"m{i}"] is None or mins[f"m{i}"] >= 0)
+                else F.col(c).cast("double")) for i, c in enumerate(cols)}
     return df.select(*[repl[c].alias(c) if c in repl else F.col(c) for c in df.columns])
 
 
 def standardize(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """(x - mean) / std_pop; a zero-variance column is scaled by 1."""
-    s = df.agg(F.struct(*[F.struct(F.avg(F.col(c).cast("double")).alias("m"),
-                                   F.stddev_pop(F.col(c).cast("double")).alias("s")).alias(f"c{i}")
-                          for i, c in enumerate(cols)])).scalar()
+    s = one_row(df.agg(*[F.avg(F.col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(cols)],
+                       *[F.stddev_pop(F.col(c).cast("double")).alias(f"s{i}") for i, c in enumerate(cols)]))
     repl = {}
     for i, c in enumerate(cols):
-        st = s.getField(f"c{i}")
-        scale = F.when(st.getField("s") == 0, F.lit(1.0)).otherwise(st.getField("s"))
-        repl[c] = (F.col(c).cast("double") - st.getField("m")) / scale
+        sd = s[f"s{i}"]
+        scale = 1.0 if (sd is None or sd == 0) else sd
+        repl[c] = (F.col(c).cast("double") - dlit(s[f"m{i}"])) / F.lit(float(scale))
     return df.select(*[repl[c].alias(c) if c in repl else F.col(c) for c in df.columns])
 
 
@@ -144,18 +144,6 @@ def _fmt(x: float) -> str:
     return repr(float(x)) if not float(x).is_integer() else f"{float(x):.1f}"
 
 
-def _with_labels(edges_df: DataFrame, precision: int, include_lowest: bool) -> DataFrame:
-    """Attach interval labels to the one-row edges table (column ``e``) -> (e, l)."""
-    import pandas as pd
-
-    def fn(batches):
-        for pdf in batches:
-            labels = [None if e is None else interval_labels([float(v) for v in e], precision, include_lowest)
-                      for e in pdf["e"]]
-            yield pd.DataFrame({"e": pdf["e"], "l": labels})
-    return edges_df.select("e").mapInPandas(fn, "e array<double>, l array<string>")
-
-
 def equal_width_edges(lo: Column, hi: Column, n: int) -> Column:
     """pandas cut edges: linspace(min, max, n+1) with the first edge moved down by 0.1 % of the
     range; a constant column gets edges x -/+ 0.1 % of |x| (0.001 when x == 0)."""
@@ -179,9 +167,11 @@ def bucket_equal_width(df: DataFrame, col: str, n: int, new_col: str | None = No
     x = F.col(col).cast("double")
     st = df.agg(F.struct(F.min(x).alias("lo"), F.max(x).alias("hi")).alias("s")).select(
         equal_width_edges(F.col("s.lo"), F.col("s.hi"), n).alias("e"))
-    st = _with_labels(st, 1, False)
-    s = st.select(F.struct("e", "l")).scalar()
-    return _apply_edges(df, x, s.getField("e"), s.getField("l"), new_col, False, n + 1)
+    edges = one_row(st)["e"]  # n + 1 numbers
+    if edges is None:
+        return df.select("*", F.lit("nan").alias(new_col), F.lit(None).cast("int").alias(f"{new_col}_idx"))
+    labels = interval_labels([float(v) for v in edges], 1, False)
+    return _apply_edges(df, x, edges, labels, new_col, False)
 
 
 def bucket_quantile(df: DataFrame, col: str, n: int, new_col: str | None = None) -> DataFrame:
@@ -190,27 +180,31 @@ def bucket_quantile(df: DataFrame, col: str, n: int, new_col: str | None = None)
     new_col = new_col or f"{col}_binned"
     x = F.col(col).cast("double")
     probs = F.array(*[F.lit(i / n) for i in range(n + 1)])
-    st = df.agg(F.array_distinct(F.percentile(x, probs)).alias("e"))
-    st = st.select(F.array_sort("e").alias("e"))
-    st = _with_labels(st, 3, True)
-    s = st.select(F.struct("e", "l")).scalar()
-    return _apply_edges(df, x, s.getField("e"), s.getField("l"), new_col, True, n + 1)
+    st = df.agg(F.array_sort(F.array_distinct(F.percentile(x, probs))).alias("e"))
+    edges = one_row(st)["e"]  # at most n + 1 numbers
+    if not edges:
+        return df.select("*", F.lit("nan").alias(new_col), F.lit(None).cast("int").alias(f"{new_col}_idx"))
+    labels = interval_labels([float(v) for v in edges], 3, True) if len(edges) > 1 else []
+    return _apply_edges(df, x, edges, labels, new_col, True)
 
 
-def _apply_edges(df, x, edges, labels, new_col, include_lowest, n_edges):
+def _apply_edges(df, x, edges, labels, new_col, include_lowest):
     """bin = number of edges strictly below x (pandas searchsorted 'left'); with
-    ``include_lowest`` the first edge itself falls in bin 1.  The comparison is
-    unrolled over the (at most ``n_edges``) edges: plain codegen'd expressions."""
-    below = reduce(lambda a, b: a + b, [F.coalesce((F.get(edges, i) < x).cast("int"), F.lit(0))
-                                        for i in range(n_edges)])
-    last = F.element_at(edges, -1)
+    ``include_lowest`` the first edge itself falls in bin 1.  The fitted edges and labels are
+    literals; the comparison is unrolled over them (plain codegen'd expressions)."""
+    e = [F.lit(float(v)) for v in edges]
+    below = reduce(lambda a, b: a + b, [(ei < x).cast("int") for ei in e])
+    first, last = e[0], e[-1]
     if include_lowest:
-        bin_idx = (F.when(x.isNull() | (x < edges[0]) | (x > last), F.lit(None))
-                   .when(x == edges[0], F.lit(1)).otherwise(below))
+        bin_idx = (F.when(x.isNull() | (x < first) | (x > last), F.lit(None))
+                   .when(x == first, F.lit(1)).otherwise(below))
     else:
-        bin_idx = F.when(x.isNull() | (x <= edges[0]) | (x > last), F.lit(None)).otherwise(below)
+        bin_idx = F.when(x.isNull() | (x <= first) | (x > last), F.lit(None)).otherwise(below)
     bin_idx = bin_idx.cast("int")
-    label = F.coalesce(F.get(labels, bin_idx - 1), F.lit("nan"))
+    lab = F.lit(None).cast("string")
+    for k, text in enumerate(labels, start=1):
+        lab = F.when(bin_idx == k, F.lit(text)).otherwise(lab)
+    label = F.coalesce(lab, F.lit("nan"))
     return df.select("*", label.alias(new_col), bin_idx.alias(f"{new_col}_idx"))
 
 

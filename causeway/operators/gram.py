@@ -68,8 +68,9 @@ def moments(df: DataFrame, exprs: dict[str, Column | str], keys: Sequence[str] =
     elif shift:
         src = base if shift_from is None else shift_from.select(
             *[_as_col(e).cast("double").alias(f"_z{i}") for i, e in enumerate(exprs.values())])
-        means = src.agg(F.struct(*[F.avg(f"_z{i}").alias(f"m{i}") for i in range(m)]).alias("s")).scalar()
-        shifts = [F.coalesce(means.getField(f"m{i}"), F.lit(0.0)) for i in range(m)]
+        from ..functions.columns import dlit, one_row
+        means = one_row(src.agg(*[F.avg(f"_z{i}").alias(f"m{i}") for i in range(m)]))
+        shifts = [dlit(means.get(f"m{i}") or 0.0) for i in range(m)]
     else:
         shifts = [F.lit(0.0) for _ in range(m)]
     z = [F.col(f"_z{i}") - shifts[i] for i in range(m)]

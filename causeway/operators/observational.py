@@ -265,11 +265,13 @@ def crossfit_saturated(df: DataFrame, treatment: str, outcome: str, cells: Seque
     fc = df.groupBy("_fold", *cells).agg(F.sum(y).alias("_sy"), F.sum(t).alias("_st"), F.count(F.lit(1)).alias("_n"))
     tot = df.groupBy(*cells).agg(F.sum(y).alias("_ty"), F.sum(t).alias("_tt"), F.count(F.lit(1)).alias("_tn"))
     fold_tot = df.groupBy("_fold").agg(F.sum(y).alias("_fy"), F.sum(t).alias("_ft"), F.count(F.lit(1)).alias("_fn"))
-    all_tot = df.agg(F.struct(F.sum(y).alias("y"), F.sum(t).alias("t"), F.count(F.lit(1)).alias("n"))).scalar()
+    from ..functions.columns import dlit, one_row
+    tot_row = one_row(df.agg(F.sum(y).alias("y"), F.sum(t).alias("t"), F.count(F.lit(1)).alias("n")))
+    all_y, all_t, all_n = dlit(tot_row["y"]), dlit(tot_row["t"]), dlit(tot_row["n"])
     j = fc.join(tot, list(cells)).join(F.broadcast(fold_tot), "_fold")
     n_other = F.col("_tn") - F.col("_n")
-    gm_y = (all_tot.getField("y") - F.col("_fy")) / (all_tot.getField("n") - F.col("_fn"))
-    gm_t = (all_tot.getField("t") - F.col("_ft")) / (all_tot.getField("n") - F.col("_fn"))
+    gm_y = (all_y - F.col("_fy")) / (all_n - F.col("_fn"))
+    gm_t = (all_t - F.col("_ft")) / (all_n - F.col("_fn"))
     nuis = j.select("_fold", *cells,
                     F.when(n_other > 0, (F.col("_ty") - F.col("_sy")) / n_other).otherwise(gm_y).alias("_m"),
                     F.when(n_other > 0, (F.col("_tt") - F.col("_st")) / n_other).otherwise(gm_t).alias("_e"))
@@ -344,11 +346,12 @@ def linear_dml(df: DataFrame, treatment: str, outcome: str, confounders: Sequenc
         r = crossfit_rf(d, treatment, outcome, confounders, k, binary_outcome, seed, trees)
     else:
         raise ValueError(nuisance)
-    means = r.agg(F.struct(*[F.avg(F.col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(modifiers)])).scalar() \
-        if modifiers else None
+    from ..functions.columns import dlit, one_row
+    means = one_row(r.agg(*[F.avg(F.col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(modifiers)])) \
+        if modifiers else {}
     yt = F.col(outcome).cast("double") - F.col("_m")
     tt = F.col(treatment).cast("double") - F.col("_e")
-    z = [tt] + [tt * (F.col(c).cast("double") - means.getField(f"m{i}")) for i, c in enumerate(modifiers)]
+    z = [tt] + [tt * (F.col(c).cast("double") - dlit(means[f"m{i}"])) for i, c in enumerate(modifiers)]
     res = r.select(*[zi.alias(f"_z{i}") for i, zi in enumerate(z)], yt.alias("_yt")).persist()
     p = len(z)
     aggs = [F.count(F.lit(1)).alias("n"), F.sum(F.col("_yt") * F.col("_yt")).alias("yy")]

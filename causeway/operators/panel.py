@@ -177,8 +177,9 @@ def zero_fill(panel: DataFrame, unit: str, date: str, values: Sequence[str], ste
     """Balance a panel: every unit gets every period between the global first and last date
     (per-unit ``explode(sequence)`` over scalar-subquery bounds, no cross join); missing
     cells are 0 (sum semantics of a pivot over existing groups)."""
-    b = panel.agg(F.struct(F.min(date).alias("lo"), F.max(date).alias("hi"))).scalar()
+    from ..functions.columns import one_row
+    b = one_row(panel.agg(F.min(date).alias("lo"), F.max(date).alias("hi")))
     units = panel.select(unit).distinct()
-    spine = units.select(unit, F.explode(F.sequence(b.getField("lo"), b.getField("hi"),
+    spine = units.select(unit, F.explode(F.sequence(F.lit(b["lo"]), F.lit(b["hi"]),
                                                     F.expr(f"INTERVAL 1 {step}"))).alias(date))
     return spine.join(panel, [unit, date], "left").fillna(0, subset=list(values))

@@ -21,10 +21,11 @@ def _summary(per: DataFrame, original) -> DataFrame:
     replicate distribution, passed = p > 0.05."""
     s = per.agg(F.avg("estimate").alias("new_effect"), F.stddev_samp("estimate").alias("new_sd"),
                 F.count(F.lit(1)).cast("long").alias("replicates"))
-    z = F.abs(original - F.col("new_effect")) / F.col("new_sd")
-    # two-sided normal tail: 2 * (1 - Phi(z)) = erfc(z / sqrt 2), erfc via the survival of a
-    # standard normal computed in Arrow batches
-    out = s.select(original.alias("original_effect"), "new_effect", "new_sd", "replicates", z.alias("_z"))
+    # ``original`` (a sub-query) is referenced once, then used by name
+    out = s.select(original.alias("original_effect"), "new_effect", "new_sd", "replicates")
+    z = F.abs(F.col("original_effect") - F.col("new_effect")) / F.col("new_sd")
+    # two-sided normal tail 2 * (1 - Phi(z)), computed in Arrow batches
+    out = out.select("*", z.alias("_z"))
     import pandas as pd
     from statistics import NormalDist
     nd = NormalDist()
