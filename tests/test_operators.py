@@ -93,3 +93,19 @@ def test_placebo_near_zero(spark):
     per, s = refute.placebo_treatment(o, "t", "o_totalprice", [], "o_orderkey", replicates=10, rows_per_bucket=4000)
     row = s.collect()[0]
     assert abs(row["new_effect"]) < 3 * row["new_sd"] + 1e-9 and row["replicates"] == 10
+
+
+def test_distinct_shape_matches_exact_nunique(spark):
+    df = spark.createDataFrame(
+        [(1, "a", None, 5.0), (2, "b", None, 5.0), (1, None, None, 5.0), (3, "a", None, 5.0)],
+        "k int, s string, n double, c double")
+    shape = {r["column_name"]: r["n_distinct_small"] for r in P.distinct_shape(df).collect()}
+    assert shape == {"k": 3, "s": 2, "n": 0, "c": 1}
+    assert [r["column_name"] for r in P.binary_columns(df).collect()] == ["s"]
+
+
+def test_readiness_rules_on_driver_table(spark):
+    o = spark.read.parquet(f"{SF}/orders.parquet")
+    r = {row["category"]: row["status"] for row in P.readiness(o).collect()}
+    assert r["Universal (Base)"] == "green" and r["Bayesian Time Series (CausalImpact)"] == "green"
+    assert r["Propensity Scores (PSM/IPTW)"] == "red"  # no column with exactly two values
