@@ -168,3 +168,27 @@ def one_row(agg_df) -> dict:
 def dlit(v) -> Column:
     """Double literal (null-safe)."""
     return F.lit(None).cast("double") if v is None else F.lit(float(v))
+
+
+# Quantiles --------------------------------------------------------------------------------------
+QUANTILE_EXACT_LIMIT = 5_000_000  # distinct values an exact percentile buffer may hold
+QUANTILE_ACCURACY = 100_000       # percentile_approx accuracy beyond it (rank error 1e-5)
+
+
+def exact_quantile_ok(df, cols, limit: int = QUANTILE_EXACT_LIMIT) -> dict:
+    """Per column: may the exact ``percentile`` run?  Its buffer is a value -> count map merged
+    in one task for an ungrouped aggregate, so it is used only while the HyperLogLog distinct
+    estimate stays under ``limit``; otherwise ``percentile_approx`` is the large-scale path."""
+    if not cols:
+        return {}
+    est = one_row(df.agg(*[F.approx_count_distinct(F.col(c), 0.05).alias(f"a{i}") for i, c in enumerate(cols)]))
+    return {c: (est[f"a{i}"] or 0) <= limit for i, c in enumerate(cols)}
+
+
+def quantiles(x: Column, probs, exact: bool = True) -> Column:
+    """Array of quantiles: exact linear interpolation (= numpy / DuckDB quantile_cont) or
+    ``percentile_approx`` at ``QUANTILE_ACCURACY``."""
+    probs = [float(p) for p in probs]
+    if exact:
+        return F.percentile(x, F.array(*[F.lit(p) for p in probs]))
+    return F.percentile_approx(x, probs, QUANTILE_ACCURACY).cast("array<double>")

@@ -16,14 +16,22 @@ _AGGS = {
 
 def group_aggregate(df: DataFrame, x: str, ys: Sequence[str], how: str = "Mean", color: str | None = None,
                     facet: str | None = None) -> DataFrame:
-    """AGG1/AGG3: group by x [+ color] [+ facet] and aggregate every y (null keys dropped, as pandas)."""
+    """AGG1/AGG3: group by x [+ color] [+ facet] and aggregate every y (null keys dropped, as pandas).
+    Median is exact while the column's distinct count is bounded (see ``exact_quantile_ok``)."""
     keys = [k for k in (facet, x, color) if k]
-    fn = _AGGS[how]
-    base = df
+    if how == "Median":
+        from ..functions.columns import exact_quantile_ok, quantiles
+        ex = exact_quantile_ok(df, list(ys))
+        aggs = [quantiles(F.col(y).cast("double"), [0.5], ex[y])[0].alias(y) for y in ys]
+    else:
+        aggs = [_AGGS[how](F.col(y)).alias(y) for y in ys]
+    return _filter_keys(df, keys).groupBy(*keys).agg(*aggs).orderBy(*keys)
+
+
+def _filter_keys(d: DataFrame, keys) -> DataFrame:
     for k in keys:
-        base = base.filter(F.col(k).isNotNull())
-    out = base.groupBy(*keys).agg(*[fn(F.col(y)).alias(y) for y in ys])
-    return out.orderBy(*keys)
+        d = d.filter(F.col(k).isNotNull())
+    return d
 
 
 def collapse_duplicate_x(df: DataFrame, x: str, ys: Sequence[str]) -> DataFrame:
@@ -52,10 +60,11 @@ def histogram(df: DataFrame, x: str, bins: int = 30, color: str | None = None) -
 
 def box_stats(df: DataFrame, y: str, by: Sequence[str] = ()) -> DataFrame:
     """AGG5: q1, median, q3, whiskers (most extreme points within 1.5 IQR), outlier count per group."""
+    from ..functions.columns import exact_quantile_ok, quantiles
     v = F.col(y).cast("double")
     keys = list(by)
     base = df.filter(v.isNotNull()).select(*keys, v.alias("_v"))
-    pct = F.percentile("_v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    pct = quantiles(F.col("_v"), [0.25, 0.5, 0.75], exact_quantile_ok(df, [y])[y])
     if keys:
         q = base.groupBy(*keys).agg(pct.alias("q"))
         q = q.select(*keys, F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import dlit, one_row, uniform
+from ..functions.columns import dlit, exact_quantile_ok, one_row, quantiles, uniform
 from .profile import NUMERIC, categorical_columns, numeric_columns
 
 # PRE1 ---------------------------------------------------------------------------------------------
@@ -56,8 +56,13 @@ def impute_numeric(df: DataFrame, cols: Sequence[str] | None = None, method: str
     cols = list(cols or numeric_columns(df))
     fills = {}
     if method in ("Mean", "Median"):
-        agg = F.avg if method == "Mean" else F.median
-        stats = one_row(df.agg(*[agg(F.col(c).cast("double")).alias(f"s{i}") for i, c in enumerate(cols)]))
+        if method == "Mean":
+            stats = one_row(df.agg(*[F.avg(F.col(c).cast("double")).alias(f"s{i}") for i, c in enumerate(cols)]))
+        else:
+            ex = exact_quantile_ok(df, cols)
+            q = one_row(df.agg(*[quantiles(F.col(c).cast("double"), [0.5], ex[c]).alias(f"s{i}")
+                                 for i, c in enumerate(cols)]))
+            stats = {k: (v[0] if v else None) for k, v in q.items()}
         fills = {c: dlit(stats[f"s{i}"]) for i, c in enumerate(cols)}
     elif method == "Zero":
         fills = {c: F.lit(0.0) for c in cols}
@@ -91,7 +96,8 @@ def winsorize(df: DataFrame, cols: Sequence[str], p: float = 0.05) -> DataFrame:
     """Clip to [q(p), q(1-p)] (linear-interpolated quantiles), 0.01 <= p <= 0.25."""
     if not 0.01 <= p <= 0.25:
         raise ValueError("p must be within [0.01, 0.25]")
-    q = one_row(df.agg(*[F.percentile(F.col(c).cast("double"), F.array(F.lit(p), F.lit(1 - p))).alias(f"q{i}")
+    ex = exact_quantile_ok(df, list(cols))
+    q = one_row(df.agg(*[quantiles(F.col(c).cast("double"), [p, 1 - p], ex[c]).alias(f"q{i}")
                          for i, c in enumerate(cols)]))
     repl = {c: F.least(F.greatest(F.col(c).cast("double"), dlit((q[f"q{i}"] or [None, None])[0])),
                        dlit((q[f"q{i}"] or [None, None])[1]))
@@ -179,8 +185,9 @@ def bucket_quantile(df: DataFrame, col: str, n: int, new_col: str | None = None)
     included); duplicate edges dropped, ties never split."""
     new_col = new_col or f"{col}_binned"
     x = F.col(col).cast("double")
-    probs = F.array(*[F.lit(i / n) for i in range(n + 1)])
-    st = df.agg(F.array_sort(F.array_distinct(F.percentile(x, probs))).alias("e"))
+    probs = [i / n for i in range(n + 1)]
+    ex = exact_quantile_ok(df, [col])[col]
+    st = df.agg(F.array_sort(F.array_distinct(quantiles(x, probs, ex))).alias("e"))
     edges = one_row(st)["e"]  # at most n + 1 numbers
     if not edges:
         return df.select("*", F.lit("nan").alias(new_col), F.lit(None).cast("int").alias(f"{new_col}_idx"))
