@@ -26,9 +26,42 @@ def _inv_gamma(rng, shape, scale):
     return scale / rng.gamma(shape)
 
 
+def _ffbs_level(y, q, H, a0, p0, rng):
+    """Scalar forward filter / backward sample for the local level y_t = a_t + e_t,
+    a_{t+1} = a_t + n_t (the default model; plain float arithmetic)."""
+    n = len(y)
+    af = np.empty(n)
+    pf = np.empty(n)
+    a, P = float(a0), float(p0)
+    for t in range(n):
+        F_ = P + H
+        K = P / F_
+        a = a + K * (y[t] - a)
+        P = P - K * P
+        af[t], pf[t] = a, P
+        P = P + q
+    z = rng.standard_normal(n)
+    out = np.empty(n)
+    out[-1] = af[-1] + math.sqrt(max(pf[-1], 0.0)) * z[-1]
+    for t in range(n - 2, -1, -1):
+        pp = pf[t] + q
+        J = pf[t] / pp
+        m = af[t] + J * (out[t + 1] - af[t])
+        v = pf[t] - J * pf[t]
+        out[t] = m + math.sqrt(max(v, 0.0)) * z[t]
+    return out.reshape(-1, 1)
+
+
+def _mvn(rng, mean, cov):
+    L = np.linalg.cholesky(_sym(cov) + 1e-12 * np.eye(len(mean)))
+    return mean + L @ rng.standard_normal(len(mean))
+
+
 def _ffbs(y, Tm, Q, H, a0, P0, rng):
     """Forward filter, backward sample for y_t = Z a_t + e_t, a_{t+1} = Tm a_t + n_t."""
     n, d = len(y), Tm.shape[0]
+    if d == 1:
+        return _ffbs_level(y, float(Q[0, 0]), H, a0[0], P0[0, 0], rng)
     Z = np.zeros(d)
     Z[0] = 1.0
     af = np.empty((n, d))
@@ -44,13 +77,13 @@ def _ffbs(y, Tm, Q, H, a0, P0, rng):
         a = Tm @ a
         P = Tm @ P @ Tm.T + Q
     states = np.empty((n, d))
-    states[-1] = rng.multivariate_normal(af[-1], _sym(Pf[-1]))
+    states[-1] = _mvn(rng, af[-1], Pf[-1])
     for t in range(n - 2, -1, -1):
         Pp = Tm @ Pf[t] @ Tm.T + Q
-        J = Pf[t] @ Tm.T @ np.linalg.pinv(Pp)
+        J = Pf[t] @ Tm.T @ np.linalg.inv(Pp)
         mean = af[t] + J @ (states[t + 1] - Tm @ af[t])
         cov = Pf[t] - J @ Tm @ Pf[t]
-        states[t] = rng.multivariate_normal(mean, _sym(cov))
+        states[t] = _mvn(rng, mean, cov)
     return states
 
 
@@ -104,14 +137,16 @@ def bsts_draws(y: np.ndarray, X: np.ndarray | None, n_pre: int, niter: int = 100
             prec = Xp.T @ Xp / s2_obs + np.eye(k) / 100.0
             cov = np.linalg.inv(prec)
             mean = cov @ (Xp.T @ (zp - lvl) / s2_obs)
-            beta = rng.multivariate_normal(mean, _sym(cov))
+            beta = _mvn(rng, mean, cov)
         if it >= burn:
-            a = st[-1].copy()
-            path = np.empty(n_post)
-            for h in range(n_post):
-                a = Tm @ a + rng.normal(0, math.sqrt(s2_lvl)) * np.eye(d)[0] + (
-                    np.array([0.0, rng.normal(0, math.sqrt(s2_slp))]) if trend else 0.0)
-                path[h] = a[0] + rng.normal(0, math.sqrt(s2_obs))
+            lvl_noise = rng.normal(0, math.sqrt(s2_lvl), n_post)
+            obs_noise = rng.normal(0, math.sqrt(s2_obs), n_post)
+            if trend:
+                slope = st[-1, 1] + np.cumsum(rng.normal(0, math.sqrt(s2_slp), n_post))
+                level = st[-1, 0] + np.cumsum(np.concatenate([[st[-1, 1]], slope[:-1]]) + lvl_noise)
+            else:
+                level = st[-1, 0] + np.cumsum(lvl_noise)
+            path = level + obs_noise
             if k:
                 path = path + Xs[n_pre:] @ beta
             out[it - burn] = path * sd_y + mu_y

@@ -152,7 +152,7 @@ def _bsts_input(spark, sf_dir):
 def qx4_bsts_impact(spark, sf_dir):
     """QX4/QX5 structural time-series impact of 'purchase' (local level + control-mean regressor)."""
     s = _bsts_input(spark, sf_dir).filter(F.col("unit") == "purchase")
-    draws = B.bsts_impact_draws(s, START_V4, ["x_controls"], chains=1, niter=300, burn=100)
+    draws = B.bsts_impact_draws(s, START_V4, ["x_controls"], chains=1, niter=1000, burn=100)
     return B.impact_summary(draws, s)
 
 
@@ -160,7 +160,7 @@ def qx4_bsts_impact(spark, sf_dir):
 def qx4_bsts_all_units(spark, sf_dir):
     """QX4 as an all-units placebo job: one sampler task per (unit, chain)."""
     s = _bsts_input(spark, sf_dir)
-    draws = B.bsts_impact_draws(s, START_V4, ["x_controls"], chains=2, niter=200, burn=50)
+    draws = B.bsts_impact_draws(s, START_V4, ["x_controls"], chains=2, niter=1000, burn=100)
     return B.impact_summary(draws, s)
 
 
@@ -169,7 +169,7 @@ def _bayes_sc(spark, sf_dir, direction="two-sided"):
     panel, p0, p1, T_ = S.prepare_panel(p, "date", "unit", "y", START_V5, duration=12, fixed_effects=False)
     gram = S.donor_gram(panel.filter(F.col("idx") < p0))
     post = panel.filter((F.col("idx") >= p0) & (F.col("idx") <= p1))
-    draws = B.bayes_sc_draws(gram, post, ["NATION_0"], chains=2, tune=300, draws=300, n_pre=p0, thin=3)
+    draws = B.bayes_sc_draws(gram, post, ["NATION_0"], chains=4, tune=1000, draws=1000, n_pre=p0, thin=4)
     return B.draw_summary(draws, post, direction=direction)
 
 
@@ -193,8 +193,8 @@ def qx20_method_comparison(spark, sf_dir):
     sc = S.synth_impact(d, "date", "unit", "y", ["purchase"], START_V4, duration=7, grid=50)["impact"]
     sr = S.synth_impact(d, "date", "unit", "y", ["purchase"], START_V4, duration=7, grid=50, model="ridge")["impact"]
     s = _bsts_input(spark, sf_dir).filter(F.col("unit") == "purchase")
-    b1 = B.impact_summary(B.bsts_impact_draws(s, START_V4, ["x_controls"], niter=200, burn=50), s)
-    b0 = B.impact_summary(B.bsts_impact_draws(s, START_V4, [], niter=200, burn=50), s)
+    b1 = B.impact_summary(B.bsts_impact_draws(s, START_V4, ["x_controls"], niter=1000, burn=100), s)
+    b0 = B.impact_summary(B.bsts_impact_draws(s, START_V4, [], niter=1000, burn=100), s)
     keep = ["method", "unit", "ate", "ate_lower", "ate_upper", "cum", "cum_lower", "cum_upper", "rel", "p_value"]
     return S.method_comparison([sc.select(*keep), sr.select(*keep), b1.select(*keep), b0.select(*keep)],
                                ["SC", "SC + ridge", "BSTS + covariates", "BSTS"])
