@@ -43,20 +43,6 @@ def uniform(*parts: Column | str) -> Column:
     return F.conv(h, 16, 10).cast("double") / F.lit(TWO32)
 
 
-def uniform_pair(*parts: Column | str) -> tuple[Column, Column]:
-    """Two independent U[0,1) from one md5: hex digits 1-8 and 9-16."""
-    h = F.md5(_key(*parts))
-    return (F.conv(F.substring(h, 1, 8), 16, 10).cast("double") / F.lit(TWO32),
-            F.conv(F.substring(h, 9, 8), 16, 10).cast("double") / F.lit(TWO32))
-
-
-def sql_uniform_pair(*parts: str) -> tuple[str, str]:
-    inner = ", ".join(f"CAST({p} AS VARCHAR)" for p in parts)
-    h = f"md5(concat_ws('|', {inner}))"
-    return (f"(CAST(('0x' || substr({h}, 1, 8)) AS BIGINT) / 4294967296.0)",
-            f"(CAST(('0x' || substr({h}, 9, 8)) AS BIGINT) / 4294967296.0)")
-
-
 def sql_uniform(*parts: str) -> str:
     inner = ", ".join(f"CAST({p} AS VARCHAR)" for p in parts)
     return f"(CAST(('0x' || substr(md5(concat_ws('|', {inner})), 1, 8)) AS BIGINT) / 4294967296.0)"

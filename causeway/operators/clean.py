@@ -138,8 +138,17 @@ def _round_frac(x: float, precision: int) -> float:
     return round(x, digits)
 
 
+def _infer_precision(base: int, edges: list[float]) -> int:
+    """Smallest precision >= base at which the rounded edges stay distinct (as pandas does)."""
+    for p in range(base, 20):
+        if len({_round_frac(e, p) for e in edges}) == len(edges):
+            return p
+    return base
+
+
 def interval_labels(edges: list[float], precision: int, include_lowest: bool) -> list[str]:
     """Right-closed interval labels "(a, b]" formatted like pandas cut/qcut."""
+    precision = _infer_precision(precision, edges)
     br = [_round_frac(e, precision) for e in edges]
     if include_lowest:
         br[0] = br[0] - 10 ** (-precision)

@@ -100,9 +100,6 @@ def placebo_treatment(df: DataFrame, treatment: str, outcome: str, confounders:
     return per, _summary(per, original)
 
 
-UNSUPPORTED = {"did", "logit"}
-
-
 def refutation_supported(method: str, binary_outcome_logit: bool = False) -> str | None:
     """REF3: refutation is not offered for DiD or logit-outcome models; returns the reason or None."""
     if method.lower().startswith("did") or "difference" in method.lower():

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.columns import (poisson1_cdf, rnd, sql_lehmer_u, sql_poisson1, sql_replicate_values, sql_rnd,
+from ..functions.columns import (rnd, sql_lehmer_u, sql_poisson1, sql_replicate_values, sql_rnd,
                                  sql_row_seed, sql_uniform)
 from ..operators import hte, observational as O, refute
 from ..operators.regression import logit_effect, ols_effect
@@ -416,7 +416,6 @@ def arc2_ab_test(spark, sf_dir):
     return _welch_cols(O.ab_test(o, "o_orderpriority", "o_totalprice", "1-URGENT", "5-LOW"))
 
 
-__all__ = ["poisson1_cdf"]
 
 
 @query("est11_iptw_by_quarter", sql=f"""WITH {SQL_V1},
