@@ -472,3 +472,43 @@ def snk2_scored_roundtrip(spark, sf_dir):
                           shared_path(spark, "snk2"))
     back = IO.read_parquet(spark, path)
     return back.select("l_orderkey", "l_linenumber", "l_partkey", rnd("Estimated_ITE", 4).alias("Estimated_ITE"))
+
+
+@query("est11_dml_by_quarter", sql=f"""WITH {SQL_V1R},
+f AS (SELECT *, CAST(date_trunc('quarter', l_shipdate) AS DATE) AS period,
+  CAST(floor({_FOLD} * 3) AS INTEGER) AS fold FROM v1r),
+fc AS (SELECT fold, period, l_linestatus, l_linenumber, sum(l_extendedprice) AS sy, sum(treated) AS st, count(*) AS n
+  FROM f GROUP BY 1, 2, 3, 4),
+tc AS (SELECT period, l_linestatus, l_linenumber, sum(sy) AS tot_y, sum(st) AS tot_t, sum(n) AS tot_n FROM fc GROUP BY 1, 2, 3),
+ft AS (SELECT fold, sum(sy) AS fy, sum(st) AS fts, sum(n) AS fn FROM fc GROUP BY 1),
+al AS (SELECT sum(sy) AS all_y, sum(st) AS all_t, sum(n) AS all_n FROM fc),
+nu AS (SELECT fc.fold, fc.period, fc.l_linestatus, fc.l_linenumber,
+  CASE WHEN tot_n - n > 0 THEN (tot_y - sy) / (tot_n - n) ELSE (all_y - fy) / (all_n - fn) END AS m,
+  CASE WHEN tot_n - n > 0 THEN (tot_t - st) / (tot_n - n) ELSE (all_t - fts) / (all_n - fn) END AS e
+  FROM fc JOIN tc ON fc.period = tc.period AND fc.l_linestatus = tc.l_linestatus AND fc.l_linenumber = tc.l_linenumber
+  JOIN ft ON fc.fold = ft.fold, al),
+r AS (SELECT f.period, l_extendedprice - m AS yt, treated - e AS tt FROM f JOIN nu ON f.fold = nu.fold
+  AND f.period = nu.period AND f.l_linestatus = nu.l_linestatus AND f.l_linenumber = nu.l_linenumber),
+th AS (SELECT period, sum(tt * yt) / sum(tt * tt) AS theta, sum(tt * tt) AS stt, count(*) AS n FROM r GROUP BY period),
+se AS (SELECT th.period, theta, n, sqrt(sum(tt * tt * (yt - theta * tt) * (yt - theta * tt)) / (stt * stt) * n / (n - 1)) AS se
+  FROM r JOIN th ON r.period = th.period GROUP BY th.period, theta, stt, n)
+SELECT period, {sql_rnd('theta', 4)} AS ATE, {sql_rnd('se', 4)} AS std_error, CAST(n AS BIGINT) AS n FROM se WHERE n >= 20""")
+def est11_dml_by_quarter(spark, sf_dir):
+    """EST11 with LinearDML (saturated nuisances) for every quarter in one job."""
+    v = _v1(spark, sf_dir).withColumn("period", F.to_date(F.date_trunc("quarter", "l_shipdate")))
+    e = O.dml_by_period(v, "treated", "l_extendedprice", CELLS, "period", "rid")
+    return e.select("period", rnd("ATE", 4).alias("ATE"), rnd("std_error", 4).alias("std_error"), "n")
+
+
+@query("est11_tlearner_by_quarter", sql=f"""WITH {SQL_V1},
+p AS (SELECT CAST(date_trunc('quarter', l_shipdate) AS DATE) AS period, * FROM v1),
+cm AS (SELECT period, l_linestatus, l_linenumber, avg(CASE WHEN treated = 1 THEN l_extendedprice END)
+  - avg(CASE WHEN treated = 0 THEN l_extendedprice END) AS ite FROM p GROUP BY 1, 2, 3),
+sc AS (SELECT p.period, cm.ite FROM p JOIN cm ON p.period = cm.period AND p.l_linestatus = cm.l_linestatus
+  AND p.l_linenumber = cm.l_linenumber WHERE cm.ite IS NOT NULL)
+SELECT period, {sql_rnd('avg(ite)', 4)} AS ATE, count(*) AS n FROM sc GROUP BY period HAVING count(*) >= 20""")
+def est11_tlearner_by_quarter(spark, sf_dir):
+    """EST11 with the saturated T-learner for every quarter in one job."""
+    v = _v1(spark, sf_dir).withColumn("period", F.to_date(F.date_trunc("quarter", "l_shipdate")))
+    e = O.tlearner_by_period(v, "treated", "l_extendedprice", CELLS, "period")
+    return e.select("period", rnd("ATE", 4).alias("ATE"), "n")
