@@ -512,3 +512,29 @@ def est11_tlearner_by_quarter(spark, sf_dir):
     v = _v1(spark, sf_dir).withColumn("period", F.to_date(F.date_trunc("quarter", "l_shipdate")))
     e = O.tlearner_by_period(v, "treated", "l_extendedprice", CELLS, "period")
     return e.select("period", rnd("ATE", 4).alias("ATE"), "n")
+
+
+_W1 = sql_poisson1(sql_lehmer_u("s", "c.a0"))
+
+
+@query("est12_bootstrap_gformula", sql=f"""WITH {SQL_V1R},
+c AS {sql_replicate_values(_B, 1)},
+w AS (SELECT c.rep, l_linestatus, l_linenumber, treated AS t, l_extendedprice AS y, {_W1} AS w
+  FROM (SELECT *, {sql_row_seed("rid", "42")} AS s FROM v1r) x, c),
+cw AS (SELECT rep, l_linestatus, l_linenumber, sum(CASE WHEN t = 1 THEN w ELSE 0 END) AS w1,
+  sum(CASE WHEN t = 0 THEN w ELSE 0 END) AS w0, sum(CASE WHEN t = 1 THEN w * y ELSE 0.0 END) AS wy1,
+  sum(CASE WHEN t = 0 THEN w * y ELSE 0.0 END) AS wy0 FROM w GROUP BY 1, 2, 3),
+e AS (SELECT rep, sum(CASE WHEN w1 > 0 AND w0 > 0 THEN (wy1 / w1 - wy0 / w0) * (w1 + w0) END)
+  / sum(CASE WHEN w1 > 0 AND w0 > 0 THEN w1 + w0 END) AS est FROM cw GROUP BY rep),
+cm AS (SELECT l_linestatus, l_linenumber, count(*) AS n, avg(CASE WHEN treated = 1 THEN l_extendedprice END) AS mu1,
+  avg(CASE WHEN treated = 0 THEN l_extendedprice END) AS mu0, count(*) FILTER (WHERE treated = 1) AS n1,
+  count(*) FILTER (WHERE treated = 0) AS n0 FROM v1 GROUP BY 1, 2),
+pt AS (SELECT sum(CASE WHEN n1 > 0 AND n0 > 0 THEN (mu1 - mu0) * n END) / sum(CASE WHEN n1 > 0 AND n0 > 0 THEN n END) AS p FROM cm)
+SELECT {sql_rnd('(SELECT p FROM pt)', 4)} AS estimate, {sql_rnd('avg(est)', 4)} AS boot_mean,
+  {sql_rnd('stddev_samp(est)', 4)} AS boot_se, {sql_rnd('quantile_cont(est, 0.025)', 4)} AS ci_lower,
+  {sql_rnd('quantile_cont(est, 0.975)', 4)} AS ci_upper, count(*) AS replicates_ok FROM e""")
+def est12_bootstrap_gformula(spark, sf_dir):
+    """EST12 Poisson bootstrap (B=50) of the saturated g-formula / IPTW effect, one job."""
+    b = O.bootstrap_standardization(_v1(spark, sf_dir), "treated", "l_extendedprice", CELLS, "rid", replicates=_B)
+    return b.select(*[rnd(c, 4).alias(c) for c in ("estimate", "boot_mean", "boot_se", "ci_lower", "ci_upper")],
+                    "replicates_ok")
