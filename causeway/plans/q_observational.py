@@ -189,7 +189,7 @@ _FEATS = ["l_quantity", "l_tax", "l_linenumber"]
 @query("hte2_univariate_scan", sql=f"""WITH {_ITE}
 """ + "\nUNION ALL\n".join(
     f"""SELECT '{f}' AS feature, {sql_rnd(f'regr_slope(ite, {f})', 6)} AS slope, {sql_rnd(f'regr_r2(ite, {f})', 6)} AS r2,
-  regr_count(ite, {f}) AS n FROM sc""" for f in _FEATS))
+  CAST(regr_count(ite, {f}) AS BIGINT) AS n FROM sc""" for f in _FEATS))
 def hte2_univariate_scan(spark, sf_dir):
     """HTE2 ITE ~ feature scan (slope, r^2, n; p-values unit-tested)."""
     s = O.t_learner_saturated(_v1(spark, sf_dir), "treated", "l_extendedprice", CELLS)
