@@ -10,7 +10,7 @@ from ..functions.columns import (rnd, sql_lehmer_u, sql_poisson1, sql_replicate_
 from ..operators import hte, observational as O, refute
 from ..operators.regression import logit_effect, ols_effect
 from .registry import query
-from .views import SQL_V1, table, v1_lineitem
+from .views import SQL_V1, SQL_V3, table, v1_lineitem
 
 CELLS = ["l_linestatus", "l_linenumber"]
 
@@ -446,12 +446,17 @@ def est6_psm_logistic(spark, sf_dir):
     return O.psm(p, "treated", "l_extendedprice")
 
 
-@query("ref3_unsupported_did")
+@query("ref3_unsupported_did", sql=f"""WITH {SQL_V3},
+c AS (SELECT treated AS t, post AS p, avg(o_totalprice) AS m FROM v3 GROUP BY 1, 2)
+SELECT 'DiD (OLS)' AS method, 'random_common_cause' AS refuter,
+  {sql_rnd("max(CASE WHEN t=1 AND p=1 THEN m END) - max(CASE WHEN t=1 AND p=0 THEN m END) - max(CASE WHEN t=0 AND p=1 THEN m END) + max(CASE WHEN t=0 AND p=0 THEN m END)", 4)} AS original_effect,
+  'Refutation is not available for Difference-in-Differences' AS error FROM c""")
 def ref3_unsupported_did(spark, sf_dir):
     """REF3 the refutation dispatcher refuses DiD: original estimate plus the reason."""
     from .views import v3_did
-    return refute.refute_effect(v3_did(spark, sf_dir), "treated", "o_totalprice", [], "o_orderkey",
-                                method="DiD (OLS)", post="post")
+    r = refute.refute_effect(v3_did(spark, sf_dir), "treated", "o_totalprice", [], "o_orderkey",
+                             method="DiD (OLS)", post="post")
+    return r.select("method", "refuter", rnd("original_effect", 4).alias("original_effect"), "error")
 
 
 @query("ref1_dispatch_ols")
