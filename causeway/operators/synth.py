@@ -182,11 +182,14 @@ WEIGHT_SCHEMA = ("treated string, donor string, weight double, sc_weight double,
                  "scaled_l2_imbalance double, model string")
 
 
-def _solve_one(units: list, G: np.ndarray, j: int, model: str, lam_scale: float):
-    donors = [i for i in range(len(units)) if i != j]
+def _solve_one(units: list, G: np.ndarray, S: list[int], gid: str, model: str, lam_scale: float):
+    """Weights for the treated set S (one unit, or a group whose series is the members' sum):
+    donors are all units outside S; c = G[D, S] 1 and g = 1' G[S, S] 1 come from the unit Gram."""
+    sset = set(S)
+    donors = [i for i in range(len(units)) if i not in sset]
     Gd = G[np.ix_(donors, donors)]
-    c = G[donors, j]
-    gjj = G[j, j]
+    c = G[np.ix_(donors, S)].sum(axis=1)
+    gjj = float(G[np.ix_(S, S)].sum())
     w = simplex_ls(Gd, c)
 
     def imb(v):
@@ -202,11 +205,16 @@ def _solve_one(units: list, G: np.ndarray, j: int, model: str, lam_scale: float)
             out_w, chosen = w_r, "ridge"
     l2 = imb(out_w)
     scaled = l2 / uni_imb if uni_imb > 0 else float("nan")
-    return [(units[j], units[d], float(out_w[k]), float(w[k]), l2, scaled, chosen) for k, d in enumerate(donors)]
+    return [(gid, units[d], float(out_w[k]), float(w[k]), l2, scaled, chosen) for k, d in enumerate(donors)]
+
+
+def group_id(members: Sequence[str]) -> str:
+    return "+".join(sorted(str(m) for m in members))
 
 
 def synth_weights(gram: DataFrame, treated: Sequence[str] | None = None, model: str = "none",
-                  lam_scale: float = 0.1, buckets: int | None = None, keys: Sequence[str] = ()) -> DataFrame:
+                  lam_scale: float = 0.1, buckets: int | None = None, keys: Sequence[str] = (),
+                  groups: dict[str, Sequence[str]] | None = None) -> DataFrame:
     """Simplex-constrained weights (w >= 0, sum 1) for each treated unit against all other units.
 
     ``treated`` None = every unit (in-space placebo).  ``model`` ``none`` (plain SC),
@@ -214,9 +222,11 @@ def synth_weights(gram: DataFrame, treated: Sequence[str] | None = None, model:
     ``best`` (lower pre-period imbalance).  Output: keys, treated, donor, weight, sc_weight,
     l2_imbalance, scaled_l2_imbalance (ratio to uniform weights), model.
     """
-    n_units = gram.select("a").distinct().count() if treated is None or buckets is None else None
+    n_units = gram.select("a").distinct().count() if (treated is None and groups is None) or buckets is None else None
     if n_units is not None and n_units > MAX_UNITS:
         raise ValueError(f"{n_units} units exceed MAX_UNITS; restrict donors with unit_correlations")
+    if groups is not None:
+        treated = list(groups)
     n_treated = len(treated) if treated is not None else n_units
     B = buckets or max(1, min(n_treated, 64))
     tset = None if treated is None else set(treated)
@@ -231,10 +241,17 @@ def synth_weights(gram: DataFrame, treated: Sequence[str] | None = None, model:
         G = np.zeros((len(units), len(units)))
         G[pdf["a"].map(pos).to_numpy(), pdf["b"].map(pos).to_numpy()] = pdf["g"].to_numpy()
         rows = []
-        for j, u in enumerate(units):
-            if (tset is not None and u not in tset) or (_stable_hash(u) % B) != bucket or len(units) < 2:
-                continue
-            rows.extend(_solve_one(units, G, j, model, lam_scale))
+        if groups is not None:
+            for gid, members in groups.items():
+                S = [pos[m] for m in members if m in pos]
+                if _stable_hash(gid) % B != bucket or not S or len(S) != len(members) or len(units) - len(S) < 1:
+                    continue
+                rows.extend(_solve_one(units, G, S, gid, model, lam_scale))
+        else:
+            for j, u in enumerate(units):
+                if (tset is not None and u not in tset) or (_stable_hash(u) % B) != bucket or len(units) < 2:
+                    continue
+                rows.extend(_solve_one(units, G, [j], u, model, lam_scale))
         out = pd.DataFrame(rows, columns=["treated", "donor", "weight", "sc_weight", "l2_imbalance",
                                           "scaled_l2_imbalance", "model"])
         for i, k in enumerate(keys):
@@ -298,14 +315,23 @@ def gsyn_series(panel: DataFrame, treated: Sequence[str], p0: int, rank: int = 2
 
 # Counterfactual series --------------------------------------------------------------------------
 
-def counterfactual(panel: DataFrame, weights: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+def counterfactual(panel: DataFrame, weights: DataFrame, keys: Sequence[str] = (),
+                   groups: dict[str, Sequence[str]] | None = None) -> DataFrame:
     """(keys, unit=treated, date, idx, observed, predicted): predicted = treated pre-mean +
-    sum_d w_d * y_fit_d (fixed effects) or sum_d w_d * y_d; a join on the donor then a grouped sum."""
+    sum_d w_d * y_fit_d (fixed effects) or sum_d w_d * y_d; a join on the donor then a grouped sum.
+    A treated group observes the sum of its members (membership table: one row per member)."""
     donors = panel.select(*keys, F.col("unit").alias("donor"), "date", "idx", F.col("y_fit").alias("yd"))
     pred = (weights.select(*keys, "treated", "donor", "weight").join(donors, [*keys, "donor"])
             .groupBy(*keys, "treated", "date", "idx").agg(F.sum(F.col("weight") * F.col("yd")).alias("_p")))
-    obs = panel.select(*keys, F.col("unit").alias("treated"), "date", F.col("y").alias("observed"),
-                       F.coalesce("mu", F.lit(0.0)).alias("_mu"))
+    if groups is not None:
+        members = panel.sparkSession.createDataFrame([(g, m) for g, ms in groups.items() for m in ms],
+                                                     "treated string, unit string")
+        obs = (panel.join(F.broadcast(members), "unit")
+               .groupBy(*keys, "treated", "date").agg(F.sum("y").alias("observed"),
+                                                      F.sum(F.coalesce("mu", F.lit(0.0))).alias("_mu")))
+    else:
+        obs = panel.select(*keys, F.col("unit").alias("treated"), "date", F.col("y").alias("observed"),
+                           F.coalesce("mu", F.lit(0.0)).alias("_mu"))
     return (pred.join(obs, [*keys, "treated", "date"])
             .select(*keys, F.col("treated").alias("unit"), "date", "idx", "observed",
                     (F.col("_p") + F.col("_mu")).alias("predicted")))
@@ -474,7 +500,8 @@ def placebo_rank(impact_all: DataFrame, treated: str) -> DataFrame:
 def market_power(df: DataFrame, date: str, unit: str, kpi: str, duration: int = 14, lookback: int = 1,
                  effects: Sequence[float] = (0.0, 0.1), alpha: float = 0.1, stat_test: str = "Total",
                  candidates: Sequence[str] | None = None, fixed_effects: bool = True, model: str = "none",
-                 cutoff: str | None = None, cpic: float | None = None, budget: float | None = None) -> dict:
+                 cutoff: str | None = None, cpic: float | None = None, budget: float | None = None,
+                 n_markets: int = 1, max_groups: int = 5000) -> dict:
     """QX11: simulated power of every candidate market.
 
     Simulation k = 1..lookback places a ``duration``-period test window ending k-1 windows
@@ -482,6 +509,8 @@ def market_power(df: DataFrame, date: str, unit: str, kpi: str, duration: int =
     k), the relative effect e is injected as e * predicted on the window, and the cyclic-shift
     conformal test decides detection.  Power(c, e) = share of the k simulations with p < alpha.
     Everything is keyed by (k, candidate[, effect]) so the simulations run as parallel groups.
+    ``n_markets`` > 1 tests every combination of that many candidate markets treated together
+    (their summed series); more than ``max_groups`` combinations is an error, never a sample.
     """
     base = df if cutoff is None else df.filter(F.to_date(F.col(date)) < F.lit(cutoff).cast("date"))
     panel = (base.select(F.col(unit).cast("string").alias("unit"), F.to_date(F.col(date)).alias("date"),
@@ -504,8 +533,17 @@ def market_power(df: DataFrame, date: str, unit: str, kpi: str, duration: int =
         pk = pk.select("*", F.lit(0.0).alias("mu"), F.col("y").alias("y_fit"))
     pk = pk.checkpoint(eager=True)  # read by the Gram, counterfactual and test jobs
     gram = donor_gram(pk.filter(pre), keys=["k"])
-    w = synth_weights(gram, candidates, model, keys=["k"], buckets=max(1, min(64, len(candidates or []) or 16)))
-    series = counterfactual(pk, w, keys=["k"])
+    groups = None
+    if n_markets > 1:
+        from itertools import combinations
+        pool = sorted(candidates) if candidates is not None else panel_units(panel)
+        n_groups = math.comb(len(pool), n_markets)
+        if n_groups > max_groups:
+            raise ValueError(f"{n_groups} market combinations exceed max_groups; pass fewer candidates")
+        groups = {group_id(c): list(c) for c in combinations(pool, n_markets)}
+    w = synth_weights(gram, candidates, model, keys=["k"], groups=groups,
+                      buckets=max(1, min(64, len(groups or candidates or []) or 16)))
+    series = counterfactual(pk, w, keys=["k"], groups=groups)
     series = series.select("*", (F.lit(T_) - F.col("k") * duration).alias("p0"),
                            (F.lit(T_) - (F.col("k") - 1) * duration - 1).alias("p1"))
     s = series.select("k", "unit", "idx", "observed", "predicted", "p0", "p1")

@@ -276,3 +276,12 @@ def snk3_series_roundtrip(spark, sf_dir):
     s = TS.impact_series(r["series"], "unit", "date", "observed", "predicted")
     path = IO.write_table(s, shared_path(spark, "snk3"))
     return IO.read_parquet(spark, path)
+
+
+@query("qx11_market_power_pairs")
+def qx11_market_power_pairs(spark, sf_dir):
+    """QX11 with n_markets = 2: every pair of the first six nations treated together (15 groups)."""
+    cands = [f"NATION_{i}" for i in range(6)]
+    r = S.market_power(_v5_balanced(spark, sf_dir), "date", "unit", "y", duration=3, lookback=2,
+                       effects=[0.0, 0.1], alpha=0.1, candidates=cands, n_markets=2)
+    return r["power"]
