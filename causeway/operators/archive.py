@@ -27,12 +27,13 @@ def twoway_fixed_effects(panel: DataFrame, unit: str, time: str, y: str, x: str,
     xd = F.col("_x") - F.col("_ux") - F.col("_tx") + dlit(gm["x"])
     dm = j.select("_u", yd.alias("yd"), xd.alias("xd"))
     bs = one_row(dm.agg(F.sum(F.col("xd") * F.col("yd")).alias("sxy"), F.sum(F.col("xd") * F.col("xd")).alias("sxx")))
-    beta, sxx = dlit(bs["sxy"] / bs["sxx"]), dlit(bs["sxx"])
+    beta = dlit(bs["sxy"] / bs["sxx"]) if bs["sxx"] else dlit(None)
+    sxx = dlit(bs["sxx"])
     score = dm.groupBy("_u").agg(F.sum(F.col("xd") * (F.col("yd") - beta * F.col("xd"))).alias("s"))
     g = score.agg(F.count(F.lit(1)).alias("G"), F.sum(F.col("s") * F.col("s")).alias("ss"))
-    se = F.sqrt(F.col("ss") * F.col("G") / (F.col("G") - 1)) / sxx
+    se = F.try_divide(F.sqrt(F.try_divide(F.col("ss") * F.col("G"), F.col("G") - 1)), sxx)
     return g.select(F.lit("TwoWayFE").alias("method"), beta.alias("estimate"), se.alias("std_error"),
-                    (beta / se).alias("stat"), F.col("G").cast("long").alias("clusters"))
+                    F.try_divide(beta, se).alias("stat"), F.col("G").cast("long").alias("clusters"))
 
 
 def regression_discontinuity(df: DataFrame, running: str, outcome: str, cutoff: float, bandwidth: float) -> DataFrame:
@@ -48,6 +49,6 @@ def regression_discontinuity(df: DataFrame, running: str, outcome: str, cutoff:
 def wald_iv(df: DataFrame, instrument: str, treatment: str, outcome: str) -> DataFrame:
     """ARC3 IV: Wald / 2SLS with one instrument, cov(Z, Y) / cov(Z, D) in one aggregate."""
     z, t, y = (F.col(c).cast("double") for c in (instrument, treatment, outcome))
-    return df.agg((F.covar_samp(z, y) / F.covar_samp(z, t)).alias("estimate"),
+    return df.agg(F.try_divide(F.covar_samp(z, y), F.covar_samp(z, t)).alias("estimate"),
                   F.covar_samp(z, t).alias("first_stage_cov"), F.count(F.lit(1)).alias("n")) \
         .select(F.lit("IV (Wald)").alias("method"), "*")

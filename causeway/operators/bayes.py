@@ -195,7 +195,7 @@ def impact_summary(draws: DataFrame, observed: DataFrame, alpha: float = 0.05, m
     per = j.groupBy("unit", "chain", "draw").agg(
         F.avg(F.col("y") - F.col("predicted")).alias("ate_d"), F.sum(F.col("y") - F.col("predicted")).alias("cum_d"),
         F.sum("predicted").alias("pred_sum"), F.sum("y").alias("obs_sum"))
-    per = per.withColumn("rel_d", F.col("cum_d") / F.col("pred_sum"))
+    per = per.withColumn("rel_d", F.try_divide(F.col("cum_d"), F.col("pred_sum")))
     lo, hi = alpha / 2, 1 - alpha / 2
     q = lambda c: F.percentile(c, F.array(F.lit(lo), F.lit(hi)))
     s = per.groupBy("unit").agg(
@@ -204,7 +204,7 @@ def impact_summary(draws: DataFrame, observed: DataFrame, alpha: float = 0.05, m
         F.sum((F.col("pred_sum") >= F.col("obs_sum")).cast("int")).alias("n_ge"),
         F.sum((F.col("pred_sum") <= F.col("obs_sum")).cast("int")).alias("n_le"),
         F.count(F.lit(1)).alias("D"))
-    p = (F.least("n_ge", "n_le") + 1) / (F.col("D") + 1)
+    p = F.try_divide(F.least("n_ge", "n_le") + 1, F.col("D") + 1)
     return s.select(F.lit(method).alias("method"), "unit", "ate", F.col("qa")[0].alias("ate_lower"),
                     F.col("qa")[1].alias("ate_upper"), "cum", F.col("qc")[0].alias("cum_lower"),
                     F.col("qc")[1].alias("cum_upper"), (F.col("rel") * 100).alias("rel"),
@@ -335,7 +335,7 @@ def draw_summary(draws: DataFrame, observed: DataFrame, hdi_prob: float = 0.95,
         else:
             raise ValueError(direction)
         s = per.groupBy("unit").agg(F.avg(name).alias("mean"), p.alias("p_value"), prob.alias("prob_effect"),
-                                    (F.avg("my") / F.avg("mp") - 1).alias("relative_lift"))
+                                    (F.try_divide(F.avg("my"), F.avg("mp")) - 1).alias("relative_lift"))
         h = hdi(per.select("unit", name), ["unit"], name, hdi_prob)
         s = s.join(h, "unit").select(F.lit(method).alias("method"), "unit", F.lit(name).alias("metric"), "mean",
                                      "hdi_lower", "hdi_upper", "p_value", "prob_effect", "relative_lift")

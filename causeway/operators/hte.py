@@ -23,7 +23,7 @@ def univariate_scan(scored: DataFrame, ite_col: str, features: Sequence[str]) ->
     items = [F.struct(F.lit(f).alias("feature"), F.col(f"b{i}").alias("slope"), F.col(f"r{i}").alias("r2"),
                       F.col(f"n{i}").alias("n")) for i, f in enumerate(features)]
     long = a.select(F.explode(F.array(*items)).alias("s")).select("s.*")
-    t = F.signum(F.col("slope")) * F.sqrt(F.col("r2") * (F.col("n") - 2) / (F.lit(1.0) - F.col("r2")))
+    t = F.signum(F.col("slope")) * F.sqrt(F.try_divide(F.col("r2") * (F.col("n") - 2), F.lit(1.0) - F.col("r2")))
     long = long.select("feature", "slope", "r2", F.col("n").cast("long").alias("n"), t.alias("t_stat"),
                        (F.col("n") - 2).cast("double").alias("dof"))
     out = add_t_pvalue(long, "t_stat", "dof")

@@ -67,16 +67,16 @@ def iptw(df: DataFrame, treatment: str, outcome: str, propensity: str = "propens
                    F.sum(w1).alias("w1"), F.sum(w0).alias("w0"),
                    F.var_samp(a1 - a0).alias("v"))
     if normalized:
-        est = F.col("a1") / F.col("w1") - F.col("a0") / F.col("w0")
+        est = F.try_divide(F.col("a1"), F.col("w1")) - F.try_divide(F.col("a0"), F.col("w0"))
         method = "IPTW (Hajek)"
     else:
-        est = (F.col("a1") - F.col("a0")) / F.col("n")
+        est = F.try_divide(F.col("a1") - F.col("a0"), F.col("n"))
         method = "IPTW"
-    se = F.sqrt(F.col("v") / F.col("n"))
+    se = F.sqrt(F.try_divide(F.col("v"), F.col("n")))
     z = norm_ppf(0.975)
     return agg.select(F.lit(method).alias("method"), F.lit(treatment).alias("treatment"),
                       F.lit(outcome).alias("outcome"), F.col("n").cast("long").alias("n"),
-                      est.alias("estimate"), se.alias("std_error"), (est / se).alias("stat"),
+                      est.alias("estimate"), se.alias("std_error"), F.try_divide(est, se).alias("stat"),
                       F.lit(None).cast("double").alias("p_value"),
                       (est - z * se).alias("ci_lower"), (est + z * se).alias("ci_upper"),
                       *[F.lit(None).cast("double").alias(k) for k in ("odds_ratio", "risk_diff", "rd_lower", "rd_upper")],
@@ -167,7 +167,7 @@ def standardization(df: DataFrame, treatment: str, outcome: str, cells: Sequence
     c = cell_means(df, treatment, outcome, cells)
     ok = (F.col("n1") > 0) & (F.col("n0") > 0)
     return c.agg(
-        (F.sum(F.when(ok, (F.col("mu1") - F.col("mu0")) * F.col("n"))) / F.sum(F.when(ok, F.col("n")))).alias("estimate"),
+        F.try_divide(F.sum(F.when(ok, (F.col("mu1") - F.col("mu0")) * F.col("n"))), F.sum(F.when(ok, F.col("n")))).alias("estimate"),
         F.sum(F.when(ok, F.col("n"))).cast("long").alias("n"),
         F.count(F.when(~ok, 1)).cast("long").alias("cells_without_overlap"),
         F.coalesce(F.sum(F.when(~ok, F.col("n"))), F.lit(0)).cast("long").alias("rows_without_overlap"),
@@ -270,8 +270,8 @@ def crossfit_saturated(df: DataFrame, treatment: str, outcome: str, cells: Seque
     all_y, all_t, all_n = dlit(tot_row["y"]), dlit(tot_row["t"]), dlit(tot_row["n"])
     j = fc.join(tot, list(cells)).join(F.broadcast(fold_tot), "_fold")
     n_other = F.col("_tn") - F.col("_n")
-    gm_y = (all_y - F.col("_fy")) / (all_n - F.col("_fn"))
-    gm_t = (all_t - F.col("_ft")) / (all_n - F.col("_fn"))
+    gm_y = F.try_divide(all_y - F.col("_fy"), all_n - F.col("_fn"))
+    gm_t = F.try_divide(all_t - F.col("_ft"), all_n - F.col("_fn"))
     nuis = j.select("_fold", *cells,
                     F.when(n_other > 0, (F.col("_ty") - F.col("_sy")) / n_other).otherwise(gm_y).alias("_m"),
                     F.when(n_other > 0, (F.col("_tt") - F.col("_st")) / n_other).otherwise(gm_t).alias("_e"))
@@ -430,10 +430,10 @@ def iptw_by_period(df: DataFrame, treatment: str, outcome: str, cells: Sequence[
     cellp = df.groupBy(period, *cells).agg(F.avg(t).alias("_e"))
     j = df.join(cellp, [period, *cells])
     a = t * y / F.col("_e") - (F.lit(1.0) - t) * y / (F.lit(1.0) - F.col("_e"))
-    g = j.filter((F.col("_e") > 0) & (F.col("_e") < 1)).groupBy(period).agg(
+    g = j.filter((F.col("_e") > 0) & (F.col("_e") < 1)).groupBy(period).agg(  # positivity: e in (0, 1)
         F.avg(a).alias("ATE"), F.stddev_samp(a).alias("_sd"), F.count(F.lit(1)).alias("n"))
     z = norm_ppf(0.975)
-    se = F.col("_sd") / F.sqrt(F.col("n"))
+    se = F.try_divide(F.col("_sd"), F.sqrt(F.col("n")))
     return g.filter(F.col("n") >= min_rows).select(period, "ATE", (F.col("ATE") - z * se).alias("CI_Lower"),
                                                    (F.col("ATE") + z * se).alias("CI_Upper"),
                                                    se.alias("std_error"), "n")
@@ -504,12 +504,13 @@ def welch_table(df: DataFrame, treatment: str, cols: Sequence[str]) -> DataFrame
     items = [F.struct(F.lit(c).alias("covariate"), *[F.col(f"{k}_{i}").alias(k) for k in ("m1", "m0", "v1", "v0", "n1", "n0")])
              for i, c in enumerate(cols)]
     long = a.select(F.explode(F.array(*items)).alias("s")).select("s.*")
-    se = F.sqrt(F.col("v1") / F.col("n1") + F.col("v0") / F.col("n0"))
+    q1, q0 = F.try_divide(F.col("v1"), F.col("n1")), F.try_divide(F.col("v0"), F.col("n0"))
+    se = F.sqrt(q1 + q0)
     diff = F.col("m1") - F.col("m0")
-    tstat = diff / se
-    q1, q0 = F.col("v1") / F.col("n1"), F.col("v0") / F.col("n0")
-    dof = (q1 + q0) * (q1 + q0) / (q1 * q1 / (F.col("n1") - 1) + q0 * q0 / (F.col("n0") - 1))
-    smd = diff / F.sqrt((F.col("v1") + F.col("v0")) / 2)
+    tstat = F.try_divide(diff, se)
+    dof = F.try_divide((q1 + q0) * (q1 + q0),
+                       F.try_divide(q1 * q1, F.col("n1") - 1) + F.try_divide(q0 * q0, F.col("n0") - 1))
+    smd = F.try_divide(diff, F.sqrt((F.col("v1") + F.col("v0")) / 2))
     out = long.select("covariate", F.col("m1").alias("mean_treated"), F.col("m0").alias("mean_control"),
                       diff.alias("diff"), tstat.alias("t_stat"), dof.alias("dof"), smd.alias("smd"),
                       F.col("n1").cast("long").alias("n_treated"), F.col("n0").cast("long").alias("n_control"))
@@ -551,12 +552,12 @@ def dml_by_period(df: DataFrame, treatment: str, outcome: str, cells: Sequence[s
     r = crossfit_saturated(d, treatment, outcome, [period, *cells], k)
     res = r.select(period, (F.col(outcome).cast("double") - F.col("_m")).alias("_yt"),
                    (F.col(treatment).cast("double") - F.col("_e")).alias("_tt"))
-    th = res.groupBy(period).agg((F.sum(F.col("_tt") * F.col("_yt")) / F.sum(F.col("_tt") * F.col("_tt"))).alias("ATE"),
+    th = res.groupBy(period).agg(F.try_divide(F.sum(F.col("_tt") * F.col("_yt")), F.sum(F.col("_tt") * F.col("_tt"))).alias("ATE"),
                                  F.sum(F.col("_tt") * F.col("_tt")).alias("_stt"), F.count(F.lit(1)).alias("n"))
     e = F.col("_yt") - F.col("ATE") * F.col("_tt")
     se = res.join(th, period).groupBy(period, "ATE", "_stt", "n").agg(
         F.sum(F.col("_tt") * F.col("_tt") * e * e).alias("_meat"))
-    sd = F.sqrt(F.col("_meat") / (F.col("_stt") * F.col("_stt")) * F.col("n") / (F.col("n") - 1))
+    sd = F.sqrt(F.try_divide(F.col("_meat"), F.col("_stt") * F.col("_stt")) * F.try_divide(F.col("n"), F.col("n") - 1))
     z = norm_ppf(1 - alpha / 2)
     return se.filter(F.col("n") >= min_rows).select(period, "ATE", (F.col("ATE") - z * sd).alias("CI_Lower"),
                                                      (F.col("ATE") + z * sd).alias("CI_Upper"), sd.alias("std_error"),
@@ -593,7 +594,9 @@ def bootstrap_standardization(df: DataFrame, treatment: str, outcome: str, cells
         F.sum(F.when(F.col("_t") == 0, F.col("_w") * F.col("_y")).otherwise(0.0)).alias("wy0"))
     ok = (F.col("w1") > 0) & (F.col("w0") > 0)
     contrast = (F.col("wy1") / F.col("w1") - F.col("wy0") / F.col("w0")) * (F.col("w1") + F.col("w0"))
-    per = c.groupBy("_rep").agg((F.sum(F.when(ok, contrast)) / F.sum(F.when(ok, F.col("w1") + F.col("w0"))))
+    contrast = (F.try_divide(F.col("wy1"), F.col("w1")) - F.try_divide(F.col("wy0"), F.col("w0"))) \
+        * (F.col("w1") + F.col("w0"))
+    per = c.groupBy("_rep").agg(F.try_divide(F.sum(F.when(ok, contrast)), F.sum(F.when(ok, F.col("w1") + F.col("w0"))))
                                 .alias("estimate"))
     point = standardization(df, treatment, outcome, cells).select("estimate").scalar()
     lo, hi = alpha / 2, 1 - alpha / 2

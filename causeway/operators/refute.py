@@ -23,7 +23,7 @@ def _summary(per: DataFrame, original) -> DataFrame:
                 F.count(F.lit(1)).cast("long").alias("replicates"))
     # ``original`` (a sub-query) is referenced once, then used by name
     out = s.select(original.alias("original_effect"), "new_effect", "new_sd", "replicates")
-    z = F.abs(F.col("original_effect") - F.col("new_effect")) / F.col("new_sd")
+    z = F.try_divide(F.abs(F.col("original_effect") - F.col("new_effect")), F.col("new_sd"))
     # two-sided normal tail 2 * (1 - Phi(z)), computed in Arrow batches
     out = out.select("*", z.alias("_z"))
     import pandas as pd

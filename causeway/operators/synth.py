@@ -136,7 +136,7 @@ def unit_correlations(panel_pre: DataFrame, y: str = "y") -> DataFrame:
     pm = pair_moments(panel_pre, y, (), None, PAIR_FIELDS).filter(F.col("a") < F.col("b"))
     num = F.col("n") * F.col("sab") - F.col("sa") * F.col("sb")
     den = F.sqrt((F.col("n") * F.col("saa") - F.col("sa") ** 2) * (F.col("n") * F.col("sbb") - F.col("sb") ** 2))
-    return pm.select("a", "b", (num / den).alias("corr"), F.col("n").cast("long").alias("n"))
+    return pm.select("a", "b", F.try_divide(num, den).alias("corr"), F.col("n").cast("long").alias("n"))
 
 
 def unit_dtw(panel_pre: DataFrame, treated: Sequence[str], y: str = "y", window: int | None = None) -> DataFrame:
@@ -473,13 +473,13 @@ def synth_impact(df: DataFrame, date: str, unit: str, kpi: str, treated: Sequenc
         out = out.join(ci, "unit", "left")
     else:
         out = out.select("*", F.lit(None).cast("double").alias("ate_lower"), F.lit(None).cast("double").alias("ate_upper"))
-    rel = F.col("cum") / F.col("pred_post")
-    ratio = F.col("cum") / rel  # = predicted post total
+    rel = F.try_divide(F.col("cum"), F.col("pred_post"))
+    ratio = F.col("pred_post")  # cum / rel: the predicted post-period total
     impact = out.select(
         F.lit(f"SyntheticControl({model})").alias("method"), "unit", "ate", "ate_lower", "ate_upper", "cum",
         (F.col("ate_lower") * F.col("n_post")).alias("cum_lower"), (F.col("ate_upper") * F.col("n_post")).alias("cum_upper"),
-        (rel * 100).alias("rel"), (F.col("ate_lower") * F.col("n_post") / ratio * 100).alias("rel_lower"),
-        (F.col("ate_upper") * F.col("n_post") / ratio * 100).alias("rel_upper"),
+        (rel * 100).alias("rel"), (F.try_divide(F.col("ate_lower") * F.col("n_post"), ratio) * 100).alias("rel_lower"),
+        (F.try_divide(F.col("ate_upper") * F.col("n_post"), ratio) * 100).alias("rel_upper"),
         "p_value", F.lit(float(alpha)).alias("alpha"), (F.col("p_value") < alpha).alias("significant"),
         "l2_imbalance", "scaled_l2_imbalance", F.lit(None).cast("string").alias("error"))
     return {"weights": w, "series": series, "impact": impact, "panel": panel, "shifts": shifts}
@@ -488,7 +488,7 @@ def synth_impact(df: DataFrame, date: str, unit: str, kpi: str, treated: Sequenc
 def placebo_rank(impact_all: DataFrame, treated: str) -> DataFrame:
     """QX19: rank of the treated unit's |ATT| / pre-fit imbalance among all units run as
     pseudo-treated; p = rank / units."""
-    r = impact_all.select("unit", (F.abs("ate") / F.greatest(F.col("l2_imbalance"), F.lit(1e-12))).alias("ratio"))
+    r = impact_all.select("unit", F.try_divide(F.abs("ate"), F.greatest(F.col("l2_imbalance"), F.lit(1e-12))).alias("ratio"))
     w = Window.orderBy(F.desc("ratio"))  # one row per unit
     ranked = r.select("*", F.rank().over(w).alias("rank"), F.count(F.lit(1)).over(Window.partitionBy()).alias("units"))
     return ranked.filter(F.col("unit") == treated).select("unit", "ratio", "rank", "units",
@@ -567,7 +567,7 @@ def market_power(df: DataFrame, date: str, unit: str, kpi: str, duration: int =
                 .groupBy("k", "unit").agg(F.sum("predicted").alias("pred_post"),
                                           F.sum(F.col("observed") - F.col("predicted")).alias("resid_post")))
     sim = pv.join(post_tot, ["k", "unit"])
-    detected_lift = (F.col("resid_post") + F.col("effect") * F.col("pred_post")) / F.col("pred_post")
+    detected_lift = F.try_divide(F.col("resid_post") + F.col("effect") * F.col("pred_post"), F.col("pred_post"))
     power = sim.groupBy(F.col("unit").alias("candidate"), "effect").agg(
         F.avg((F.col("p") < alpha).cast("double")).alias("power"),
         F.avg(detected_lift).alias("avg_detected_lift"),

@@ -66,3 +66,15 @@ def test_cell_with_one_arm_is_reported(spark):
     assert row["cells_without_overlap"] == 1 and row["rows_without_overlap"] == 4
     assert abs(row["estimate"] - 1.0) < 1e-12
     assert O.positivity_report(df, "t", ["cell"]).count() == 1
+
+
+def test_degenerate_inputs_give_nulls_not_errors(spark):
+    """Spark 4 runs with ANSI division: degenerate groups must yield nulls, not exceptions."""
+    from causeway.operators import archive
+    from causeway.operators import profile as P
+    df = spark.createDataFrame([(1, 5.0, 1.0), (0, 3.0, 1.0), (0, 4.0, 1.0)], "t int, y double, z double")
+    w = O.welch_table(df, "t", ["y"]).collect()[0]
+    assert w["dof"] is None or w["dof"] != w["dof"] or w["t_stat"] is None
+    assert archive.wald_iv(df, "z", "t", "y").collect()[0]["estimate"] is None
+    empty = df.filter(F.col("t") > 5)
+    assert all(r["percent"] is None for r in P.missing_report(empty).collect())
