@@ -118,16 +118,25 @@ def explode_replicates(df, seed_col: Column, replicates: int, per_rep: int = 1,
                        u_prefix: str = "_u"):
     """Replicate every row ``replicates`` times with ``per_rep`` uniforms each.
 
-    u_j = (seed * a^k mod m) / m: the k-th element of the row's Lehmer stream, so a row costs one
-    md5 however many replicates it feeds, and the draws stay partition independent and exactly
-    reproducible in SQL (the product stays below 2^62)."""
+    u_j = x / m for x = seed * a^k mod m, the k-th element of the row's Lehmer stream
+    (k = (r-1) * per_rep + j + 1), so a row costs one md5 however many replicates it feeds and
+    the draws stay partition independent and exactly reproducible in SQL.
+
+    The seed is computed in a projection *below* the ``posexplode`` of the bigint constant
+    array.  Catalyst would otherwise move that md5 projection above the ``Generate`` (or
+    inline it into a lambda) and hash every exploded row; marking the projection
+    non-deterministic (a ``rand() >= 0`` guard that is always true) pins it in place.
+    Later draws of a replicate follow from x_{k+j} = x_k * a^j mod m."""
     consts = lehmer_consts(replicates, per_rep)
-    arr = F.array(*[F.struct(F.lit(r + 1).alias("r"), *[F.lit(c).cast("long").alias(f"a{j}") for j, c in enumerate(cs)])
-                    for r, cs in enumerate(consts)])
-    x = df.select("*", seed_col.alias("_seed"), F.explode(arr).alias("_c"))
-    us = [(F.pmod(F.col("_seed") * F.col(f"_c.a{j}"), F.lit(LEHMER_M)).cast("double") / F.lit(float(LEHMER_M)))
-          .alias(f"{u_prefix}{j}") for j in range(per_rep)]
-    return x.select(*[c for c in df.columns], F.col("_c.r").alias(rep_name), *us)
+    m = F.lit(LEHMER_M)
+    first = F.array(*[F.lit(cs[0]).cast("long") for cs in consts])
+    pinned = F.when(F.rand(0) >= F.lit(0.0), seed_col.cast("long")).otherwise(seed_col.cast("long"))
+    x = df.select("*", pinned.alias("_seed")).select("*", F.posexplode(first).alias("_pos", "_a0"))
+    x0 = F.pmod(F.col("_seed") * F.col("_a0"), m)
+    steps = [pow(LEHMER_A, j, LEHMER_M) for j in range(per_rep)]
+    us = [((x0 if j == 0 else F.pmod(x0 * F.lit(steps[j]).cast("long"), m))
+           .cast("double") / F.lit(float(LEHMER_M))).alias(f"{u_prefix}{j}") for j in range(per_rep)]
+    return x.select(*[c for c in df.columns], (F.col("_pos") + 1).cast("int").alias(rep_name), *us)
 
 
 def sql_replicate_values(replicates: int, per_rep: int = 1) -> str:
