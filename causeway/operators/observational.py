@@ -115,8 +115,13 @@ def psm(df: DataFrame, treatment: str, outcome: str, propensity: str = "propensi
     if not arms[0] or not arms[1]:
         return effect_df(spark, [effect_row(method="PSM", treatment=treatment, outcome=outcome,
                                             error="both arms are required")])
-    bc = spark.sparkContext.broadcast({a: (np.array([s for s, _ in v]), np.array([m for _, m in v]))
-                                       for a, v in arms.items()})
+    tables = {a: (np.array([s for s, _ in v]), np.array([m for _, m in v])) for a, v in arms.items()}
+    try:  # a broadcast variable ships the bounded cell tables once per executor
+        bc = spark.sparkContext.broadcast(tables)
+    except Exception:  # Spark Connect: the bounded tables travel with the function instead
+        class _Const:
+            value = tables
+        bc = _Const()
 
     def match(batches):
         for pdf in batches:

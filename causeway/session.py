@@ -40,19 +40,27 @@ def get_session(master: str | None = None, shuffle_partitions: int = 8,
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, creating a local one only when unset."""
+def ensure_checkpoint_dir(spark: SparkSession) -> str | None:
+    """Return the shared checkpoint folder, creating a local one only when unset.
+
+    On a cluster the folder named by ``spark.checkpoint.dir`` is used as is; a temporary
+    local folder is created only when nothing is configured (tests, local runs).  With
+    Spark Connect (no SparkContext on the client) the server's configuration applies."""
     path = spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: checkpointing is configured server side
+        return path
     if not path:
-        path = spark.sparkContext.getCheckpointDir()
+        path = sc.getCheckpointDir()
     if not path:
         path = tempfile.mkdtemp(prefix="causeway-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
+    sc.setCheckpointDir(path)
     return path
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared checkpoint folder (for written tables)."""
-    base = ensure_checkpoint_dir(spark)
+    base = ensure_checkpoint_dir(spark) or tempfile.mkdtemp(prefix="causeway-out-")
     return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
