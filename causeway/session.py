@@ -62,5 +62,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str | None:
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared checkpoint folder (for written tables)."""
-    base = ensure_checkpoint_dir(spark) or tempfile.mkdtemp(prefix="causeway-out-")
+    base = ensure_checkpoint_dir(spark)
+    if not base:
+        raise ValueError("set spark.checkpoint.dir to a shared folder for written tables")
     return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
