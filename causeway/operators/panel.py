@@ -112,13 +112,16 @@ def intervention_index(df: DataFrame, date: str, start: str, duration: int) -> D
 
 def balanced_panel(df: DataFrame, date: str, location: str, kpi: str) -> DataFrame:
     """TS8: lower-cased locations, kpi summed per (location, date); locations missing any of
-    the panel's dates are dropped (count per location vs distinct dates: two small aggregates)."""
+    the panel's dates are dropped (distinct-date count collected once, dates per location by a
+    window partitioned by location)."""
     g = (df.select(F.lower(F.col(location)).alias("location"), F.col(date).alias("date"), F.col(kpi).alias("Y"))
          .filter(F.col("location").isNotNull() & F.col("date").isNotNull())
          .groupBy("location", "date").agg(F.sum("Y").alias("Y")))
-    n_dates = g.select("date").distinct().agg(F.count(F.lit(1))).scalar()
-    full = g.groupBy("location").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") == n_dates).select("location")
-    return g.join(full, "location", "left_semi")
+    from ..functions.columns import one_row
+    n_dates = one_row(g.select("date").distinct().agg(F.count(F.lit(1)).alias("n")))["n"]
+    # dates per location by a window partitioned by location (one location's dates per task)
+    per_loc = F.count(F.lit(1)).over(Window.partitionBy("location"))
+    return g.select("*", per_loc.alias("_n")).filter(F.col("_n") == F.lit(n_dates)).drop("_n")
 
 
 def split_pre_post(df: DataFrame, date: str, intervention: str) -> DataFrame:
