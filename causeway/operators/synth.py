@@ -38,11 +38,12 @@ MAX_UNITS = 3000  # units^2 Gram entries held by one solve task
 # Panel indexing -------------------------------------------------------------------------------------
 
 def index_dates(panel: DataFrame, date: str = "date") -> DataFrame:
-    """Adds 0-based ``idx`` of the date among the panel's distinct dates (window over the
-    distinct-date table only, broadcast back)."""
+    """Adds 0-based ``idx`` of the date among the panel's distinct dates.  The window runs over
+    the distinct-date table only; the join back carries no broadcast hint, because the number of
+    dates is not bounded by the library (AQE broadcasts it when its runtime size is small)."""
     dates = panel.select(date).distinct()
     idx = dates.select(date, (F.dense_rank().over(Window.orderBy(date)) - 1).alias("idx"))
-    return panel.join(F.broadcast(idx), date)
+    return panel.join(idx, date)
 
 
 def with_fixed_effects(panel: DataFrame, pre: F.Column, y: str = "y", keys: Sequence[str] = ()) -> DataFrame:
