@@ -1,24 +1,22 @@
 """Language identification: averaged hashed subword embeddings and a linear softmax.
 
-A word's features are its hashed letter n-grams (1 to 4 letters, with word ends) and the word
-itself; a text is the average of the embeddings of all its features, and a linear softmax over that
-average gives the language.  Embeddings and softmax are trained by stochastic gradient descent in
-numpy on a bounded sample of labelled rows, on the driver.  A held-back part of the sample sets
-the temperature of the softmax and the score below which a prediction is rejected.
-
-Scoring is a map over all rows: because the model is linear in the averages, each distinct word
-is reduced once to its summed class scores and its feature count, and a text needs only the sum
-over its words.  Whole texts are used, and nothing is shuffled.
+A text's features are the hashed n-grams of 1 to 4 letters of its words, word ends included; the
+text is the average of their embeddings, and a linear softmax over that average gives the language.
+Embeddings and softmax are trained by stochastic gradient descent in numpy on a bounded sample of
+labelled rows, on the driver.  A held-back part of the sample sets the temperature of the softmax and
+the score below which a prediction is rejected.
+
+Scoring is a map over all rows: because the model is linear in the average, embeddings and softmax
+weights become one table of class scores per n-gram.  Whole texts are used, and nothing is shuffled.
 """
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,8 +24,8 @@ from pyspark.sql import types as T
 from .common import column_bytes
 
 UNDETERMINED = "und"
-WORDS_KEPT = 300_000
-_NOT_LETTERS = re.compile(r"[\W\d_]+")
+BITS = 15
+CHARS_AT_ONCE = 1_000_000
 
 
 @dataclass
@@ -40,27 +38,34 @@ class LanguageModel:
     accuracy: float          # on the held-back part of the sample
 
 
-def features(word: str, buckets: int) -> list[int]:
-    """Hashed subwords of a word's letters; none if it has no letter."""
-    out = []
-    for part in _NOT_LETTERS.split(word.lower()):
-        if not part:
-            continue
-        part = part[:64]  # a word's features; longer runs of letters are not words of a language
-        w = f"<{part}>"
-        grams = {w, *(w[i:i + n] for n in (1, 2, 3, 4) for i in range(len(w) - n + 1))}
-        out.extend(xxhash.xxh3_64_intdigest(g.encode()) % buckets for g in sorted(grams) if g not in "<>")
-    return out
+@cache
+def letters() -> np.ndarray:
+    """Whether a code point is a letter."""
+    return np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
+
+
+def features(text: str) -> np.ndarray:
+    """Buckets of the n-grams (1 to 4) of the letters of a text; empty if it has no letter."""
+    parts = [_features(text[at:at + CHARS_AT_ONCE]) for at in range(0, len(text), CHARS_AT_ONCE)]
+    return parts[0] if len(parts) == 1 else np.concatenate([*parts, np.empty(0, np.uint32)])
 
 
-def text_features(text: str, buckets: int, memory: dict) -> np.ndarray:
-    parts = []
-    for w in text.split():
-        got = memory.get(w)
-        if got is None:
-            got = memory[w] = np.asarray(features(w, buckets), np.int64)
-        parts.append(got)
-    return np.concatenate(parts) if parts else np.empty(0, np.int64)
+def _features(text: str) -> np.ndarray:
+    c = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)
+    c = np.where(letters()[c], c, 0).astype(np.uint32)
+    c = np.concatenate([np.zeros(1, np.uint32), c, np.zeros(1, np.uint32)])
+    c = c[np.concatenate([[True], (c[1:] != 0) | (c[:-1] != 0)])]  # one 0 between words
+    is_letter = c != 0
+    h, inner, out = c, is_letter, []
+    for n in range(1, 5):
+        if n > 1:
+            h = h[:-1] * np.uint32(0x01000193) + c[n - 1:]
+            # only the first and the last place may be a word's end, and not both alone
+            inner = is_letter[1:] | is_letter[:-1] if n == 2 else (is_letter[1:-1] if n == 3 else is_letter[1:-2] & is_letter[2:-1])
+        g = h[inner] + np.uint32(n * 0x9E3779B1 & 0xFFFFFFFF)
+        g = (g ^ (g >> np.uint32(15))) * np.uint32(0x85EBCA6B)
+        out.append((g ^ (g >> np.uint32(13))) * np.uint32(0xC2B2AE35) >> np.uint32(32 - BITS))
+    return np.concatenate(out)
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -68,21 +73,20 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return z / z.sum(axis=-1, keepdims=True)
 
 
-def train(texts: list[str], langs: list[str], buckets: int = 1 << 15, dim: int = 12, epochs: int = 8,
-          rate: float = 0.6, max_features: int = 400, target_error: float = 0.001, seed: int = 1) -> LanguageModel:
+def train(texts: list[str], langs: list[str], dim: int = 12, epochs: int = 5, rate: float = 1.0, max_features: int = 1500,
+          target_error: float = 0.001, seed: int = 1) -> LanguageModel:
     """Stochastic gradient descent over the sample, one text piece after another.
 
     A text is trained in pieces of up to ``max_features`` features, so that short texts are learnt too
     and every part of a long text is used.  Each fifth text is held back for calibration."""
-    rng = np.random.default_rng(seed)
+    rng, buckets = np.random.default_rng(seed), 1 << BITS
     labels = sorted(set(langs))
     if not labels:
         return LanguageModel([], np.zeros((buckets, 0), np.float32), np.zeros(0, np.float32), 1.0, 0.0, 0.0)
     place = {v: i for i, v in enumerate(labels)}
-    memory: dict = {}
     pieces, held = [], []
     for i, (t, lang) in enumerate(zip(texts, langs, strict=True)):
-        x, y = text_features(t, buckets, memory), place[lang]
+        x, y = features(t), place[lang]
         if not len(x):
             continue
         if i % 5 == 4:
@@ -126,15 +130,15 @@ def train(texts: list[str], langs: list[str], buckets: int = 1 << 15, dim: int =
 
 
 def _threshold(score: np.ndarray, right: np.ndarray, target_error: float, k: int) -> float:
-    """Smallest score from which on the held-back error is at most ``target_error``; never above
-    what would reject more than one right text in 1000, so confident clean texts are kept."""
+    """Smallest score from which on the held-back error is at most ``target_error``; never above what
+    would reject more than one right text in 1000, nor above one half: a majority is kept."""
     order = np.argsort(-score)
     wrong = np.cumsum(~right[order]) / np.arange(1, len(order) + 1)
     fine = np.flatnonzero(wrong <= target_error)
     cut = float(score[order[fine[-1]]]) if len(fine) else 1.0
     kept = np.sort(score[right])
     keep = float(kept[int(0.001 * len(kept))]) if len(kept) else 1.0
-    return max(1.0 / k, min(cut, keep) * 0.9)
+    return max(1.0 / k, min(cut, keep, 0.5))
 
 
 def labelled_sample(rows: DataFrame, per_language: int, id_col: str = "doc_id", text_col: str = "text",
@@ -160,46 +164,22 @@ def labelled_sample(rows: DataFrame, per_language: int, id_col: str = "doc_id",
 
 
 def _scorer(model: LanguageModel, names: list[str]):
-    buckets, k = model.table.shape
-
-    class WordScores(dict):
-        """A word's row in ``values``: its summed class scores, its feature count, has-a-letter."""
-
-        def __init__(self):
-            super().__init__()
-            self.values = np.zeros((1024, k + 2), np.float64)
-
-        def __missing__(self, word: bytes) -> int:
-            if len(self) >= WORDS_KEPT:
-                self.clear()
-            text = word.decode("utf-8", "replace")
-            x = features(text, buckets)
-            at = len(self)
-            if at >= len(self.values):
-                self.values = np.concatenate([self.values, np.zeros_like(self.values)])
-            self.values[at, :k] = model.table[x].sum(axis=0) if x else 0
-            self.values[at, k] = len(x)
-            self.values[at, k + 1] = any(c.isalpha() for c in text)
-            self[word] = at
-            return at
+    table, k = model.table, len(model.labels)
 
     def run(batches):
-        memory = WordScores()
         for batch in batches:
             preds, scores, rejects = [], [], []
             for text in column_bytes(batch, "__text"):
-                total = np.zeros(k + 2)
-                words = (text or b"").split()
-                for lo in range(0, len(words), 50_000):
-                    part = words[lo:lo + 50_000]
-                    if len(memory) + len(part) >= WORDS_KEPT:
-                        memory.clear()  # never within a part: its row numbers must stay valid
-                    at = np.fromiter(map(memory.__getitem__, part), np.int64, len(part))
-                    total += memory.values[at].sum(axis=0)
-                if not total[k + 1] or not k:
+                total, n = np.zeros(k), 0
+                text = (text or b"").decode("utf-8", "replace")
+                for at in range(0, len(text), CHARS_AT_ONCE):
+                    x = _features(text[at:at + CHARS_AT_ONCE])
+                    total += table[x].sum(axis=0, dtype=np.float64)
+                    n += len(x)
+                if not n or not k:
                     pred, score, reject = UNDETERMINED, 0.0, True
                 else:
-                    p = _softmax((total[:k] / max(total[k], 1) + model.bias) / model.temperature)
+                    p = _softmax((total / n + model.bias) / model.temperature)
                     best = int(p.argmax())
                     pred, score = model.labels[best], float(p[best])
                     reject = score < model.reject_below

@@ -13,7 +13,7 @@ which need no padding.
 
 from __future__ import annotations
 
-import os
+from array import array
 from collections import defaultdict
 
 import numpy as np
@@ -25,45 +25,59 @@ from pyspark.sql import types as T
 
 from .common import column_bytes
 
-WORDS_KEPT = 300_000
+WORDS_KEPT = 400_000
+SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+LATIN = "\u0100"
+#: Byte-level vocabularies write bytes without a printable Latin-1 character as letters from 256 on.
+BYTE_LETTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
 PIECES = "start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
-class WordIds:
-    """ids of a text as little-endian uint32 bytes, word by word with a bounded memory of words.
+class WordIds(dict):
+    """ids of a word (lower-cased bytes) as little-endian uint32 bytes.
 
-    The vocabularies used here split at ASCII white space and drop it, so a text's ids are its
-    words' ids in order; ``tests/llm`` checks this against the whole-text call."""
+    The vocabularies used here lower-case, split at ASCII white space and drop it, so a text's ids
+    are its words' ids in order, and a word of letters (and signs after them) is one merge of its
+    letters; ``tests/llm`` checks this against the whole-text call.  At most two generations of ``WORDS_KEPT`` words are
+    remembered; a Python worker keeps them over its tasks."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        super().__init__()
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
-        self.known: dict[bytes, bytes] = {}
-
-    def of(self, texts: list) -> list[bytes]:
-        words = [(t or b"").split() for t in texts]
-        out, lo = [], 0
-        while lo < len(words):  # a block of texts at a time: their words, then their ids
-            hi, n = lo, 0
-            while hi < len(words) and (hi == lo or n < WORDS_KEPT):
-                n += len(words[hi])
-                hi += 1
-            block = words[lo:hi]
-            new = set().union(*block).difference(self.known)
-            if len(self.known) + len(new) > WORDS_KEPT:
-                self.known, new = {}, set().union(*block)
-            new = list(new)
-            for at in range(0, len(new), 20_000):
-                part = new[at:at + 20_000]
-                got = self.tok.encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-                for w, e in zip(part, got, strict=True):
-                    self.known[w] = np.asarray(e.ids, "<u4").tobytes()
-            ids = self.known.__getitem__
-            out.extend(b"".join(map(ids, w)) for w in block)
-            lo = hi
-        return out
+        self.model = self.tok.model
+        self.older: dict[bytes, bytes] = {}
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            text = word.decode("utf-8", "replace")
+            head = text.rstrip(SIGNS)
+            if head.isalpha() and (head.isascii() or max(head) < LATIN):
+                letters = head if head.isascii() else head.lower().encode().decode("latin-1").translate(BYTE_LETTERS)
+                ids = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+                if len(head) < len(text):
+                    ids += self[text[len(head):].encode()]
+            else:
+                ids = array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
+        if len(self) >= WORDS_KEPT:
+            self.older = dict(self)
+            self.clear()
+        self[word] = ids
+        return ids
+
+    def of(self, text: bytes | None) -> bytes:
+        return b"".join(map(self.__getitem__, (text or b"").lower().split()))
+
+
+_WORKER: dict[str, WordIds] = {}
+
+
+def word_ids(path: str) -> WordIds:
+    if path not in _WORKER:
+        _WORKER[path] = WordIds(path)
+    return _WORKER[path]
 
 
 class Capacities:
@@ -127,7 +141,7 @@ def _pack_partition(names: list[str], tokenizer: str, window: int, end_id: int,
 
     def run(batches):
         sequence = (TaskContext.get().partitionId()) << 36
-        words = WordIds(tokenizer)
+        words = word_ids(tokenizer)
         items: list[tuple] = []  # (row of kept columns, start, ids, doc_tokens)
         held, schema = 0, None
 
@@ -168,8 +182,8 @@ def _pack_partition(names: list[str], tokenizer: str, window: int, end_id: int,
             texts = column_bytes(batch, "__text")
             for lo in range(0, len(texts), 500):
                 full = []
-                for row, ids in zip(kept[lo:lo + 500], words.of(texts[lo:lo + 500]), strict=True):
-                    ids += end
+                for row, text in zip(kept[lo:lo + 500], texts[lo:lo + 500], strict=True):
+                    ids = words.of(text) + end
                     total = len(ids) // 4
                     cut = total - total % window
                     for s in range(0, cut, window):

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, packing, topk
+from . import decontaminate, html, langid, packing, sharding, topk, urlfilter
 from .common import need, read_documents
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -20,6 +20,34 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.piece_digests(packing.pack(docs, TOKENIZER))
 
 
+def op2_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents laid out by source, resharded to 24 shards of equal bytes with the fewest bytes moved."""
+    docs = need(read_documents(spark, sf_dir), "doc_id", "text", "source")
+    old = F.pmod(F.crc32(F.coalesce("source", F.lit("")).cast("binary")), F.lit(24))
+    return sharding.reshard(docs, old, 24).select(
+        "doc_id", "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"), F.col("old").alias("old_shard"))
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items that documents leak, re-parameterised ones included."""
+    docs = need(read_documents(spark, sf_dir), "doc_id", "text")
+    items = need(spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "item_id", "text")
+    return decontaminate.find_leaks(docs, items).drop("row")
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's url by rules and redirect equivalence."""
+    pages = need(spark.read.parquet(f"{sf_dir}/pages.parquet"), "page_id", "url", "html")
+    return urlfilter.judge_urls(pages)
+
+
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page after site-template removal."""
+    pages = need(spark.read.parquet(f"{sf_dir}/pages.parquet"), "page_id", "url", "html")
+    return html.extract_text(pages).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learnt from rows that are not held out."""
     docs = need(read_documents(spark, sf_dir), "doc_id", "text", "lang")
@@ -48,9 +76,65 @@ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DES
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
+_NODE = "regexp_extract({0}, '(?s)^.*?://([^/?#]*)([^?#]*)', {1})"
+_LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _host(url: str) -> str:
+    return _LOWER.format(f"coalesce({_NODE.format(url, 1)}, '')")
+
+
+def _path(url: str) -> str:
+    return f"coalesce({_NODE.format(url, 2)}, '')"
+
+
+OP4_SQL = f"""
+WITH RECURSIVE rules(verdict, rule) AS (VALUES {", ".join(f"('{v}', '{r}')" for v, r in urlfilter.RULES)}),
+rule_parts AS (SELECT *, split_part(rule, '/', 1) AS rhost, substr(rule, strpos(rule, '/')) AS rpath FROM rules),
+tags AS (
+  SELECT url, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\\s[^>]*>')) AS t FROM pages WHERE url IS NOT NULL),
+links AS (
+  SELECT url AS src, replace(regexp_extract(t, '(?is)\\bhref\\s*=\\s*["'']?\\s*([^"''\\s>]+)', 1), '&amp;', '&') AS href FROM tags
+  WHERE regexp_matches(t, '(?is)^<link\\s.*\\brel\\s*=\\s*["'']?canonical\\b')
+  UNION ALL
+  SELECT url, replace(regexp_extract(t, '(?is)\\burl\\s*=\\s*["'']?\\s*([^"''\\s>]+)', 1), '&amp;', '&') FROM tags
+  WHERE regexp_matches(t, '(?is)^<meta\\s.*\\bhttp-equiv\\s*=\\s*["'']?refresh\\b')),
+urls AS (
+  SELECT src, CASE WHEN contains(href, '://') THEN href
+    WHEN starts_with(href, '//') THEN regexp_extract(src, '(?s)^(.*?)://', 1) || ':' || href
+    WHEN starts_with(href, '/') THEN regexp_extract(src, '(?s)^(.*?://[^/?#]*)', 1) || href
+    ELSE regexp_extract(src, '(?s)^(.*?://[^/?#]*)', 1) || coalesce(nullif(regexp_extract({_path('src')}, '(?s)^(.*/)', 1), ''), '/') || href END AS dst
+  FROM links WHERE href <> ''),
+edge AS (
+  SELECT {_host('src')} || ' ' || {_path('src')} AS a, {_host('dst')} || ' ' || {_path('dst')} AS b FROM urls),
+both_ways AS (SELECT a, b FROM edge WHERE a <> ' ' AND b <> ' ' UNION SELECT b, a FROM edge WHERE a <> ' ' AND b <> ' '),
+reach(a, b) AS (SELECT a, a FROM both_ways UNION SELECT r.a, e.b FROM reach r JOIN both_ways e ON r.b = e.a),
+judged AS (
+  SELECT n.node, arg_max(verdict, length(rule) * 2 + CAST(verdict = 'allow' AS INTEGER)) AS verdict
+  FROM (SELECT DISTINCT b AS node FROM reach) n JOIN rule_parts
+    ON (split_part(n.node, ' ', 1) = rhost OR ends_with(split_part(n.node, ' ', 1), '.' || rhost))
+    AND starts_with(substr(n.node, strpos(n.node, ' ') + 1), rpath) GROUP BY n.node),
+spread AS (
+  SELECT a FROM reach JOIN judged ON b = node GROUP BY a
+  HAVING count(*) FILTER (verdict = 'block') > 0 AND count(*) FILTER (verdict = 'allow') = 0),
+p AS (SELECT page_id, {_host('url')} AS host, {_path('url')} AS path, row_number() OVER () AS k FROM pages),
+fit AS (
+  SELECT k, max_by(rule, length(rule) * 2 + CAST(verdict = 'allow' AS INTEGER)) AS rule,
+    max_by(verdict, length(rule) * 2 + CAST(verdict = 'allow' AS INTEGER)) AS verdict
+  FROM p JOIN rule_parts ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY k)
+SELECT p.page_id, p.host, p.path, fit.rule,
+  coalesce(fit.verdict, CASE WHEN spread.a IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict,
+  spread.a IS NOT NULL AS alias_blocked
+FROM p LEFT JOIN fit USING (k) LEFT JOIN spread ON spread.a = p.host || ' ' || p.path
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op2_resharding": op2_resharding,
+    "op3_decontamination": op3_decontamination,
+    "op4_url_filter": op4_url_filter,
+    "op7_html_extraction": op7_html_extraction,
     "op9_language_id": op9_language_id,
     "op10_exact_top_k": op10_exact_top_k,
 }
-ORACLES: dict[str, str] = {"op10_exact_top_k": OP10_SQL}
+ORACLES: dict[str, str] = {"op4_url_filter": OP4_SQL, "op10_exact_top_k": OP10_SQL}
