@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html, langid, packing, sharding, topk, urlfilter
+from . import decontaminate, html, langid, ngram_join, packing, sharding, topk, urlfilter
 from .common import need, read_documents
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -42,6 +42,12 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge_urls(pages)
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 5-word shingle sets have a Jaccard similarity of 0.8 or more."""
+    docs = need(read_documents(spark, sf_dir), "doc_id", "text")
+    return ngram_join.near_classes(docs).drop("key")
+
+
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page after site-template removal."""
     pages = need(spark.read.parquet(f"{sf_dir}/pages.parquet"), "page_id", "url", "html")
@@ -133,6 +139,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_resharding": op2_resharding,
     "op3_decontamination": op3_decontamination,
     "op4_url_filter": op4_url_filter,
+    "op5_ngram_join": op5_ngram_join,
     "op7_html_extraction": op7_html_extraction,
     "op9_language_id": op9_language_id,
     "op10_exact_top_k": op10_exact_top_k,
