@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html, langid, ngram_join, packing, sharding, topk, urlfilter
+from . import decontaminate, html, langid, ngram_join, packing, sharding, substrings, topk, urlfilter
 from .common import need, read_documents
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -54,6 +54,12 @@ def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract_text(pages).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words left after removing windows of 13 words that also start in a document with a smaller id."""
+    docs = need(read_documents(spark, sf_dir), "doc_id", "text")
+    return substrings.remove_repeats(docs, keep_text=False)
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learnt from rows that are not held out."""
     docs = need(read_documents(spark, sf_dir), "doc_id", "text", "lang")
@@ -70,12 +76,12 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP10_SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, x -> floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
   WHERE embedding IS NOT NULL
-    AND len(list_filter(embedding, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0),
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
 s AS (
   SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
-    CAST(list_sum(list_transform(list_zip(q.e, c.e), p -> p[1] * p[2])) AS BIGINT) AS score
+    CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
   FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e)
   WHERE q.vec_id % 50 = 0),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
@@ -134,6 +140,47 @@ SELECT p.page_id, p.host, p.path, fit.rule,
 FROM p LEFT JOIN fit USING (k) LEFT JOIN spread ON spread.a = p.host || ' ' || p.path
 """
 
+OP5_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, row_number() OVER () AS k,
+    list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'),
+                lambda x: x <> '') AS words FROM documents),
+g AS (
+  SELECT k, doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))) END AS grams FROM w),
+sized AS (SELECT k, doc_id, len(grams) AS n, list_sort(grams) AS grams FROM g),
+cls AS (SELECT grams, min(k) AS rep, min(n) AS n FROM sized WHERE n > 0 GROUP BY grams),
+gram AS (SELECT rep, n, unnest(grams) AS gram FROM cls),
+pair AS (
+  SELECT a.rep AS a, b.rep AS b, a.n AS na, b.n AS nb, count(*) AS shared FROM gram a JOIN gram b ON a.gram = b.gram AND a.rep <> b.rep
+  GROUP BY ALL),
+link AS (SELECT a, b FROM pair WHERE 100 * shared >= 80 * (na + nb - shared)),
+reach(a, b) AS (SELECT rep, rep FROM cls UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a),
+member AS (SELECT s.k, s.doc_id, c.rep FROM sized s JOIN cls c ON s.grams = c.grams WHERE s.n > 0),
+low AS (SELECT r.a AS rep, min(m.doc_id) AS low FROM reach r JOIN member m ON m.rep = r.b GROUP BY r.a)
+SELECT s.doc_id, CAST(s.n AS BIGINT) AS n_shingles, coalesce(low.low, s.doc_id) AS component_id
+FROM sized s LEFT JOIN member m ON m.k = s.k LEFT JOIN low ON low.rep = m.rep
+"""
+
+OP8_SQL = r"""
+WITH w AS (
+  SELECT doc_id, row_number() OVER () AS k, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
+  FROM documents),
+win AS (
+  SELECT k, doc_id, s, array_to_string(words[s:s + 12], ' ') AS win
+  FROM (SELECT k, doc_id, words, unnest(range(1, len(words) - 11)) AS s FROM w)),
+low AS (SELECT win, min(doc_id) AS low FROM win GROUP BY win),
+hit AS (SELECT k, s FROM win JOIN low USING (win) WHERE low < doc_id),
+gone AS (SELECT DISTINCT k, unnest(range(s, s + 13)) AS p FROM hit),
+per AS (SELECT k, list(p) AS ps FROM gone GROUP BY k),
+kept AS (
+  SELECT doc_id, words, coalesce(len(ps), 0) AS n_removed,
+    CASE WHEN ps IS NULL THEN words ELSE list_transform(list_filter(list_zip(words, range(1, len(words) + 1)), lambda z: NOT list_contains(ps, z[2])), lambda z: z[1]) END AS rest
+  FROM w LEFT JOIN per USING (k))
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(n_removed AS BIGINT) AS n_removed,
+  sha256(array_to_string(rest, ' ')) AS kept_sha256 FROM kept
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_resharding": op2_resharding,
@@ -141,7 +188,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_url_filter": op4_url_filter,
     "op5_ngram_join": op5_ngram_join,
     "op7_html_extraction": op7_html_extraction,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_language_id": op9_language_id,
     "op10_exact_top_k": op10_exact_top_k,
 }
-ORACLES: dict[str, str] = {"op4_url_filter": OP4_SQL, "op10_exact_top_k": OP10_SQL}
+ORACLES: dict[str, str] = {"op4_url_filter": OP4_SQL, "op5_ngram_join": OP5_SQL, "op8_substring_dedup": OP8_SQL,
+                           "op10_exact_top_k": OP10_SQL}
