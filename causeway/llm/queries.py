@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html, langid, ngram_join, packing, sharding, substrings, topk, urlfilter
+from . import decontaminate, html, langid, ngram_join, packing, secrets, sharding, substrings, topk, urlfilter
 from .common import need, read_documents
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -48,6 +48,12 @@ def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_classes(docs).drop("key")
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents that the random forest confirms."""
+    docs = need(read_documents(spark, sf_dir), "doc_id", "text")
+    return secrets.find_secrets(docs, secrets.train_forest(secrets.labelled_findings(docs)))
+
+
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page after site-template removal."""
     pages = need(spark.read.parquet(f"{sf_dir}/pages.parquet"), "page_id", "url", "html")
@@ -187,6 +193,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontamination": op3_decontamination,
     "op4_url_filter": op4_url_filter,
     "op5_ngram_join": op5_ngram_join,
+    "op6_secret_scan": op6_secret_scan,
     "op7_html_extraction": op7_html_extraction,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_language_id": op9_language_id,
