@@ -31,69 +31,90 @@ NUMBER_UNIT = re.compile(r"[+\-−]?[$€£¥]?\d[\d.,:/'\-−]*([^\W\d_]{1,3}|[
 OUTER = re.compile(r"^[^\w$€£¥+\-−]+|[^\w%°$€£¥]+$")
 
 WORD, NUM, NAME, UNIT, SKIP = range(5)
+UNIT_BIT, ENDS_BIT = 8, 16
+ENDS = ".,!?:;"
+UNIT_WORDS = frozenset(u.encode() for u in UNITS)
 _PLACEHOLDER = {k: xxhash.xxh3_64_intdigest(f"<{k}>".encode()) for k in (NUM, NAME, UNIT)}
-KEPT = 300_000
+KEPT = 500_000
+_WORKER: list = []
+
+
+def worker_words() -> TemplateWords:
+    """The words a Python worker keeps over its tasks (bounded)."""
+    if not _WORKER:
+        _WORKER.append(TemplateWords())
+    return _WORKER[0]
 
 
 class TemplateWords(dict):
-    """A word's row in the tables: literal code, kind, unit flag, ends-a-sentence flag."""
+    """A word's row in the tables: literal code, and kind with a unit and an ends-a-sentence bit."""
 
     def __init__(self):
         super().__init__()
         self.code = np.zeros(1024, np.uint64)
-        self.kind = np.zeros(1024, np.int8)
-        self.unit = np.zeros(1024, bool)
-        self.ends = np.zeros(1024, bool)
+        self.flag = np.zeros(1024, np.uint8)
 
     def __missing__(self, word: bytes) -> int:
         at = len(self)
         if at == len(self.code):
-            for name in ("code", "kind", "unit", "ends"):
-                a = getattr(self, name)
-                setattr(self, name, np.concatenate([a, np.zeros_like(a)]))
-        text = word.decode("utf-8", "replace")
-        core = OUTER.sub("", text).strip("_").lstrip("-−+") if not text[:1].isdigit() else OUTER.sub("", text)
-        low = core.lower()
-        if not any(c.isalnum() for c in low) and low not in UNITS:
-            kind = SKIP
-        elif NUMBER.match(core) or NUMBER_UNIT.match(core):
-            kind = NUM
-        elif core[0].isupper():
-            kind = NAME
+            self.code = np.concatenate([self.code, np.zeros_like(self.code)])
+            self.flag = np.concatenate([self.flag, np.zeros_like(self.flag)])
+        if word.isalpha():  # letters of ASCII alone
+            low, flag = word.lower(), WORD if word[0] >= 97 else NAME
         else:
-            kind = WORD
-        self.code[at] = xxhash.xxh3_64_intdigest(low.encode("utf-8", "replace"))
-        self.kind[at] = kind
-        self.unit[at] = low in UNITS
-        self.ends[at] = text.rstrip("\"'”’»)]*#$%&")[-1:] in (".", "!", "?", ":", ";")
+            low, flag = self._other(word.decode("utf-8", "replace"))
+        self.code[at] = xxhash.xxh3_64_intdigest(low)
+        self.flag[at] = flag | UNIT_BIT if low in UNIT_WORDS else flag
         self[word] = at
         return at
 
+    @staticmethod
+    def _other(text: str) -> tuple[bytes, int]:
+        head = text.rstrip(ENDS) if text[-1] in ENDS else text
+        if head.isalpha():
+            core = head
+        else:
+            core = OUTER.sub("", text).strip("_")
+            core = core if core[:1].isdigit() else core.lstrip("-−+") if not NUMBER.match(core) else core
+        low = core.lower()
+        if not any(c.isalnum() for c in low) and low.encode() not in UNIT_WORDS:
+            kind = SKIP
+        elif core[:1].isalpha():
+            kind = NAME if core[0].isupper() else WORD
+        else:
+            kind = NUM if NUMBER.match(core) or NUMBER_UNIT.match(core) else WORD
+        ends = text.rstrip("\"'”’»)]*#$%&|")[-1:] in (".", "!", "?", ":", ";")
+        return low.encode("utf-8", "replace"), kind | (ENDS_BIT if ends else 0)
+
     def template(self, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(template codes, literal codes, is-placeholder) of a whole text's tokens."""
         words = text.split()
-        if len(self) > KEPT:
-            self.clear()
         parts = []
         for lo in range(0, len(words), KEPT):
-            if len(self) > 2 * KEPT:
+            if len(self) > KEPT:
                 self.clear()
             at = np.fromiter(map(self.__getitem__, words[lo:lo + KEPT]), np.int64, min(KEPT, len(words) - lo))
-            parts.append((self.code[at], self.kind[at], self.unit[at], self.ends[at]))
+            parts.append((self.code[at], self.flag[at]))
         if not parts:
             e = np.empty(0, np.uint64)
             return e, e, np.empty(0, bool)
-        code, kind, unit, ends = parts[0] if len(parts) == 1 else [np.concatenate(x) for x in zip(*parts, strict=True)]
-        first = np.concatenate([[True], ends[:-1]])  # starts a sentence: a capital says nothing
-        kind = np.where((kind == NAME) & first, WORD, kind)
+        code, flag = parts[0] if len(parts) == 1 else [np.concatenate(x) for x in zip(*parts, strict=True)]
+        kind, unit = flag & 7, (flag & UNIT_BIT) > 0
+        kind[1:][(kind[1:] == NAME) & ((flag[:-1] & ENDS_BIT) > 0)] = WORD  # a capital that begins a sentence
+        if kind[0] == NAME:
+            kind[0] = WORD
         keep = kind != SKIP
-        code, kind, unit = code[keep], kind[keep], unit[keep]
-        after = np.concatenate([[False], kind[:-1] == NUM])
-        kind = np.where(unit & after, UNIT, kind)
+        if not keep.all():
+            code, kind, unit = code[keep], kind[keep], unit[keep]
+        if unit.any():
+            kind[1:][unit[1:] & (kind[:-1] == NUM)] = UNIT
+        slot = kind != WORD
+        if not slot.any():
+            return code, code, slot
         template = code.copy()
         for k, v in _PLACEHOLDER.items():
             template[kind == k] = np.uint64(v)
-        return template, code, kind != WORD
+        return template, code, slot
 
 
 def _windows(template, slot, width: int, least_words: int):
@@ -111,7 +132,7 @@ def _rows_of(width: int, own: bool, wanted: np.ndarray | None, widths: list[int]
     schema = pa.schema([("id", pa.int64()), ("row", pa.int64()), ("n", pa.int32()), ("pos", pa.int32()), ("h", pa.int64()), ("slots", pa.list_(pa.int64()))])
 
     def run(batches):
-        words = TemplateWords()
+        words = worker_words()
         for batch in batches:
             ids, rows = batch.column(id_col).to_pylist(), longs(batch, "__row", 0).tolist()
             out = []
