@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import column_bytes, longs, row_key, window_hashes
+from .common import column_bytes, fresh, longs, row_key, window_hashes
 
 # Unit words (singular and plural, signs), in English, German, French and Spanish.
 UNITS = frozenset("""% ° °c °f mm cm dm m km inch inches in foot feet ft yard yards mile miles mg g kg t gram grams kilogram kilograms ton tons
@@ -217,7 +217,8 @@ PAIR = ("b", "d")
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that leak no benchmark item, with all their columns."""
-    bad = find_leaks(docs, benchmark, id_col=id_col, text_col=text_col, **options).select(F.col("row").alias("__leak")).distinct()
-    return (docs.withColumn("__key", row_key(id_col, text_col)).join(bad, F.col("__key") == F.col("__leak"), "left_anti").drop("__key"))
+    key, mark = fresh(docs, "__key"), fresh(docs, "__leak")
+    bad = find_leaks(docs, benchmark, id_col=id_col, text_col=text_col, **options).select(F.col("row").alias(mark)).distinct()
+    return docs.withColumn(key, row_key(id_col, text_col)).join(bad, F.col(key) == F.col(mark), "left_anti").drop(key)
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import column_bytes
+from .common import column_bytes, fresh
 
 UNDETERMINED = "und"
 BITS = 15
@@ -163,13 +163,13 @@ def labelled_sample(rows: DataFrame, per_language: int, id_col: str = "doc_id",
     return [texts[i] for i in order], [langs[i] for i in order]
 
 
-def _scorer(model: LanguageModel, names: list[str]):
+def _scorer(model: LanguageModel, names: list[str], text_name: str):
     table, k = model.table, len(model.labels)
 
     def run(batches):
         for batch in batches:
             preds, scores, rejects = [], [], []
-            for text in column_bytes(batch, "__text"):
+            for text in column_bytes(batch, text_name):
                 total, n = np.zeros(k), 0
                 text = (text or b"").decode("utf-8", "replace")
                 for at in range(0, len(text), CHARS_AT_ONCE):
@@ -202,10 +202,10 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", keep
     * an empty table gives an empty result; a model without labels answers ``und``;
     * columns of ``docs`` named like an output column are replaced."""
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score", "rejected")]
-    src = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").cast("binary").alias("__text"))
+    src = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").cast("binary").alias(fresh(docs, "__text")))
     schema = T.StructType([src.schema[c] for c in keep] + [
         T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
-    return src.mapInArrow(_scorer(model, keep), schema)
+    return src.mapInArrow(_scorer(model, keep, src.columns[-1]), schema)
 
 
 def held_out(col="doc_id"):

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordCodes, column_bytes, grouped_stream, longs, mixed, row_key, shuffle_width, window_hashes, write_shared
+from .common import WordCodes, column_bytes, fresh, grouped_stream, mixed, row_key, shuffle_width, window_hashes, write_shared
 from .components import connected_components
 
 HELD = 1_500_000
@@ -396,9 +396,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
 
     Rows without words are no one's copies and all stay, as do rows with a null id (they cannot be told apart)."""
     classes = near_classes(docs, id_col=id_col, text_col=text_col, **options)
+    key, mark = fresh(docs, "__key"), fresh(docs, "__stay")
     stay = (classes.filter(F.col("doc_id").isNotNull() & (F.col("doc_id") == F.col("component_id")) & (F.col("n_shingles") > 0))
-            .groupBy("component_id").agg(F.min("key").alias("__stay")).select("__stay"))
-    keyed = docs.withColumn("__key", row_key(id_col, text_col))
-    kept = keyed.join(stay, F.col("__key") == F.col("__stay"), "left_semi").dropDuplicates(["__key"])
+            .groupBy("component_id").agg(F.min("key").alias(mark)).select(mark))
+    keyed = docs.withColumn(key, row_key(id_col, text_col))
+    kept = keyed.join(stay, F.col(key) == F.col(mark), "left_semi").dropDuplicates([key])
     wordless = keyed.filter(F.col(id_col).isNull() | ~F.coalesce(F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
-    return kept.unionByName(wordless).drop("__key")
+    return kept.unionByName(wordless).drop(key)

@@ -16,6 +16,8 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 ASSIGNED = r"(?:[pP]assword|PASSWORD|[pP]asswd|PASSWD|pwd|PWD|[sS]ecret|SECRET)[\"']?\s{0,3}[=:]\s{0,3}[\"']?"
 CANDIDATE = (r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[A-Za-z0-9+/=\s:,.-]*?-----END [A-Z ]{0,40}PRIVATE KEY-----"
              r"|" + ASSIGNED + r"[^\s\"',;]{6,}"
@@ -116,11 +118,13 @@ def labelled_findings(docs: DataFrame, rows: int = 600, id_col: str = "doc_id",
 
 
 def train_forest(findings: DataFrame, trees: int = 15, depth: int = 6, threshold: float = 0.5, seed: int = 7, dictionary=DICTIONARY) -> Forest:
-    """Random forest over labelled findings (l, v, r, label).  The driver gets the trees alone."""
+    """Random forest over labelled findings (l, v, r, label).  The driver gets the trees alone; without findings, none is confirmed."""
     sql = feature_sql(dictionary)
     rows = (findings.filter("v IS NOT NULL AND length(v) > 0")
             .select(F.struct(F.coalesce("l", F.lit("")).alias("l"), "v", F.coalesce("r", F.lit("")).alias("r")).alias("x"), F.col("label").cast("double").alias("label"))
             .select(array_to_vector(F.expr(f"array({', '.join(sql.values())})").cast("array<double>")).alias("features"), "label"))
+    if rows.isEmpty():
+        return Forest(["0.0D"], threshold, list(sql))  # nothing to learn from: nothing is confirmed
     model = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="sqrt", maxMemoryInMB=64).fit(rows)
     return Forest([_tree_sql(t._call_java("rootNode")) for t in model.trees], threshold, list(sql))
 
@@ -169,9 +173,11 @@ def redact(docs: DataFrame, forest: Forest, text_col: str = "text", mark: str =
     """``docs`` with every confirmed secret in the text replaced by ``mark``; all rows and columns stay.
 
     Null and empty texts stay as they are; names before an assigned value stay."""
+    taken = [c for c in docs.columns if c.lower() in ("__gaps", "__found", "__hits", "__m")]
+    names, inner = docs.columns, docs.withColumnsRenamed({c: fresh(docs, c) for c in taken})
     hits = F.regexp_extract_all(F.col(f"`{text_col}`"), F.lit(CANDIDATE), F.lit(0))
-    rows = scanned(docs, forest, text_col).withColumn("__m", hits)
+    rows = scanned(inner, forest, text_col).withColumn("__m", hits)
     new = F.expr(f"concat(array_join(transform(__found, x -> concat(__gaps[x.i], if(x.score >= {forest.threshold!r}D, concat(x.key, {_quoted(mark)}), __m[x.i]))), ''), "
                  "element_at(__gaps, -1))")
     clean = F.when(F.exists("__found", lambda x: x["score"] >= forest.threshold), new).otherwise(F.col(f"`{text_col}`"))
-    return rows.withColumn(text_col, clean).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return rows.withColumn(text_col, clean).select(*[F.col(f"`{c}`").alias(n) for c, n in zip(inner.columns, names, strict=True)])
