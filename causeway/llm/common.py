@@ -4,14 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from causeway.session import shared_path
 
-CODES_KEPT = 400_000
-
 
 def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -29,20 +26,6 @@ def shuffle_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-class WordCodes(dict):
-    """64-bit hash of a word (bytes).  Keeps up to ``CODES_KEPT`` words; beyond that it only
-    computes, so memory stays bounded and the codes are the same."""
-
-    def __missing__(self, word: bytes) -> int:
-        code = xxhash.xxh3_64_intdigest(word)
-        if len(self) < CODES_KEPT:
-            self[word] = code
-        return code
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 _S32 = np.uint64(32)

@@ -6,9 +6,11 @@ similarity of their sets reaches the threshold.
 1. Equal sets are one class: a fingerprint of the set names it, so copies cost nothing further.
 2. Candidates: all sets are brought into one global order of n-grams, rare before frequent.  Sets that
    link must share an n-gram among their first n - ceil(t * n) + 1.  The tasks send (n-gram, class) of these
-   prefixes to hash buckets, once per n-gram and task, and get stars of classes back; components of the stars
-   are the groups that can contain links.  The order rests on a bounded list of frequent n-grams; results do
-   not depend on the list, only the number of candidates does.
+   prefixes to hash buckets, which answer with the lists of classes that share one.  The order rests on a bounded list of
+   frequent n-grams; results do not depend on the list, only the number of candidates does.
+   Within a list, classes are compared by a parity bitmap of about one bit per n-gram: the bits in which two bitmaps
+   differ are a lower bound of the n-grams in which the sets differ, so no link is lost, while texts that merely share a passage
+   part here.  Components of the pairs that remain are the groups that can contain links.
 3. Verification: the sets of a group are stored in a trie, n-grams that most of them share first.  Each
    set traverses the trie; the overlap with a shared path is counted once for all sets below it, and a subtree is left
    as soon as the remaining lengths cannot reach the threshold.  Sets found are taken out of the trie: only their
@@ -26,20 +28,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordCodes, column_bytes, fresh, grouped_stream, mixed, row_key, shuffle_width, window_hashes, write_shared
+from .common import fresh, grouped_stream, mixed, row_key, shuffle_width, window_hashes, write_shared
 from .components import connected_components
+from .words import batch_codes, word_codes
 
 HELD = 1_500_000
 LOCAL_OFTEN = 3
 
 
-def shingle_set(text: bytes | None, codes: WordCodes, width: int) -> np.ndarray:
-    """Sorted distinct hashes of a text's word n-grams; a shorter text is one n-gram; no words: empty."""
-    words = (text or b"").lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    c = codes.of(words)
-    return np.unique(window_hashes(c, width if len(c) >= width else len(c)))
+def distinct(h: np.ndarray) -> np.ndarray:
+    h = np.sort(h)
+    keep = np.empty(len(h), bool)
+    keep[:1] = True
+    np.not_equal(h[1:], h[:-1], out=keep[1:])
+    return h[keep]
+
+
+def set_of(codes: np.ndarray, width: int) -> np.ndarray:
+    """Sorted distinct hashes of the word n-grams; fewer words are one n-gram; no words: empty."""
+    return distinct(window_hashes(codes, width if len(codes) >= width else len(codes))) if len(codes) else codes
+
+
+def shingle_set(text: bytes | None, width: int) -> np.ndarray:
+    return set_of(word_codes(text or b"", True), width)
 
 
 def fingerprint(s: np.ndarray) -> int:
@@ -64,15 +75,15 @@ def local_counts(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _often_rows(width: int):
     def run(batches):
-        codes, held, size = WordCodes(), [], 0
+        held, size = [], 0
 
         def out():
             u, n = local_counts(np.concatenate(held))
             return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
 
         for batch in batches:
-            for text in column_bytes(batch, "__text"):
-                s = shingle_set(text, codes, width)
+            for codes in batch_codes(batch, "__text", True):
+                s = set_of(codes, width)
                 held.append(s)
                 size += len(s)
                 if size >= HELD:
@@ -112,47 +123,29 @@ class Order:
         return np.concatenate([rare, late[:length - len(rare)]])
 
 
-def stars(h: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(n-gram, its smallest class) and the edges (class, smallest class) of the same n-gram."""
-    order = np.lexsort((c, h))
-    h, c = h[order], c[order]
-    first = np.concatenate([[True], h[1:] != h[:-1]])
-    low = c[first][np.cumsum(first) - 1]
-    other = c != low
-    edges = np.unique(np.stack([c[other], low[other]], axis=1), axis=0) if other.any() else np.empty((0, 2), np.int64)
-    return h[first], c[first], edges[:, 0], edges[:, 1]
-
-
-def _pair_batch(kind, bucket, a, b):
-    return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(bucket, pa.int32()), pa.array(a, pa.binary()), pa.array(b, pa.binary())],
-                                      ["kind", "bucket", "a", "b"])
-
-
-PAYLOAD = "kind int, bucket int, a binary, b binary"
+PAYLOAD = "bucket int, h binary, c binary"
+LIST_BLOCK = 10_000
 
 
 def send(h: np.ndarray, c: np.ndarray, buckets: int):
-    """Payload rows of a task: its own stars' edges, and one (n-gram, class) per n-gram by bucket."""
-    h, c, x, y = stars(h, c)
-    if len(x):
-        yield _pair_batch([1], [int(x[0] % buckets)], [x.tobytes()], [y.tobytes()])
+    """Payload rows of a task: its (n-gram, class) pairs by bucket."""
     bucket = (mixed(h) % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     h, c, bucket = h[order], c[order], bucket[order]
     cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
     for lo in range(0, len(cut) - 1, 256):
-        part = range(lo, min(lo + 256, len(cut) - 1))
-        yield _pair_batch([0] * len(part), [int(bucket[cut[i]]) for i in part], [h[cut[i]:cut[i + 1]].tobytes() for i in part],
-                          [c[cut[i]:cut[i + 1]].tobytes() for i in part])
+        part = [(cut[i], cut[i + 1]) for i in range(lo, min(lo + 256, len(cut) - 1))]
+        yield pa.RecordBatch.from_arrays([pa.array([int(bucket[a]) for a, _ in part], pa.int32()), pa.array([h[a:b].tobytes() for a, b in part], pa.binary()),
+                                          pa.array([c[a:b].tobytes() for a, b in part], pa.binary())], ["bucket", "h", "c"])
 
 
 def _prefix_rows(width: int, num: int, den: int, often: np.ndarray, buckets: int):
     def run(batches):
-        codes, order, hs, cs, size = WordCodes(), Order(often), [], [], 0
+        order, hs, cs, size = Order(often), [], [], 0
         seen: set[int] = set()
         for batch in batches:
-            for text in column_bytes(batch, "__text"):
-                s = shingle_set(text, codes, width)
+            for codes in batch_codes(batch, "__text", True):
+                s = set_of(codes, width)
                 if not len(s):
                     continue
                 f = fingerprint(s)
@@ -173,28 +166,117 @@ def _prefix_rows(width: int, num: int, den: int, often: np.ndarray, buckets: int
     return run
 
 
-def _bucket_edges(batches):
-    for _, g in grouped_stream(batches, "bucket", ["kind", "a", "b"]):
-        parts = {0: ([], []), 1: ([], [])}
-        for kind, a, b in zip(g["kind"], g["a"], g["b"], strict=True):
-            parts[kind][0].append(np.frombuffer(a, np.uint64 if kind == 0 else np.int64))
-            parts[kind][1].append(np.frombuffer(b, np.int64))
-        out = [(np.concatenate(parts[1][0]), np.concatenate(parts[1][1]))] if parts[1][0] else []
-        if parts[0][0]:
-            _, _, x, y = stars(np.concatenate(parts[0][0]), np.concatenate(parts[0][1]))
-            out.append((x, y))
-        for x, y in out:
-            if len(x):
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["a", "b"])
+def shared_lists(h: np.ndarray, c: np.ndarray):
+    """Arrays of the classes of each n-gram that several classes hold."""
+    order = np.lexsort((c, h))
+    h, c = h[order], c[order]
+    keep = np.concatenate([[True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])])
+    h, c = h[keep], c[keep]
+    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    size = np.diff(np.append(first, len(h)))
+    for a, n in zip(first[size > 1].tolist(), size[size > 1].tolist(), strict=True):
+        yield c[a:a + n]
+
+
+def _bucket_lists(batches):
+    """(unit, class): every list once; lists beyond LIST_BLOCK as pairs of blocks."""
+    seen: set[int] = set()
+
+    def out(units, classes):
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(units, [len(c) for c in classes]), pa.int64()), pa.array(np.concatenate(classes), pa.int64())], ["unit", "class"])
+
+    for _, g in grouped_stream(batches, "bucket", ["h", "c"]):
+        units, classes, size = [], [], 0
+        for c in shared_lists(np.concatenate([np.frombuffer(x, np.uint64) for x in g["h"]]), np.concatenate([np.frombuffer(x, np.int64) for x in g["c"]])):
+            name = xxhash.xxh3_64_intdigest(c.tobytes())
+            if name in seen:
+                continue
+            seen.add(name)
+            blocks = np.array_split(c, -(-len(c) // LIST_BLOCK))
+            for i in range(len(blocks)):
+                for j in range(i, len(blocks)):
+                    units.append(xxhash.xxh3_64_intdigest(f"{name}/{i}/{j}") - (1 << 63))
+                    classes.append(blocks[i] if i == j else np.concatenate([blocks[i], blocks[j]]))
+                    size += len(classes[-1])
+                    if size > 100_000:
+                        yield out(units, classes)
+                        units, classes, size = [], [], 0
+        if units:
+            yield out(units, classes)
+
+
+def bitmap(s: np.ndarray) -> bytes:
+    """Parity of the n-grams that fall on each bit; a power of two of bits, about one per n-gram."""
+    bits = 1 << min(MOST_BITS, max(6, (len(s) - 1).bit_length()))
+    return np.packbits((np.bincount((s % np.uint64(bits)).astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+MOST_BITS = 12
+
+
+def folded(words: np.ndarray, width: int) -> np.ndarray:
+    """Rows of a bitmap matrix (64-bit words) folded to ``width`` words: still parities, of fewer bits."""
+    while words.shape[1] > width:
+        half = words.shape[1] // 2
+        words = words[:, :half] ^ words[:, half:]
+    return words
+
+
+def near_by_bits(n: np.ndarray, bits: list[bytes], num: int, den: int) -> list[tuple[int, int]]:
+    """Pairs that join all sets which sizes and bitmaps do not keep apart (found sets go on as probes)."""
+    by_width: dict[int, np.ndarray] = {}
+    for w in sorted({len(b) // 8 for b in bits}):
+        by_width[w] = np.array([i for i, b in enumerate(bits) if len(b) // 8 == w])
+    words = {w: np.frombuffer(b"".join(bits[i] for i in at), np.uint64).reshape(len(at), w) for w, at in by_width.items()}
+    place = {int(i): (w, k) for w, at in by_width.items() for k, i in enumerate(at)}
+    fold: dict = {}
+    alive, out = np.ones(len(n), bool), []
+    for seed in range(len(n)):
+        if not alive[seed]:
+            continue
+        alive[seed] = False
+        probes = [seed]
+        while probes:
+            x = probes.pop()
+            wx, kx = place[x]
+            for w, at in by_width.items():
+                left = np.flatnonzero(alive[at])
+                left = left[(den * n[at[left]] >= num * n[x]) & (den * n[x] >= num * n[at[left]])]
+                if not len(left):
+                    continue
+                u = min(w, wx)
+                if (w, u) not in fold:
+                    fold[w, u] = folded(words[w], u)
+                differ = np.bitwise_count(fold[w, u][left] ^ folded(words[wx][kx:kx + 1], u)).sum(axis=1, dtype=np.int64)
+                both = n[at[left]] + n[x]
+                for y in at[left[(num + den) * (both - differ) >= 2 * num * both]].tolist():
+                    out.append((x, y))
+                    alive[y] = False
+                    probes.append(y)
+    return out
+
 
+def _list_pairs(num: int, den: int):
+    def run(batches):
+        for _, g in grouped_stream(batches, "unit", ["class", "n", "bits"]):
+            found = near_by_bits(np.array(g["n"], np.int64), g["bits"], num, den) if len(g["class"]) > 1 else []
+            if found:
+                a, b = zip(*found, strict=True)
+                c = g["class"]
+                yield pa.RecordBatch.from_arrays([pa.array([c[i] for i in a], pa.int64()), pa.array([c[i] for i in b], pa.int64())], ["a", "b"])
+
+    return run
 
-def candidate_groups(texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """(class, grp): classes that may link to another, with their group."""
+
+def candidate_groups(texts: DataFrame, classes: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """(class, grp): classes that may link to another, with their group.  ``classes``: class, n, bits."""
     often = frequent(texts, width)
     p = shuffle_width(texts.sparkSession)
     sent = texts.mapInArrow(_prefix_rows(width, num, den, often, 4 * p), PAYLOAD)
-    edges = sent.repartition(p, "bucket").sortWithinPartitions("bucket").mapInArrow(_bucket_edges, "a long, b long")
-    rooted = connected_components(edges)
+    lists = sent.repartition(p, "bucket").sortWithinPartitions("bucket").mapInArrow(_bucket_lists, "unit long, class long")
+    lists = lists.join(classes.select("class", "n", "bits"), "class")
+    pairs = lists.repartition(p, "unit").sortWithinPartitions("unit").mapInArrow(_list_pairs(num, den), "a long, b long")
+    rooted = connected_components(pairs)
     roots = rooted.select("root").distinct()
     return rooted.select(F.col("node").alias("class"), F.col("root").alias("grp")).unionByName(roots.select(F.col("root").alias("class"), F.col("root").alias("grp")))
 
@@ -316,9 +398,8 @@ def link_sets(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int
 
 def _set_rows(width: int):
     def run(batches):
-        codes = WordCodes()
         for batch in batches:
-            sets = [shingle_set(t, codes, width) for t in column_bytes(batch, "__text")]
+            sets = [set_of(c, width) for c in batch_codes(batch, "__text", True)]
             yield pa.RecordBatch.from_arrays([batch.column("grp"), batch.column("blocks"), pa.array([fingerprint(s) if len(s) else 0 for s in sets], pa.int64()),
                                               pa.array([s.tobytes() for s in sets], pa.binary())], ["grp", "blocks", "class", "set"])
 
@@ -343,13 +424,16 @@ def _unit_links(num: int, den: int):
 
 def _class_rows(width: int, names: list[str]):
     def run(batches):
-        codes = WordCodes()
         for batch in batches:
-            sets = [shingle_set(t, codes, width) for t in column_bytes(batch, "__text")]
+            sizes, classes, bits = [], [], []
+            for codes in batch_codes(batch, "__text", True):
+                s = set_of(codes, width)
+                sizes.append(len(s))
+                classes.append(fingerprint(s) if len(s) else None)
+                bits.append(bitmap(s) if len(s) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(n) for n in names] + [pa.array([len(s) for s in sets], pa.int64()),
-                                                    pa.array([fingerprint(s) if len(s) else None for s in sets], pa.int64())],
-                names + ["n_shingles", "class"])
+                [batch.column(n) for n in names] + [pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(bits, pa.binary())],
+                names + ["n_shingles", "class", "bits"])
 
     return run
 
@@ -368,12 +452,13 @@ def near_classes(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100,
     Sets are told apart by 64-bit hashes of n-grams and of whole sets."""
     texts = docs.select(F.col(f"`{id_col}`").alias("doc_id"), row_key(id_col, text_col).alias("key"),
                         F.col(f"`{text_col}`").cast("binary").alias("__text"))
-    schema = T.StructType([texts.schema["doc_id"], texts.schema["key"], T.StructField("n_shingles", T.LongType()), T.StructField("class", T.LongType())])
+    schema = T.StructType([texts.schema["doc_id"], texts.schema["key"], T.StructField("n_shingles", T.LongType()), T.StructField("class", T.LongType()),
+                           T.StructField("bits", T.BinaryType())])
     slim = write_shared(texts.mapInArrow(_class_rows(width, ["doc_id", "key"]), schema), "classes")
-    groups = write_shared(candidate_groups(texts.select("__text"), width, num, den), "groups")
-
-    one = slim.filter("class IS NOT NULL").groupBy("class").agg(F.min("key").alias("key"), F.max("n_shingles").alias("n"), F.min("doc_id").alias("low"))
+    one = slim.filter("class IS NOT NULL").groupBy("class").agg(F.min("key").alias("key"), F.max("n_shingles").alias("n"), F.min("doc_id").alias("low"), F.min("bits").alias("bits"))
     one = write_shared(one, "representatives")
+    groups = write_shared(candidate_groups(texts.select("__text"), one, width, num, den), "groups")
+
     members = one.join(groups, "class")
     sizes = members.groupBy("grp").agg(F.ceil(F.sum("n") / F.lit(unit_size)).cast("int").alias("blocks"), F.count("*").alias("m")).filter("m > 1").drop("m")
     members = members.join(sizes, "grp").select("key", "grp", "blocks")

@@ -23,7 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordCodes, column_bytes, grouped_stream, longs, mixed, row_key, shuffle_width, window_hashes, write_shared
+from .common import column_bytes, grouped_stream, longs, mixed, row_key, shuffle_width, window_hashes, write_shared
+from .words import batch_codes
 
 HELD = 1_500_000
 LOCAL_OFTEN = 3
@@ -56,10 +57,9 @@ class First:
 
     def __init__(self, levels: list[int]):
         self.width, self.span = levels[0], (levels[1] - levels[0] + 1 if len(levels) > 1 else 1)
-        self.codes = WordCodes()
 
-    def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        h = window_hashes(self.codes.of(words), self.width)
+    def of(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        h = window_hashes(codes, self.width)
         at = anchors(h, self.span)
         return at, h[at]
 
@@ -207,8 +207,8 @@ def _first_reader(levels):
     def read(batches):
         first = First(levels)
         for batch in batches:
-            for order, text in zip(longs(batch, "ord", 0).tolist(), column_bytes(batch, "__text"), strict=True):
-                yield order, first.of((text or b"").split())[1]
+            for order, codes in zip(longs(batch, "ord", 0).tolist(), batch_codes(batch, "__text"), strict=True):
+                yield order, first.of(codes)[1]
 
     return read
 
@@ -232,14 +232,13 @@ def _extend_first(levels: list[int], table: np.ndarray):
         first = First(levels)
         for batch in batches:
             starts, hashes = [], []
-            for text, hs in zip(column_bytes(batch, "__text"), batch.column("hs").to_pylist(), strict=True):
-                words = (text or b"").split()
-                at, h = first.of(words)
+            for codes, hs in zip(batch_codes(batch, "__text"), batch.column("hs").to_pylist(), strict=True):
+                at, h = first.of(codes)
                 hit = lookup(_known(hs), h)[0] | lookup(table, h)[0]
                 s = (at[hit][:, None] - np.arange(after - width + 1)).ravel()
-                s = np.unique(s[(s >= 0) & (s <= len(words) - after)])
+                s = np.unique(s[(s >= 0) & (s <= len(codes) - after)])
                 starts.append(s)
-                hashes.append(window_hashes(first.codes.of(words), after)[s] if len(s) else s.astype(np.uint64))
+                hashes.append(window_hashes(codes, after)[s] if len(s) else s.astype(np.uint64))
             yield _candidate_batch(batch, starts, hashes)
 
     return run
@@ -255,16 +254,15 @@ def _candidate_batch(batch, starts, hashes):
 def _extend(width: int, after: int, table: np.ndarray):
     """Candidates of a later level: windows whose first and last window of ``width`` words are both repeated."""
     def run(batches):
-        codes = WordCodes()
         for batch in batches:
             starts, hashes = [], []
-            for text, s, h, hs in zip(column_bytes(batch, "__text"), batch.column("starts").to_pylist(), batch.column("h").to_pylist(),
+            for codes, s, h, hs in zip(batch_codes(batch, "__text"), batch.column("starts").to_pylist(), batch.column("h").to_pylist(),
                                       batch.column("hs").to_pylist(), strict=True):
                 s, h = np.frombuffer(s, np.int32).astype(np.int64), np.frombuffer(h, np.uint64)
                 s = s[lookup(_known(hs), h)[0] | lookup(table, h)[0]]
                 s = s[np.isin(s + (after - width), s)]
                 starts.append(s)
-                hashes.append(window_hashes(codes.of((text or b"").split()), after)[s] if len(s) else s.astype(np.uint64))
+                hashes.append(window_hashes(codes, after)[s] if len(s) else s.astype(np.uint64))
             yield _candidate_batch(batch, starts, hashes)
 
     return run
