@@ -83,6 +83,55 @@ def longs(batch: pa.RecordBatch, name: str, null: int) -> np.ndarray:
     return col.fill_null(null).to_numpy(zero_copy_only=False).astype(np.int64, copy=False)
 
 
+def key_filter(keys: DataFrame, col: str, log_bits: int = 26) -> np.ndarray:
+    """Bloom filter of the longs in a column: 2^log_bits bits (8 MB), whatever the number of keys.
+
+    Tasks set bits of their own keys; segments of the bit array are combined by Spark, and the driver gets the
+    combined segments.  More keys make it pass more rows, never fewer."""
+    segment = 1 << 18
+
+    def rows(batches):
+        bits = np.zeros(1 << log_bits, bool)
+        for batch in batches:
+            for at in _places(batch.column(0).to_numpy(), log_bits):
+                bits[at] = True
+        for k in range(0, len(bits), segment):
+            if bits[k:k + segment].any():
+                yield pa.RecordBatch.from_arrays([pa.array([k // segment], pa.int32()), pa.array([np.packbits(bits[k:k + segment]).tobytes()], pa.binary())], ["segment", "bits"])
+
+    def merged(batches):
+        for k, g in grouped_stream(batches, "segment", ["bits"]):
+            both = np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for b in g["bits"]])
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([both.tobytes()], pa.binary())], ["segment", "bits"])
+
+    parts = (keys.select(col).mapInArrow(rows, "segment int, bits binary").repartition(16, "segment").sortWithinPartitions("segment")
+             .mapInArrow(merged, "segment int, bits binary").collect())
+    out = np.zeros(1 << (log_bits - 3), np.uint8)
+    for r in parts:
+        out[r["segment"] * (segment // 8):(r["segment"] + 1) * (segment // 8)] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def _places(keys: np.ndarray, log_bits: int):
+    h = mixed(keys.view(np.uint64))
+    return [(h & np.uint64((1 << log_bits) - 1)).astype(np.int64), ((h >> np.uint64(32)) & np.uint64((1 << log_bits) - 1)).astype(np.int64)]
+
+
+def passing(df: DataFrame, col: str, bits: np.ndarray) -> DataFrame:
+    """Rows of ``df`` whose key may be in the filter: a join with the keys then shuffles little else."""
+    log_bits = int(len(bits)).bit_length() + 2
+
+    def rows(batches):
+        for batch in batches:
+            keep = np.ones(batch.num_rows, bool)
+            for at in _places(batch.column(col).to_numpy(), log_bits):
+                keep &= (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+            if keep.any():
+                yield batch.filter(pa.array(keep))
+
+    return df.mapInArrow(rows, df.schema)
+
+
 def grouped_stream(batches, key: str, columns: list[str]):
     """(key, {column: list of values}) for rows that arrive sorted by ``key``."""
     now, held = None, {c: [] for c in columns}

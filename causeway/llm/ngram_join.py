@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, grouped_stream, mixed, row_key, shuffle_width, window_hashes, write_shared
+from .common import fresh, grouped_stream, key_filter, mixed, passing, row_key, shuffle_width, window_hashes, write_shared
 from .components import connected_components
 from .words import batch_codes, word_codes
 
@@ -462,7 +462,7 @@ def near_classes(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100,
     members = one.join(groups, "class")
     sizes = members.groupBy("grp").agg(F.ceil(F.sum("n") / F.lit(unit_size)).cast("int").alias("blocks"), F.count("*").alias("m")).filter("m > 1").drop("m")
     members = members.join(sizes, "grp").select("key", "grp", "blocks")
-    sets = (texts.select("key", "__text").join(members, "key").select("grp", "blocks", "__text")
+    sets = (passing(texts.select("key", "__text"), "key", key_filter(members, "key")).join(members, "key").select("grp", "blocks", "__text")
             .mapInArrow(_set_rows(width), "grp long, blocks int, class long, set binary"))
     block = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
     units = (sets.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))

@@ -3,14 +3,15 @@
 A word is removed where a window of ``length`` words covers it whose words also start in a document with a
 smaller id.  Windows are found level by level: lengths double up to ``length`` (7, 13 for 13 words; 7, 13,
 25, 50 for 50), and a window is looked at only if the windows of the level before, at its begin and at its
-end, are repeated in another document.  When no candidate survives a level, the search ends.
+end, are repeated in another document; their two hashes are its hash.  When no candidate survives a level, the search ends.
 
 The first level takes a part of the windows: of every run of consecutive windows that a window of the next level
-covers, the one with the smallest hash.  Equal text gives equal choices, so no repeat is missed.
+covers, the one with the smallest hash (its anchor).  Equal text has equal anchors, so no repeat is missed.
 
 At each level the tasks send (hash, document) to hash buckets, which answer with the repeated hashes of each
 document.  Hashes that a task meets often go on a bounded list instead, which is broadcast with the
-smallest document of each; the others cannot load a bucket.  Documents without a candidate are settled in the first scan.
+smallest document of each; the others cannot load a bucket.  Between levels only places and hashes travel.  Texts are joined with
+the answers twice, each time behind a Bloom filter of the documents that have one.
 """
 
 from __future__ import annotations
@@ -23,13 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import column_bytes, grouped_stream, longs, mixed, row_key, shuffle_width, window_hashes, write_shared
+from .common import column_bytes, grouped_stream, key_filter, longs, mixed, passing, row_key, shuffle_width, window_hashes, write_shared
 from .words import batch_codes
 
 HELD = 1_500_000
 LOCAL_OFTEN = 3
 NULL_FROM = 1 << 62  # orders from here on belong to rows without an id
 FIRST_LENGTH = 7
+PAIRED = np.uint64(0xA24BAED4963EE407)
 
 
 def level_lengths(length: int) -> list[int]:
@@ -45,23 +47,46 @@ def order_column(id_col: str, key: str):
 
 
 def anchors(h: np.ndarray, span: int) -> np.ndarray:
-    """Places of the smallest of every ``span`` consecutive hashes (the first of equal ones)."""
-    if len(h) <= span:
-        return np.array([int(h.argmin())]) if len(h) == span else np.empty(0, np.int64)
-    windows = np.lib.stride_tricks.sliding_window_view(h, span)
-    return np.unique(windows.argmin(axis=1) + np.arange(len(windows)))
+    """For every run of ``span`` consecutive hashes, the place of the smallest (the first of equal ones)."""
+    if len(h) < span:
+        return np.empty(0, np.int64)
+    low, at, have = h, np.arange(len(h)), 1
+    while have < span:  # runs of twice the length, until the run is full
+        step = min(have, span - have)
+        n = len(low) - step
+        later = low[step:] < low[:n]
+        low, at = np.where(later, low[step:], low[:n]), np.where(later, at[step:], at[:n])
+        have += step
+    return at
 
 
 class First:
-    """Level 0: chosen windows of a text as (places, hashes)."""
+    """Level 0 of a text: window hashes and, for each window of level 1, its anchor."""
 
     def __init__(self, levels: list[int]):
-        self.width, self.span = levels[0], (levels[1] - levels[0] + 1 if len(levels) > 1 else 1)
+        self.width, self.after = levels[0], levels[1] if len(levels) > 1 else levels[0]
 
-    def of(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def hashes(self, codes: np.ndarray) -> np.ndarray:
         h = window_hashes(codes, self.width)
-        at = anchors(h, self.span)
-        return at, h[at]
+        return h[np.unique(anchors(h, self.after - self.width + 1))]
+
+    def candidates(self, codes: np.ndarray, *tables: np.ndarray, but: np.ndarray | None = None):
+        """(starts, hashes) of the windows of level 1 whose anchor is in a table (and not in ``but``)."""
+        h = window_hashes(codes, self.width)
+        own = h[anchors(h, self.after - self.width + 1)]
+        hit = np.zeros(len(own), bool)
+        for t in tables:
+            hit |= lookup(t, own)[0]
+        if but is not None:
+            hit &= ~lookup(but, own)[0]
+        s = np.flatnonzero(hit)
+        return s, doubled(h, self.width, self.after)[s] if len(s) else h[:0]
+
+
+def doubled(h: np.ndarray, width: int, after: int) -> np.ndarray:
+    """Hashes of windows of ``after`` words from those of ``width`` words, one per start: begin and end windows."""
+    d = after - width
+    return h if not d else mixed(h[:-d] * PAIRED + h[d:])
 
 
 def lookup(table: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -108,15 +133,13 @@ def _often_rows(reader):
     return run
 
 
-def often(rows: DataFrame, reader, kept: int = 250_000) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes, and the smallest order of each: the most frequent ones that several documents hold.
-
-    ``lo`` is taken over the chunks where a hash is frequent; :func:`_least` makes it the smallest of all."""
+def often(rows: DataFrame, reader, least: bool, kept: int = 250_000) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes, and with ``least`` the smallest order of each: the most frequent ones that several documents hold."""
     found = (rows.mapInArrow(_often_rows(reader), "h long, n long, lo long, hi long").groupBy("h")
              .agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo < hi")
              .orderBy(F.col("n").desc(), "h").limit(kept).select("h").toArrow())
     h = np.sort(found.column("h").to_numpy().view(np.uint64))
-    if not len(h):
+    if not len(h) or not least:
         return h, np.empty(0, np.int64)
     least = rows.mapInArrow(_least(reader, h), "at int, lo long").groupBy("at").agg(F.min("lo").alias("lo")).toArrow()
     lo = np.full(len(h), np.iinfo(np.int64).max)
@@ -139,18 +162,11 @@ def _least(reader, table: np.ndarray):
 
 # buckets ------------------------------------------------------------------------------------------------
 
-def _send(reader, table: np.ndarray, buckets: int, tell: bool):
-    """Rows (kind, bucket, h, o): pairs whose hash is not on the list; with ``tell`` also the orders that hold listed ones."""
-    def rows(kind, bucket, h, o):
-        return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(bucket, pa.int32()), pa.array(h, pa.binary()), pa.array(o, pa.binary())],
-                                          ["kind", "bucket", "h", "o"])
-
+def _send(reader, table: np.ndarray, buckets: int):
+    """Rows (bucket, h, o): pairs whose hash is not on the list."""
     def run(batches):
         for h, o in _pairs(reader(batches)):
             hit, _ = lookup(table, h)
-            if tell and hit.any():
-                known = np.unique(o[hit])
-                yield rows([1], [int(known[0] % buckets)], [b""], [known.tobytes()])
             h, o = h[~hit], o[~hit]
             bucket = (mixed(h) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
@@ -158,47 +174,38 @@ def _send(reader, table: np.ndarray, buckets: int, tell: bool):
             cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])) if len(h) else np.zeros(1, np.int64)
             for lo in range(0, len(cut) - 1, 256):
                 part = [(cut[i], cut[i + 1]) for i in range(lo, min(lo + 256, len(cut) - 1))]
-                yield rows([0] * len(part), [int(bucket[a]) for a, _ in part], [h[a:b].tobytes() for a, b in part], [o[a:b].tobytes() for a, b in part])
+                yield pa.RecordBatch.from_arrays([pa.array([int(bucket[a]) for a, _ in part], pa.int32()), pa.array([h[a:b].tobytes() for a, b in part], pa.binary()),
+                                                  pa.array([o[a:b].tobytes() for a, b in part], pa.binary())], ["bucket", "h", "o"])
 
     return run
 
 
 def _answer(smaller_only: bool):
-    """Per bucket: (order, its hashes that another document holds as well / that a smaller one holds)."""
+    """Per bucket: (order, hash) of hashes that another document holds as well / that a smaller one holds."""
     def run(batches):
-        for _, g in grouped_stream(batches, "bucket", ["kind", "h", "o"]):
-            told = [np.frombuffer(o, np.int64) for k, o in zip(g["kind"], g["o"], strict=True) if k == 1]
-            if told:
-                known = np.unique(np.concatenate(told))
-                yield pa.RecordBatch.from_arrays([pa.array(known), pa.array([b""] * len(known), pa.binary())], ["ord", "hs"])
-            sent = [(h, o) for k, h, o in zip(g["kind"], g["h"], g["o"], strict=True) if k == 0]
-            if not sent:
-                continue
-            h, o, first, n = _sorted_groups(np.concatenate([np.frombuffer(x, np.uint64) for x, _ in sent]),
-                                            np.concatenate([np.frombuffer(x, np.int64) for _, x in sent]))
+        for _, g in grouped_stream(batches, "bucket", ["h", "o"]):
+            h, o, first, n = _sorted_groups(np.concatenate([np.frombuffer(x, np.uint64) for x in g["h"]]),
+                                            np.concatenate([np.frombuffer(x, np.int64) for x in g["o"]]))
             lo, hi = np.repeat(o[first], n), np.repeat(o[first + n - 1], n)
             keep = (lo < o) & (lo < NULL_FROM) if smaller_only else lo < hi
             h, o = h[keep], o[keep]
-            order = np.lexsort((h, o))
-            h, o = h[order], o[order]
-            cut = np.flatnonzero(np.concatenate([[True], o[1:] != o[:-1], [True]])) if len(o) else np.zeros(1, np.int64)
-            if len(cut) > 1:
-                yield pa.RecordBatch.from_arrays([pa.array(o[cut[:-1]]), pa.array([h[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())],
-                                                 ["ord", "hs"])
+            for at in range(0, len(h), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(o[at:at + 50_000]), pa.array(h[at:at + 50_000].view(np.int64))], ["ord", "hash"])
 
     return run
 
 
-def repeated(rows: DataFrame, reader, table: np.ndarray, smaller_only: bool, tell: bool) -> DataFrame:
-    """(ord, hs): for each document the buckets' answers as an array of binaries."""
+def repeated(rows: DataFrame, reader, table: np.ndarray, smaller_only: bool) -> DataFrame:
+    """(ord, hs): for each document the repeated hashes that are not on the list."""
     p = shuffle_width(rows.sparkSession)
-    return (rows.mapInArrow(_send(reader, table, 4 * p, tell), "kind int, bucket int, h binary, o binary")
-            .repartition(p, "bucket").sortWithinPartitions("bucket").mapInArrow(_answer(smaller_only), "ord long, hs binary")
-            .groupBy("ord").agg(F.collect_list("hs").alias("hs")))
+    return (rows.mapInArrow(_send(reader, table, 4 * p), "bucket int, h binary, o binary")
+            .repartition(p, "bucket").sortWithinPartitions("bucket").mapInArrow(_answer(smaller_only), "ord long, hash long")
+            .groupBy("ord").agg(F.collect_list("hash").alias("hs")))
 
 
 def _known(hs) -> np.ndarray:
-    return np.sort(np.concatenate([np.empty(0, np.uint64), *[np.frombuffer(x, np.uint64) for x in hs or [] if x]]))
+    """Sorted hashes of an Arrow list of longs (or nothing)."""
+    return np.sort(np.asarray(hs.values, np.int64).view(np.uint64)) if hs.is_valid else np.empty(0, np.uint64)
 
 
 # readers: (order, hashes) of the documents of a task ------------------------------------------------------
@@ -208,7 +215,7 @@ def _first_reader(levels):
         first = First(levels)
         for batch in batches:
             for order, codes in zip(longs(batch, "ord", 0).tolist(), batch_codes(batch, "__text"), strict=True):
-                yield order, first.of(codes)[1]
+                yield order, first.hashes(codes)
 
     return read
 
@@ -221,123 +228,135 @@ def _table_reader(batches):
 
 # levels ---------------------------------------------------------------------------------------------------
 
-CARRIED = ["key", "ord", "__text"]
+WINDOWS = "key long, ord long, starts binary, h binary"
+
 
+def _window_batch(keys, orders, found):
+    keep = [i for i, (s, _) in enumerate(found) if len(s)]
+    return pa.RecordBatch.from_arrays([pa.array([keys[i] for i in keep], pa.int64()), pa.array([orders[i] for i in keep], pa.int64()),
+                                       pa.array([found[i][0].astype(np.int32).tobytes() for i in keep], pa.binary()),
+                                       pa.array([found[i][1].tobytes() for i in keep], pa.binary())], ["key", "ord", "starts", "h"])
 
-def _extend_first(levels: list[int], table: np.ndarray):
-    """Candidates of level 1: windows that cover a repeated chosen window."""
-    width, after = levels[0], levels[1] if len(levels) > 1 else levels[0]
 
+def _plain_rows(levels: list[int], table: np.ndarray):
+    """Every row as if nothing were removed, and its candidates of level 1 whose anchor is on the list."""
     def run(batches):
         first = First(levels)
         for batch in batches:
-            starts, hashes = [], []
-            for codes, hs in zip(batch_codes(batch, "__text"), batch.column("hs").to_pylist(), strict=True):
-                at, h = first.of(codes)
-                hit = lookup(_known(hs), h)[0] | lookup(table, h)[0]
-                s = (at[hit][:, None] - np.arange(after - width + 1)).ravel()
-                s = np.unique(s[(s >= 0) & (s <= len(codes) - after)])
-                starts.append(s)
-                hashes.append(window_hashes(codes, after)[s] if len(s) else s.astype(np.uint64))
-            yield _candidate_batch(batch, starts, hashes)
+            words, digests, starts, hashes = [], [], [], []
+            for text, codes in zip(column_bytes(batch, "__text"), batch_codes(batch, "__text"), strict=True):
+                words.append(len(codes))
+                digests.append(hashlib.sha256(b" ".join((text or b"").split())).hexdigest())
+                s, h = first.candidates(codes, table)
+                starts.append(s.astype(np.int32).tobytes())
+                hashes.append(h.tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(n) for n in ("doc_id", "key", "ord")] + [
+                pa.array(words, pa.int64()), pa.array(digests, pa.string()), pa.array(starts, pa.binary()), pa.array(hashes, pa.binary())],
+                ["doc_id", "key", "ord", "n_words", "kept_sha256", "starts", "h"])
 
     return run
 
 
-def _candidate_batch(batch, starts, hashes):
-    keep = pa.array([len(s) > 0 for s in starts])
-    out = pa.RecordBatch.from_arrays([batch.column(c) for c in CARRIED] + [pa.array([s.astype(np.int32).tobytes() for s in starts], pa.binary()),
-                                                                          pa.array([h.tobytes() for h in hashes], pa.binary())], [*CARRIED, "starts", "h"])
-    return out.filter(keep)
-
-
-def _extend(width: int, after: int, table: np.ndarray):
-    """Candidates of a later level: windows whose first and last window of ``width`` words are both repeated."""
+def _answered_rows(levels: list[int], table: np.ndarray):
+    """Candidates of level 1 whose anchor is among the document's answers."""
     def run(batches):
+        first = First(levels)
         for batch in batches:
-            starts, hashes = [], []
-            for codes, s, h, hs in zip(batch_codes(batch, "__text"), batch.column("starts").to_pylist(), batch.column("h").to_pylist(),
-                                      batch.column("hs").to_pylist(), strict=True):
-                s, h = np.frombuffer(s, np.int32).astype(np.int64), np.frombuffer(h, np.uint64)
-                s = s[lookup(_known(hs), h)[0] | lookup(table, h)[0]]
-                s = s[np.isin(s + (after - width), s)]
-                starts.append(s)
-                hashes.append(window_hashes(codes, after)[s] if len(s) else s.astype(np.uint64))
-            yield _candidate_batch(batch, starts, hashes)
+            found = [first.candidates(codes, _known(hs), but=table) for codes, hs in zip(batch_codes(batch, "__text"), batch.column("hs"), strict=True)]
+            yield _window_batch(batch.column("key").to_pylist(), batch.column("ord").to_pylist(), found)
 
     return run
 
 
-def _remove(length: int, table: np.ndarray, least: np.ndarray):
+def _surviving(batch, table, least=None):
+    """Per row: (order, starts, hashes) of the windows that are repeated; with ``least``, in a smaller document."""
+    for order, s, h, hs in zip(batch.column("ord").to_pylist(), batch.column("starts").to_pylist(), batch.column("h").to_pylist(), batch.column("hs"), strict=True):
+        s, h = np.frombuffer(s, np.int32).astype(np.int64), np.frombuffer(h, np.uint64)
+        listed, at = lookup(table, h)
+        if least is not None and listed.any():
+            listed &= (least[at] < order) & (least[at] < NULL_FROM)
+        keep = listed | lookup(_known(hs), h)[0]
+        yield order, s[keep], h[keep]
+
+
+def _next_level(width: int, after: int, table: np.ndarray):
+    """Candidates of a later level: windows whose first and last window of ``width`` words are both repeated."""
     def run(batches):
         for batch in batches:
-            n_words, n_removed, digests, kept = [], [], [], []
-            for order, text, s, h, hs in zip(longs(batch, "ord", 0).tolist(), column_bytes(batch, "__text"), batch.column("starts").to_pylist(),
-                                             batch.column("h").to_pylist(), batch.column("hs").to_pylist(), strict=True):
-                words = (text or b"").split()
-                s, h = np.frombuffer(s, np.int32), np.frombuffer(h, np.uint64)
-                listed, at = lookup(table, h)
-                smaller = np.zeros(len(h), bool)
-                if listed.any():
-                    smaller[listed] = (least[at[listed]] < order) & (least[at[listed]] < NULL_FROM)
-                s = s[lookup(_known(hs), h)[0] | smaller]
-                edge = np.zeros(len(words) + 1, np.int64)
-                np.add.at(edge, s, 1)
-                np.add.at(edge, s + length, -1)
-                gone = np.cumsum(edge[:-1]) > 0
-                left = b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g])
-                n_words.append(len(words))
-                n_removed.append(int(gone.sum()))
-                digests.append(hashlib.sha256(left).hexdigest())
-                kept.append(left)
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digests, pa.string()),
-                                              pa.array(kept, pa.binary())], ["key", "n_words", "n_removed", "kept_sha256", "kept"])
+            found = []
+            for _, s, h in _surviving(batch, table):
+                s, one = np.unique(s, return_index=True)
+                h, d = h[one], after - width
+                ends = np.searchsorted(s, s + d)
+                both = s[np.minimum(ends, len(s) - 1)] == s + d if len(s) else np.zeros(0, bool)
+                found.append((s[both], mixed(h[both] * PAIRED + h[ends[both]])))
+            yield _window_batch(batch.column("key").to_pylist(), batch.column("ord").to_pylist(), found)
 
     return run
 
 
-def _plain_rows(names: list[str]):
+def _to_remove(table: np.ndarray, least: np.ndarray):
     def run(batches):
         for batch in batches:
-            words = [(t or b"").split() for t in column_bytes(batch, "__text")]
-            yield pa.RecordBatch.from_arrays([batch.column(n) for n in names] + [
-                pa.array([len(w) for w in words], pa.int64()), pa.array([hashlib.sha256(b" ".join(w)).hexdigest() for w in words], pa.string())],
-                [*names, "n_words", "kept_sha256"])
+            found = [s for _, s, _ in _surviving(batch, table, least)]
+            keep = [i for i, s in enumerate(found) if len(s)]
+            yield pa.RecordBatch.from_arrays([pa.array([batch.column("key")[i].as_py() for i in keep], pa.int64()),
+                                              pa.array([found[i].astype(np.int32).tobytes() for i in keep], pa.binary())], ["key", "starts"])
 
     return run
 
 
-RESULT = "key long, n_words long, n_removed long, kept_sha256 string, kept binary"
+def _removed(length: int):
+    def run(batches):
+        for batch in batches:
+            counts, digests, kept = [], [], []
+            for text, starts in zip(column_bytes(batch, "__text"), batch.column("starts").to_pylist(), strict=True):
+                words = (text or b"").split()
+                edge = np.zeros(len(words) + 1, np.int64)
+                for s in starts:
+                    s = np.frombuffer(s, np.int32)
+                    np.add.at(edge, s, 1)
+                    np.add.at(edge, s + length, -1)
+                gone = np.cumsum(edge[:-1]) > 0
+                left = b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g])
+                counts.append(int(gone.sum()))
+                digests.append(hashlib.sha256(left).hexdigest())
+                kept.append(left)
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(kept, pa.binary())],
+                                             ["key", "n_removed", "sha", "kept"])
 
+    return run
 
-def removals(docs: DataFrame, length: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame | None:
-    """key, n_words, n_removed, kept_sha256, kept (UTF-8 bytes) of the rows that have a window repeated in another document.
 
-    None if no candidate survives a level."""
-    if length < 2:
-        raise ValueError("length must be at least 2")
-    levels = level_lengths(length)
-    texts = docs.select(row_key(id_col, text_col).alias("key"), F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").cast("binary").alias("__text"))
-    texts = texts.select("key", order_column("_id", "key").alias("ord"), "__text")
-    slim, reader = texts.select("ord", "__text"), _first_reader(levels)
-    table, least = often(slim, reader)
-    found = repeated(slim, reader, table, False, True)
-    schema = T.StructType([*texts.schema.fields, T.StructField("starts", T.BinaryType()), T.StructField("h", T.BinaryType())])
-    now = write_shared(texts.join(found, "ord").select(*CARRIED, "hs").mapInArrow(_extend_first(levels, table), schema), "windows")
+def _starts_to_remove(texts: DataFrame, plain: DataFrame, levels: list[int], table: np.ndarray) -> DataFrame | None:
+    """(key, starts as an array of binaries) of the windows of the last level that a smaller document has as well."""
+    reader = _first_reader(levels)
+    found = write_shared(repeated(texts.select("ord", "__text"), reader, table, False), "answers")
+    asked = passing(texts, "ord", key_filter(found, "ord")).join(found, "ord").select("key", "ord", "__text", "hs")
+    rest = asked.mapInArrow(_answered_rows(levels, table), WINDOWS)
+    listed = plain.filter(F.octet_length("starts") > 0).select("key", "ord", "starts", "h")
+    now = write_shared(listed.unionByName(rest), "windows")
     for k in range(1, max(2, len(levels))):
         if now.isEmpty():
             return None
-        width, last = levels[min(k, len(levels) - 1)], k >= len(levels) - 1
+        last = k >= len(levels) - 1
+        if not last:  # a document's windows must be together for the next level
+            now = now.groupBy("key", "ord").agg(F.collect_set(F.struct("starts", "h")).alias("x")).select(
+                "key", "ord", _joined("x.starts").alias("starts"), _joined("x.h").alias("h"))
         pairs = now.select("ord", "h")
-        table, least = often(pairs, _table_reader)
-        found = repeated(pairs, _table_reader, table, last, False)
-        told = now.join(found, "ord", "left").select(*CARRIED, "starts", "h", "hs")
+        table, least = often(pairs, _table_reader, last)
+        found = repeated(pairs, _table_reader, table, last)
+        told = now.join(found, "ord", "left").select("key", "ord", "starts", "h", "hs")
         if last:
-            return told.mapInArrow(_remove(width, table, least), RESULT)
-        now = write_shared(told.mapInArrow(_extend(width, levels[k + 1], table), schema), "windows")
+            return told.mapInArrow(_to_remove(table, least), "key long, starts binary").groupBy("key").agg(F.collect_set("starts").alias("starts"))
+        now = write_shared(told.mapInArrow(_next_level(levels[k], levels[k + 1], table), WINDOWS), "windows")
     return None
 
 
+def _joined(col: str):
+    return F.aggregate(col, F.lit(b"").cast("binary"), lambda a, b: F.concat(a, b))
+
+
 def remove_repeats(docs: DataFrame, length: int = 13, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and (``keep_text``) kept of every row.
 
@@ -348,15 +367,24 @@ def remove_repeats(docs: DataFrame, length: int = 13, id_col: str = "doc_id", te
     * rows with equal ids do not remove each other's words; rows with a null id come after all others and
       remove nothing from each other; ids are below 2^62; repeated rows get equal results;
     * an empty table gives an empty result; other columns are ignored."""
+    if length < 2:
+        raise ValueError("length must be at least 2")
+    levels = level_lengths(length)
     texts = docs.select(F.col(f"`{id_col}`").alias("doc_id"), row_key(id_col, text_col).alias("key"), F.col(f"`{text_col}`").cast("binary").alias("__text"))
-    schema = T.StructType([texts.schema["doc_id"], texts.schema["key"], T.StructField("n_words", T.LongType()), T.StructField("kept_sha256", T.StringType())])
-    plain = texts.mapInArrow(_plain_rows(["doc_id", "key"]), schema)
-    found = removals(docs, length, id_col, text_col)
+    texts = texts.withColumn("ord", order_column("doc_id", "key"))
+    table, _ = often(texts.select("ord", "__text"), _first_reader(levels), False)
+    schema = T.StructType([texts.schema["doc_id"], texts.schema["key"], texts.schema["ord"], T.StructField("n_words", T.LongType()),
+                           T.StructField("kept_sha256", T.StringType()), T.StructField("starts", T.BinaryType()), T.StructField("h", T.BinaryType())])
+    plain = write_shared(texts.mapInArrow(_plain_rows(levels, table), schema), "plain")
+    starts = _starts_to_remove(texts.select("key", "ord", "__text"), plain, levels, table)
     none = F.lit(None).cast("string")
-    if found is None:
+    if starts is None:
         out = plain.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256", none.alias("kept"))
     else:
-        found = found.filter("n_removed > 0").select("key", "n_removed", F.col("kept_sha256").alias("_sha"), (F.col("kept").cast("string") if keep_text else none).alias("kept"))
-        out = (plain.join(found.dropDuplicates(["key"]), "key", "left")
-               .select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("_sha", "kept_sha256").alias("kept_sha256"), "kept"))
+        starts = write_shared(starts, "removals")
+        told = passing(texts.select("key", "__text"), "key", key_filter(starts, "key")).join(starts, "key").select("key", "__text", "starts")
+        found = told.mapInArrow(_removed(length), "key long, n_removed long, sha string, kept binary").select(
+            "key", "n_removed", "sha", (F.col("kept").cast("string") if keep_text else none).alias("kept")).dropDuplicates(["key"])
+        out = (plain.select("doc_id", "key", "n_words", "kept_sha256").join(found, "key", "left")
+               .select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("sha", "kept_sha256").alias("kept_sha256"), "kept"))
     return out if keep_text else out.drop("kept")
