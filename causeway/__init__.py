@@ -14,7 +14,6 @@ functions   column helpers (deterministic randomness, rounding), numerics
 operators   profiling, cleaning, chart data, panel shaping, estimators,
             heterogeneity, refutation, quasi-experimental methods
 plans       causal views over the driver tables and the query registry
-streaming   micro-batch helpers (the reference has no streaming)
 """
 
 __version__ = "0.1.0"

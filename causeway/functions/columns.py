@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-TWO32 = 4294967296.0
+TWO52 = 4503599627370496.0
 
 
 def rnd(c: Column | str, digits: int) -> Column:
@@ -38,27 +38,29 @@ def _key(*parts: Column | str) -> Column:
 
 
 def uniform(*parts: Column | str) -> Column:
-    """U[0,1) from the first 32 bits of md5(concat_ws('|', parts...))."""
-    h = F.substring(F.md5(_key(*parts)), 1, 8)
-    return F.conv(h, 16, 10).cast("double") / F.lit(TWO32)
+    """U[0,1) from the first 52 bits of md5(concat_ws('|', parts...)), exact in a double."""
+    h = F.substring(F.md5(_key(*parts)), 1, 13)
+    return F.conv(h, 16, 10).cast("double") / F.lit(TWO52)
 
 
 def sql_uniform(*parts: str) -> str:
     inner = ", ".join(f"CAST({p} AS VARCHAR)" for p in parts)
-    return f"(CAST(('0x' || substr(md5(concat_ws('|', {inner})), 1, 8)) AS BIGINT) / 4294967296.0)"
+    return f"(CAST(('0x' || substr(md5(concat_ws('|', {inner})), 1, 13)) AS BIGINT) / 4503599627370496.0)"
 
 
-def poisson1_cdf(kmax: int = 8) -> list[float]:
-    """Cumulative Poisson(1) probabilities P(K<=k), k = 0..kmax-1 (from the pmf rule)."""
-    out, acc = [], 0.0
-    for k in range(kmax):
+def poisson1_cdf() -> list[float]:
+    """Cumulative Poisson(1) probabilities P(K<=k) for k = 0, 1, ... until a double holds no more."""
+    out, acc, k = [], 0.0, 0
+    while True:
         acc += math.exp(-1.0) / math.factorial(k)
+        if out and acc <= out[-1]:
+            return out
         out.append(acc)
-    return out
+        k += 1
 
 
 def poisson1(u: Column) -> Column:
-    """Poisson(1) draw by inverse CDF of a uniform column (values 0..8)."""
+    """Poisson(1) draw by inverse CDF of a uniform column."""
     cdf = poisson1_cdf()
     expr = F.lit(len(cdf))
     for k in reversed(range(len(cdf))):
@@ -166,24 +168,103 @@ def dlit(v) -> Column:
 
 
 # Quantiles --------------------------------------------------------------------------------------
-QUANTILE_EXACT_LIMIT = 5_000_000  # distinct values an exact percentile buffer may hold
-QUANTILE_ACCURACY = 100_000       # percentile_approx accuracy beyond it (rank error 1e-5)
+BAND_ROWS = 5_000       # values of a band that are brought to the driver for the last step
+BAND_ACCURACY = 2_000   # accuracy of the bounds that narrow a band; it only sets the number of passes
 
 
-def exact_quantile_ok(df, cols, limit: int = QUANTILE_EXACT_LIMIT) -> dict:
-    """Per column: may the exact ``percentile`` run?  Its buffer is a value -> count map merged
-    in one task for an ungrouped aggregate, so it is used only while the HyperLogLog distinct
-    estimate stays under ``limit``; otherwise ``percentile_approx`` is the large-scale path."""
+def exact_quantiles(df, cols, probs) -> dict:
+    """{column: [quantile or None]}: exact quantiles with linear interpolation, at every size.
+
+    Each quantile needs one or two order statistics.  A pass brackets each of them between two
+    approximate percentiles and counts the rows below and inside the bracket, which says exactly
+    where the order statistic lies; the bracket is narrowed until it holds few rows or one value, and
+    those few values are read.  Every pass is one aggregate over all columns; no column is sorted or held by a task."""
+    cols, probs = list(cols), [float(p) for p in probs]
     if not cols:
         return {}
-    est = one_row(df.agg(*[F.approx_count_distinct(F.col(c), 0.05).alias(f"a{i}") for i, c in enumerate(cols)]))
-    return {c: (est[f"a{i}"] or 0) <= limit for i, c in enumerate(cols)}
-
 
-def quantiles(x: Column, probs, exact: bool = True) -> Column:
-    """Array of quantiles: exact linear interpolation (= numpy / DuckDB quantile_cont) or
-    ``percentile_approx`` at ``QUANTILE_ACCURACY``."""
-    probs = [float(p) for p in probs]
-    if exact:
-        return F.percentile(x, F.array(*[F.lit(p) for p in probs]))
-    return F.percentile_approx(x, probs, QUANTILE_ACCURACY).cast("array<double>")
+    def value(c):
+        x = F.col(c).cast("double")
+        return F.when(~F.isnan(x), x)
+    first = one_row(df.agg(*[F.count(value(c)).alias(f"n{i}") for i, c in enumerate(cols)],
+                           *[F.min(value(c)).alias(f"lo{i}") for i, c in enumerate(cols)],
+                           *[F.max(value(c)).alias(f"hi{i}") for i, c in enumerate(cols)]))
+    n = {c: int(first[f"n{i}"] or 0) for i, c in enumerate(cols)}
+    bands, known = {}, {}  # (column, rank) -> [lo, hi, rows below lo, rows in [lo, hi]]
+    for i, c in enumerate(cols):
+        for p in probs if n[c] else []:
+            for k in {math.floor(p * (n[c] - 1)), math.ceil(p * (n[c] - 1))}:
+                bands[c, k] = [first[f"lo{i}"], first[f"hi{i}"], 0, n[c]]
+    while bands:
+        for key, (lo, hi, _, _) in list(bands.items()):
+            if lo == hi:
+                known[key] = lo
+                del bands[key]
+        wide = {k: b for k, b in bands.items() if b[3] > BAND_ROWS}
+        if not wide:
+            break
+        aggs = []
+        for j, ((c, k), (lo, hi, below, inside)) in enumerate(wide.items()):
+            x = value(c)
+            r = (k - below) / max(1, inside - 1)
+            ps = [max(0.0, r - 2 / BAND_ACCURACY), min(1.0, r + 2 / BAND_ACCURACY)]
+            aggs.append(F.percentile_approx(F.when((x >= lo) & (x <= hi), x), ps, BAND_ACCURACY).alias(f"q{j}"))
+        bounds = one_row(df.agg(*aggs))
+        aggs = []
+        for j, ((c, _), (lo, hi, _, _)) in enumerate(wide.items()):
+            x, (a, b) = value(c), bounds[f"q{j}"]
+            aggs += [F.count(F.when((x >= lo) & (x < a), 1)).alias(f"l{j}"), F.count(F.when((x >= a) & (x <= b), 1)).alias(f"m{j}"),
+                     F.max(F.when((x >= lo) & (x < a), x)).alias(f"x{j}"), F.min(F.when((x > b) & (x <= hi), x)).alias(f"y{j}")]
+        found = one_row(df.agg(*aggs))
+        for j, ((c, k), (lo, hi, below, inside)) in enumerate(wide.items()):
+            (a, b), left, mid = bounds[f"q{j}"], int(found[f"l{j}"]), int(found[f"m{j}"])
+            if k < below + left:
+                bands[c, k] = [lo, found[f"x{j}"], below, left]
+            elif k < below + left + mid:
+                bands[c, k] = [a, b, below + left, mid]
+            else:
+                bands[c, k] = [found[f"y{j}"], hi, below + left + mid, inside - left - mid]
+    if bands:
+        rows = one_row(df.agg(*[F.sort_array(F.collect_list(F.when((value(c) >= lo) & (value(c) <= hi), value(c)))).alias(f"v{j}")
+                                for j, ((c, _), (lo, hi, _, _)) in enumerate(bands.items())]))
+        for j, ((c, k), (_, _, below, _)) in enumerate(bands.items()):
+            known[c, k] = rows[f"v{j}"][k - below]
+    return {c: [_interpolated(known, c, p * (n[c] - 1)) if n[c] else None for p in probs] for c in cols}
+
+
+def _interpolated(known: dict, c: str, position: float) -> float:
+    low, high = math.floor(position), math.ceil(position)
+    a, b = known[c, low], known[c, high]
+    return a if a == b or low == high else (high - position) * a + (position - low) * b
+
+
+def grouped_quantiles(df, keys, col_name: str, probs, name: str = "q"):
+    """keys, ``name`` (array): exact quantiles with linear interpolation in every group, at every size.
+
+    Value counts are laid out by key and value over range partitions and written; a running count inside
+    each partition, on top of the counts of the partitions before it, ranks the values.  A group may
+    span any number of partitions, so none has to fit one task."""
+    from pyspark.sql import Window
+
+    from ..session import written
+    keys, probs = list(keys), [float(p) for p in probs]
+    x = F.col(col_name).cast("double")
+    counts = df.select(*keys, x.alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v")).groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    laid = written(counts.repartitionByRange(*keys, "_v").withColumn("_p", F.spark_partition_id()), "ranked")
+    per = laid.groupBy("_p", *keys).agg(F.sum("_c").alias("_s"))  # a row per group and partition it spans
+    before = Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.select("_p", *keys, F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_off"), F.sum("_s").over(Window.partitionBy(*keys)).alias("_n"))
+    on = F.col("a._p") == F.col("b._p")
+    for k in keys:
+        on = on & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
+    inside = Window.partitionBy("_p", *keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = (laid.alias("a").join(per.alias("b"), on).select("a._p", *[f"a.{k}" for k in keys], "_v", "_c", "_off", "_n")
+              .withColumn("_upto", F.col("_off") + F.sum("_c").over(inside)))
+    aggs, out = [], []
+    for j, p in enumerate(probs):
+        position = F.lit(p) * (F.col("_n") - 1)
+        aggs += [F.min(F.when(F.col("_upto") > F.floor(position), F.col("_v"))).alias(f"_a{j}"),
+                 F.min(F.when(F.col("_upto") > F.ceil(position), F.col("_v"))).alias(f"_b{j}")]
+        a, b = F.col(f"_a{j}"), F.col(f"_b{j}")
+        out.append(F.when(a == b, a).otherwise((F.ceil(position) - position) * a + (position - F.floor(position)) * b))
+    return ranked.groupBy(*keys, "_n").agg(*aggs).select(*keys, F.array(*out).alias(name))

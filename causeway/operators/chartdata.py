@@ -10,22 +10,24 @@ from pyspark.sql import functions as F
 from .profile import NUMERIC
 
 _AGGS = {
-    "Mean": F.avg, "Sum": F.sum, "Count": F.count, "Median": F.median, "Min": F.min, "Max": F.max,
+    "Mean": F.avg, "Sum": F.sum, "Count": F.count, "Min": F.min, "Max": F.max,
 }
 
 
 def group_aggregate(df: DataFrame, x: str, ys: Sequence[str], how: str = "Mean", color: str | None = None,
                     facet: str | None = None) -> DataFrame:
     """AGG1/AGG3: group by x [+ color] [+ facet] and aggregate every y (null keys dropped, as pandas).
-    Median is exact while the column's distinct count is bounded (see ``exact_quantile_ok``)."""
+    Medians are exact at every size (``grouped_quantiles``)."""
     keys = [k for k in (facet, x, color) if k]
+    rows = _filter_keys(df, keys)
     if how == "Median":
-        from ..functions.columns import exact_quantile_ok, quantiles
-        ex = exact_quantile_ok(df, list(ys))
-        aggs = [quantiles(F.col(y).cast("double"), [0.5], ex[y])[0].alias(y) for y in ys]
-    else:
-        aggs = [_AGGS[how](F.col(y)).alias(y) for y in ys]
-    return _filter_keys(df, keys).groupBy(*keys).agg(*aggs).orderBy(*keys)
+        from ..functions.columns import grouped_quantiles
+        out = rows.select(*keys).distinct()
+        for y in ys:
+            q = grouped_quantiles(rows, keys, y, [0.5], "_q").select(*keys, F.col("_q")[0].alias(y))
+            out = out.join(q, keys, "left")
+        return out.orderBy(*keys)
+    return rows.groupBy(*keys).agg(*[_AGGS[how](F.col(y)).alias(y) for y in ys]).orderBy(*keys)
 
 
 def _filter_keys(d: DataFrame, keys) -> DataFrame:
@@ -60,18 +62,16 @@ def histogram(df: DataFrame, x: str, bins: int = 30, color: str | None = None) -
 
 def box_stats(df: DataFrame, y: str, by: Sequence[str] = ()) -> DataFrame:
     """AGG5: q1, median, q3, whiskers (most extreme points within 1.5 IQR), outlier count per group."""
-    from ..functions.columns import exact_quantile_ok, quantiles
+    from ..functions.columns import dlit, exact_quantiles, grouped_quantiles
     v = F.col(y).cast("double")
     keys = list(by)
     base = df.filter(v.isNotNull()).select(*keys, v.alias("_v"))
-    pct = quantiles(F.col("_v"), [0.25, 0.5, 0.75], exact_quantile_ok(df, [y])[y])
     if keys:
-        q = base.groupBy(*keys).agg(pct.alias("q"))
+        q = grouped_quantiles(base, keys, "_v", [0.25, 0.5, 0.75])
         q = q.select(*keys, F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
         j = base.join(q, keys)  # q has one row per group; AQE broadcasts it when small
     else:
-        from ..functions.columns import dlit, one_row
-        qs = one_row(base.agg(pct.alias("q"))).get("q") or [None, None, None]
+        qs = exact_quantiles(base, ["_v"], [0.25, 0.5, 0.75])["_v"]
         j = base.select("_v", dlit(qs[0]).alias("q1"), dlit(qs[1]).alias("median"), dlit(qs[2]).alias("q3"))
     lo = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))
     hi = F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import dlit, exact_quantile_ok, one_row, quantiles, uniform
+from ..functions.columns import dlit, exact_quantiles, one_row, uniform
 from .profile import NUMERIC, categorical_columns, numeric_columns
 
 # PRE1 ---------------------------------------------------------------------------------------------
@@ -59,10 +59,8 @@ def impute_numeric(df: DataFrame, cols: Sequence[str] | None = None, method: str
         if method == "Mean":
             stats = one_row(df.agg(*[F.avg(F.col(c).cast("double")).alias(f"s{i}") for i, c in enumerate(cols)]))
         else:
-            ex = exact_quantile_ok(df, cols)
-            q = one_row(df.agg(*[quantiles(F.col(c).cast("double"), [0.5], ex[c]).alias(f"s{i}")
-                                 for i, c in enumerate(cols)]))
-            stats = {k: (v[0] if v else None) for k, v in q.items()}
+            q = exact_quantiles(df, cols, [0.5])
+            stats = {f"s{i}": q[c][0] for i, c in enumerate(cols)}
         fills = {c: dlit(stats[f"s{i}"]) for i, c in enumerate(cols)}
     elif method == "Zero":
         fills = {c: F.lit(0.0) for c in cols}
@@ -76,8 +74,12 @@ def impute_numeric(df: DataFrame, cols: Sequence[str] | None = None, method: str
 
 def impute_categorical(df: DataFrame, cols: Sequence[str] | None = None, method: str = "Mode",
                        value: str | None = None) -> DataFrame:
-    """Fill nulls of non-numeric columns with the Mode (smallest on ties), "Missing" or a Custom value."""
-    cols = list(cols or [c for c in df.columns if not isinstance(df.schema[c].dataType, NUMERIC)])
+    """Fill nulls of non-numeric columns with the Mode (smallest on ties), "Missing" or a Custom value.
+
+    The default columns are all non-numeric ones for Mode, and the string columns for a text: a date
+    or boolean column cannot hold it."""
+    kinds = T.DataType if method == "Mode" else T.StringType
+    cols = list(cols or [c for c in df.columns if not isinstance(df.schema[c].dataType, NUMERIC) and isinstance(df.schema[c].dataType, kinds)])
     if method == "Mode":
         stats = one_row(df.agg(*[F.mode(F.col(c), True).alias(f"s{i}") for i, c in enumerate(cols)]))
         fills = {c: F.lit(stats[f"s{i}"]).cast(df.schema[c].dataType) for i, c in enumerate(cols)}
@@ -96,12 +98,8 @@ def winsorize(df: DataFrame, cols: Sequence[str], p: float = 0.05) -> DataFrame:
     """Clip to [q(p), q(1-p)] (linear-interpolated quantiles), 0.01 <= p <= 0.25."""
     if not 0.01 <= p <= 0.25:
         raise ValueError("p must be within [0.01, 0.25]")
-    ex = exact_quantile_ok(df, list(cols))
-    q = one_row(df.agg(*[quantiles(F.col(c).cast("double"), [p, 1 - p], ex[c]).alias(f"q{i}")
-                         for i, c in enumerate(cols)]))
-    repl = {c: F.least(F.greatest(F.col(c).cast("double"), dlit((q[f"q{i}"] or [None, None])[0])),
-                       dlit((q[f"q{i}"] or [None, None])[1]))
-            for i, c in enumerate(cols)}
+    q = exact_quantiles(df, cols, [p, 1 - p])
+    repl = {c: F.least(F.greatest(F.col(c).cast("double"), dlit(q[c][0])), dlit(q[c][1])) for c in cols}
     return df.select(*[repl[c].alias(c) if c in repl else F.col(c) for c in df.columns])
 
 
@@ -195,9 +193,7 @@ def bucket_quantile(df: DataFrame, col: str, n: int, new_col: str | None = None)
     new_col = new_col or f"{col}_binned"
     x = F.col(col).cast("double")
     probs = [i / n for i in range(n + 1)]
-    ex = exact_quantile_ok(df, [col])[col]
-    st = df.agg(F.array_sort(F.array_distinct(quantiles(x, probs, ex))).alias("e"))
-    edges = one_row(st)["e"]  # at most n + 1 numbers
+    edges = sorted({e for e in exact_quantiles(df, [col], probs)[col] if e is not None})  # at most n + 1 numbers
     if not edges:
         return df.select("*", F.lit("nan").alias(new_col), F.lit(None).cast("int").alias(f"{new_col}_idx"))
     labels = interval_labels([float(v) for v in edges], 3, True) if len(edges) > 1 else []
@@ -231,14 +227,15 @@ _OPS = {">": "__gt__", "<": "__lt__", "==": "__eq__", ">=": "__ge__", "<=": "__l
 
 def predicate(c: Column, op: str, val) -> Column:
     """Comparison with pandas null semantics: ``!=`` keeps nulls; ``contains`` is a regex search
-    over the string form (null never matches)."""
+    over the string form.  Where the column is null the other comparisons are null, which a filter and a
+    ``when`` take as false; the bare comparison is what reaches the scan."""
     if op == "!=":
         return ~c.eqNullSafe(F.lit(val))
     if op == "contains":
-        return F.coalesce(c.cast("string").rlike(str(val)), F.lit(False))
+        return c.cast("string").rlike(str(val))
     if op not in _OPS:
         raise ValueError(op)
-    return F.coalesce(getattr(c, _OPS[op])(F.lit(val)), F.lit(False))
+    return getattr(c, _OPS[op])(F.lit(val))
 
 
 def override(df: DataFrame, target: str, value, cond_col: str, op: str, val) -> tuple[DataFrame, DataFrame]:
@@ -271,19 +268,28 @@ def global_rank(df: DataFrame, order: Column, name: str = "_rank") -> DataFrame:
             .drop("_pid", "_mid", "_m0", "_off", "_ord"))
 
 
+def _two_classes(df: DataFrame, target: str):
+    """[(minority, rows), (majority, rows)] of a target with two non-null classes; None if they are equal in size."""
+    counts = df.filter(F.col(target).isNotNull()).groupBy(target).count().orderBy(F.col("count"), F.col(target)).limit(3).collect()
+    if len(counts) != 2:
+        raise ValueError(f"{target} must have exactly two classes to be balanced")
+    if counts[0]["count"] == counts[1]["count"]:
+        return None
+    return [(r[target], r["count"]) for r in counts]
+
+
 def oversample_minority(df: DataFrame, target: str, row_id: str, seed: int = 42) -> DataFrame:
     """PRE10: replace the minority class by ``n_majority`` draws with replacement.
 
     Slot j in [0, n_maj) draws minority position floor(u(j, seed) * n_min); the
     minority rows are positioned by md5(row_id, seed) via ``global_rank`` and
     joined on that position (equi-join, no single task holds the class).
-    Equal class counts return the input unchanged.
+    Equal class counts return the input unchanged; any number of classes but two raises.
     """
-    counts = df.groupBy(target).count().orderBy(F.col("count"), F.col(target)).collect()
-    if len(counts) != 2 or counts[0]["count"] == counts[1]["count"]:
+    classes = _two_classes(df, target)
+    if classes is None:
         return df
-    minority, n_min = counts[0][target], counts[0]["count"]
-    majority, n_maj = counts[1][target], counts[1]["count"]
+    (minority, n_min), (majority, n_maj) = classes
     spark = df.sparkSession
     mino = global_rank(df.filter(F.col(target) == minority),
                        F.struct(uniform(F.col(row_id), F.lit(seed)), F.col(row_id)), "_pos")
@@ -300,22 +306,20 @@ def downsample_majority(df: DataFrame, target: str, row_id: str, seed: int = 42)
     outright, and only the O(sqrt n) band around the n_min/n_maj quantile is
     ordered (a bounded top-k).
     """
-    counts = df.groupBy(target).count().orderBy(F.col("count"), F.col(target)).collect()
-    if len(counts) != 2 or counts[0]["count"] == counts[1]["count"]:
+    classes = _two_classes(df, target)
+    if classes is None:
         return df
-    minority, n_min = counts[0][target], counts[0]["count"]
-    majority, n_maj = counts[1][target], counts[1]["count"]
+    (minority, n_min), (majority, n_maj) = classes
     u = uniform(F.col(row_id), F.lit(seed))
     maj = df.filter(F.col(target) == majority).withColumn("_u", u)
     p = n_min / n_maj
     margin = 8.0 * math.sqrt(max(n_min, 1.0)) / n_maj + 1e-12
     lo, hi = max(p - margin, 0.0), min(p + margin, 1.0 + 1e-9)
     below = maj.filter(F.col("_u") < lo)
-    n_below = below.count()
-    need = n_min - n_below
+    need = n_min - below.count()
     band = maj.filter((F.col("_u") >= lo) & (F.col("_u") < hi))
-    if need < 0 or band.count() < need:  # threshold band missed (probability ~0): exact fallback
-        kept = maj.orderBy("_u", row_id).limit(n_min)
+    if need < 0 or band.count() < need:  # the band missed the rank (probability ~0): rank all rows, still distributed
+        kept = global_rank(maj, F.struct("_u", row_id), "_pos").filter(F.col("_pos") < n_min).drop("_pos")
     else:
         kept = below.unionByName(band.orderBy("_u", row_id).limit(need))
     return df.filter(F.col(target) == minority).unionByName(kept.drop("_u"))
@@ -354,15 +358,14 @@ def one_hot_candidates(df: DataFrame) -> list[str]:
     return [c for c in categorical_columns(df) if "id" not in c.lower() and "date" not in c.lower()]
 
 
-def one_hot(df: DataFrame, cols: Sequence[str], max_values: int = 100) -> DataFrame:
+def one_hot(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Dummy columns ``{col}_{value}`` (int) with the first sorted category dropped; a null row
-    is all zeros; source columns are removed.  Distinct values are capped (bounded collect)."""
+    is all zeros; source columns are removed.
+
+    The result has a column per value, so its schema (and nothing else) is what the driver collects."""
     out = df
     for c in cols:
-        vals = [r[0] for r in df.select(F.col(c).cast("string")).filter(F.col(c).isNotNull()).distinct()
-                .orderBy(c).limit(max_values + 1).collect()]
-        if len(vals) > max_values:
-            raise ValueError(f"{c} has more than {max_values} categories")
+        vals = [r[0] for r in df.select(F.col(c).cast("string")).filter(F.col(c).isNotNull()).distinct().orderBy(c).collect()]
         new = [F.coalesce((F.col(c).cast("string") == F.lit(v)).cast("int"), F.lit(0)).alias(f"{c}_{v}")
                for v in vals[1:]]
         out = out.select(*[x for x in out.columns if x != c], *new)

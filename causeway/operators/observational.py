@@ -10,20 +10,30 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import rnd, uniform
+from ..functions.columns import dlit, exact_quantiles, one_row, rnd, uniform
 from ..functions.dist import norm_ppf, t_ppf, t_sf2, z_sf2
+from ..session import written
 from .regression import logit_fit
+from .cells import dml_cells, iptw_cells, period_columns, t_learner_cells
 from .results import effect_df, effect_row
 
 # EST4 ---------------------------------------------------------------------------------------------
 
 
+def join_cells(df: DataFrame, cells: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``df`` with the columns of ``cells`` (one row per cell); null keys are cells like any other."""
+    right = cells.select(*[F.col(k).alias(f"_cell_{i}") for i, k in enumerate(keys)], *[c for c in cells.columns if c not in keys])
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_cell_{i}")) for i, k in enumerate(keys)], F.lit(True))
+    return df.join(right, on, "left").drop(*[f"_cell_{i}" for i in range(len(keys))])
+
+
 def with_propensity(df: DataFrame, treatment: str, confounders: Sequence[str], mode: str = "saturated",
                     name: str = "propensity") -> DataFrame:
     """Adds e(x) = P(T=1 | X).
@@ -33,7 +43,7 @@ def with_propensity(df: DataFrame, treatment: str, confounders: Sequence[str], m
     """
     if mode == "saturated":
         cells = df.groupBy(*confounders).agg(F.avg(F.col(treatment).cast("double")).alias(name))
-        return df.join(cells, list(confounders), "left")
+        return join_cells(df, cells, confounders)
     if mode == "logistic":
         fit = logit_fit(df, treatment, list(confounders))
         eta = F.lit(float(fit["beta"][0]))
@@ -49,8 +59,8 @@ def iptw(df: DataFrame, treatment: str, outcome: str, propensity: str = "propens
          normalized: bool = False, clip: tuple[float, float] | None = None) -> DataFrame:
     """Inverse-propensity-weighted ATE (Horvitz-Thompson, or Hajek when ``normalized``).
 
-    One aggregate; the SE is the plug-in influence-function SE of the
-    (un-normalised) contrast.
+    The SE comes from the influence terms: of the contrast for Horvitz-Thompson, centred at the arm
+    means for Hajek (a second aggregate).  Rows with e(x) in {0, 1} have no weight; ``error`` says how many.
     """
     e = F.col(propensity)
     if clip:
@@ -58,7 +68,10 @@ def iptw(df: DataFrame, treatment: str, outcome: str, propensity: str = "propens
     t = F.col(treatment).cast("double")
     y = F.col(outcome).cast("double")
     # positivity: rows with e(x) in {0, 1} have no inverse weight and are excluded
-    base = df.select(t.alias("t"), y.alias("y"), e.alias("e")).dropna().filter((F.col("e") > 0) & (F.col("e") < 1))
+    rows = df.select(t.alias("t"), y.alias("y"), e.alias("e")).dropna()
+    base = rows.filter((F.col("e") > 0) & (F.col("e") < 1))
+    lost = one_row(rows.agg(F.count(F.when((F.col("e") <= 0) | (F.col("e") >= 1), 1)).alias("n")))["n"]
+    note = f"{lost} rows without overlap were left out" if lost else None
     a1 = F.col("t") * F.col("y") / F.col("e")
     a0 = (F.lit(1.0) - F.col("t")) * F.col("y") / (F.lit(1.0) - F.col("e"))
     w1 = F.col("t") / F.col("e")
@@ -73,6 +86,11 @@ def iptw(df: DataFrame, treatment: str, outcome: str, propensity: str = "propens
         est = F.try_divide(F.col("a1") - F.col("a0"), F.col("n"))
         method = "IPTW"
     se = F.sqrt(F.try_divide(F.col("v"), F.col("n")))
+    if normalized:
+        s = one_row(agg)
+        mu1, mu0 = (s["a1"] / s["w1"] if s["w1"] else None), (s["a0"] / s["w0"] if s["w0"] else None)
+        part = F.try_divide(w1 * (F.col("y") - dlit(mu1)), dlit(s["w1"])) - F.try_divide(w0 * (F.col("y") - dlit(mu0)), dlit(s["w0"]))
+        se = dlit(one_row(base.agg(F.sqrt(F.sum(part * part)).alias("se")))["se"])
     z = norm_ppf(0.975)
     return agg.select(F.lit(method).alias("method"), F.lit(treatment).alias("treatment"),
                       F.lit(outcome).alias("outcome"), F.col("n").cast("long").alias("n"),
@@ -80,73 +98,61 @@ def iptw(df: DataFrame, treatment: str, outcome: str, propensity: str = "propens
                       F.lit(None).cast("double").alias("p_value"),
                       (est - z * se).alias("ci_lower"), (est + z * se).alias("ci_upper"),
                       *[F.lit(None).cast("double").alias(k) for k in ("odds_ratio", "risk_diff", "rd_lower", "rd_upper")],
-                      F.lit(None).cast("string").alias("error"))
+                      F.lit(note).cast("string").alias("error"))
 
 
 # EST6 ---------------------------------------------------------------------------------------------
 
-MAX_SCORE_CELLS = 1_000_001  # scores rounded to 1e-6 on [0, 1]: the broadcast side is bounded
-
-
 def score_cells(df: DataFrame, treatment: str, outcome: str, propensity: str = "propensity",
-                digits: int = 6) -> DataFrame:
-    """(arm, score, n, mean_y) with the score rounded to ``digits`` (<= 10^digits + 1 cells per arm)."""
-    return (df.select(F.col(treatment).cast("int").alias("arm"), rnd(propensity, digits).alias("score"),
+                digits: int | None = None) -> DataFrame:
+    """(arm, score, n, mean_y): rows of an arm with the same score (rounded to ``digits`` if given)."""
+    score = F.col(propensity) if digits is None else rnd(propensity, digits)
+    return (df.select(F.col(treatment).cast("int").alias("arm"), score.alias("score"),
                       F.col(outcome).cast("double").alias("y")).dropna()
             .groupBy("arm", "score").agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("mean_y")))
 
 
-def psm(df: DataFrame, treatment: str, outcome: str, propensity: str = "propensity", digits: int = 6) -> DataFrame:
+def nearest_scores(cells: DataFrame) -> DataFrame:
+    """Each score cell with ``matched_y``: the mean outcome of the nearest cell of the other arm (lower score on a tie).
+
+    Cells are laid out by score over range partitions and written.  Inside a partition two windows find the
+    last cell of the other arm before a cell and the first after it; one row per partition carries the
+    ends of the partitions around it.  No arm is held by a task or the driver."""
+    laid = written(cells.repartitionByRange("score").withColumn("_p", F.spark_partition_id()), "scores")
+
+    def of(arm):
+        return F.when(F.col("arm") == arm, F.struct("score", "mean_y"))
+    ends = laid.groupBy("_p").agg(*[f(of(a)).alias(f"{n}{a}") for a in (0, 1) for f, n in ((F.max, "last"), (F.min, "first"))])
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
+    after = Window.orderBy("_p").rowsBetween(1, Window.unboundedFollowing)
+    carried = ends.select("_p", *[F.last(f"last{a}", ignorenulls=True).over(before).alias(f"_b{a}") for a in (0, 1)],
+                          *[F.first(f"first{a}", ignorenulls=True).over(after).alias(f"_a{a}") for a in (0, 1)])
+    inside = Window.partitionBy("_p").orderBy("score", "arm")
+    up, down = inside.rowsBetween(Window.unboundedPreceding, 0), inside.rowsBetween(0, Window.unboundedFollowing)
+    j = laid.join(F.broadcast(carried), "_p").select(
+        "arm", "score", "n", "mean_y",
+        *[F.coalesce(F.last(of(a), ignorenulls=True).over(up), F.col(f"_b{a}")).alias(f"below{a}") for a in (0, 1)],
+        *[F.coalesce(F.first(of(a), ignorenulls=True).over(down), F.col(f"_a{a}")).alias(f"above{a}") for a in (0, 1)])
+    below = F.when(F.col("arm") == 1, F.col("below0")).otherwise(F.col("below1"))
+    above = F.when(F.col("arm") == 1, F.col("above0")).otherwise(F.col("above1"))
+    right = below.isNull() | (above["score"] - F.col("score") < F.col("score") - below["score"])
+    return j.select("arm", "score", "n", "mean_y", F.when(above.isNotNull() & right, above["mean_y"]).otherwise(below["mean_y"]).alias("matched_y"))
+
+
+def psm(df: DataFrame, treatment: str, outcome: str, propensity: str = "propensity", digits: int | None = None) -> DataFrame:
     """1-nearest-neighbour matching on the propensity score, with replacement, both directions.
 
-    Works on score cells: each cell of one arm is matched to the nearest score
-    cell of the other arm (lower score on an exact tie), whose mean outcome is
-    the counterfactual.  The per-arm cell tables are bounded by the score
-    rounding (<= 10^digits + 1 rows), so the opposite arm is broadcast to a
-    ``mapInPandas`` binary search.  Returns ATT, ATC and ATE rows.
-    """
-    spark = df.sparkSession
-    cells = score_cells(df, treatment, outcome, propensity, digits)
-    rows = cells.collect()  # bounded by 2 * (10^digits + 1)
-    if len(rows) > 2 * MAX_SCORE_CELLS:
-        raise ValueError("score cells exceed the broadcast bound")
-    arms = {0: sorted([(r["score"], r["mean_y"]) for r in rows if r["arm"] == 0]),
-            1: sorted([(r["score"], r["mean_y"]) for r in rows if r["arm"] == 1])}
-    if not arms[0] or not arms[1]:
-        return effect_df(spark, [effect_row(method="PSM", treatment=treatment, outcome=outcome,
-                                            error="both arms are required")])
-    tables = {a: (np.array([s for s, _ in v]), np.array([m for _, m in v])) for a, v in arms.items()}
-    try:  # a broadcast variable ships the bounded cell tables once per executor
-        bc = spark.sparkContext.broadcast(tables)
-    except Exception:  # Spark Connect: the bounded tables travel with the function instead
-        class _Const:
-            value = tables
-        bc = _Const()
-
-    def match(batches):
-        for pdf in batches:
-            out = np.empty(len(pdf))
-            for arm in (0, 1):
-                sel = (pdf["arm"] == arm).to_numpy()
-                if not sel.any():
-                    continue
-                sc, my = bc.value[1 - arm]
-                s = pdf.loc[sel, "score"].to_numpy()
-                pos = np.searchsorted(sc, s)
-                left = np.clip(pos - 1, 0, len(sc) - 1)
-                right = np.clip(pos, 0, len(sc) - 1)
-                take_right = np.abs(sc[right] - s) < np.abs(s - sc[left])
-                out[sel] = np.where(take_right, my[right], my[left])
-            yield pdf.assign(matched_y=out)
-
-    m = cells.mapInPandas(match, "arm int, score double, n long, mean_y double, matched_y double")
+    Rows of one arm with the same score form a cell, matched to the nearest score cell of the other
+    arm (``nearest_scores``), whose mean outcome is the counterfactual.  Returns ATT, ATC and ATE
+    rows; null estimates when an arm is empty."""
+    m = nearest_scores(score_cells(df, treatment, outcome, propensity, digits))
     d = F.when(F.col("arm") == 1, F.col("mean_y") - F.col("matched_y")).otherwise(F.col("matched_y") - F.col("mean_y"))
     agg = m.agg(F.sum(F.when(F.col("arm") == 1, F.col("n") * d)).alias("s1"),
                 F.sum(F.when(F.col("arm") == 1, F.col("n"))).alias("n1"),
                 F.sum(F.when(F.col("arm") == 0, F.col("n") * d)).alias("s0"),
                 F.sum(F.when(F.col("arm") == 0, F.col("n"))).alias("n0"))
-    att, atc = F.col("s1") / F.col("n1"), F.col("s0") / F.col("n0")
-    ate = (F.col("s1") + F.col("s0")) / (F.col("n1") + F.col("n0"))
+    att, atc = F.try_divide("s1", "n1"), F.try_divide("s0", "n0")
+    ate = F.try_divide(F.col("s1") + F.col("s0"), F.col("n1") + F.col("n0"))
     items = [F.struct(F.lit(k).alias("estimand"), v.alias("estimate"), n.cast("long").alias("n"))
              for k, v, n in (("ATT", att, F.col("n1")), ("ATC", atc, F.col("n0")),
                              ("ATE", ate, F.col("n1") + F.col("n0")))]
@@ -193,7 +199,7 @@ def t_learner_saturated(df: DataFrame, treatment: str, outcome: str, cells: Sequ
     """T-learner with cell-mean base learners: ITE(x) = mu1(x) - mu0(x) scored on every row.
     (The saturated S-learner on (X, T) cells gives the same function.)"""
     c = cell_means(df, treatment, outcome, cells).select(*cells, (F.col("mu1") - F.col("mu0")).alias(ite_col))
-    return df.join(c, list(cells), "left")
+    return join_cells(df, c, cells)
 
 
 def ate_from_ite(scored: DataFrame, ite_col: str = "Estimated_ITE", method: str = "T-Learner") -> DataFrame:
@@ -204,10 +210,10 @@ def ate_from_ite(scored: DataFrame, ite_col: str = "Estimated_ITE", method: str
 
 def _assembler(cols: Sequence[str], out: str = "features"):
     from pyspark.ml.feature import VectorAssembler
-    return VectorAssembler(inputCols=list(cols), outputCol=out, handleInvalid="skip")
+    return VectorAssembler(inputCols=list(cols), outputCol=out, handleInvalid="keep")
 
 
-def _rf(kind: str, label: str, seed: int = 42, weight: str | None = None, trees: int = 100, depth: int = 6):
+def _rf(kind: str, label: str, seed: int = 42, weight: str | None = None, trees: int = 100, depth: int = 10):
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.regression import RandomForestRegressor
     cls = RandomForestClassifier if kind == "classifier" else RandomForestRegressor
@@ -228,7 +234,7 @@ def _score(model, frame: DataFrame, keep: Sequence[str], binary: bool, name: str
 
 
 def t_learner_rf(df: DataFrame, treatment: str, outcome: str, features: Sequence[str], binary: bool = False,
-                 ite_col: str = "Estimated_ITE", seed: int = 42, trees: int = 50) -> DataFrame:
+                 ite_col: str = "Estimated_ITE", seed: int = 42, trees: int = 100) -> DataFrame:
     """T-learner: one forest per arm, both score every row; ITE = mu1 - mu0 (P(Y=1) for binary Y)."""
     data = _assembler(features).transform(df.withColumn("_y", F.col(outcome).cast("double")))
     kind = "classifier" if binary else "regressor"
@@ -240,7 +246,7 @@ def t_learner_rf(df: DataFrame, treatment: str, outcome: str, features: Sequence
 
 
 def s_learner_rf(df: DataFrame, treatment: str, outcome: str, features: Sequence[str], binary: bool = False,
-                 ite_col: str = "Estimated_ITE", seed: int = 42, trees: int = 50) -> DataFrame:
+                 ite_col: str = "Estimated_ITE", seed: int = 42, trees: int = 100) -> DataFrame:
     """S-learner: one forest on (X, T); ITE = f(x, 1) - f(x, 0)."""
     cols = list(features) + [treatment]
     kind = "classifier" if binary else "regressor"
@@ -273,18 +279,18 @@ def crossfit_saturated(df: DataFrame, treatment: str, outcome: str, cells: Seque
     from ..functions.columns import dlit, one_row
     tot_row = one_row(df.agg(F.sum(y).alias("y"), F.sum(t).alias("t"), F.count(F.lit(1)).alias("n")))
     all_y, all_t, all_n = dlit(tot_row["y"]), dlit(tot_row["t"]), dlit(tot_row["n"])
-    j = fc.join(tot, list(cells)).join(F.broadcast(fold_tot), "_fold")
+    j = join_cells(fc, tot, cells).join(F.broadcast(fold_tot), "_fold")
     n_other = F.col("_tn") - F.col("_n")
     gm_y = F.try_divide(all_y - F.col("_fy"), all_n - F.col("_fn"))
     gm_t = F.try_divide(all_t - F.col("_ft"), all_n - F.col("_fn"))
     nuis = j.select("_fold", *cells,
                     F.when(n_other > 0, (F.col("_ty") - F.col("_sy")) / n_other).otherwise(gm_y).alias("_m"),
                     F.when(n_other > 0, (F.col("_tt") - F.col("_st")) / n_other).otherwise(gm_t).alias("_e"))
-    return df.join(nuis, ["_fold", *cells], "left")
+    return join_cells(df, nuis, ["_fold", *cells])
 
 
 def crossfit_rf(df: DataFrame, treatment: str, outcome: str, features: Sequence[str], k: int = 3,
-                binary_outcome: bool = False, seed: int = 42, trees: int = 50) -> DataFrame:
+                binary_outcome: bool = False, seed: int = 42, trees: int = 100) -> DataFrame:
     """Out-of-fold forest predictions: regressor (or classifier for binary Y) for Y, classifier for T."""
     va = _assembler(features)
     data = va.transform(df.withColumn("_y", F.col(outcome).cast("double"))
@@ -333,7 +339,7 @@ def crossfit_linear(df: DataFrame, treatment: str, outcome: str, features: Seque
 
 def linear_dml(df: DataFrame, treatment: str, outcome: str, confounders: Sequence[str], row_id: str,
                nuisance: str = "saturated", modifiers: Sequence[str] | None = None, k: int = 3, seed: int = 42,
-               binary_outcome: bool = False, alpha: float = 0.05, trees: int = 50) -> DataFrame:
+               binary_outcome: bool = False, alpha: float = 0.05, trees: int = 100) -> DataFrame:
     """LinearDML: cross-fitted residuals y~ = y - m(x), t~ = t - e(x); final stage
     y~ = t~ * (theta0 + theta' (x - xbar)) by least squares without intercept (one Gram aggregate);
     ATE = theta0.  HC1 standard error from a second aggregate of the score outer products."""
@@ -358,29 +364,31 @@ def linear_dml(df: DataFrame, treatment: str, outcome: str, confounders: Sequenc
     tt = F.col(treatment).cast("double") - F.col("_e")
     z = [tt] + [tt * (F.col(c).cast("double") - dlit(means[f"m{i}"])) for i, c in enumerate(modifiers)]
     res = r.select(*[zi.alias(f"_z{i}") for i, zi in enumerate(z)], yt.alias("_yt")).persist()
-    p = len(z)
-    aggs = [F.count(F.lit(1)).alias("n"), F.sum(F.col("_yt") * F.col("_yt")).alias("yy")]
-    for i in range(p):
-        aggs.append(F.sum(F.col(f"_z{i}") * F.col("_yt")).alias(f"zy{i}"))
-        for j in range(i, p):
-            aggs.append(F.sum(F.col(f"_z{i}") * F.col(f"_z{j}")).alias(f"zz{i}_{j}"))
-    row = res.agg(*aggs).collect()[0]
-    n = int(row["n"])
-    ZZ = np.empty((p, p))
-    for i in range(p):
-        for j in range(i, p):
-            ZZ[i, j] = ZZ[j, i] = row[f"zz{i}_{j}"]
-    Zy = np.array([row[f"zy{i}"] for i in range(p)])
-    inv = np.linalg.pinv(ZZ)
-    theta = inv @ Zy
-    resid = F.col("_yt") - sum((F.lit(float(theta[i])) * F.col(f"_z{i}") for i in range(p)), F.lit(0.0))
-    meat_aggs = []
-    for i in range(p):
-        for j in range(i, p):
-            meat_aggs.append(F.sum(F.col(f"_z{i}") * F.col(f"_z{j}") * resid * resid).alias(f"m{i}_{j}"))
-    mrow = res.agg(*meat_aggs).collect()[0]
-    res.unpersist()
-    d.unpersist()
+    try:
+        p = len(z)
+        aggs = [F.count(F.lit(1)).alias("n"), F.sum(F.col("_yt") * F.col("_yt")).alias("yy")]
+        for i in range(p):
+            aggs.append(F.sum(F.col(f"_z{i}") * F.col("_yt")).alias(f"zy{i}"))
+            for j in range(i, p):
+                aggs.append(F.sum(F.col(f"_z{i}") * F.col(f"_z{j}")).alias(f"zz{i}_{j}"))
+        row = res.agg(*aggs).collect()[0]
+        n = int(row["n"])
+        ZZ = np.empty((p, p))
+        for i in range(p):
+            for j in range(i, p):
+                ZZ[i, j] = ZZ[j, i] = row[f"zz{i}_{j}"]
+        Zy = np.array([row[f"zy{i}"] for i in range(p)])
+        inv = np.linalg.pinv(ZZ)
+        theta = inv @ Zy
+        resid = F.col("_yt") - sum((F.lit(float(theta[i])) * F.col(f"_z{i}") for i in range(p)), F.lit(0.0))
+        meat_aggs = []
+        for i in range(p):
+            for j in range(i, p):
+                meat_aggs.append(F.sum(F.col(f"_z{i}") * F.col(f"_z{j}") * resid * resid).alias(f"m{i}_{j}"))
+        mrow = res.agg(*meat_aggs).collect()[0]
+    finally:
+        res.unpersist()
+        d.unpersist()
     meat = np.empty((p, p))
     for i in range(p):
         for j in range(i, p):
@@ -401,7 +409,7 @@ def causal_forest(df: DataFrame, treatment: str, outcome: str, confounders: Sequ
     """EST8 (R-learner forest): cross-fitted RF residuals, then a weighted forest on the
     pseudo-outcome y~/t~ with weights t~^2 gives CATE(x).  Returns (scored rows, importances)."""
     d = crossfit_folds(df.dropna(subset=[treatment, outcome, *confounders]), row_id, k, seed)
-    r = crossfit_rf(d, treatment, outcome, confounders, k, binary_outcome, seed)
+    r = crossfit_rf(d, treatment, outcome, confounders, k, binary_outcome, seed, trees)
     tt = F.col(treatment).cast("double") - F.col("_e")
     yt = F.col(outcome).cast("double") - F.col("_m")
     r = r.select("*", (yt / tt).alias("_pseudo"), (tt * tt).alias("_w")).filter(F.col("_w") > 1e-12)
@@ -429,19 +437,8 @@ def effect_by_period(df: DataFrame, treatment: str, outcome: str, confounders: S
 
 def iptw_by_period(df: DataFrame, treatment: str, outcome: str, cells: Sequence[str], period: str,
                    min_rows: int = 20) -> DataFrame:
-    """Saturated-propensity IPTW per period: e(x) within (period, cell), then one grouped aggregate."""
-    t = F.col(treatment).cast("double")
-    y = F.col(outcome).cast("double")
-    cellp = df.groupBy(period, *cells).agg(F.avg(t).alias("_e"))
-    j = df.join(cellp, [period, *cells])
-    a = t * y / F.col("_e") - (F.lit(1.0) - t) * y / (F.lit(1.0) - F.col("_e"))
-    g = j.filter((F.col("_e") > 0) & (F.col("_e") < 1)).groupBy(period).agg(  # positivity: e in (0, 1)
-        F.avg(a).alias("ATE"), F.stddev_samp(a).alias("_sd"), F.count(F.lit(1)).alias("n"))
-    z = norm_ppf(0.975)
-    se = F.try_divide(F.col("_sd"), F.sqrt(F.col("n")))
-    return g.filter(F.col("n") >= min_rows).select(period, "ATE", (F.col("ATE") - z * se).alias("CI_Lower"),
-                                                   (F.col("ATE") + z * se).alias("CI_Upper"),
-                                                   se.alias("std_error"), "n")
+    """Saturated-propensity IPTW per period, from the cell sums of one grouped aggregate."""
+    return period_columns(iptw_cells(df, treatment, outcome, cells, keys=[period]), period, min_rows)
 
 
 # EST12 --------------------------------------------------------------------------------------------
@@ -549,34 +546,15 @@ __all__ = ["with_propensity", "iptw", "psm", "standardization", "positivity_repo
 
 def dml_by_period(df: DataFrame, treatment: str, outcome: str, cells: Sequence[str], period: str, row_id: str,
                   k: int = 3, seed: int = 42, min_rows: int = 20, alpha: float = 0.05) -> DataFrame:
-    """EST11 with the LinearDML estimator (saturated nuisances, constant effect) for every period in
-    one job: the period joins the cell keys of the cross-fitted nuisances, and the final
-    residual-on-residual stage is a grouped aggregate per period; the HC1 standard error is a
-    second grouped aggregate with each period's theta joined back (one row per period)."""
-    d = crossfit_folds(df.select(treatment, outcome, row_id, period, *cells).dropna(), row_id, k, seed)
-    r = crossfit_saturated(d, treatment, outcome, [period, *cells], k)
-    res = r.select(period, (F.col(outcome).cast("double") - F.col("_m")).alias("_yt"),
-                   (F.col(treatment).cast("double") - F.col("_e")).alias("_tt"))
-    th = res.groupBy(period).agg(F.try_divide(F.sum(F.col("_tt") * F.col("_yt")), F.sum(F.col("_tt") * F.col("_tt"))).alias("ATE"),
-                                 F.sum(F.col("_tt") * F.col("_tt")).alias("_stt"), F.count(F.lit(1)).alias("n"))
-    e = F.col("_yt") - F.col("ATE") * F.col("_tt")
-    se = res.join(th, period).groupBy(period, "ATE", "_stt", "n").agg(
-        F.sum(F.col("_tt") * F.col("_tt") * e * e).alias("_meat"))
-    sd = F.sqrt(F.try_divide(F.col("_meat"), F.col("_stt") * F.col("_stt")) * F.try_divide(F.col("n"), F.col("n") - 1))
-    z = norm_ppf(1 - alpha / 2)
-    return se.filter(F.col("n") >= min_rows).select(period, "ATE", (F.col("ATE") - z * sd).alias("CI_Lower"),
-                                                     (F.col("ATE") + z * sd).alias("CI_Upper"), sd.alias("std_error"),
-                                                     F.col("n").cast("long").alias("n"))
+    """EST11 with LinearDML (saturated nuisances, constant effect, HC1) for every period, from cell sums."""
+    return period_columns(dml_cells(df, treatment, outcome, cells, row_id, [period], k, seed), period, min_rows, alpha)
 
 
 def tlearner_by_period(df: DataFrame, treatment: str, outcome: str, cells: Sequence[str], period: str,
                        min_rows: int = 20) -> DataFrame:
-    """EST11 with the saturated T-learner for every period in one job: cell means keyed by
-    (period, cell), ITE scored on every row, ATE = mean ITE per period."""
-    scored = t_learner_saturated(df, treatment, outcome, [period, *cells], "_ite")
-    g = scored.filter(F.col("_ite").isNotNull()).groupBy(period).agg(
-        F.avg("_ite").alias("ATE"), F.stddev_samp("_ite").alias("ite_sd"), F.count(F.lit(1)).cast("long").alias("n"))
-    return g.filter(F.col("n") >= min_rows)
+    """EST11 with the saturated T-learner for every period, from cell sums."""
+    g = t_learner_cells(df, treatment, outcome, cells, [period])
+    return g.filter(F.col("n") >= min_rows).select(period, F.col("estimate").alias("ATE"), "ite_sd", "n")
 
 
 def bootstrap_standardization(df: DataFrame, treatment: str, outcome: str, cells: Sequence[str], row_id: str,
@@ -598,7 +576,6 @@ def bootstrap_standardization(df: DataFrame, treatment: str, outcome: str, cells
         F.sum(F.when(F.col("_t") == 1, F.col("_w") * F.col("_y")).otherwise(0.0)).alias("wy1"),
         F.sum(F.when(F.col("_t") == 0, F.col("_w") * F.col("_y")).otherwise(0.0)).alias("wy0"))
     ok = (F.col("w1") > 0) & (F.col("w0") > 0)
-    contrast = (F.col("wy1") / F.col("w1") - F.col("wy0") / F.col("w0")) * (F.col("w1") + F.col("w0"))
     contrast = (F.try_divide(F.col("wy1"), F.col("w1")) - F.try_divide(F.col("wy0"), F.col("w0"))) \
         * (F.col("w1") + F.col("w0"))
     per = c.groupBy("_rep").agg(F.try_divide(F.sum(F.when(ok, contrast)), F.sum(F.when(ok, F.col("w1") + F.col("w0"))))

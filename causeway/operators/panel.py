@@ -34,12 +34,9 @@ def unit_series(df: DataFrame, date: str, unit: str, unit_value, outcome: str,
     return aggregate_series(sub, date, outcome, covariates)
 
 
-def unit_values(df: DataFrame, unit: str, treated=None, limit: int = 100_000) -> list:
-    """Distinct units (treated first, others sorted) -- a bounded collect of the unit list."""
-    vals = [r[0] for r in df.select(unit).filter(F.col(unit).isNotNull()).distinct().orderBy(unit)
-            .limit(limit + 1).collect()]
-    if len(vals) > limit:
-        raise PanelError("too many units for a wide pivot; keep the panel long")
+def unit_values(df: DataFrame, unit: str, treated=None) -> list:
+    """Distinct units (treated first, others sorted): the columns of a wide panel, which is a schema."""
+    vals = [r[0] for r in df.select(unit).filter(F.col(unit).isNotNull()).distinct().orderBy(unit).collect()]
     if treated is not None:
         if treated not in vals:
             raise PanelError(f"Treated unit '{treated}' not found")
@@ -90,13 +87,24 @@ def fill_both(df: DataFrame, date: str, value_cols: Sequence[str], unit: str | N
 
 
 def bayes_panel_long(df: DataFrame, date: str, unit: str, kpi: str, covariates: Sequence[str] = ()) -> DataFrame:
-    """TS6 in long form: mean kpi per (unit, date) plus the global per-date covariate means
-    (full outer join on date), forward then backward filled per unit."""
-    y = df.groupBy(unit, date).agg(F.avg(kpi).alias("y"))
-    if covariates:
-        cov = df.groupBy(date).agg(*[F.avg(c).alias(c) for c in covariates])
-        y = y.join(cov, date, "full")
-    return fill_both(y, date, ["y", *covariates], unit)
+    """TS6 in long form: mean kpi per (unit, date) on the grid of all units and all dates of the table, with the
+    per-date covariate means; each unit is filled forward, then backward.  A unit without any value drops out,
+    as does a covariate without one (an all-null column of the wide form)."""
+    rows = df.filter(F.col(date).isNotNull())
+    y = rows.filter(F.col(unit).isNotNull()).groupBy(unit, date).agg(F.avg(kpi).alias("y")).filter(F.col("y").isNotNull())
+    dates = rows.select(date).distinct()
+    # the grid is the result's own size: a list of dates per unit, exploded
+    every = dates.agg(F.array_sort(F.collect_set(date)).alias("_dates")).withColumn("_one", F.lit(1))
+    units = y.select(unit).distinct().withColumn("_one", F.lit(1))
+    grid = units.join(F.broadcast(every), "_one").select(unit, F.explode("_dates").alias(date))  # every: one row
+    out = grid.join(y, [unit, date], "left")
+    kept = list(covariates)
+    if kept:
+        from ..functions.columns import one_row
+        seen = one_row(rows.agg(*[F.count(c).alias(c) for c in kept]))
+        kept = [c for c in kept if seen[c]]
+        out = out.join(rows.groupBy(date).agg(*[F.avg(c).alias(c) for c in kept]), date, "left") if kept else out
+    return fill_both(out, date, ["y", *kept], unit).select(unit, date, "y", *kept)
 
 
 def intervention_index(df: DataFrame, date: str, start: str, duration: int) -> DataFrame:

@@ -6,38 +6,39 @@ regression comes out of one grouped moment aggregate.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import explode_replicates, row_seed, std_normal
+from ..functions.columns import dlit, explode_replicates, one_row, row_seed, std_normal, uniform
+from ..session import written
 from .gram import moments, ols, solve_moments
 
 
-def _summary(per: DataFrame, original) -> DataFrame:
-    """original, new_effect (mean over replicates), new_sd, z-test p of the original against the
-    replicate distribution, passed = p > 0.05."""
+def _summary(per: DataFrame, original, about_zero: bool = False) -> DataFrame:
+    """original, new_effect (mean over replicates), new_sd, z, p, passed = p > 0.05.
+
+    A random common cause should not move the estimate: z compares the original with the
+    replicates.  A placebo treatment has no effect: z compares the replicates with 0."""
     s = per.agg(F.avg("estimate").alias("new_effect"), F.stddev_samp("estimate").alias("new_sd"),
                 F.count(F.lit(1)).cast("long").alias("replicates"))
     # ``original`` (a sub-query) is referenced once, then used by name
     out = s.select(original.alias("original_effect"), "new_effect", "new_sd", "replicates")
-    z = F.try_divide(F.abs(F.col("original_effect") - F.col("new_effect")), F.col("new_sd"))
+    gap = F.col("new_effect") if about_zero else F.col("original_effect") - F.col("new_effect")
+    out = out.select("*", F.try_divide(F.abs(gap), F.col("new_sd")).alias("z"))
     # two-sided normal tail 2 * (1 - Phi(z)), computed in Arrow batches
-    out = out.select("*", z.alias("_z"))
     import pandas as pd
     from statistics import NormalDist
     nd = NormalDist()
 
     def pv(batches):
         for pdf in batches:
-            p = [None if pd.isna(v) else 2.0 * (1.0 - nd.cdf(float(v))) for v in pdf["_z"]]
-            pdf = pdf.drop(columns=["_z"])
+            p = [None if pd.isna(v) else 2.0 * (1.0 - nd.cdf(float(v))) for v in pdf["z"]]
             pdf["p_value"] = p
             pdf["passed"] = [None if x is None else bool(x > 0.05) for x in p]
             yield pdf
-    return out.mapInPandas(pv, "original_effect double, new_effect double, new_sd double, replicates long, "
+    return out.mapInPandas(pv, "original_effect double, new_effect double, new_sd double, replicates long, z double, "
                                "p_value double, passed boolean")
 
 
@@ -60,36 +61,33 @@ def random_common_cause(df: DataFrame, treatment: str, outcome: str, confounders
     return per, _summary(per, original)
 
 
+BRACKET = 2_000  # accuracy of the approximate quantile that brackets a replicate's cut
+
+
 def placebo_treatment(df: DataFrame, treatment: str, outcome: str, confounders: Sequence[str], row_id: str,
-                      replicates: int = 100, seed: int = 42, rows_per_bucket: int = 200_000,
-                      n_rows: int | None = None, binary: bool = True) -> tuple[DataFrame, DataFrame]:
+                      replicates: int = 100, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """REF2: permute the treatment and re-estimate.
 
-    The permutation is drawn inside random buckets (bucket from the row's stream
-    per replicate, about ``rows_per_bucket`` rows each), so no task holds more
-    than one bucket.  For a binary treatment a permutation is the same as
-    treating the n1 rows with the smallest random key, where n1 is the bucket's
-    treated count: one window (rank + bucket total), no join.  Otherwise rows
-    are ranked by two independent keys and row i takes the treatment of the row
-    whose second-key rank equals its first-key rank (a 1:1 equi-join).  Either
-    way the placebo is independent of (Y, X) with the original treated count.
-    """
+    Every row has a random key in every replicate.  If the treatment takes two values, permuting it is
+    the same as giving the higher value, which n1 rows have, to the n1 rows with the smallest keys (ties by id).  The n1-th key of
+    each replicate is bracketed by an approximate quantile, rows below the bracket are counted, and the few rows inside are ranked;
+    the moments then come from one grouped aggregate.  Only the brackets' rows are shuffled.  Other treatments are
+    permuted by joining two independent rankings of the rows, each ranked over range partitions.
+    Either way the placebo is independent of (Y, X) and has the original values."""
     xs = [treatment, *confounders]
     base = df.select(F.col(row_id), *[F.col(c) for c in xs], F.col(outcome)).dropna()
-    n = n_rows if n_rows is not None else base.count()
-    buckets = max(1, math.ceil(n / rows_per_bucket))
+    t = F.col(treatment).cast("double")
+    b = one_row(base.agg(F.min(t).alias("lo"), F.max(t).alias("hi"), F.count(F.lit(1)).alias("n")))
+    between = one_row(base.agg(F.count(F.when((t > dlit(b["lo"])) & (t < dlit(b["hi"])), 1)).alias("m"), F.count(F.when(t == dlit(b["hi"]), 1)).alias("n1")))
     rep = explode_replicates(base, row_seed(F.col(row_id), F.lit(seed)), replicates, 3)
-    rep = rep.withColumn("_b", F.floor(F.col("_u0") * buckets))
-    part = Window.partitionBy("_rep", "_b")
-    w1 = part.orderBy(F.col("_u1"), F.col(row_id))
-    if binary:
-        perm = rep.select("*", F.row_number().over(w1).alias("_r"), F.sum(F.col(treatment)).over(part).alias("_n1"))
-        perm = perm.withColumn("_placebo", (F.col("_r") <= F.col("_n1")).cast("int"))
+    if b["n"] and not between["m"]:
+        cuts = _cuts(rep, row_id, int(between["n1"]), int(b["n"]))
+        chosen = (F.col("_u1") < F.col("_cut")) | ((F.col("_u1") == F.col("_cut")) & (F.col(row_id) <= F.col("_cut_id")))
+        perm = rep.join(F.broadcast(cuts), "_rep").withColumn("_placebo", F.when(chosen, dlit(b["hi"])).otherwise(dlit(b["lo"])))
     else:
-        w2 = part.orderBy(F.col("_u2"), F.col(row_id))
-        a = rep.withColumn("_r", F.row_number().over(w1))
-        donors = rep.select("_rep", "_b", F.row_number().over(w2).alias("_r"), F.col(treatment).alias("_placebo"))
-        perm = a.join(donors, ["_rep", "_b", "_r"])
+        first = _ranked(rep, "_u1", row_id)
+        second = _ranked(rep, "_u2", row_id).select("_rep", "_rank", F.col(treatment).alias("_placebo"))
+        perm = first.join(second, ["_rep", "_rank"])
     exprs = {"_placebo": F.col("_placebo"), **{c: F.col(c) for c in confounders}}
     exprs["__y"] = F.col(outcome)
     g, names = moments(perm, exprs, keys=["_rep"])
@@ -97,7 +95,55 @@ def placebo_treatment(df: DataFrame, treatment: str, outcome: str, confounders:
                         terms=["_placebo"])
     per = per.select(F.col("_rep").alias("rep"), "estimate")
     original = ols(base, outcome, xs, terms=[treatment]).select("estimate").scalar()
-    return per, _summary(per, original)
+    return per, _summary(per, original, about_zero=True)
+
+
+def _cuts(rep: DataFrame, row_id: str, n1: int, n: int) -> DataFrame:
+    """(_rep, _cut, _cut_id): key and id of the ``n1``-th row of each replicate by (_u1, id); a row per replicate."""
+    p, width = n1 / n, 2 / BRACKET
+    if n1 == 0:
+        return rep.groupBy("_rep").agg(F.lit(-1.0).alias("_cut"), F.min(row_id).alias("_cut_id"))
+    ends = rep.groupBy("_rep").agg(F.percentile_approx("_u1", [max(0.0, p - width), min(1.0, p + width)], BRACKET).alias("q"))
+    ends = written(ends.select("_rep", F.col("q")[0].alias("_a"), F.col("q")[1].alias("_b")), "brackets")
+    inside = rep.join(F.broadcast(ends), "_rep")
+    below = inside.filter(F.col("_u1") < F.col("_a")).groupBy("_rep").agg(F.count(F.lit(1)).alias("_below"))
+    band = inside.filter((F.col("_u1") >= F.col("_a")) & (F.col("_u1") <= F.col("_b"))).select("_rep", "_u1", row_id)
+    rank = F.row_number().over(Window.partitionBy("_rep").orderBy("_u1", row_id))
+    return (band.select("*", rank.alias("_r")).join(F.broadcast(below), "_rep", "left")
+            .filter(F.col("_r") + F.coalesce("_below", F.lit(0)) == n1).select("_rep", F.col("_u1").alias("_cut"), F.col(row_id).alias("_cut_id")))
+
+
+def _ranked(rep: DataFrame, key: str, row_id: str) -> DataFrame:
+    """``rep`` with ``_rank``: the place of a row in its replicate by (key, id), over range partitions."""
+    laid = written(rep.repartitionByRange("_rep", key, row_id).withColumn("_p", F.spark_partition_id()), "ranked")
+    per = laid.groupBy("_rep", "_p").agg(F.count(F.lit(1)).alias("_c"))
+    before = Window.partitionBy("_rep").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.select("_rep", "_p", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"))
+    place = F.row_number().over(Window.partitionBy("_rep", "_p").orderBy(key, row_id))
+    return laid.join(per, ["_rep", "_p"]).withColumn("_rank", F.col("_off") + place).drop("_off", "_p")
+
+
+def re_estimated(df: DataFrame, treatment: str, outcome: str, confounders: Sequence[str], row_id: str, estimator,
+                 refuter: str, replicates: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """REF1 / REF2 for any ``estimator(df, treatment, outcome, confounders) -> row(s) with estimate``: one job per replicate.
+
+    The common cause is a md5 normal per row and replicate; the placebo gives each row the treatment of a random draw from
+    the observed arm shares (two-valued treatments)."""
+    spark = df.sparkSession
+    original = estimator(df, treatment, outcome, list(confounders)).select("estimate").first()["estimate"]
+    t = F.col(treatment).cast("double")
+    b = one_row(df.agg(F.min(t).alias("lo"), F.max(t).alias("hi"), F.count(F.lit(1)).alias("n")))
+    share = one_row(df.agg(F.avg((t == dlit(b["hi"])).cast("double")).alias("p")))["p"]
+    rows = []
+    for r in range(1, replicates + 1):
+        u0, u1 = uniform(F.col(row_id), F.lit(seed), F.lit(f"a{r}")), uniform(F.col(row_id), F.lit(seed), F.lit(f"b{r}"))
+        if refuter == "random_common_cause":
+            est = estimator(df.withColumn("_rcc", std_normal(u0, u1)), treatment, outcome, [*confounders, "_rcc"])
+        else:
+            est = estimator(df.withColumn(treatment, F.when(u0 < dlit(share), dlit(b["hi"])).otherwise(dlit(b["lo"]))), treatment, outcome, list(confounders))
+        rows.append((r, float(est.select("estimate").first()["estimate"])))
+    per = spark.createDataFrame(rows, "rep int, estimate double")
+    return per, _summary(per, dlit(original), about_zero=refuter != "random_common_cause")
 
 
 def refutation_supported(method: str, binary_outcome_logit: bool = False) -> str | None:
@@ -111,11 +157,12 @@ def refutation_supported(method: str, binary_outcome_logit: bool = False) -> str
 
 def refute_effect(df: DataFrame, treatment: str, outcome: str, confounders: Sequence[str], row_id: str,
                   method: str = "OLS", refuter: str = "random_common_cause", binary_outcome_logit: bool = False,
-                  replicates: int = 100, seed: int = 42, post: str | None = None) -> DataFrame:
+                  replicates: int = 100, seed: int = 42, post: str | None = None, estimator=None) -> DataFrame:
     """Refutation dispatcher with the REF3 support rule.
 
-    Unsupported methods (DiD, logit outcomes) still report the original estimate and carry
-    the reason in ``error``; supported ones return the REF1 / REF2 summary."""
+    OLS is refuted in one job for all replicates.  Any other method needs its ``estimator(df, treatment,
+    outcome, confounders)``, which is run again for every replicate; without one, and for methods that cannot be refuted (DiD,
+    logit outcomes), the row carries the reason in ``error``."""
     reason = refutation_supported(method, binary_outcome_logit)
     if reason is not None:
         if post is not None:
@@ -128,7 +175,15 @@ def refute_effect(df: DataFrame, treatment: str, outcome: str, confounders: Sequ
                           F.col("estimate").alias("original_effect"), F.lit(None).cast("double").alias("new_effect"),
                           F.lit(None).cast("double").alias("p_value"), F.lit(None).cast("boolean").alias("passed"),
                           F.lit(reason).alias("error"))
-    fn = random_common_cause if refuter == "random_common_cause" else placebo_treatment
-    _, s = fn(df, treatment, outcome, confounders, row_id, replicates=replicates, seed=seed)
+    if estimator is not None:
+        _, s = re_estimated(df, treatment, outcome, confounders, row_id, estimator, refuter, replicates, seed)
+    elif method.lower() in ("ols", "linear regression", "ols (adjusted)"):
+        fn = random_common_cause if refuter == "random_common_cause" else placebo_treatment
+        _, s = fn(df, treatment, outcome, confounders, row_id, replicates=replicates, seed=seed)
+    else:
+        none = F.lit(None)
+        return df.sparkSession.range(1).select(
+            F.lit(method).alias("method"), F.lit(refuter).alias("refuter"), none.cast("double").alias("original_effect"), none.cast("double").alias("new_effect"),
+            none.cast("double").alias("p_value"), none.cast("boolean").alias("passed"), F.lit(f"refuting {method} needs its estimator").alias("error"))
     return s.select(F.lit(method).alias("method"), F.lit(refuter).alias("refuter"), "original_effect", "new_effect",
                     "p_value", "passed", F.lit(None).cast("string").alias("error"))

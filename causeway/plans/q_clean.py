@@ -175,34 +175,37 @@ def pre9_override_report(spark, sf_dir):
 
 # PRE10 / PRE11 ------------------------------------------------------------------------------------
 
-_FO = "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus IN ('F', 'O')"
+_FO = "SELECT o_orderkey, CAST(o_orderpriority = '1-URGENT' AS INTEGER) AS urgent FROM orders"
 _U = sql_uniform("o_orderkey", "42")
 
 
+def _urgent(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    return o.select("o_orderkey", (F.col("o_orderpriority") == "1-URGENT").cast("int").alias("urgent"))
+
+
 @query("pre10_oversample", sql=f"""WITH t AS ({_FO}),
-c AS (SELECT o_orderstatus AS s, count(*) AS n FROM t GROUP BY 1),
+c AS (SELECT urgent AS s, count(*) AS n FROM t WHERE urgent IS NOT NULL GROUP BY 1),
 mn AS (SELECT s, n FROM c ORDER BY n, s LIMIT 1), mx AS (SELECT s, n FROM c ORDER BY n DESC, s DESC LIMIT 1),
-ranked AS (SELECT t.*, row_number() OVER (ORDER BY {_U}, o_orderkey) - 1 AS pos FROM t WHERE o_orderstatus = (SELECT s FROM mn)),
+ranked AS (SELECT t.*, row_number() OVER (ORDER BY {_U}, o_orderkey) - 1 AS pos FROM t WHERE urgent = (SELECT s FROM mn)),
 slots AS (SELECT CAST(floor({sql_uniform('range', '42', "'slot'")} * (SELECT n FROM mn)) AS BIGINT) AS pos
   FROM range((SELECT n FROM mx)))
-SELECT o_orderkey, o_orderstatus FROM t WHERE o_orderstatus = (SELECT s FROM mx)
-UNION ALL SELECT r.o_orderkey, r.o_orderstatus FROM slots JOIN ranked r ON slots.pos = r.pos""")
+SELECT o_orderkey, urgent FROM t WHERE urgent = (SELECT s FROM mx)
+UNION ALL SELECT r.o_orderkey, r.urgent FROM slots JOIN ranked r ON slots.pos = r.pos""")
 def pre10_oversample(spark, sf_dir):
-    """PRE10 over-sample the minority order status to the majority size (md5 draws, seed 42)."""
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus").filter(F.col("o_orderstatus").isin("F", "O"))
-    return C.oversample_minority(o, "o_orderstatus", "o_orderkey", 42)
+    """PRE10 over-sample the minority of urgent / other orders to the majority size (md5 draws, seed 42)."""
+    return C.oversample_minority(_urgent(spark, sf_dir), "urgent", "o_orderkey", 42)
 
 
 @query("pre11_downsample", sql=f"""WITH t AS ({_FO}),
-c AS (SELECT o_orderstatus AS s, count(*) AS n FROM t GROUP BY 1),
+c AS (SELECT urgent AS s, count(*) AS n FROM t WHERE urgent IS NOT NULL GROUP BY 1),
 mn AS (SELECT s, n FROM c ORDER BY n, s LIMIT 1), mx AS (SELECT s, n FROM c ORDER BY n DESC, s DESC LIMIT 1),
-ranked AS (SELECT t.*, row_number() OVER (ORDER BY {_U}, o_orderkey) AS rk FROM t WHERE o_orderstatus = (SELECT s FROM mx))
-SELECT o_orderkey, o_orderstatus FROM t WHERE o_orderstatus = (SELECT s FROM mn)
-UNION ALL SELECT o_orderkey, o_orderstatus FROM ranked WHERE rk <= (SELECT n FROM mn)""")
+ranked AS (SELECT t.*, row_number() OVER (ORDER BY {_U}, o_orderkey) AS rk FROM t WHERE urgent = (SELECT s FROM mx))
+SELECT o_orderkey, urgent FROM t WHERE urgent = (SELECT s FROM mn)
+UNION ALL SELECT o_orderkey, urgent FROM ranked WHERE rk <= (SELECT n FROM mn)""")
 def pre11_downsample(spark, sf_dir):
-    """PRE11 down-sample the majority order status without replacement (md5 order, seed 42)."""
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus").filter(F.col("o_orderstatus").isin("F", "O"))
-    return C.downsample_majority(o, "o_orderstatus", "o_orderkey", 42)
+    """PRE11 down-sample the majority of urgent / other orders without replacement (md5 order, seed 42)."""
+    return C.downsample_majority(_urgent(spark, sf_dir), "urgent", "o_orderkey", 42)
 
 
 # PRE12 / PRE13 ------------------------------------------------------------------------------------

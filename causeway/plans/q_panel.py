@@ -31,15 +31,15 @@ def agg1_group_median(spark, sf_dir):
                     rnd("l_quantity", 4).alias("l_quantity"))
 
 
-@query("agg2_collapse_x", sql=f"""SELECT l_linenumber, {sql_rnd('avg(l_quantity)', 6)} AS l_quantity,
-  {sql_rnd('avg(l_extendedprice)', 4)} AS l_extendedprice, {sql_rnd('avg(l_discount)', 6)} AS l_discount
-FROM lineitem GROUP BY 1""")
+_LI_MEANS = ["l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+@query("agg2_collapse_x", sql="SELECT l_linenumber, " + ", ".join(f"{sql_rnd(f'avg({c})', 4)} AS {c}" for c in _LI_MEANS)
+       + " FROM lineitem GROUP BY 1")
 def agg2_collapse_x(spark, sf_dir):
     """AGG2 duplicate-x collapse: mean of every numeric column per x."""
-    li = table(spark, sf_dir, "lineitem").select("l_linenumber", "l_quantity", "l_extendedprice", "l_discount")
-    g = A.collapse_duplicate_x(li, "l_linenumber", ["l_extendedprice"])
-    return g.select("l_linenumber", rnd("l_quantity", 6).alias("l_quantity"),
-                    rnd("l_extendedprice", 4).alias("l_extendedprice"), rnd("l_discount", 6).alias("l_discount"))
+    g = A.collapse_duplicate_x(table(spark, sf_dir, "lineitem"), "l_linenumber", ["l_extendedprice"])
+    return g.select("l_linenumber", *[rnd(c, 4).alias(c) for c in _LI_MEANS])
 
 
 @query("agg3_facet", sql=f"""SELECT o_orderstatus, o_orderpriority, {sql_rnd('sum(o_totalprice)', 2)} AS o_totalprice
@@ -133,7 +133,7 @@ def ts4_join_covariates(spark, sf_dir):
     return j.select("date", rnd("y", 4).alias("y"), rnd("user_id", 6).alias("user_id"))
 
 
-_GAPPY = "SELECT event_type AS unit, CAST(ts AS DATE) AS date, sum(value) AS y FROM events WHERE value > 99 GROUP BY 1, 2"
+_GAPPY = "SELECT user_id AS unit, CAST(ts AS DATE) AS date, sum(value) AS y FROM events GROUP BY 1, 2"
 
 
 @query("ts5_daily_ffill", sql=f"""WITH g AS ({_GAPPY}),
@@ -143,32 +143,27 @@ j AS (SELECT s.unit, s.date, g.y FROM s LEFT JOIN g ON s.unit = g.unit AND s.dat
 SELECT unit, date, {sql_rnd('last_value(y IGNORE NULLS) OVER (PARTITION BY unit ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)', 4)} AS y
 FROM j""")
 def ts5_daily_ffill(spark, sf_dir):
-    """TS5 daily spine per unit + forward fill of a gappy series (events with value > 95)."""
-    e = table(spark, sf_dir, "events").filter(F.col("value") > 99)
-    g = e.groupBy(F.col("event_type").alias("unit"), F.to_date("ts").alias("date")).agg(F.sum("value").alias("y"))
+    """TS5 daily spine per user + forward fill of the users' daily sums (users miss days)."""
+    e = table(spark, sf_dir, "events")
+    g = e.groupBy(F.col("user_id").alias("unit"), F.to_date("ts").alias("date")).agg(F.sum("value").alias("y"))
     r = TS.daily_regularize(g, "date", ["y"], "unit")
     return r.select("unit", "date", rnd("y", 4).alias("y"))
 
 
-@query("ts6_bayes_panel", sql=f"""WITH g AS (SELECT event_type AS unit, CAST(ts AS DATE) AS date, avg(value) AS y
-  FROM events WHERE value > 95 GROUP BY 1, 2),
-c AS (SELECT CAST(ts AS DATE) AS date, avg(user_id) AS cov FROM events WHERE value < 5 GROUP BY 1),
-j AS (SELECT g.unit, coalesce(g.date, c.date) AS date, g.y, c.cov FROM g FULL OUTER JOIN c ON g.date = c.date),
-f AS (SELECT unit, date,
+@query("ts6_bayes_panel", sql=f"""WITH g AS (SELECT user_id AS unit, CAST(ts AS DATE) AS date, avg(value) AS y
+  FROM events GROUP BY 1, 2),
+c AS (SELECT CAST(ts AS DATE) AS date, avg(event_id) AS cov FROM events GROUP BY 1),
+j AS (SELECT u.unit, c.date, g.y, c.cov FROM (SELECT DISTINCT unit FROM g) u, c LEFT JOIN g ON g.unit = u.unit AND g.date = c.date),
+f AS (SELECT unit, date, cov,
   coalesce(last_value(y IGNORE NULLS) OVER (PARTITION BY unit ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
-           first_value(y IGNORE NULLS) OVER (PARTITION BY unit ORDER BY date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS y,
-  coalesce(last_value(cov IGNORE NULLS) OVER (PARTITION BY unit ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
-           first_value(cov IGNORE NULLS) OVER (PARTITION BY unit ORDER BY date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS cov
+           first_value(y IGNORE NULLS) OVER (PARTITION BY unit ORDER BY date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS y
   FROM j)
 SELECT unit, date, {sql_rnd('y', 4)} AS y, {sql_rnd('cov', 4)} AS cov FROM f""")
 def ts6_bayes_panel(spark, sf_dir):
-    """TS6 mean kpi per (unit, date), full outer join of per-date covariate means, ffill + bfill per unit."""
-    e = table(spark, sf_dir, "events").select("event_type", F.to_date("ts").alias("date"), "value", "user_id")
-    y = e.filter(F.col("value") > 95).groupBy(F.col("event_type").alias("unit"), "date").agg(F.avg("value").alias("y"))
-    cov = e.filter(F.col("value") < 5).groupBy("date").agg(F.avg("user_id").alias("cov"))
-    j = y.join(cov, "date", "full")
-    f = TS.fill_both(j, "date", ["y", "cov"], "unit")
-    return f.select("unit", "date", rnd("y", 4).alias("y"), rnd("cov", 4).alias("cov"))
+    """TS6 mean kpi on the grid of users and dates with per-date covariate means, ffill + bfill per user."""
+    e = table(spark, sf_dir, "events").select("user_id", F.to_date("ts").alias("date"), "value", "event_id")
+    f = TS.bayes_panel_long(e, "date", "user_id", "value", ["event_id"])
+    return f.select(F.col("user_id").alias("unit"), "date", rnd("y", 4).alias("y"), rnd("event_id", 4).alias("cov"))
 
 
 @query("ts7_intervention_index", sql=f"""WITH {SQL_V4}, d AS (SELECT DISTINCT date FROM v4),

@@ -119,12 +119,11 @@ def prf6_skewness(spark, sf_dir):
     return P.skewness(table(spark, sf_dir, "lineitem"), LI_NUM)
 
 
-@query("prf7_duplicates", sql="""SELECT CAST(count(*) - (SELECT count(*) FROM (SELECT DISTINCT l_returnflag,
-  l_linestatus, l_linenumber, l_quantity FROM lineitem)) AS BIGINT) AS duplicates FROM lineitem""")
+@query("prf7_duplicates", sql="""SELECT CAST(count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM lineitem)) AS BIGINT) AS duplicates
+FROM lineitem""")
 def prf7_duplicates(spark, sf_dir):
-    """PRF7 duplicate full rows of a 4-column projection of lineitem."""
-    li = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus", "l_linenumber", "l_quantity")
-    return P.duplicate_rows(li)
+    """PRF7 duplicate full rows of lineitem."""
+    return P.duplicate_rows(table(spark, sf_dir, "lineitem"))
 
 
 @query("prf8_shape", sql="""SELECT 'rows' AS metric, count(*) AS value FROM lineitem
@@ -186,31 +185,35 @@ def prf11_column_sample(spark, sf_dir):
 
 
 def _readiness_sql():
+    """The rules of ``profile.READINESS_RULES`` on the orders table, one row per family."""
     cols = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
     num = ["o_orderkey", "o_custkey", "o_totalprice"]
     nu = _union([f"SELECT '{c}' AS c, count(DISTINCT {c}) AS nu FROM orders" for c in cols])
     miss = " + ".join(f"(count(*) - count({c}))" for c in cols)
-    std0 = " OR ".join(f"coalesce(stddev_samp({c}), 0) = 0" for c in num)
+    flat = ", ".join(f"CASE WHEN coalesce(stddev_samp({c}), 0) = 0 THEN 'column {c} does not vary' END" for c in num)
+    names = ", ".join(f"'{c}'" for c in num)
+    rules = [  # family, status, condition, message (SQL)
+        ("Universal (Base)", "red", "n < 15", "n || ' rows are too few for any estimate (at least 15)'"),
+        ("Universal (Base)", "red", "2 * missing > n * 6 OR n = 0", "'more than half of all cells are null (' || missing || ')'"),
+        ("Universal (Base)", "yellow", "missing > 0 AND 2 * missing <= n * 6", "missing || ' null cells: impute them first'"),
+        ("Universal (Base)", "red", "flat <> ''", "flat"),
+        ("Difference-in-Differences", "yellow", "NOT any2", "'no two-valued column for group or period'"),
+        ("Bayesian Time Series (CausalImpact)", "yellow", "missing > 0", "'nulls would leave gaps in the series'"),
+        ("Synthetic Control (GeoLift/CausalPy)", "red", "units < 2", "'fewer than two units: one treated and one donor are needed'"),
+        ("Cross-Sectional ML (DML/Meta)", "yellow", "n < 150", "'with ' || n || ' rows a forest is likely to overfit'"),
+        ("Traditional Stats (OLS/Logistic)", "red", "n <= 6", "'not more rows than columns: the design is singular'"),
+        ("Traditional Stats (OLS/Logistic)", "yellow", "NOT num2", "'no two-valued numeric outcome for a logistic model'"),
+        ("Propensity Scores (PSM/IPTW)", "red", "NOT any2", "'no two-valued treatment column'"),
+    ]
+    hits = _union([f"SELECT '{f}' AS category, '{st}' AS st, {m} AS m FROM facts WHERE {c}" for f, st, c, m in rules])
+    families = ", ".join(f"('{f}')" for f in dict.fromkeys(r[0] for r in rules))
     return f"""WITH nu AS ({nu}),
-s AS (SELECT count(*) AS rows, {miss} AS missing, ({std0}) AS anystd0 FROM orders),
-f AS (SELECT bool_or(nu = 2) AS any2, bool_or(nu >= 2) AS anyge2,
-  bool_or(nu = 2 AND c IN ('o_orderkey', 'o_custkey', 'o_totalprice')) AS num2,
-  max(CASE WHEN c IN ('o_orderstatus', 'o_orderpriority') THEN nu END) AS catmax FROM nu)
-SELECT 'Universal (Base)' AS category,
-  CASE WHEN anystd0 THEN 'red' WHEN missing * 1.0 / (rows * 6) > 0.5 THEN 'red' WHEN missing > 0 THEN 'yellow'
-       WHEN rows < 15 THEN 'red' ELSE 'green' END AS status, '' AS messages FROM s
-UNION ALL SELECT 'Difference-in-Differences', CASE WHEN any2 AND anyge2 THEN 'green' ELSE 'yellow' END,
-  CASE WHEN any2 AND anyge2 THEN '' ELSE 'DiD requires a categorical group variable and a binary Pre/Post time indicator.' END FROM f
-UNION ALL SELECT 'Bayesian Time Series (CausalImpact)', CASE WHEN missing > 0 THEN 'yellow' ELSE 'green' END,
-  CASE WHEN missing > 0 THEN 'BSTS solvers crash if there are structural NaN gaps in the continuous time series.' ELSE '' END FROM s
-UNION ALL SELECT 'Synthetic Control (GeoLift/CausalPy)', CASE WHEN catmax < 2 THEN 'red' ELSE 'green' END,
-  CASE WHEN catmax < 2 THEN 'You must have at least 2 distinct Locations (1 Treated, 1 Donor pool) to run Synthetic Controls.' ELSE '' END FROM f
-UNION ALL SELECT 'Cross-Sectional ML (DML/Meta)', CASE WHEN rows < 150 THEN 'yellow' ELSE 'green' END,
-  CASE WHEN rows < 150 THEN 'Random Forest/DML with only ' || rows || ' rows runs a severe risk of high overfitting.' ELSE '' END FROM s
-UNION ALL SELECT 'Traditional Stats (OLS/Logistic)', CASE WHEN rows <= 6 THEN 'red' WHEN NOT num2 THEN 'yellow' ELSE 'green' END,
-  CASE WHEN NOT num2 THEN 'Logistic Regression explicitly requires a binary Target (Outcome) variable to classify.' ELSE '' END FROM s, f
-UNION ALL SELECT 'Propensity Scores (PSM/IPTW)', CASE WHEN any2 THEN 'green' ELSE 'red' END,
-  CASE WHEN any2 THEN '' ELSE 'Models calculating Propensity absolutely require a binary (0/1) Treatment indicator.' END FROM f"""
+s AS (SELECT count(*) AS n, {miss} AS missing, concat_ws(' | ', {flat}) AS flat FROM orders),
+f AS (SELECT bool_or(nu = 2) AS any2, bool_or(nu = 2 AND c IN ({names})) AS num2,
+  max(CASE WHEN c IN ('o_orderstatus', 'o_orderpriority') THEN nu END) AS units FROM nu),
+facts AS (SELECT * FROM s, f), hits AS ({hits}), families(category) AS (VALUES {families})
+SELECT families.category, CASE WHEN bool_or(st = 'red') THEN 'red' WHEN bool_or(st = 'yellow') THEN 'yellow' ELSE 'green' END AS status,
+  coalesce(string_agg(m, ' | ' ORDER BY m), '') AS messages FROM families LEFT JOIN hits USING (category) GROUP BY families.category"""
 
 
 @query("prf12_readiness", sql=_readiness_sql())
