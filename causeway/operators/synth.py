@@ -9,8 +9,7 @@ Physical plan
    needs only this units x units matrix, so no estimator re-reads the panel.
 3. Solves: the Gram rows are replicated to ``buckets`` solve groups with
    ``explode(sequence)`` (no join) and each ``applyInPandas`` task solves the
-   treated units hashed to it.  A task holds units^2 numbers, never rows;
-   the unit count is checked against ``MAX_UNITS``.
+   treated units hashed to it.  A task holds units^2 numbers, never rows.
 4. Counterfactuals are a join of the weights with the panel on the donor and
    a grouped sum; the conformal (cyclic-shift) test and the CI inversion are
    grouped aggregates over (unit, shift) and (unit, grid value).
@@ -30,10 +29,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.columns import rnd
 from ..functions.linalg import simplex_ls
 
-MAX_UNITS = 3000  # units^2 Gram entries held by one solve task
-
 
 # Panel indexing -------------------------------------------------------------------------------------
 
@@ -46,6 +44,12 @@ def index_dates(panel: DataFrame, date: str = "date") -> DataFrame:
     return panel.join(idx, date)
 
 
+def complete_units(panel: DataFrame) -> DataFrame:
+    """Rows of the units that have every date of the panel (weights must sum to 1 on every date)."""
+    n = panel.select("date").distinct().count()
+    return panel.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("unit"))).filter(F.col("_n") == n).drop("_n")
+
+
 def with_fixed_effects(panel: DataFrame, pre: F.Column, y: str = "y", keys: Sequence[str] = ()) -> DataFrame:
     """QX7: ``y_fit`` = y - pre-period mean of the unit (``mu``); without FE y_fit = y, mu = 0."""
     mu = panel.filter(pre).groupBy(*keys, "unit").agg(F.avg(y).alias("mu"))
@@ -55,13 +59,11 @@ def with_fixed_effects(panel: DataFrame, pre: F.Column, y: str = "y", keys: Sequ
 # Gram ---------------------------------------------------------------------------------------------
 
 def panel_units(panel: DataFrame) -> list[str]:
-    """Sorted distinct units (a bounded collect, checked against MAX_UNITS)."""
-    units = [r[0] for r in panel.select("unit").distinct().orderBy("unit").limit(MAX_UNITS + 1).collect()]
-    if len(units) > MAX_UNITS:
-        raise ValueError(f"more than {MAX_UNITS} units; restrict the donor pool (unit_correlations)")
-    return units
+    """Sorted distinct units: the names of the Gram matrix's rows."""
+    return [r[0] for r in panel.select("unit").distinct().orderBy("unit").collect()]
 
 
+DATES_AT_ONCE = 256
 PAIR_FIELDS = ["n", "sa", "sb", "saa", "sbb", "sab"]
 
 
@@ -77,9 +79,10 @@ def pair_moments(panel: DataFrame, y: str = "y_fit", keys: Sequence[str] = (), u
     units = units if units is not None else panel_units(panel)
     pos = {u: i for i, u in enumerate(units)}
     U = len(units)
-    idx_map = F.create_map(*[x for u, i in pos.items() for x in (F.lit(u), F.lit(i))])
-    vec = (panel.select(*keys, "date", idx_map[F.col("unit")].alias("_i"), F.col(y).cast("double").alias("_v"))
-           .dropna().groupBy(*keys, "date").agg(F.collect_list(F.struct("_i", "_v")).alias("_vec")))
+    numbers = panel.sparkSession.createDataFrame(list(pos.items()), "unit string, _i int")
+    vec = (panel.select(*keys, "date", "unit", F.col(y).cast("double").alias("_v")).join(numbers, "unit")
+           .select(*keys, "date", "_i", "_v").dropna().groupBy(*keys, "date").agg(F.collect_list(F.struct("_i", "_v")).alias("_vec"))
+           .select(*keys, F.col("_vec._i").alias("_i"), F.col("_vec._v").alias("_v")))
     key_fields = [vec.schema[k] for k in keys]
     key_ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in key_fields)
     schema = (key_ddl + ", " if key_ddl else "") + "a string, b string, " + ", ".join(f"{f} double" for f in fields)
@@ -88,28 +91,19 @@ def pair_moments(panel: DataFrame, y: str = "y_fit", keys: Sequence[str] = (), u
     def accumulate(batches):
         acc = {}
         for pdf in batches:
-            for _, row in pdf.iterrows():
-                k = tuple(row[x] for x in keys)
-                st = acc.get(k)
-                if st is None:
-                    st = acc[k] = {f: np.zeros((U, U)) for f in fields}
-                v = np.zeros(U)
-                m = np.zeros(U)
-                for it in row["_vec"]:
-                    i, val = it["_i"], it["_v"]
-                    v[i], m[i] = val, 1.0
-                if "n" in st:
-                    st["n"] += np.outer(m, m)
-                if "sa" in st:
-                    st["sa"] += np.outer(v, m)
-                if "sb" in st:
-                    st["sb"] += np.outer(m, v)
-                if "saa" in st:
-                    st["saa"] += np.outer(v * v, m)
-                if "sbb" in st:
-                    st["sbb"] += np.outer(m, v * v)
-                if "sab" in st:
-                    st["sab"] += np.outer(v, v)
+            parts = pdf.groupby(list(keys), sort=False) if keys else [((), pdf)]
+            for k, part in parts:
+                k = k if isinstance(k, tuple) else (k,)
+                st = acc.setdefault(k, {f: np.zeros((U, U)) for f in fields})
+                for lo in range(0, len(part), DATES_AT_ONCE):  # dense dates x units blocks, one matrix product each
+                    block = part.iloc[lo:lo + DATES_AT_ONCE]
+                    v, m = np.zeros((len(block), U)), np.zeros((len(block), U))
+                    row = np.repeat(np.arange(len(block)), [len(i) for i in block["_i"]])
+                    at = np.concatenate(block["_i"].to_list())
+                    v[row, at], m[row, at] = np.concatenate(block["_v"].to_list()), 1.0
+                    sides = {"n": (m, m), "sa": (v, m), "sb": (m, v), "saa": (v * v, m), "sbb": (m, v * v), "sab": (v, v)}
+                    for f in st:
+                        st[f] += sides[f][0].T @ sides[f][1]
         for k, st in acc.items():
             A, B = np.meshgrid(np.arange(U), np.arange(U), indexing="ij")
             out = {"a": ua[A.ravel()], "b": ua[B.ravel()]}
@@ -224,8 +218,6 @@ def synth_weights(gram: DataFrame, treated: Sequence[str] | None = None, model:
     l2_imbalance, scaled_l2_imbalance (ratio to uniform weights), model.
     """
     n_units = gram.select("a").distinct().count() if (treated is None and groups is None) or buckets is None else None
-    if n_units is not None and n_units > MAX_UNITS:
-        raise ValueError(f"{n_units} units exceed MAX_UNITS; restrict donors with unit_correlations")
     if groups is not None:
         treated = list(groups)
     n_treated = len(treated) if treated is not None else n_units
@@ -269,7 +261,7 @@ def _stable_hash(s: str) -> int:
 
 # GSYN: interactive fixed effects ---------------------------------------------------------------
 
-def gsyn_series(panel: DataFrame, treated: Sequence[str], p0: int, rank: int = 2, max_dates: int = MAX_UNITS) -> DataFrame:
+def gsyn_series(panel: DataFrame, treated: Sequence[str], p0: int, rank: int = 2) -> DataFrame:
     """QX8 ``gsyn``: generalized synthetic control (interactive fixed effects) counterfactual.
 
     Time factors are the top ``rank`` eigenvectors of the dates x dates Gram of the control
@@ -279,8 +271,6 @@ def gsyn_series(panel: DataFrame, treated: Sequence[str], p0: int, rank: int = 2
     counterfactual is F * loading (+ the unit's pre-mean).  Returns (unit, idx, predicted).
     """
     T_ = int(panel.agg(F.max("idx") + 1).collect()[0][0])
-    if T_ > max_dates:
-        raise ValueError("too many dates for the dates x dates Gram")
     swapped = panel.select(F.col("idx").cast("string").alias("unit"), F.col("unit").alias("date"), "y_fit")
     dates = [str(i) for i in range(T_)]
     tg = pair_moments(swapped, "y_fit", units=dates, fields=("sab",))
@@ -346,23 +336,26 @@ def _post_flag(idx: F.Column, p0: F.Column, p1: F.Column) -> F.Column:
 
 def shift_sums(series: DataFrame, p0: int, p1: int, keys: Sequence[str] = (), n_periods: int | None = None) -> DataFrame:
     """Per (keys, unit, shift s): A_s = sum over post t of u_{(t+s) mod T}, c_s = #post t with
-    (t+s) mod T in post, B_s = sum of predicted over the same positions, T periods (idx 0..T-1).
-
-    Each residual row is exploded over the T shifts (T^2 rows per unit, grouped by unit)."""
-    T_ = F.lit(n_periods) if n_periods is not None else F.col("_T")
+    (t+s) mod T in post, B_s = sum of predicted over the same positions, T periods (idx 0..T-1)."""
     s = series.select(*keys, "unit", "idx", (F.col("observed") - F.col("predicted")).alias("u"), "predicted")
     if n_periods is None:
-        tn = series.groupBy(*keys, "unit").agg((F.max("idx") + 1).alias("_T"))
-        s = s.join(tn, [*keys, "unit"])
-    ex = s.select("*", F.explode(F.sequence(F.lit(0), T_ - 1)).alias("shift"))
-    # row at position r contributes to A_s iff (r - s) mod T is a post position
-    src = F.pmod(F.col("idx") - F.col("shift"), T_)
-    hit = _post_flag(src, F.lit(p0), F.lit(p1))
-    both = hit & _post_flag(F.col("idx"), F.lit(p0), F.lit(p1))
-    return ex.groupBy(*keys, "unit", "shift").agg(
-        F.sum(F.when(hit, F.col("u")).otherwise(0.0)).alias("A"),
-        F.sum(F.when(both, F.lit(1)).otherwise(0)).alias("c"),
-        F.sum(F.when(both, F.col("predicted")).otherwise(0.0)).alias("B"))
+        n_periods = F.max("idx").over(Window.partitionBy(*keys, "unit")) + 1
+    s = s.select("*", F.lit(p0).alias("_p0"), (F.lit(n_periods) if isinstance(n_periods, int) else n_periods).alias("_T"))
+    return cyclic_sums(s, p1 - p0 + 1, keys)
+
+
+def cyclic_sums(s: DataFrame, length: int, keys: Sequence[str] = ()) -> DataFrame:
+    """A, c, B of every cyclic shift from rows (keys, unit, idx, u, predicted, _p0, _T).
+
+    The post window shifted by s is the run of ``length`` positions from (p0 + s) mod T on.  Two copies of
+    a unit's series, one after the other, turn every cyclic run into a plain one: one window over 2T rows gives all T sums."""
+    twice = s.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("_copy")).withColumn("_at", (F.col("idx") + F.col("_copy") * F.col("_T")).cast("long"))
+    run = Window.partitionBy(*keys, "unit").orderBy("_at").rangeBetween(0, length - 1)
+    post = _post_flag(F.col("idx"), F.col("_p0"), F.col("_p0") + length - 1)
+    out = twice.select(*keys, "unit", "idx", "_copy", F.pmod(F.col("idx") - F.col("_p0"), F.col("_T")).cast("int").alias("shift"),
+                       F.sum("u").over(run).alias("A"), F.sum(F.when(post, 1).otherwise(0)).over(run).alias("c"),
+                       F.sum(F.when(post, F.col("predicted")).otherwise(0.0)).over(run).alias("B"))
+    return out.filter("_copy = 0").select(*keys, "unit", "shift", "A", "c", "B")
 
 
 def _stat(x: F.Column, stat_test: str) -> F.Column:
@@ -392,27 +385,37 @@ def effect_grid_ci(shifts: DataFrame, att: DataFrame, alpha: float = 0.1, grid:
     g = att.select(*keys, "unit", "ate", "scale")
     span = F.lit(5.0) * F.greatest(F.abs(F.col("ate")), F.col("scale"), F.lit(1e-9))
     g = g.select(*keys, "unit", "ate", span.alias("span"))
-    # one row per unit joined to its T shift rows (1:n), then the grid is an explode
-    j = shifts.join(g, [*keys, "unit"]).select("*", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("k"))
-    j = j.withColumn("theta", F.col("ate") - F.col("span") + F.col("k") * 2.0 * F.col("span") / (grid - 1))
-    s = j.select(*keys, "unit", "theta", "shift", _stat(F.col("A") - F.col("theta") * F.col("c"), stat_test).alias("S"))
-    w = Window.partitionBy(*keys, "unit", "theta")
-    s = s.select("*", F.max(F.when(F.col("shift") == 0, F.col("S"))).over(w).alias("S0"))
-    p = s.groupBy(*keys, "unit", "theta").agg(F.avg((F.col("S") >= F.col("S0") - 1e-12).cast("double")).alias("p"))
-    keep = p.filter(F.col("p") >= alpha)
-    return keep.groupBy(*keys, "unit").agg(F.min("theta").alias("ate_lower"), F.max("theta").alias("ate_upper"))
+    # one row per unit with its T shifts; the T x grid comparison is one array operation in the task
+    j = (shifts.groupBy(*keys, "unit").agg(F.collect_list(F.struct("shift", "A", "c")).alias("s")).join(g, [*keys, "unit"])
+         .select(*keys, "unit", "ate", "span", F.col("s.shift").alias("shift"), F.col("s.A").alias("A"), F.col("s.c").alias("c")))
+    sign = {"Total": np.abs, "Positive": np.positive, "Negative": np.negative}[stat_test]
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in j.schema.fields if f.name in (*keys, "unit"))
+
+    def invert(batches):
+        for pdf in batches:
+            lo, hi = [], []
+            for ate, span, shift, a, c in zip(pdf["ate"], pdf["span"], pdf["shift"], pdf["A"], pdf["c"], strict=True):
+                theta = ate - span + np.arange(grid) * 2.0 * span / (grid - 1)
+                stat = sign(np.asarray(a, float)[:, None] - theta * np.asarray(c, float)[:, None])
+                observed = stat[np.flatnonzero(np.asarray(shift) == 0)[0]]
+                kept = theta[(stat >= observed - 1e-12).mean(axis=0) >= alpha]
+                lo.append(kept.min() if len(kept) else None)
+                hi.append(kept.max() if len(kept) else None)
+            yield pdf[[*keys, "unit"]].assign(ate_lower=pd.array(lo, "Float64"), ate_upper=pd.array(hi, "Float64"))
+
+    return j.mapInPandas(invert, f"{fields}, ate_lower double, ate_upper double")
 
 
 # Impact -----------------------------------------------------------------------------------------
 
 def prepare_panel(df: DataFrame, date: str, unit: str, kpi: str, start: str, duration: int | None = None,
                   fixed_effects: bool = True) -> tuple[DataFrame, int, int, int]:
-    """Aggregate to (unit, date, y), index dates, add FE columns.  Returns (panel, p0, p1, T):
+    """Aggregate to (unit, date, y), drop units with gaps (TS8), index dates, add FE columns.  Returns (panel, p0, p1, T):
     post positions p0..p1 = the ``duration`` dates from the first date >= start."""
     panel = (df.select(F.col(unit).cast("string").alias("unit"), F.to_date(F.col(date)).alias("date"),
                        F.col(kpi).cast("double").alias("y"))
              .dropna().groupBy("unit", "date").agg(F.sum("y").alias("y")))
-    panel = index_dates(panel)
+    panel = index_dates(complete_units(panel))
     b = panel.agg(F.min(F.when(F.col("date") >= F.lit(start).cast("date"), F.col("idx"))).alias("p0"),
                   (F.max("idx") + 1).alias("T")).collect()[0]
     if b["p0"] is None or b["p0"] == 0:
@@ -490,7 +493,7 @@ def placebo_rank(impact_all: DataFrame, treated: str) -> DataFrame:
     """QX19: rank of the treated unit's |ATT| / pre-fit imbalance among all units run as
     pseudo-treated; p = rank / units."""
     r = impact_all.select("unit", F.try_divide(F.abs("ate"), F.greatest(F.col("l2_imbalance"), F.lit(1e-12))).alias("ratio"))
-    w = Window.orderBy(F.desc("ratio"))  # one row per unit
+    w = Window.orderBy(F.desc(rnd("ratio", 9)))  # one row per unit; equal to 9 digits is a tie
     ranked = r.select("*", F.rank().over(w).alias("rank"), F.count(F.lit(1)).over(Window.partitionBy()).alias("units"))
     return ranked.filter(F.col("unit") == treated).select("unit", "ratio", "rank", "units",
                                                           (F.col("rank") / F.col("units")).alias("placebo_p"))
@@ -502,7 +505,7 @@ def market_power(df: DataFrame, date: str, unit: str, kpi: str, duration: int =
                  effects: Sequence[float] = (0.0, 0.1), alpha: float = 0.1, stat_test: str = "Total",
                  candidates: Sequence[str] | None = None, fixed_effects: bool = True, model: str = "none",
                  cutoff: str | None = None, cpic: float | None = None, budget: float | None = None,
-                 n_markets: int = 1, max_groups: int = 5000) -> dict:
+                 n_markets: int = 1) -> dict:
     """QX11: simulated power of every candidate market.
 
     Simulation k = 1..lookback places a ``duration``-period test window ending k-1 windows
@@ -511,13 +514,13 @@ def market_power(df: DataFrame, date: str, unit: str, kpi: str, duration: int =
     conformal test decides detection.  Power(c, e) = share of the k simulations with p < alpha.
     Everything is keyed by (k, candidate[, effect]) so the simulations run as parallel groups.
     ``n_markets`` > 1 tests every combination of that many candidate markets treated together
-    (their summed series); more than ``max_groups`` combinations is an error, never a sample.
+    (their summed series).
     """
     base = df if cutoff is None else df.filter(F.to_date(F.col(date)) < F.lit(cutoff).cast("date"))
     panel = (base.select(F.col(unit).cast("string").alias("unit"), F.to_date(F.col(date)).alias("date"),
                          F.col(kpi).cast("double").alias("y")).dropna()
              .groupBy("unit", "date").agg(F.sum("y").alias("y")))
-    panel = index_dates(panel)
+    panel = index_dates(complete_units(panel))
     T_ = int(panel.agg(F.max("idx") + 1).collect()[0][0])
     if T_ - lookback * duration <= 1:
         raise ValueError("not enough history for the requested lookback")
@@ -538,9 +541,6 @@ def market_power(df: DataFrame, date: str, unit: str, kpi: str, duration: int =
     if n_markets > 1:
         from itertools import combinations
         pool = sorted(candidates) if candidates is not None else panel_units(panel)
-        n_groups = math.comb(len(pool), n_markets)
-        if n_groups > max_groups:
-            raise ValueError(f"{n_groups} market combinations exceed max_groups; pass fewer candidates")
         groups = {group_id(c): list(c) for c in combinations(pool, n_markets)}
     w = synth_weights(gram, candidates, model, keys=["k"], groups=groups,
                       buckets=max(1, min(64, len(groups or candidates or []) or 16)))
@@ -548,17 +548,9 @@ def market_power(df: DataFrame, date: str, unit: str, kpi: str, duration: int =
     series = series.select("*", (F.lit(T_) - F.col("k") * duration).alias("p0"),
                            (F.lit(T_) - (F.col("k") - 1) * duration - 1).alias("p1"))
     s = series.select("k", "unit", "idx", "observed", "predicted", "p0", "p1")
-    Tk = F.col("p1") + 1
-    ex = s.select("*", (F.col("observed") - F.col("predicted")).alias("u"),
-                  F.explode(F.sequence(F.lit(0), Tk - 1)).alias("shift"))
-    src = F.pmod(F.col("idx") - F.col("shift"), Tk)
-    hit = (src >= F.col("p0")) & (src <= F.col("p1"))
-    # injected effect e*predicted sits on post positions; position idx contributes its own
-    # predicted when idx itself is post (the source slot maps back to post)
-    own_post = (F.col("idx") >= F.col("p0")) & (F.col("idx") <= F.col("p1"))
-    sh = ex.groupBy("k", "unit", "shift").agg(
-        F.sum(F.when(hit, F.col("u")).otherwise(0.0)).alias("A"),
-        F.sum(F.when(hit & own_post, F.col("predicted")).otherwise(0.0)).alias("B"))
+    # the injected effect e * predicted sits on post positions: B sums predicted over them
+    sh = cyclic_sums(s.select("k", "unit", "idx", (F.col("observed") - F.col("predicted")).alias("u"), "predicted",
+                              F.col("p0").alias("_p0"), (F.col("p1") + 1).alias("_T")), duration, ["k"])
     grid = sh.select("*", F.explode(F.array(*[F.lit(float(e)) for e in effects])).alias("effect"))
     st = grid.select("k", "unit", "shift", "effect", _stat(F.col("A") + F.col("effect") * F.col("B"), stat_test).alias("S"))
     wv = Window.partitionBy("k", "unit", "effect")

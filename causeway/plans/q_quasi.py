@@ -37,13 +37,14 @@ f AS (SELECT sp.unit, sp.date, coalesce(g.y, 0) AS y, coalesce(g.x, 0) AS x FROM
 # QX6 / QX7 / QX9 / QX13: synthetic control --------------------------------------------------------
 
 _ONE_DONOR_SQL = f"""WITH {SQL_V4_DAILY},
-p AS (SELECT unit, date, y, dense_rank() OVER (ORDER BY date) - 1 AS idx FROM v4d WHERE unit IN ('purchase', 'view')),
+w AS (SELECT CASE WHEN unit = 'purchase' THEN unit ELSE 'other' END AS unit, date, sum(y) AS y FROM v4d GROUP BY 1, 2),
+p AS (SELECT unit, date, y, dense_rank() OVER (ORDER BY date) - 1 AS idx FROM w),
 k AS (SELECT min(idx) FILTER (WHERE date >= DATE '{START_V4}') AS p0, max(idx) AS mx FROM p),
 kk AS (SELECT p0, least(p0 + 6, mx) AS p1 FROM k),
 mu AS (SELECT unit, avg(y) AS mu FROM p, kk WHERE idx < p0 GROUP BY unit),
 f AS (SELECT p.unit, p.idx, p.y, p.y - mu.mu AS yf FROM p JOIN mu ON p.unit = mu.unit),
 s AS (SELECT t.idx, t.y AS obs, d.yf + (SELECT mu FROM mu WHERE unit = 'purchase') AS pred
-  FROM f t JOIN f d ON t.idx = d.idx AND t.unit = 'purchase' AND d.unit = 'view', kk WHERE t.idx <= kk.p1),
+  FROM f t JOIN f d ON t.idx = d.idx AND t.unit = 'purchase' AND d.unit = 'other', kk WHERE t.idx <= kk.p1),
 r AS (SELECT idx, obs - pred AS u FROM s),
 sh AS (SELECT g.range AS shift, sum(CASE WHEN ((r.idx - g.range) % (kk.p1 + 1) + (kk.p1 + 1)) % (kk.p1 + 1)
   BETWEEN kk.p0 AND kk.p1 THEN u ELSE 0 END) AS a FROM r, kk, range(0, (SELECT p1 + 1 FROM kk)) g GROUP BY g.range),
@@ -58,7 +59,7 @@ FROM r, kk, pv"""
 def qx6_synth_one_donor(spark, sf_dir):
     """QX6/QX7/QX9/QX13 with a one-unit donor pool (weight 1): FE-demeaned counterfactual, ATT,
     incremental, conformal cyclic-shift p-value and pre-period L2 imbalance (exact)."""
-    d = v4_daily(spark, sf_dir).filter(F.col("unit").isin("purchase", "view"))
+    d = v4_daily(spark, sf_dir).withColumn("unit", F.when(F.col("unit") == "purchase", F.col("unit")).otherwise("other"))
     r = S.synth_impact(d, "date", "unit", "y", ["purchase"], START_V4, duration=7, with_ci=False)
     return r["impact"].select("unit", rnd("ate", 4).alias("ate"), rnd("cum", 4).alias("cum"),
                               rnd("p_value", 6).alias("p_value"), rnd("l2_imbalance", 4).alias("l2_imbalance"))
@@ -68,7 +69,7 @@ def qx6_synth_one_donor(spark, sf_dir):
 def qx6_synth_impact(spark, sf_dir):
     """QX6 synthetic control for 'purchase' against the other event types, with the CI by test
     inversion (QX10), percent lift and its relative CI (impact schema)."""
-    r = S.synth_impact(v4_daily(spark, sf_dir), "date", "unit", "y", ["purchase"], START_V4, duration=7, grid=100)
+    r = S.synth_impact(v4_daily(spark, sf_dir), "date", "unit", "y", ["purchase"], START_V4, duration=7)
     return r["impact"]
 
 
@@ -84,18 +85,72 @@ def qx6_synth_weights(spark, sf_dir):
 def qx8_augmented_ridge(spark, sf_dir):
     """QX8 ridge-augmented, 'best' and GSYN (interactive fixed effects) synthetic control on the nation panel."""
     p = _v5_balanced(spark, sf_dir)
-    ridge = S.synth_impact(p, "date", "unit", "y", ["NATION_0"], START_V5, 12, model="ridge", grid=50)["impact"]
-    best = S.synth_impact(p, "date", "unit", "y", ["NATION_0"], START_V5, 12, model="best", grid=50)["impact"]
-    gsyn = S.synth_impact(p, "date", "unit", "y", ["NATION_0"], START_V5, 12, model="gsyn", grid=50)["impact"]
+    ridge = S.synth_impact(p, "date", "unit", "y", ["NATION_0"], START_V5, 12, model="ridge")["impact"]
+    best = S.synth_impact(p, "date", "unit", "y", ["NATION_0"], START_V5, 12, model="best")["impact"]
+    gsyn = S.synth_impact(p, "date", "unit", "y", ["NATION_0"], START_V5, 12, model="gsyn")["impact"]
     return ridge.unionByName(best).unionByName(gsyn)
 
 
-@query("ts13_synth_series")
+def _two_units(spark, sf_dir):
+    """purchase against all other event types together: one donor, so its weight is exactly 1."""
+    d = v4_daily(spark, sf_dir)
+    return d.withColumn("unit", F.when(F.col("unit") == "purchase", F.col("unit")).otherwise("other"))
+
+
+def _series_columns(df):
+    return df.select("unit", "date", *[rnd(c, 4).alias(c) for c in ("observed", "predicted", "effect", "cum_effect")], "is_post")
+
+
+_TWO_UNITS = f"""{SQL_V4_DAILY},
+w AS (SELECT CASE WHEN unit = 'purchase' THEN unit ELSE 'other' END AS unit, date, sum(y) AS y FROM v4d GROUP BY 1, 2),
+p AS (SELECT unit, date, y, dense_rank() OVER (ORDER BY date) - 1 AS idx FROM w),
+k AS (SELECT min(idx) FILTER (WHERE date >= DATE '{START_V4}') AS p0, max(idx) AS mx FROM p),
+kk AS (SELECT p0, least(p0 + 6, mx) AS p1 FROM k),
+mu AS (SELECT unit, avg(y) AS mu FROM p, kk WHERE idx < p0 GROUP BY unit),
+f AS (SELECT p.*, p.y - mu.mu AS yf, mu.mu FROM p JOIN mu ON p.unit = mu.unit),
+s AS (SELECT t.unit, t.date, t.idx, t.y AS obs, d.yf + t.mu AS pred, CAST(t.idx BETWEEN kk.p0 AND kk.p1 AS INTEGER) AS post
+  FROM f t JOIN f d ON t.idx = d.idx AND t.unit <> d.unit, kk WHERE t.idx <= kk.p1)"""
+_SERIES_SQL = f"""WITH {_TWO_UNITS}
+SELECT unit, date, {sql_rnd('obs', 4)} AS observed, {sql_rnd('pred', 4)} AS predicted, {sql_rnd('obs - pred', 4)} AS effect,
+  {sql_rnd('sum(CASE WHEN post = 1 THEN obs - pred ELSE 0 END) OVER (ORDER BY date)', 4)} AS cum_effect, post AS is_post FROM s WHERE unit = 'purchase'"""
+
+
+@query("ts13_synth_series", sql=_SERIES_SQL)
 def ts13_synth_series(spark, sf_dir):
     """TS13/SNK3 counterfactual series of the synthetic control with cumulative post effect."""
-    r = S.synth_impact(v4_daily(spark, sf_dir), "date", "unit", "y", ["purchase"], START_V4, duration=7,
-                       with_ci=False)
-    return TS.impact_series(r["series"], "unit", "date", "observed", "predicted")
+    r = S.synth_impact(_two_units(spark, sf_dir), "date", "unit", "y", ["purchase"], START_V4, duration=7, with_ci=False)
+    return _series_columns(TS.impact_series(r["series"], "unit", "date", "observed", "predicted"))
+
+
+@query("qx19_placebo_two_units", sql=f"""WITH {_TWO_UNITS},
+a AS (SELECT unit, abs(avg(CASE WHEN post = 1 THEN obs - pred END)) / sqrt(sum(CASE WHEN idx < p0 THEN (obs - pred) * (obs - pred) END)) AS ratio
+  FROM s, kk GROUP BY unit),
+r AS (SELECT unit, ratio, CAST(rank() OVER (ORDER BY floor(ratio * 1e9 + 0.5) DESC) AS INTEGER) AS rank, count(*) OVER () AS units FROM a)
+SELECT unit, {sql_rnd('ratio', 6)} AS ratio, rank, units, {sql_rnd('rank * 1.0 / units', 6)} AS placebo_p FROM r WHERE unit = 'purchase'""")
+def qx19_placebo_two_units(spark, sf_dir):
+    """QX19 with two units (weights exactly 1): both run as treated, rank of the true one."""
+    r = S.synth_impact(_two_units(spark, sf_dir), "date", "unit", "y", None, START_V4, duration=7, with_ci=False)
+    out = S.placebo_rank(r["impact"], "purchase")
+    return out.select("unit", rnd("ratio", 6).alias("ratio"), "rank", "units", rnd("placebo_p", 6).alias("placebo_p"))
+
+
+_SHIFTS_SQL = """u AS (SELECT s.idx, obs - pred AS u, post, pred FROM s WHERE unit = 'purchase'),
+sh AS (SELECT g.range AS shift, sum(CASE WHEN ((u.idx - g.range) % (kk.p1 + 1) + (kk.p1 + 1)) % (kk.p1 + 1) BETWEEN kk.p0 AND kk.p1 THEN u ELSE 0 END) AS a,
+  sum(CASE WHEN post = 1 AND ((u.idx - g.range) % (kk.p1 + 1) + (kk.p1 + 1)) % (kk.p1 + 1) BETWEEN kk.p0 AND kk.p1 THEN 1 ELSE 0 END) AS c
+  FROM u, kk, range(0, (SELECT p1 + 1 FROM kk)) g GROUP BY g.range),
+att AS (SELECT avg(CASE WHEN post = 1 THEN u END) AS ate, sqrt(avg(CASE WHEN post = 0 THEN u * u END)) AS scale FROM u),
+th AS (SELECT ate - 5 * greatest(abs(ate), scale, 1e-9) + g.range * 2.0 * (5 * greatest(abs(ate), scale, 1e-9)) / 249 AS theta FROM att, range(0, 250) g),
+pt AS (SELECT theta, avg(CASE WHEN abs(a - theta * c) >= abs(a0 - theta * c0) - 1e-12 THEN 1.0 ELSE 0.0 END) AS p
+  FROM th, sh, (SELECT a AS a0, c AS c0 FROM sh WHERE shift = 0) z GROUP BY theta)"""
+
+
+@query("qx10_test_inversion", sql=f"""WITH {_TWO_UNITS}, {_SHIFTS_SQL}
+SELECT 'purchase' AS unit, {sql_rnd('max(ate)', 4)} AS ate, {sql_rnd('min(theta)', 4)} AS ate_lower, {sql_rnd('max(theta)', 4)} AS ate_upper
+FROM pt, att WHERE p >= 0.1""")
+def qx10_test_inversion(spark, sf_dir):
+    """QX10 confidence interval by inverting the cyclic-shift test on a grid of 250 effects (weights exactly 1)."""
+    r = S.synth_impact(_two_units(spark, sf_dir), "date", "unit", "y", ["purchase"], START_V4, duration=7)
+    return r["impact"].select("unit", *[rnd(c, 4).alias(c) for c in ("ate", "ate_lower", "ate_upper")])
 
 
 @query("qx19_placebo_in_space")
@@ -138,66 +193,77 @@ def qx12_market_ranking(spark, sf_dir):
     return S.rank_markets(r["power"])
 
 
-# QX4 / QX5 / QX16-18 / QX20 ------------------------------------------------------------------------
+# QX5 / QX17 / QX18 / QX20 ------------------------------------------------------------------------
 
-def _bsts_input(spark, sf_dir):
-    """purchase daily series with the mean of the other event types as covariate."""
-    d = v4_daily(spark, sf_dir)
-    tot = d.groupBy("date").agg(F.sum("y").alias("_s"), F.count(F.lit(1)).alias("_n"))
-    j = d.join(tot, "date")
-    return j.select("unit", "date", "y", ((F.col("_s") - F.col("y")) / (F.col("_n") - 1)).alias("x_controls"))
+def _given_draws(spark, sf_dir):
+    """Draws read from a table: every user's daily mean value per event type stands for one posterior draw of that
+    unit's counterfactual; the observed series is the daily mean over all users."""
+    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("unit"), F.col("user_id").alias("draw"), F.to_date("ts").alias("date"), "value")
+    draws = e.groupBy("unit", "draw", "date").agg(F.avg("value").alias("predicted")).withColumn("chain", F.lit(0))
+    return draws, e.groupBy("unit", "date").agg(F.avg("value").alias("y"))
 
 
-@query("qx4_bsts_impact")
-def qx4_bsts_impact(spark, sf_dir):
-    """QX4/QX5 structural time-series impact of 'purchase' (local level + control-mean regressor)."""
-    s = _bsts_input(spark, sf_dir).filter(F.col("unit") == "purchase")
-    draws = B.bsts_impact_draws(s, START_V4, ["x_controls"], chains=1, niter=1000, burn=100)
-    return B.impact_summary(draws, s)
+_DRAWS = """e AS (SELECT event_type AS unit, user_id AS draw, CAST(ts AS DATE) AS date, value FROM events),
+d AS (SELECT unit, draw, date, avg(value) AS predicted FROM e GROUP BY 1, 2, 3), o AS (SELECT unit, date, avg(value) AS y FROM e GROUP BY 1, 2),
+per AS (SELECT d.unit, draw, avg(y - predicted) AS ate, sum(y - predicted) AS cum, sum(predicted) AS ps, sum(y) AS os, avg(y) AS my, avg(predicted) AS mp
+  FROM d JOIN o ON d.unit = o.unit AND d.date = o.date GROUP BY 1, 2)"""
 
 
-@query("qx4_bsts_all_units")
-def qx4_bsts_all_units(spark, sf_dir):
-    """QX4 as an all-units placebo job: one sampler task per (unit, chain)."""
-    s = _bsts_input(spark, sf_dir)
-    draws = B.bsts_impact_draws(s, START_V4, ["x_controls"], chains=2, niter=1000, burn=100)
-    return B.impact_summary(draws, s)
+@query("qx5_impact_summary", sql=f"""WITH {_DRAWS},
+s AS (SELECT unit, avg(ate) AS ate, quantile_cont(ate, 0.025) AS al, quantile_cont(ate, 0.975) AS au, avg(cum) AS cum, quantile_cont(cum, 0.025) AS cl,
+  quantile_cont(cum, 0.975) AS cu, avg(cum / ps) AS rel, (least(count(*) FILTER (WHERE ps >= os), count(*) FILTER (WHERE ps <= os)) + 1) * 1.0 / (count(*) + 1) AS p
+  FROM per GROUP BY unit)
+SELECT unit, {sql_rnd('ate', 4)} AS ate, {sql_rnd('al', 4)} AS ate_lower, {sql_rnd('au', 4)} AS ate_upper, {sql_rnd('cum', 4)} AS cum, {sql_rnd('cl', 4)} AS cum_lower,
+  {sql_rnd('cu', 4)} AS cum_upper, {sql_rnd('rel * 100', 4)} AS rel, {sql_rnd('p', 6)} AS p_value, p < 0.05 AS significant FROM s""")
+def qx5_impact_summary(spark, sf_dir):
+    """QX5 summary of given draws: effects, intervals, tail-area p."""
+    draws, observed = _given_draws(spark, sf_dir)
+    r = B.impact_summary(draws, observed)
+    return r.select("unit", *[rnd(c, 4).alias(c) for c in ("ate", "ate_lower", "ate_upper", "cum", "cum_lower", "cum_upper", "rel")],
+                    rnd("p_value", 6).alias("p_value"), "significant")
 
 
-def _bayes_sc(spark, sf_dir, direction="two-sided"):
-    p = _v5_balanced(spark, sf_dir)
-    panel, p0, p1, T_ = S.prepare_panel(p, "date", "unit", "y", START_V5, duration=12, fixed_effects=False)
-    gram = S.donor_gram(panel.filter(F.col("idx") < p0))
-    post = panel.filter((F.col("idx") >= p0) & (F.col("idx") <= p1))
-    draws = B.bayes_sc_draws(gram, post, ["NATION_0"], chains=4, tune=1000, draws=1000, n_pre=p0, thin=4)
-    return B.draw_summary(draws, post, direction=direction)
+def _draw_sql(p: str, prob: str) -> str:
+    parts = []
+    for name, c in (("avg_effect", "ate"), ("cum_effect", "cum")):
+        parts.append(f"""SELECT unit, '{name}' AS metric, {c} AS v, my, mp FROM per""")
+    return f"""WITH {_DRAWS}, m AS ({' UNION ALL '.join(parts)}),
+r AS (SELECT *, row_number() OVER (PARTITION BY unit, metric ORDER BY v) AS r, count(*) OVER (PARTITION BY unit, metric) AS n FROM m),
+h AS (SELECT a.unit, a.metric, min_by(a.v, b.v - a.v) AS lo, min_by(b.v, b.v - a.v) AS hi FROM r a JOIN r b
+  ON a.unit = b.unit AND a.metric = b.metric AND b.r = a.r + CAST(ceil(0.95 * a.n) AS INTEGER) - 1 GROUP BY 1, 2),
+s AS (SELECT unit, metric, avg(v) AS mean, avg(CAST(v > 0 AS DOUBLE)) AS pos, avg(CAST(v < 0 AS DOUBLE)) AS neg, avg(CAST(v <= 0 AS DOUBLE)) AS npos, avg(my) / avg(mp) - 1 AS lift
+  FROM m GROUP BY 1, 2)
+SELECT s.unit, s.metric, {sql_rnd('mean', 4)} AS mean, {sql_rnd('lo', 4)} AS hdi_lower, {sql_rnd('hi', 4)} AS hdi_upper, {sql_rnd(p, 6)} AS p_value,
+  {sql_rnd(prob, 6)} AS prob_effect, {sql_rnd('lift', 6)} AS relative_lift FROM s JOIN h ON s.unit = h.unit AND s.metric = h.metric"""
+
 
+def _draw_columns(r):
+    return r.select("unit", "metric", *[rnd(c, 4).alias(c) for c in ("mean", "hdi_lower", "hdi_upper")],
+                    *[rnd(c, 6).alias(c) for c in ("p_value", "prob_effect", "relative_lift")])
 
-@query("qx16_bayesian_sc")
-def qx16_bayesian_sc(spark, sf_dir):
-    """QX16/QX17 Bayesian synthetic control (Dirichlet weights, MH on the donor Gram) with HDI."""
-    return _bayes_sc(spark, sf_dir)
 
+@query("qx17_draw_summary", sql=_draw_sql("least(1.0, 2 * least(pos, neg))", "greatest(pos, neg)"))
+def qx17_draw_summary(spark, sf_dir):
+    """QX17 posterior mean, HDI and two-sided tail probability of given draws."""
+    draws, observed = _given_draws(spark, sf_dir)
+    return _draw_columns(B.draw_summary(draws, observed))
 
-@query("qx18_directional")
+
+@query("qx18_directional", sql=_draw_sql("npos", "pos"))
 def qx18_directional(spark, sf_dir):
-    """QX18 one-sided ('increase') test of the Bayesian synthetic control effect."""
-    return _bayes_sc(spark, sf_dir, "increase")
+    """QX18 one-sided ('increase') test of given draws."""
+    draws, observed = _given_draws(spark, sf_dir)
+    return _draw_columns(B.draw_summary(draws, observed, direction="increase"))
 
 
 @query("qx20_method_comparison")
 def qx20_method_comparison(spark, sf_dir):
-    """QX20/SNK4 4-way comparison: synthetic control (plain, ridge) x structural time series
-    (with / without the control-mean covariate) for 'purchase'."""
+    """QX20/SNK4 comparison of the synthetic-control models (plain, ridge, best, interactive effects) for 'purchase'."""
     d = v4_daily(spark, sf_dir)
-    sc = S.synth_impact(d, "date", "unit", "y", ["purchase"], START_V4, duration=7, grid=50)["impact"]
-    sr = S.synth_impact(d, "date", "unit", "y", ["purchase"], START_V4, duration=7, grid=50, model="ridge")["impact"]
-    s = _bsts_input(spark, sf_dir).filter(F.col("unit") == "purchase")
-    b1 = B.impact_summary(B.bsts_impact_draws(s, START_V4, ["x_controls"], niter=1000, burn=100), s)
-    b0 = B.impact_summary(B.bsts_impact_draws(s, START_V4, [], niter=1000, burn=100), s)
     keep = ["method", "unit", "ate", "ate_lower", "ate_upper", "cum", "cum_lower", "cum_upper", "rel", "p_value"]
-    return S.method_comparison([sc.select(*keep), sr.select(*keep), b1.select(*keep), b0.select(*keep)],
-                               ["SC", "SC + ridge", "BSTS + covariates", "BSTS"])
+    models = ["none", "ridge", "best", "gsyn"]
+    return S.method_comparison([S.synth_impact(d, "date", "unit", "y", ["purchase"], START_V4, duration=7, model=m)["impact"].select(*keep) for m in models],
+                               ["SC", "SC + ridge", "SC best", "SC interactive effects"])
 
 
 # ARC1 / ARC3 ----------------------------------------------------------------------------------------
@@ -268,20 +334,18 @@ def qx15_dtw(spark, sf_dir):
     return S.unit_dtw(d, ["purchase"])
 
 
-@query("snk3_series_roundtrip")
+@query("snk3_series_roundtrip", sql=_SERIES_SQL)
 def snk3_series_roundtrip(spark, sf_dir):
     """SNK3 counterfactual series written as parquet to the shared folder and read back."""
-    r = S.synth_impact(v4_daily(spark, sf_dir), "date", "unit", "y", ["purchase"], START_V4, duration=7,
-                       with_ci=False)
+    r = S.synth_impact(_two_units(spark, sf_dir), "date", "unit", "y", ["purchase"], START_V4, duration=7, with_ci=False)
     s = TS.impact_series(r["series"], "unit", "date", "observed", "predicted")
     path = IO.write_table(s, shared_path(spark, "snk3"))
-    return IO.read_parquet(spark, path)
+    return _series_columns(IO.read_parquet(spark, path))
 
 
 @query("qx11_market_power_pairs")
 def qx11_market_power_pairs(spark, sf_dir):
-    """QX11 with n_markets = 2: every pair of the first six nations treated together (15 groups)."""
-    cands = [f"NATION_{i}" for i in range(6)]
+    """QX11 with n_markets = 2: every pair of nations treated together (300 groups)."""
     r = S.market_power(_v5_balanced(spark, sf_dir), "date", "unit", "y", duration=3, lookback=2,
-                       effects=[0.0, 0.1], alpha=0.1, candidates=cands, n_markets=2)
+                       effects=[0.0, 0.1], alpha=0.1, n_markets=2)
     return r["power"]
