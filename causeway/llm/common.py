@@ -83,32 +83,49 @@ def longs(batch: pa.RecordBatch, name: str, null: int) -> np.ndarray:
     return col.fill_null(null).to_numpy(zero_copy_only=False).astype(np.int64, copy=False)
 
 
-def key_filter(keys: DataFrame, col: str, log_bits: int = 26) -> np.ndarray:
-    """Bloom filter of the longs in a column: 2^log_bits bits (8 MB), whatever the number of keys.
+MOST_BITS = 26
+SEGMENT = 1 << 18
 
-    Tasks set bits of their own keys; segments of the bit array are combined by Spark, and the driver gets the
-    combined segments.  More keys make it pass more rows, never fewer."""
-    segment = 1 << 18
+
+def key_filter(keys: DataFrame, col: str) -> np.ndarray:
+    """Bloom filter of the longs in a column of a written table: about 16 bits a key, 2^26 bits (8 MB) at most.
+
+    Tasks send the bits that their own keys set, as places or as a bit array, whichever is shorter; Spark combines
+    them by segment, and the driver gets the combined segments.  More keys make it pass more rows, never fewer."""
+    log_bits = min(MOST_BITS, max(18, int(16 * keys.count()).bit_length()))
 
     def rows(batches):
-        bits = np.zeros(1 << log_bits, bool)
+        held = [np.empty(0, np.int64)]
         for batch in batches:
-            for at in _places(batch.column(0).to_numpy(), log_bits):
-                bits[at] = True
-        for k in range(0, len(bits), segment):
-            if bits[k:k + segment].any():
-                yield pa.RecordBatch.from_arrays([pa.array([k // segment], pa.int32()), pa.array([np.packbits(bits[k:k + segment]).tobytes()], pa.binary())], ["segment", "bits"])
+            held.append(np.unique(np.concatenate([held.pop(), *_places(batch.column(0).to_numpy(), log_bits)])))
+        at = held[0]
+        cut = np.flatnonzero(np.concatenate([[True], at[1:] // SEGMENT != at[:-1] // SEGMENT, [True]])) if len(at) else []
+        for lo, hi in zip(cut[:-1], cut[1:], strict=True):
+            k, inside = int(at[lo]) // SEGMENT, at[lo:hi] % SEGMENT
+            if len(inside) * 4 < SEGMENT // 8:
+                places, bits = inside.astype(np.int32).tobytes(), None
+            else:
+                set_ = np.zeros(SEGMENT, bool)
+                set_[inside] = True
+                places, bits = None, np.packbits(set_).tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([places], pa.binary()), pa.array([bits], pa.binary())], ["segment", "places", "bits"])
 
     def merged(batches):
-        for k, g in grouped_stream(batches, "segment", ["bits"]):
-            both = np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for b in g["bits"]])
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([both.tobytes()], pa.binary())], ["segment", "bits"])
+        for k, g in grouped_stream(batches, "segment", ["places", "bits"]):
+            both = np.zeros(SEGMENT // 8, np.uint8)
+            set_ = np.zeros(SEGMENT, bool)
+            for places, bits in zip(g["places"], g["bits"], strict=True):
+                if bits is None:
+                    set_[np.frombuffer(places, np.int32)] = True
+                else:
+                    both |= np.frombuffer(bits, np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([(both | np.packbits(set_)).tobytes()], pa.binary())], ["segment", "bits"])
 
-    parts = (keys.select(col).mapInArrow(rows, "segment int, bits binary").repartition(16, "segment").sortWithinPartitions("segment")
+    parts = (keys.select(col).mapInArrow(rows, "segment int, places binary, bits binary").repartition(16, "segment").sortWithinPartitions("segment")
              .mapInArrow(merged, "segment int, bits binary").collect())
     out = np.zeros(1 << (log_bits - 3), np.uint8)
     for r in parts:
-        out[r["segment"] * (segment // 8):(r["segment"] + 1) * (segment // 8)] = np.frombuffer(r["bits"], np.uint8)
+        out[r["segment"] * (SEGMENT // 8):(r["segment"] + 1) * (SEGMENT // 8)] = np.frombuffer(r["bits"], np.uint8)
     return out
 
 

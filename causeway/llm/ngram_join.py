@@ -461,7 +461,7 @@ def near_classes(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100,
 
     members = one.join(groups, "class")
     sizes = members.groupBy("grp").agg(F.ceil(F.sum("n") / F.lit(unit_size)).cast("int").alias("blocks"), F.count("*").alias("m")).filter("m > 1").drop("m")
-    members = members.join(sizes, "grp").select("key", "grp", "blocks")
+    members = write_shared(members.join(sizes, "grp").select("key", "grp", "blocks"), "members")
     sets = (passing(texts.select("key", "__text"), "key", key_filter(members, "key")).join(members, "key").select("grp", "blocks", "__text")
             .mapInArrow(_set_rows(width), "grp long, blocks int, class long, set binary"))
     block = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
