@@ -22,6 +22,18 @@ def write_shared(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_KEPT: dict = {}
+
+
+def kept_by_worker(name: str, make):
+    """What a Python worker keeps over its tasks: one thing at a time, so that operators which follow each
+    other in the same workers do not add up their memory."""
+    if name not in _KEPT:
+        _KEPT.clear()
+        _KEPT[name] = make()
+    return _KEPT[name]
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

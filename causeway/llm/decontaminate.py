@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import column_bytes, fresh, longs, row_key, window_hashes
+from .common import column_bytes, fresh, kept_by_worker, longs, row_key, window_hashes
 
 # Unit words (singular and plural, signs), in English, German, French and Spanish.
 UNITS = frozenset("""% ° °c °f mm cm dm m km inch inches in foot feet ft yard yards mile miles mg g kg t gram grams kilogram kilograms ton tons
@@ -35,15 +35,7 @@ UNIT_BIT, ENDS_BIT = 8, 16
 ENDS = ".,!?:;"
 UNIT_WORDS = frozenset(u.encode() for u in UNITS)
 _PLACEHOLDER = {k: xxhash.xxh3_64_intdigest(f"<{k}>".encode()) for k in (NUM, NAME, UNIT)}
-KEPT = 500_000
-_WORKER: list = []
-
-
-def worker_words() -> TemplateWords:
-    """The words a Python worker keeps over its tasks (bounded)."""
-    if not _WORKER:
-        _WORKER.append(TemplateWords())
-    return _WORKER[0]
+KEPT = 250_000
 
 
 class TemplateWords(dict):
@@ -132,7 +124,7 @@ def _rows_of(width: int, own: bool, wanted: np.ndarray | None, widths: list[int]
     schema = pa.schema([("id", pa.int64()), ("row", pa.int64()), ("n", pa.int32()), ("pos", pa.int32()), ("h", pa.int64()), ("slots", pa.list_(pa.int64()))])
 
     def run(batches):
-        words = worker_words()
+        words = kept_by_worker("template words", TemplateWords)
         for batch in batches:
             ids, rows = batch.column(id_col).to_pylist(), longs(batch, "__row", 0).tolist()
             out = []

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import column_bytes, fresh
+from .common import column_bytes, fresh, kept_by_worker
 
 UNDETERMINED = "und"
 BITS = 15
@@ -167,6 +167,7 @@ def _scorer(model: LanguageModel, names: list[str], text_name: str):
     table, k = model.table, len(model.labels)
 
     def run(batches):
+        kept_by_worker("letters", letters)
         for batch in batches:
             preds, scores, rejects = [], [], []
             for text in column_bytes(batch, text_name):

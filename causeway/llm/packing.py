@@ -23,9 +23,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import column_bytes
+from .common import column_bytes, kept_by_worker
 
-WORDS_KEPT = 400_000
+WORDS_KEPT = 200_000
 SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 LATIN = "\u0100"
 #: Byte-level vocabularies write bytes without a printable Latin-1 character as letters from 256 on.
@@ -71,15 +71,6 @@ class WordIds(dict):
         return b"".join(map(self.__getitem__, (text or b"").lower().split()))
 
 
-_WORKER: dict[str, WordIds] = {}
-
-
-def word_ids(path: str) -> WordIds:
-    if path not in _WORKER:
-        _WORKER[path] = WordIds(path)
-    return _WORKER[path]
-
-
 class Capacities:
     """Segment tree over remaining capacities; a leaf holds the open windows with that capacity."""
 
@@ -141,7 +132,7 @@ def _pack_partition(names: list[str], tokenizer: str, window: int, end_id: int,
 
     def run(batches):
         sequence = (TaskContext.get().partitionId()) << 36
-        words = word_ids(tokenizer)
+        words = kept_by_worker(f"ids of {tokenizer}", lambda: WordIds(tokenizer))
         items: list[tuple] = []  # (row of kept columns, start, ids, doc_tokens)
         held, schema = 0, None
 
