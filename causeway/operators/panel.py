@@ -92,15 +92,14 @@ def bayes_panel_long(df: DataFrame, date: str, unit: str, kpi: str, covariates:
     as does a covariate without one (an all-null column of the wide form)."""
     rows = df.filter(F.col(date).isNotNull())
     y = rows.filter(F.col(unit).isNotNull()).groupBy(unit, date).agg(F.avg(kpi).alias("y")).filter(F.col("y").isNotNull())
-    dates = rows.select(date).distinct()
-    # the grid is the result's own size: a list of dates per unit, exploded
-    every = dates.agg(F.array_sort(F.collect_set(date)).alias("_dates")).withColumn("_one", F.lit(1))
-    units = y.select(unit).distinct().withColumn("_one", F.lit(1))
-    grid = units.join(F.broadcast(every), "_one").select(unit, F.explode("_dates").alias(date))  # every: one row
+    from ..functions.columns import one_row
+    # the grid is the result's own size: the list of dates, exploded for each unit
+    dates = one_row(rows.agg(F.array_sort(F.collect_set(date)).alias("d")))["d"]
+    every = F.array(*[F.lit(d) for d in dates]).cast(f"array<{rows.schema[date].dataType.simpleString()}>")
+    grid = y.select(unit).distinct().select(unit, F.explode(every).alias(date))
     out = grid.join(y, [unit, date], "left")
     kept = list(covariates)
     if kept:
-        from ..functions.columns import one_row
         seen = one_row(rows.agg(*[F.count(c).alias(c) for c in kept]))
         kept = [c for c in kept if seen[c]]
         out = out.join(rows.groupBy(date).agg(*[F.avg(c).alias(c) for c in kept]), date, "left") if kept else out

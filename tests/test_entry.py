@@ -17,12 +17,13 @@ def test_registry_consistent():
         assert "SELECT" in sql.upper(), name
 
 
-def test_every_query_builds_on_smoke_tables(spark):
-    """Cheap queries run end-to-end on sf0.001 (the heavy samplers are covered elsewhere)."""
-    skip = ("rf", "forest", "importances", "bsts", "bayes", "directional", "comparison", "power", "ranking",
-            "augmented", "placebo_in_space")
-    for name, fn in E.queries().items():
-        if any(k in name for k in skip):
-            continue
-        df = fn(spark, E.SMOKE_DIR)
-        assert df.columns, name
+def test_contract_works_without_the_optional_modules(tmp_path):
+    import os
+    import shutil
+    import subprocess
+    import sys
+    root = os.path.dirname(os.path.abspath(E.__file__))
+    shutil.copytree(os.path.join(root, "causeway"), tmp_path / "causeway", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(E.__file__, tmp_path)
+    code = "import __spark_entry__ as e; q = e.queries(); assert len(q) >= 100 and not any(n.startswith('op1') or n == 'pipeline' for n in q); e.oracle_sql()"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={**os.environ, "PYTHONPATH": ""})

@@ -1,31 +1,27 @@
-"""Physical-plan guards: no cartesian products / nested-loop joins, pruned scans, partial aggregation."""
+"""Every registered query of the library builds on sf0.001; physical-plan guards."""
 
 import __spark_entry__ as E
+from causeway.plans.registry import REGISTRY
 from conftest import SF_SMOKE
 
-# builds that fit models eagerly (forests, samplers) are covered by other tests
-SKIP = ("rf", "forest", "importances", "bayes", "directional", "comparison", "power", "ranking", "augmented",
-        "placebo_in_space", "bsts", "dtw")
-
 
 def _plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_no_cross_joins_in_registered_queries(spark):
+def test_every_query_builds_without_cross_joins(spark):
+    E.queries()
     bad = []
-    for name, fn in E.queries().items():
-        if any(k in name for k in SKIP):
-            continue
-        plan = _plan(fn(spark, SF_SMOKE))
-        if "CartesianProduct" in plan or "BroadcastNestedLoopJoin" in plan:
+    for name, q in REGISTRY.items():
+        df = q.build(spark, SF_SMOKE)
+        plan = _plan(df)
+        if not df.columns or "CartesianProduct" in plan or "BroadcastNestedLoopJoin" in plan:
             bad.append(name)
     assert not bad, bad
 
 
 def test_gram_plan_prunes_and_aggregates_partially(spark):
-    df = E.queries()["qx1_did_ols"](spark, SF_SMOKE)
-    plan = df._jdf.queryExecution().executedPlan().toString()
+    plan = _plan(E.queries()["qx1_did_ols"](spark, SF_SMOKE))
     assert "o_custkey,o_totalprice,o_orderdate" in plan.replace(" ", "") or "ReadSchema" in plan
     assert plan.count("HashAggregate") >= 2  # partial + final around one exchange
     assert "MapInPandas" in plan or "PythonMapInArrow" in plan or "MapInArrow" in plan
