@@ -1,4 +1,4 @@
-"""Helpers shared by the operators: word codes, written tables, streams of groups."""
+"""Helpers shared by the operators: written tables, window hashes, key filters, streams of groups."""
 
 from __future__ import annotations
 
@@ -78,10 +78,6 @@ def window_hashes(codes: np.ndarray, width: int) -> np.ndarray:
         return mixed(out[:n] + np.uint64(width))
 
 
-def as_long(h: np.ndarray) -> np.ndarray:
-    return h.view(np.int64)
-
-
 def column_bytes(batch: pa.RecordBatch, name: str) -> list:
     """Values of a string or binary column as bytes (None for null)."""
     col = batch.column(name)
