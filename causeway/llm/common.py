@@ -10,6 +10,19 @@ from pyspark.sql import functions as F
 from causeway.session import shared_path
 
 
+ROWS_A_BATCH = 1000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, in a session whose Arrow batches hold at most ROWS_A_BATCH rows: rows here are whole texts, and
+    the default of 10,000 of them would be what fills a Python worker's memory.  A smaller setting stands."""
+    conf = df.sparkSession.conf
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= ROWS_A_BATCH:
+        conf.set(name, str(ROWS_A_BATCH))
+    return df
+
+
 def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

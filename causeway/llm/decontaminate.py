@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import column_bytes, fresh, kept_by_worker, longs, row_key, window_hashes
+from .common import column_bytes, fresh, kept_by_worker, longs, row_key, small_batches, window_hashes
 
 # Unit words (singular and plural, signs), in English, German, French and Spanish.
 UNITS = frozenset("""% ° °c °f mm cm dm m km inch inches in foot feet ft yard yards mile miles mg g kg t gram grams kilogram kilograms ton tons
@@ -177,7 +177,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = 8, least_toke
     emit joined windows only; beyond that all windows of the documents meet them in a shuffled join."""
     items = benchmark.select(F.col(f"`{item_col}`").cast("long").alias("__id"), F.lit(0).cast("long").alias("__row"),
                              F.col(f"`{item_text_col}`").cast("binary").alias("__text"))
-    src = docs.select(F.col(f"`{id_col}`").cast("long").alias("__id"), row_key(id_col, text_col).alias("__row"),
+    src = small_batches(docs).select(F.col(f"`{id_col}`").cast("long").alias("__id"), row_key(id_col, text_col).alias("__row"),
                       F.col(f"`{text_col}`").cast("binary").alias("__text"))
     bench = items.mapInArrow(_rows_of(width, True, None, None, "__id"), ROWS).select(
         F.col("id").alias("item_id"), F.col("n").alias("item_tokens"), F.col("pos").alias("item_pos"), "h", F.col("slots").alias("item_slots"))

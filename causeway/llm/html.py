@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import column_bytes, longs, row_key
+from .common import column_bytes, longs, row_key, small_batches
 from .urlfilter import host_of
 
 TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)(>|\Z)", re.S)
@@ -269,7 +269,7 @@ def extract_text(pages: DataFrame, min_articles: int = 8, broadcast_up_to: int =
     * without an article element: the main element, else the page without its marked parts;
     * markup cut off at the end of a page is dropped; elements nested deeper than 500 are flattened;
     * repeated rows are extracted alike; an empty table gives an empty result; other columns are ignored."""
-    src = pages.select(*[F.col(f"`{c}`").alias(c) for c in keep], host_of(F.col(f"`{url_col}`")).alias("__host"),
+    src = small_batches(pages).select(*[F.col(f"`{c}`").alias(c) for c in keep], host_of(F.col(f"`{url_col}`")).alias("__host"),
                        F.col(f"`{html_col}`").cast("binary").alias("__html"))
     rows = src.select("__host", "__html", F.lit(0).cast("long").alias("__row"))
     counted = (rows.mapInArrow(_subtree_rows, "key long, article long, row long").select("key", "article").distinct()

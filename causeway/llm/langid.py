@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import column_bytes, fresh, kept_by_worker
+from .common import column_bytes, fresh, kept_by_worker, small_batches
 
 UNDETERMINED = "und"
 BITS = 15
@@ -203,7 +203,7 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", keep
     * an empty table gives an empty result; a model without labels answers ``und``;
     * columns of ``docs`` named like an output column are replaced."""
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score", "rejected")]
-    src = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").cast("binary").alias(fresh(docs, "__text")))
+    src = small_batches(docs).select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").cast("binary").alias(fresh(docs, "__text")))
     schema = T.StructType([src.schema[c] for c in keep] + [
         T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
     return src.mapInArrow(_scorer(model, keep, src.columns[-1]), schema)

@@ -28,11 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, grouped_stream, key_filter, mixed, passing, row_key, shuffle_width, window_hashes, write_shared
+from .common import fresh, grouped_stream, key_filter, mixed, passing, row_key, shuffle_width, small_batches, window_hashes, write_shared
 from .components import connected_components
 from .words import batch_codes, word_codes
 
-HELD = 1_500_000
+HELD = 750_000
 LOCAL_OFTEN = 3
 
 
@@ -450,7 +450,7 @@ def near_classes(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100,
     * rows with a null id link as others do and never name a component unless all its ids are null;
     * an empty table gives an empty result; other columns are ignored.
     Sets are told apart by 64-bit hashes of n-grams and of whole sets."""
-    texts = docs.select(F.col(f"`{id_col}`").alias("doc_id"), row_key(id_col, text_col).alias("key"),
+    texts = small_batches(docs).select(F.col(f"`{id_col}`").alias("doc_id"), row_key(id_col, text_col).alias("key"),
                         F.col(f"`{text_col}`").cast("binary").alias("__text"))
     schema = T.StructType([texts.schema["doc_id"], texts.schema["key"], T.StructField("n_shingles", T.LongType()), T.StructField("class", T.LongType()),
                            T.StructField("bits", T.BinaryType())])

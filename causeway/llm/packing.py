@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import column_bytes, kept_by_worker
+from .common import column_bytes, kept_by_worker, small_batches
 
 WORDS_KEPT = 200_000
 SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -207,7 +207,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 4096, end_id: int = 2, t
     left with more than ``max_pad`` free places at the end of a partition is cut at powers of two."""
     if window < 2:
         raise ValueError("window must be at least 2")
-    src = docs.select(*[F.col(f"`{c}`").alias(c) for c in keep], F.col(f"`{text_col}`").cast("binary").alias("__text"))
+    src = small_batches(docs).select(*[F.col(f"`{c}`").alias(c) for c in keep], F.col(f"`{text_col}`").cast("binary").alias("__text"))
     schema = T.StructType([src.schema[c] for c in keep] + T._parse_datatype_string(PIECES).fields)
     return src.mapInArrow(_pack_partition(list(keep), tokenizer, window, end_id, chunk_tokens, max_pad), schema)
 

@@ -24,10 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import column_bytes, grouped_stream, key_filter, longs, mixed, passing, row_key, shuffle_width, window_hashes, write_shared
+from .common import column_bytes, grouped_stream, key_filter, longs, mixed, passing, row_key, shuffle_width, small_batches, window_hashes, write_shared
 from .words import batch_codes
 
-HELD = 1_500_000
+HELD = 750_000
 LOCAL_OFTEN = 3
 NULL_FROM = 1 << 62  # orders from here on belong to rows without an id
 FIRST_LENGTH = 7
@@ -370,7 +370,7 @@ def remove_repeats(docs: DataFrame, length: int = 13, id_col: str = "doc_id", te
     if length < 2:
         raise ValueError("length must be at least 2")
     levels = level_lengths(length)
-    texts = docs.select(F.col(f"`{id_col}`").alias("doc_id"), row_key(id_col, text_col).alias("key"), F.col(f"`{text_col}`").cast("binary").alias("__text"))
+    texts = small_batches(docs).select(F.col(f"`{id_col}`").alias("doc_id"), row_key(id_col, text_col).alias("key"), F.col(f"`{text_col}`").cast("binary").alias("__text"))
     texts = texts.withColumn("ord", order_column("doc_id", "key"))
     table, _ = often(texts.select("ord", "__text"), _first_reader(levels), False)
     schema = T.StructType([texts.schema["doc_id"], texts.schema["key"], texts.schema["ord"], T.StructField("n_words", T.LongType()),
