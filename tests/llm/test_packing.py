@@ -1,5 +1,6 @@
 import random
 import zlib
+from functools import cache
 
 import numpy as np
 import public_tokenizers
@@ -13,14 +14,24 @@ from causeway.llm.queries import TOKENIZER, op1_packing
 from .conftest import SF
 
 
-def whole(text):
+@cache
+def tokenizer():
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     t.encode_special_tokens = True
-    return t.encode(text or "", add_special_tokens=False).ids
+    return t
+
+
+@cache
+def word_ids():
+    return P.WordIds(TOKENIZER)
+
+
+def whole(text):
+    return tokenizer().encode(text or "", add_special_tokens=False).ids
 
 
 def test_word_ids_equal_the_whole_text_call():
-    w = P.WordIds(TOKENIZER)
+    w = word_ids()
     for text in ["A'sb don't IT'S", "İstanbul ΑΣ Σ.", "abc<|endoftext|> <|startoftext|>x", "áb É ÉÀ.", "foo--bar x9.z 3.5kg", "naïve x\x85y z", "a''", "ﬁ..", "",
                  "日本語 テスト", "é ́a", "µm ª º ß", "tab\tnew\nline\x0b\x0c\r end"]:
         assert np.frombuffer(w.of(text.encode()), "<u4").tolist() == whole(text), text
@@ -30,7 +41,7 @@ def test_word_ids_equal_the_whole_text_call():
 @given(st.text(max_size=60))
 def test_word_ids_any_text(text):
     text = text.encode("utf-8", "ignore").decode()
-    assert np.frombuffer(P.WordIds(TOKENIZER).of(text.encode()), "<u4").tolist() == whole(text)
+    assert np.frombuffer(word_ids().of(text.encode()), "<u4").tolist() == whole(text)
 
 
 def brute_best_fit(lengths, window):
