@@ -53,7 +53,7 @@ def poisson1_cdf() -> list[float]:
     out, acc, k = [], 0.0, 0
     while True:
         acc += math.exp(-1.0) / math.factorial(k)
-        if out and acc <= out[-1]:
+        if acc >= 1.0 or (out and acc <= out[-1]):
             return out
         out.append(acc)
         k += 1

@@ -190,7 +190,7 @@ def _readiness_sql():
     num = ["o_orderkey", "o_custkey", "o_totalprice"]
     nu = _union([f"SELECT '{c}' AS c, count(DISTINCT {c}) AS nu FROM orders" for c in cols])
     miss = " + ".join(f"(count(*) - count({c}))" for c in cols)
-    flat = ", ".join(f"CASE WHEN coalesce(stddev_samp({c}), 0) = 0 THEN 'column {c} does not vary' END" for c in num)
+    flat = ", ".join(f"CASE WHEN coalesce(stddev_samp({c}), 0) = 0 THEN 'zero variance: column {c}' END" for c in num)
     names = ", ".join(f"'{c}'" for c in num)
     rules = [  # family, status, condition, message (SQL)
         ("Universal (Base)", "red", "n < 15", "n || ' rows are too few for any estimate (at least 15)'"),

@@ -90,7 +90,7 @@ def test_placebo_near_zero(spark):
     from causeway.operators import refute
     o = spark.read.parquet(f"{SF}/orders.parquet").select(
         "o_orderkey", "o_totalprice", (F.col("o_orderpriority") == "1-URGENT").cast("int").alias("t"))
-    per, s = refute.placebo_treatment(o, "t", "o_totalprice", [], "o_orderkey", replicates=10, rows_per_bucket=4000)
+    per, s = refute.placebo_treatment(o, "t", "o_totalprice", [], "o_orderkey", replicates=10)
     row = s.collect()[0]
     assert abs(row["new_effect"]) < 3 * row["new_sd"] + 1e-9 and row["replicates"] == 10
 
