@@ -1,8 +1,7 @@
 """Connected components of a graph given as edges of 64-bit node ids.
 
 Alternating large-star and small-star steps: every round joins the edges with the smallest
-neighbour of each node, until the edge set no longer changes; each component is then a star
-around its smallest node.  Tasks first contract their own edges with a union-find, so that long
+neighbour of each node, until each component is a star around its smallest node.  Tasks first contract their own edges with a union-find, so that long
 chains and dense groups shrink before anything is shuffled.  No node's neighbours are ever gathered
 into a list: the joins' one side has one row per node, so a hub's edges can be split over tasks.  Rounds are
 written to the shared folder.
@@ -71,8 +70,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     with a null end are no edges.  A node without a row is its own root."""
     pairs = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).filter(F.col("a") != F.col("b"))
     now = write_shared(pairs.mapInArrow(contract, "u long, v long").distinct(), "edges")
-    mark = _mark(now)
-    while mark[0]:
+    while not _all_stars(now):
         low = now.groupBy("u").agg(F.min("v").alias("m"))
         large = (now.join(low.withColumnRenamed("u", "v"), "v", "left")
                  .select("u", F.coalesce("m", "v").alias("v")).distinct())
@@ -80,15 +78,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
         small = (large.join(least, "u")
                  .select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
                  .select("e.u", "e.v").filter(F.col("u") != F.col("v")).distinct())
-        after = write_shared(small, "edges")
-        new = _mark(after)
-        now = after
-        if new == mark:
-            break
-        mark = new
+        now = write_shared(small, "edges")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def _mark(edges: DataFrame) -> tuple:
-    r = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x"), F.bit_xor(F.xxhash64("v", "u")).alias("y")).first()
-    return r["n"], r["x"], r["y"]
+def _all_stars(edges: DataFrame) -> bool:
+    """Whether every node points to one other node at most, and none that is pointed to points on."""
+    ends = F.explode(F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("out")), F.struct(F.col("v").alias("x"), F.lit(0).alias("out"))))
+    nodes = edges.select(ends.alias("e")).select("e.x", "e.out").groupBy("x").agg(F.sum("out").alias("s"), F.min("out").alias("m"))
+    return not nodes.agg(F.max((F.col("s") > 1) | ((F.col("s") > 0) & (F.col("m") == 0))).alias("bad")).first()["bad"]
