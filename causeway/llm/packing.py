@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from .common import column_bytes, kept_by_worker, small_batches
 
-WORDS_KEPT = 200_000
+WORDS_KEPT = 120_000
 SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 LATIN = "\u0100"
 #: Byte-level vocabularies write bytes without a printable Latin-1 character as letters from 256 on.
@@ -197,7 +197,7 @@ def _pack_partition(names: list[str], tokenizer: str, window: int, end_id: int,
 
 
 def pack(docs: DataFrame, tokenizer: str, window: int = 4096, end_id: int = 2, text_col: str = "text",
-         keep: tuple[str, ...] = ("doc_id",), chunk_tokens: int = 4_000_000, max_pad: int = 32) -> DataFrame:
+         keep: tuple[str, ...] = ("doc_id",), chunk_tokens: int = 2_000_000, max_pad: int = 32) -> DataFrame:
     """Pieces of all documents in windows: ``keep`` columns, start, length, ids (uint32 bytes), doc_tokens, sequence_id, offset.
 
     * a null or empty text is a document of the end id alone; very long texts span many windows;
