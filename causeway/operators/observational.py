@@ -213,7 +213,7 @@ def _assembler(cols: Sequence[str], out: str = "features"):
     return VectorAssembler(inputCols=list(cols), outputCol=out, handleInvalid="keep")
 
 
-def _rf(kind: str, label: str, seed: int = 42, weight: str | None = None, trees: int = 100, depth: int = 10):
+def _rf(kind: str, label: str, seed: int = 42, weight: str | None = None, trees: int = 100, depth: int = 8):
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.regression import RandomForestRegressor
     cls = RandomForestClassifier if kind == "classifier" else RandomForestRegressor
