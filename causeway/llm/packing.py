@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from .common import column_bytes, kept_by_worker, small_batches
 
-WORDS_KEPT = 120_000
+WORDS_KEPT = 300_000
 SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 LATIN = "\u0100"
 #: Byte-level vocabularies write bytes without a printable Latin-1 character as letters from 256 on.
@@ -41,13 +41,14 @@ class WordIds(dict):
     letters; ``tests/llm`` checks this against the whole-text call.  At most two generations of ``WORDS_KEPT`` words are
     remembered; a Python worker keeps them over its tasks."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept: int = WORDS_KEPT):
         from tokenizers import Tokenizer
         super().__init__()
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
         self.model = self.tok.model
         self.older: dict[bytes, bytes] = {}
+        self.kept = kept
 
     def __missing__(self, word: bytes) -> bytes:
         ids = self.older.get(word)
@@ -61,7 +62,7 @@ class WordIds(dict):
                     ids += self[text[len(head):].encode()]
             else:
                 ids = array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
-        if len(self) >= WORDS_KEPT:
+        if len(self) >= self.kept:
             self.older = dict(self)
             self.clear()
         self[word] = ids
@@ -127,12 +128,13 @@ def power_cuts(total: int) -> list[int]:
     return [1 << k for k in range(total.bit_length() - 1, -1, -1) if total >> k & 1]
 
 
-def _pack_partition(names: list[str], tokenizer: str, window: int, end_id: int, chunk_tokens: int, max_pad: int):
+def _pack_partition(names: list[str], tokenizer: str, window: int, end_id: int, chunk_tokens: int, max_pad: int,
+                    words_kept: int):
     end = np.asarray([end_id], "<u4").tobytes()
 
     def run(batches):
         sequence = (TaskContext.get().partitionId()) << 36
-        words = kept_by_worker(f"ids of {tokenizer}", lambda: WordIds(tokenizer))
+        words = kept_by_worker(f"ids of {tokenizer}", lambda: WordIds(tokenizer, words_kept))
         items: list[tuple] = []  # (row of kept columns, start, ids, doc_tokens)
         held, schema = 0, None
 
@@ -197,7 +199,8 @@ def _pack_partition(names: list[str], tokenizer: str, window: int, end_id: int,
 
 
 def pack(docs: DataFrame, tokenizer: str, window: int = 4096, end_id: int = 2, text_col: str = "text",
-         keep: tuple[str, ...] = ("doc_id",), chunk_tokens: int = 2_000_000, max_pad: int = 32) -> DataFrame:
+         keep: tuple[str, ...] = ("doc_id",), chunk_tokens: int = 2_000_000, max_pad: int = 32,
+         words_kept: int = WORDS_KEPT) -> DataFrame:
     """Pieces of all documents in windows: ``keep`` columns, start, length, ids (uint32 bytes), doc_tokens, sequence_id, offset.
 
     * a null or empty text is a document of the end id alone; very long texts span many windows;
@@ -209,7 +212,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 4096, end_id: int = 2, t
         raise ValueError("window must be at least 2")
     src = small_batches(docs).select(*[F.col(f"`{c}`").alias(c) for c in keep], F.col(f"`{text_col}`").cast("binary").alias("__text"))
     schema = T.StructType([src.schema[c] for c in keep] + T._parse_datatype_string(PIECES).fields)
-    return src.mapInArrow(_pack_partition(list(keep), tokenizer, window, end_id, chunk_tokens, max_pad), schema)
+    return src.mapInArrow(_pack_partition(list(keep), tokenizer, window, end_id, chunk_tokens, max_pad, words_kept), schema)
 
 
 def piece_digests(pieces: DataFrame) -> DataFrame:
