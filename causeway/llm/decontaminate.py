@@ -3,7 +3,8 @@
 Words become template tokens: numbers, units after numbers, and names are replaced by typed placeholders,
 everything else is the lower-cased word without outer punctuation.  Windows of template tokens of
 the benchmark items are hash-joined with the windows of the documents, so a question that only had
-its numbers or names changed is found as well.  The replaced words of the joined windows are the slots: along one alignment
+its numbers or names changed is found as well.  A second set of windows, of the lower-cased words alone, finds
+copies whatever they consist of.  The replaced words of the joined windows are the slots: along one alignment
 of document and item, a benchmark value must always stand for one document value and the other way round.
 """
 
@@ -36,6 +37,7 @@ ENDS = ".,!?:;"
 UNIT_WORDS = frozenset(u.encode() for u in UNITS)
 _PLACEHOLDER = {k: xxhash.xxh3_64_intdigest(f"<{k}>".encode()) for k in (NUM, NAME, UNIT)}
 KEPT = 250_000
+LITERAL = np.uint64(0xA5B35705F1C2D3E9)  # keeps the hashes of literal windows apart from those of template windows
 
 
 class TemplateWords(dict):
@@ -109,19 +111,21 @@ class TemplateWords(dict):
         return template, code, slot
 
 
-def _windows(template, slot, width: int, least_words: int):
-    """(positions, hashes) of the windows with enough literal words."""
-    h = window_hashes(template, width)
-    if not len(h):
-        return np.empty(0, np.int64), h
+def _windows(template, code, slot, width: int, least_words: int):
+    """(positions, hashes, is-literal): every literal window, and the template windows with slots and enough literal words."""
+    exact = window_hashes(code, width) ^ LITERAL
+    at = np.arange(len(exact))
+    if not len(exact) or not slot.any():
+        return at, exact, np.ones(len(exact), bool)
     sums = np.concatenate([[0], np.cumsum(slot)])
-    at = np.flatnonzero(width - (sums[width:] - sums[:-width]) >= least_words)
-    return at, h[at]
+    slots = sums[width:] - sums[:-width]
+    some = np.flatnonzero((slots > 0) & (width - slots >= least_words))
+    return np.concatenate([at, some]), np.concatenate([exact, window_hashes(template, width)[some]]), np.arange(len(at) + len(some)) < len(at)
 
 
 def _rows_of(width: int, own: bool, wanted: np.ndarray | None, widths: list[int] | None, id_col: str):
-    """Windows as rows (id, row, n, width, pos, h, slots).  ``own``: items shorter than the width give one window of all their tokens."""
-    schema = pa.schema([("id", pa.int64()), ("row", pa.int64()), ("n", pa.int32()), ("pos", pa.int32()), ("h", pa.int64()), ("slots", pa.list_(pa.int64()))])
+    """Windows as rows (id, row, n, pos, h, literal, slots).  ``own``: items shorter than the width give one window of all their tokens."""
+    schema = pa.schema([("id", pa.int64()), ("row", pa.int64()), ("n", pa.int32()), ("pos", pa.int32()), ("h", pa.int64()), ("literal", pa.bool_()), ("slots", pa.list_(pa.int64()))])
 
     def run(batches):
         words = kept_by_worker("template words", TemplateWords)
@@ -136,13 +140,13 @@ def _rows_of(width: int, own: bool, wanted: np.ndarray | None, widths: list[int]
                 for w in ([min(width, n)] if own else widths):
                     if not 0 < w <= n:
                         continue
-                    at, h = _windows(template, slot, w, (w + 1) // 2)
+                    at, h, literal = _windows(template, code, slot, w, (w + 1) // 2)
                     if wanted is not None and len(h):
                         near = np.minimum(np.searchsorted(wanted, h), len(wanted) - 1) if len(wanted) else None
                         hit = wanted[near] == h if near is not None else np.zeros(len(h), bool)
-                        at, h = at[hit], h[hit]
-                    for p, x in zip(at.tolist(), h.view(np.int64).tolist(), strict=True):
-                        out.append((i, row, n, p, x, code[p:p + w][slot[p:p + w]].view(np.int64).tolist()))
+                        at, h, literal = at[hit], h[hit], literal[hit]
+                    for p, x, same in zip(at.tolist(), h.view(np.int64).tolist(), literal.tolist(), strict=True):
+                        out.append((i, row, n, p, x, same, [] if same and not own else code[p:p + w][slot[p:p + w]].view(np.int64).tolist()))
                     if len(out) > 20_000:
                         yield _batch(out, schema)
                         out = []
@@ -156,7 +160,7 @@ def _batch(out, schema):
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
 
 
-ROWS = "id long, row long, n int, pos int, h long, slots array<long>"
+ROWS = "id long, row long, n int, pos int, h long, literal boolean, slots array<long>"
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = 8, least_tokens: int = 13, least_share: float = 0.5,
@@ -169,7 +173,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = 8, least_toke
     0 for a literal copy.  ``row`` is :func:`row_key` of id and text.
 
     * null or empty texts and items, and items without words, leak nothing;
-    * items shorter than ``width`` are one window of their own length; windows need half literal words;
+    * items shorter than ``width`` are one window of their own length;
+    * template windows need half literal words; windows of equal words, in any case, count whatever the words are;
     * repeated rows share their result; a null id stays null; ties between alignments: the longest counts;
     * empty tables give an empty result; other columns are ignored.
 
@@ -180,13 +185,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = 8, least_toke
     src = small_batches(docs).select(F.col(f"`{id_col}`").cast("long").alias("__id"), row_key(id_col, text_col).alias("__row"),
                       F.col(f"`{text_col}`").cast("binary").alias("__text"))
     bench = items.mapInArrow(_rows_of(width, True, None, None, "__id"), ROWS).select(
-        F.col("id").alias("item_id"), F.col("n").alias("item_tokens"), F.col("pos").alias("item_pos"), "h", F.col("slots").alias("item_slots"))
+        F.col("id").alias("item_id"), F.col("n").alias("item_tokens"), F.col("pos").alias("item_pos"), "h", "literal", F.col("slots").alias("item_slots"))
     widths = sorted({width, *(r[0] for r in bench.filter(F.col("item_tokens") < width).select("item_tokens").distinct().collect())})
     few = bench.select("h").distinct().limit(broadcast_up_to + 1).collect()
     bounded = len(few) <= broadcast_up_to
     wanted = np.sort(np.array([r["h"] for r in few], np.int64).view(np.uint64)) if bounded else None
-    found = src.mapInArrow(_rows_of(width, False, wanted, widths, "__id"), ROWS).drop("n")
-    joined = found.join(bench, "h")
+    found = src.mapInArrow(_rows_of(width, False, wanted, widths, "__id"), ROWS).drop("n", "literal")
+    joined = found.join(bench, "h").withColumn("slots", F.when(F.col("literal"), F.col("item_slots")).otherwise(F.col("slots")))
     lines = (joined.withColumn("line", F.col("pos") - F.col("item_pos"))
              .groupBy("id", "row", "item_id", "item_tokens", "line")
              .agg(F.array_sort(F.collect_set("item_pos")).alias("at"),

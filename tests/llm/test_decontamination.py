@@ -56,3 +56,14 @@ def test_query_finds_all_literal_copies(spark):
     words = lambda t: set(t.lower().split())
     texts, bench = {d.doc_id: d.text for d in docs}, {b.item_id: b.text for b in items}
     assert all(len(words(bench[k]) & words(texts[i])) >= 8 for i, k in got)
+
+
+def test_copies_without_literal_words_are_found(spark):
+    sums = "12 + 7 = 19 and 30 + 5 = 35 and 44 + 6 = 50 and 81 + 9 = 90"
+    names = "Anna Berg, Carl Dahl, Eva Falk, Georg Holm, Ida Juhl, Karin Lind, Max Nord"
+    items = [(1, sums), (2, names), (3, "7 8 9"), (4, ITEM)]
+    texts = [f"we sum {sums} today", f"we met {names} today", names.lower(), names.upper(), "1 2 3 7 8 9", ITEM.upper(), ITEM.lower(), "1 2 3 7 8 10"]
+    found = leaks(spark, texts, items)
+    assert set(found) == {(0, 1), (1, 2), (2, 2), (3, 2), (4, 3), (5, 4), (6, 4)}
+    assert all(r.changed == 0 and r.share == 1.0 for r in found.values())
+    assert set(leaks(spark, texts, items, broadcast_up_to=0)) == set(found)
