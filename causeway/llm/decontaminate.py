@@ -4,13 +4,15 @@ Words become template tokens: numbers, units after numbers, and names are replac
 everything else is the lower-cased word without outer punctuation.  Windows of template tokens of
 the benchmark items are hash-joined with the windows of the documents, so a question that only had
 its numbers or names changed is found as well.  A second set of windows, of the lower-cased words alone, finds
-copies whatever they consist of.  The replaced words of the joined windows are the slots: along one alignment
-of document and item, a benchmark value must always stand for one document value and the other way round.
+copies whatever they consist of.  The replaced words of the joined windows are the slots: in the template windows
+that count along one alignment of document and item, a benchmark value stands for one document value and the other way round.
+Windows that clash with the others are left out; the rest of the alignment and its literal windows count.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -163,13 +165,75 @@ def _batch(out, schema):
 ROWS = "id long, row long, n int, pos int, h long, literal boolean, slots array<long>"
 
 
+def _cover(at: list[int], wide: int) -> int:
+    """Tokens under windows at the sorted places ``at``."""
+    return sum((min(b - a, wide) for a, b in zip(at, at[1:], strict=False)), wide) if at else 0
+
+
+def _consistent(windows: list, wide: int) -> list:
+    """Windows (place, pairs of values), sorted, whose pairs are one to one: the longest run of them, or all that agree with the commonest pairs."""
+    uses, partners = Counter(), Counter()  # windows of a pair; other values beside a value, by side
+    clashes, lo, best, most = 0, 0, (0, 0), 0
+    covered = np.cumsum([0] + [min(b[0] - a[0], wide) for a, b in zip(windows, windows[1:], strict=False)]).tolist()
+    for hi, (_, pairs) in enumerate(windows):
+        for b, d in pairs:
+            uses[b, d] += 1
+            if uses[b, d] == 1:
+                for side in ((0, b), (1, d)):
+                    partners[side] += 1
+                    clashes += partners[side] > 1
+        while clashes:
+            for b, d in windows[lo][1]:
+                uses[b, d] -= 1
+                if not uses[b, d]:
+                    for side in ((0, b), (1, d)):
+                        clashes -= partners[side] > 1
+                        partners[side] -= 1
+            lo += 1
+        if lo <= hi and wide + covered[hi] - covered[lo] > most:
+            best, most = (lo, hi + 1), wide + covered[hi] - covered[lo]
+    run = windows[best[0]:best[1]]
+    if len(run) == len(windows):
+        return run
+    common = Counter(p for _, pairs in windows for p in pairs)
+    there, back = {}, {}
+    for b, d in sorted(common, key=lambda p: (-common[p], p[0] != p[1], p)):
+        if b not in there and d not in back:
+            there[b], back[d] = d, b
+    agreed = [w for w in windows if all(there.get(b) == d for b, d in w[1])]
+    return max(run, agreed, key=lambda ws: _cover([at for at, _ in ws], wide))
+
+
+def _agreeing(width: int):
+    """Alignments with ``matched``, ``slots`` and ``changed`` over their literal windows and consistent template windows."""
+    names = ["id", "row", "item_id", "item_tokens", "line"]
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for n, windows in zip(batch.column("item_tokens").to_pylist(), batch.column("windows").to_pylist(), strict=True):
+                wide = min(width, n)
+                literal = [(w["item_pos"], set(zip(w["b"], w["d"], strict=True))) for w in windows if w["literal"]]
+                loose = sorted(((w["item_pos"], set(zip(w["b"], w["d"], strict=True))) for w in windows if not w["literal"]), key=lambda w: w[0])
+                kept = literal + _consistent(loose, wide)
+                pairs = set().union(*(p for _, p in kept))
+                out.append((_cover(sorted({at for at, _ in kept}), wide), len(pairs), sum(b != d for b, d in pairs)))
+            columns = [pa.array(c, pa.int32()) for c in (zip(*out, strict=True) if out else ([], [], []))]
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + columns, names + ["matched", "slots", "changed"])
+
+    return run
+
+
+LINES = "id long, row long, item_id long, item_tokens int, line int, matched int, slots int, changed int"
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = 8, least_tokens: int = 13, least_share: float = 0.5,
                broadcast_up_to: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text",
                item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """doc_id, row, item_id, matched (tokens), item_tokens, share, slots, changed of every leaked (row, item).
 
-    A document leaks an item if, along one alignment, joined windows cover ``least_tokens`` tokens or
-    ``least_share`` of the item, and the slots are consistent.  ``changed`` counts slots with other values:
+    A document leaks an item if, along one alignment, literal windows and template windows with consistent
+    slots cover ``least_tokens`` tokens or ``least_share`` of the item.  ``changed`` counts slots with other values:
     0 for a literal copy.  ``row`` is :func:`row_key` of id and text.
 
     * null or empty texts and items, and items without words, leak nothing;
@@ -195,23 +259,18 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = 8, least_toke
     lines = (joined.withColumn("line", F.col("pos") - F.col("item_pos"))
              .groupBy("id", "row", "item_id", "item_tokens", "line")
              .agg(F.array_sort(F.collect_set("item_pos")).alias("at"),
-                  F.array_distinct(F.flatten(F.collect_set(F.arrays_zip(F.col("item_slots").alias("b"), F.col("slots").alias("d"))))).alias("pairs")))
+                  F.collect_set(F.struct("item_pos", "literal", F.col("item_slots").alias("b"), F.col("slots").alias("d"))).alias("windows")))
     wide = F.least(F.lit(width), F.col("item_tokens"))
     gaps = F.zip_with(F.slice("at", 2, F.greatest(F.size("at") - 1, F.lit(0))), F.slice("at", 1, F.greatest(F.size("at") - 1, F.lit(0))), lambda b, a: b - a)
-    lines = lines.withColumn("matched", F.aggregate(gaps, wide, lambda total, gap: total + F.least(gap, wide)))
-    left, right = F.transform("pairs", lambda p: p[PAIR[0]]), F.transform("pairs", lambda p: p[PAIR[1]])
-    one_to_one = (F.size(F.array_distinct(left)) == F.size("pairs")) & (F.size(F.array_distinct(right)) == F.size("pairs"))
-    lines = (lines.withColumn("changed", F.size(F.filter("pairs", lambda p: p[PAIR[0]] != p[PAIR[1]]))).withColumn("slots", F.size("pairs"))
-             .filter(one_to_one & ((F.col("matched") >= least_tokens) | (F.col("matched") >= F.col("item_tokens") * least_share))))
+    enough = (F.col("matched") >= least_tokens) | (F.col("matched") >= F.col("item_tokens") * least_share)
+    lines = lines.withColumn("matched", F.aggregate(gaps, wide, lambda total, gap: total + F.least(gap, wide))).filter(enough)  # what all windows together cover
+    lines = lines.select("id", "row", "item_id", "item_tokens", "line", "windows").mapInArrow(_agreeing(width), LINES).filter(enough)
     best = Window.partitionBy("id", "row", "item_id").orderBy(F.col("matched").desc(), "changed", "line")
     return (lines.withColumn("_k", F.row_number().over(best)).filter("_k = 1")
             .select(F.col("id").alias("doc_id"), "row", "item_id", "matched", "item_tokens",
                     (F.col("matched") / F.col("item_tokens")).alias("share"), "slots", "changed"))
 
 
-PAIR = ("b", "d")
-
-
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that leak no benchmark item, with all their columns."""
     key, mark = fresh(docs, "__key"), fresh(docs, "__leak")

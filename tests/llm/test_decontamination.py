@@ -67,3 +67,27 @@ def test_copies_without_literal_words_are_found(spark):
     assert set(found) == {(0, 1), (1, 2), (2, 2), (3, 2), (4, 3), (5, 4), (6, 4)}
     assert all(r.changed == 0 and r.share == 1.0 for r in found.values())
     assert set(leaks(spark, texts, items, broadcast_up_to=0)) == set(found)
+
+
+def test_one_altered_slot_does_not_hide_the_rest(spark):
+    story = (f"{ITEM} Later the farmer and Anna walked along the river with 12 more baskets until both of them were tired. "
+             "There the quiet miller sold Anna 12 small loaves of bread and told them a story about the winter.")
+    other = story.replace("12", "480").replace("Anna", "Miguel").replace("30", "77")
+    texts = [
+        story.replace("sold Anna", "sold Bob"),                                     # a copy but for one of its repeated names
+        other.replace("sold Miguel", "sold Bob"),                                   # the same of a copy with other numbers and names
+        ITEM.replace("Anna, how", "Bob, how"),
+        "If the old farmer sells 9 apples",
+    ]
+    found = leaks(spark, texts, [(1, story), (2, ITEM)])
+    assert set(found) == {(i, k) for i in (0, 1) for k in (1, 2)} | {(2, 1), (2, 2)}
+    assert found[0, 1].share > 0.8 and found[1, 1].share > 0.5 and found[1, 1].changed == 3
+    assert found[2, 2].matched >= 17 and found[2, 2].changed <= 1
+
+
+def test_windows_that_agree():
+    a, b = {(1, 1)}, {(1, 2)}
+    assert D._consistent([], 4) == []
+    assert D._consistent([(0, a), (1, a), (2, b), (3, a)], 4) == [(0, a), (1, a), (3, a)]
+    assert D._consistent([(0, {(1, 5), (2, 5)}), (9, {(1, 5)})], 4) == [(9, {(1, 5)})]
+    assert D._consistent([(0, a), (1, b), (2, b), (3, set())], 4) == [(1, b), (2, b), (3, set())]
