@@ -1,10 +1,11 @@
 """Main text of web pages, with site templates removed.
 
 Every page's element subtrees are hashed together with the page's host.  Spark counts each hash
-over the different articles of a host; subtrees that recur across many of them (menus, notices,
+over the different articles of a host; subtrees that recur across a share of them (menus, notices,
 footers) are template and are deleted, then the article's blocks are read.  Copies of one article
-count once, so text that is merely republished is not taken for template.  Inside the article only
-container elements can be template, never paragraphs or headings.
+count once, so text that is merely republished is not taken for template.  Inside the article, the main
+element, or what holds most text of a page without either, only container elements can be template,
+never paragraphs, headings, list items or cells.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import column_bytes, longs, row_key, small_batches
+from .common import column_bytes, longs, row_key, small_batches, write_shared
 from .urlfilter import host_of
 
 TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)(>|\Z)", re.S)
@@ -37,6 +38,7 @@ STOPS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}}
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rb rp rt ruby s samp small "
                    "span strike strong sub sup time tt u var wbr".split())
 CONTAINERS = frozenset("aside dialog div dl fieldset figure footer form header menu nav ol section table ul".split())
+PARTS = frozenset("h1 h2 h3 h4 h5 h6 hgroup li dt dd tr td th thead tbody tfoot caption".split())
 DROPPED = RAW | frozenset("aside button canvas datalist dialog footer form head input menu nav object select svg audio video".split())
 #: Words in class, id or role that mark what is not the article.
 MARKS = frozenset("ad ads advert advertisement adverts advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies "
@@ -193,12 +195,17 @@ def _below(node: Node):
 def subtrees(root: Node, host: str) -> list[tuple[int, Node]]:
     """(hash of host and subtree, element) of the elements that can be template."""
     salt = xxhash.xxh3_64_intdigest(host.encode())
-    inside, order = {id(root): False}, [root]
+    order = [root]
+    for node in order:
+        order.extend(k for k in node.kids if isinstance(k, Node))
+    whole = any(node.tag in ("article", "main") for node in order)
+    content = None if whole else _content(root, order)
+    flat = content is not None and (content.tag == "#root" or content.tag in WHOLE)
+    inside = {id(root): False}
     for node in order:
         for k in node.kids:
             if isinstance(k, Node):
-                inside[id(k)] = inside[id(node)] or node.tag == "article"
-                order.append(k)
+                inside[id(k)] = inside[id(node)] or node.tag in ("article", "main") or node is content and not flat
     codes, out = {}, []
     for node in reversed(order):  # children before parents
         h = xxhash.xxh3_64(f"<{node.tag} {' '.join(node.attrs.split())}>".encode())
@@ -212,27 +219,46 @@ def subtrees(root: Node, host: str) -> list[tuple[int, Node]]:
         code = codes[id(node)] = h.intdigest()
         if node.tag in WHOLE or node.tag == "#root" or node.tag in INLINE or node.tag in VOID or node.tag in ("head", "title", "style", "script"):
             continue
-        if not inside[id(node)] or node.tag in CONTAINERS:
+        if node.tag in CONTAINERS or not inside[id(node)] and not (flat and node.tag in PARTS):
             out.append(((code ^ salt) * 0x9E3779B97F4A7C15 % (1 << 64), node))
     return out
 
 
+def _content(root: Node, order: list[Node]) -> Node:
+    """The innermost element with blocks in it that holds more than half of the page's text outside of marked elements."""
+    size = {}
+    for node in reversed(order):
+        own = 0 if node.tag != "#root" and marked(node, False) else sum(size[id(k)] if isinstance(k, Node) else len("".join(k.split())) for k in node.kids)
+        size[id(node)] = own
+    node, most = root, size[id(root)]
+    while True:
+        down = [k for k in node.kids if isinstance(k, Node) and 2 * size[id(k)] > most and any(isinstance(x, Node) and x.tag not in INLINE and x.tag not in VOID for x in k.kids)]
+        if not down:
+            return node
+        node = down[0]
+
+
 def _text(value: bytes | None) -> str:
     return (value or b"").decode("utf-8", "replace")
 
 
 def _subtree_rows(batches):
-    """(key, article) of each page: its subtrees' hashes beside the hash of its article text."""
+    """(host, key, article, row) of each page: its subtrees' hashes beside the hash of its article text; and once with a null key, to count the host's articles."""
     for batch in batches:
-        keys, arts, rows = [], [], []
+        hosts, keys, arts, rows = [], [], [], []
         for host, source, row in zip(column_bytes(batch, "__host"), column_bytes(batch, "__html"), longs(batch, "__row", 0).tolist(), strict=True):
             root = parse(_text(source))
-            found = {k for k, _ in subtrees(root, _text(host))}
+            found = [None, *{k - (k >> 63 << 64) for k, _ in subtrees(root, _text(host))}]
             art = xxhash.xxh3_64_intdigest("\n".join(blocks(walk(root))).encode("utf-8", "surrogatepass"))
+            hosts += [xxhash.xxh3_64_intdigest(_text(host).encode())] * len(found)
             keys += found
             arts += [art] * len(found)
             rows += [row] * len(found)
-        yield pa.RecordBatch.from_arrays([pa.array(np.array(a, np.uint64).view(np.int64)) for a in (keys, arts)] + [pa.array(rows, pa.int64())], ["key", "article", "row"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.array(hosts, np.uint64).view(np.int64)), pa.array(keys, pa.int64()),
+                                          pa.array(np.array(arts, np.uint64).view(np.int64)), pa.array(rows, pa.int64())], ["host", "key", "article", "row"])
+
+
+SUBTREES = "host long, key long, article long, row long"
 
 
 def _extract_rows(names: list[str], templates: np.ndarray):
@@ -257,11 +283,12 @@ def _extract_rows(names: list[str], templates: np.ndarray):
     return run
 
 
-def extract_text(pages: DataFrame, min_articles: int = 8, broadcast_up_to: int = 1_000_000, keep: tuple[str, ...] = ("page_id", "url"),
+def extract_text(pages: DataFrame, min_articles: int = 8, min_share: float = 0.2, broadcast_up_to: int = 1_000_000, keep: tuple[str, ...] = ("page_id", "url"),
                  url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``keep`` columns and ``text`` of every page.
 
-    A subtree is template where it stands beside at least ``min_articles`` different articles of its host.
+    A subtree is template where it stands beside at least ``min_articles`` different articles of its host, and beside
+    a share of ``min_share`` of all of them, so that a host's size does not decide.
     Up to ``broadcast_up_to`` template hashes (8 bytes each) go to the tasks as one sorted array; beyond that
     each page gets its own template hashes by a join.
 
@@ -272,15 +299,17 @@ def extract_text(pages: DataFrame, min_articles: int = 8, broadcast_up_to: int =
     src = small_batches(pages).select(*[F.col(f"`{c}`").alias(c) for c in keep], host_of(F.col(f"`{url_col}`")).alias("__host"),
                        F.col(f"`{html_col}`").cast("binary").alias("__html"))
     rows = src.select("__host", "__html", F.lit(0).cast("long").alias("__row"))
-    counted = (rows.mapInArrow(_subtree_rows, "key long, article long, row long").select("key", "article").distinct()
-               .groupBy("key").count().filter(F.col("count") >= min_articles).select("key"))
+    counts = write_shared(rows.mapInArrow(_subtree_rows, SUBTREES).select("host", "key", "article").distinct()
+                          .groupBy("host", "key").count().filter(F.col("count") >= min_articles), "subtrees")
+    hosts = counts.filter("key IS NULL").select("host", F.col("count").alias("articles"))
+    counted = counts.filter("key IS NOT NULL").join(hosts, "host").filter(F.col("count") >= F.col("articles") * min_share).select("key")
     few = counted.limit(broadcast_up_to + 1).collect()
     schema = T.StructType([src.schema[c] for c in keep] + [T.StructField("text", T.StringType())])
     if len(few) <= broadcast_up_to:
         templates = np.sort(np.array([r["key"] for r in few], np.int64))
         return src.withColumn("__own", F.lit(None).cast("array<long>")).mapInArrow(_extract_rows(list(keep), templates), schema)
     src = src.withColumn("__row", row_key(*keep))
-    mine = (src.select("__host", "__html", "__row").mapInArrow(_subtree_rows, "key long, article long, row long")
+    mine = (src.select("__host", "__html", "__row").mapInArrow(_subtree_rows, SUBTREES)
             .join(counted, "key", "left_semi").groupBy("row").agg(F.collect_set("key").alias("__own")))
     joined = src.join(mine, F.col("__row") == F.col("row"), "left").drop("__row", "row")
     return joined.mapInArrow(_extract_rows(list(keep), np.empty(0, np.int64)), schema)

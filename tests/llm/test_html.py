@@ -61,3 +61,32 @@ def test_query_equals_the_article(spark):
         parts = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", re.sub(r"<br>", " ", p))).split()) for p in re.split(r"</?(?:p|h1)>", body)]
         want = "\n\n".join(p for p in parts if p)
         assert got[r.page_id] == (want, len(want))
+
+
+def test_what_recurs_on_a_small_share_of_a_host_stays(spark):
+    """Twelve of a hundred pages share parts of their text; the menu stands on all of them."""
+    menu = "<div class=top><ul><li>Home</ul></div>"
+    same = "<h2>Introduction</h2><p>Short note</p><ul><li>None</ul><table><tr><td>0</table><div>Equal part</div>"
+    forms = {"a": "<body>{m}<article><p>Story {i} {w}</p>{s}</article>", "m": "<body>{m}<main><p>Story {i} {w}</p>{s}</main>",
+             "d": "<body>{m}<div id=content><p>Story {i} {w}</p>{s}</div>", "b": "<body>{m}<p>Story {i} {w}</p>{s}</body>"}
+    pages = [(1000 * k + i, f"http://{h}.net/{i}", form.format(m=menu, i=i, w="and what came of it " * 5, s=same if i < 12 else ""))
+             for k, (h, form) in enumerate(forms.items()) for i in range(100)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.page_id: r.text.split("\n\n") for r in H.extract_text(df).collect()}
+    for k in range(4):
+        assert got[1000 * k + 3][1:] == ["Introduction", "Short note", "None", "0", "Equal part"]
+        assert len(got[1000 * k + 50]) == 1
+    assert {r.page_id: r.text.split("\n\n") for r in H.extract_text(df, broadcast_up_to=0).collect()} == got
+
+
+def test_parts_of_the_main_content_are_never_template(spark):
+    """Headings, paragraphs, items and cells of the main content stay though every page has them."""
+    same = "<h2>Introduction</h2><p>Short note</p><table><tr><td>{i}<td>0</table>"
+    forms = {"m": "<body><div>Top</div><main><p>Story {i}</p>" + same + "</main>", "d": "<body><div>Top</div><div id=content><p>Story {i}</p>" + same + "</div>"}
+    pages = [(1000 * k + i, f"http://{h}.net/{i}", form.format(i=i)) for k, (h, form) in enumerate(forms.items()) for i in range(12)]
+    flat = "<body><div>Top</div><p>Story {i}</p><h2>Introduction</h2><table><tr><td>{i}<td>0</table>"
+    pages += [(2000 + i, f"http://b.net/{i}", flat.format(i=i)) for i in range(12)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.page_id: r.text.split("\n\n") for r in H.extract_text(df).collect()}
+    assert got[3] == got[1003] == ["Story 3", "Introduction", "Short note", "3", "0"]
+    assert got[2003] == ["Story 3", "Introduction", "3", "0"]
