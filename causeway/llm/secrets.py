@@ -1,7 +1,7 @@
 """Secret scan: pattern candidates, and a random forest that removes the false positives.
 
 Everything on the main path is DataFrame and SQL functions.  Candidates are the matches of one pattern (long runs with
-a digit, values assigned to password-like names, private key blocks).  Each becomes a vector of its length,
+a digit, runs with a known prefix, values assigned to the names of secrets, credentials in URLs, private key blocks).  Each becomes a vector of its length,
 character classes and transitions between them, dictionary coverage, path signs around it and
 neighbouring words.  A random forest trained from labelled findings scores it; the trees are written out as one SQL expression, so a
 scan needs no shuffle and no model on the executors.
@@ -19,8 +19,16 @@ from pyspark.sql import functions as F
 from .common import fresh
 
 ASSIGNED = r"(?:[pP]assword|PASSWORD|[pP]asswd|PASSWD|pwd|PWD|[sS]ecret|SECRET)[\"']?\s{0,3}[=:]\s{0,3}[\"']?"
+# The other names of KEYWORD; their values end before signs of code, markup and query strings, and before a sentence's end.
+NAMED = (r"(?i:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth(?:orization)?|credentials?|private[_-]?key|bearer)[\"']?"
+         r"(?:\s{0,3}[=:]|(?<=[rR])\s|\s{1,3}is\s)\s{0,3}(?i:(?:bearer|basic)\s{1,3})?[\"']?")
+LOGIN = r"://[^\s/:@\"'<>]{0,64}:"
+KEY = r"(?:" + ASSIGNED + "|" + NAMED + "|" + LOGIN + ")"
 CANDIDATE = (r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[A-Za-z0-9+/=\s:,.-]*?-----END [A-Z ]{0,40}PRIVATE KEY-----"
              r"|" + ASSIGNED + r"[^\s\"',;]{6,}"
+             r"|" + NAMED + r"[^\s\"',;&<>()\[\]{}]{5,}[^\s\"',;&<>()\[\]{}.:!?]"
+             r"|" + LOGIN + r"[^\s/@\"'<>]++(?=@)"
+             r"|(?<![A-Za-z0-9_+/-])(?:AKIA|ASIA|gh[pousr]_|github_pat_|glpat-|xox[abprs]-|sk[-_]|rk_live|AIza|ya29\.?|eyJ|npm_)[A-Za-z0-9_+/-]{8,}+={0,2}"
              r"|(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*+[0-9])[A-Za-z0-9_+/-]{12,}+={0,2}")
 KEYWORD = r"(?i)(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credentials?|private[_-]?key|bearer)[\"']?\s{0,3}(?:=|:|is|)\s{0,3}[\"']?$"
 KNOWN = r"^(?:AKIA|ASIA|gh[pousr]_|github_pat_|glpat-|xox[abprs]-|sk[-_]|rk_live|AIza|ya29|eyJ|npm_|-----BEGIN)"
@@ -71,6 +79,7 @@ def feature_sql(dictionary=DICTIONARY) -> dict[str, str]:
         "known": _flag(f"x.v rlike {_quoted(KNOWN)}"),
         "keyword": _flag(f"x.l rlike {_quoted(KEYWORD)}"),
         "assigned": _flag("x.l rlike '[=:]\\\\s{0,3}[\"\\']?$'"),
+        "login": _flag("x.l rlike '://[^\\s/@]*:$' and x.r rlike '^@'"),
         "quoted": _flag("x.l rlike '[\"\\'`]$' and x.r rlike '^[\"\\'`]'"),
         "path": _flag("x.l rlike '[/.@\\\\\\\\#][^\\\\s]*$' or x.l rlike '://[^\\\\s]*$' or x.r rlike '^[./@\\\\\\\\][A-Za-z]' or x.v rlike '/[A-Za-z]{3,}[/-]'"),
         "neighbour": _flag("concat(x.l, ' ', x.r) rlike '(?i)\\\\b(?:commit|sha\\\\d*|md5|checksum|digest|hash|isbn|order|invoice|card|tel|phone|uuid|serial|version|example|sample|dummy|fake|placeholder)\\\\b'"),
@@ -88,6 +97,8 @@ def labelled_findings(docs: DataFrame, rows: int = 600, id_col: str = "doc_id",
     b64 = "regexp_replace(base64(unhex(sha2(concat(s, '{0}'), 256))), '[+/=]', 'x')"
     hx = "sha2(concat(s, '{0}'), 256)"
     number = "translate(sha2(concat(s, '{0}'), 256), 'abcdef', '123456')"
+    letters = "translate(regexp_replace(base64(unhex(sha2(concat(s, '{0}'), 512))), '[+/=]', ''), '0123456789', 'QwErTyUiOp')"
+    word = "coalesce(try_element_at(filter(transform(w, x -> regexp_replace(x, '[^\\\\p{{L}}]', '')), x -> length(x) >= 6), {0}), '{1}')"
     before, after = "concat_ws(' ', slice(w, 1, 5))", "concat_ws(' ', slice(w, 6, 5))"
     forms = [  # (label, text before the value, value, text after it)
         (1, "' '", f"concat('AKIA', upper(left({b64.format('a')}, 16)))", "' '"),
@@ -100,6 +111,23 @@ def labelled_findings(docs: DataFrame, rows: int = 600, id_col: str = "doc_id",
         (1, "' '", f"concat('sk-', left({b64.format('h')}, 40))", "' '"),
         (1, "' '", f"concat('-----BEGIN PRIVATE KEY-----\\n', {b64.format('i')}, '\\n-----END PRIVATE KEY-----')", "' '"),
         (1, "' access_key='", f"left({b64.format('j')}, 40)", "' '"),
+        (1, "' '", f"concat('AKIA', upper(left({letters.format('A')}, 16)))", "' '"),
+        (1, "' api_key = \"'", f"left({letters.format('B')}, 24)", "'\" '"),
+        (1, "' token: '", f"left({letters.format('C')}, 16 + cast(conv(left(s, 2), 16, 10) as int) % 24)", "' '"),
+        (1, "' passphrase: '", f"left({b64.format('D')}, 8 + cast(conv(left(s, 2), 16, 10) as int) % 12)", "' '"),
+        (1, "' passphrase: '", f"concat({word.format(1, 'hunter')}, left({number.format('E')}, 1), left({hx.format('E')}, 2))", "' '"),
+        (1, "' postgres://bob:'", f"left({b64.format('F')}, 8 + cast(conv(left(s, 2), 16, 10) as int) % 12)", "'@db/x '"),
+        (1, "' https://me:'", f"concat({word.format(1, 'Hunter')}, left({number.format('G')}, 1), left({hx.format('G')}, 2))", "'@host/ '"),
+        (1, "' '", f"concat('ghp_', left({letters.format('H')}, 36))", "' '"),
+        (1, "' Authorization: Bearer '", f"left({letters.format('I')}, 32)", "' '"),
+        (0, "' token: '", word.format(1, "chapter"), "' '"),
+        (0, "' secret: '", word.format(2, "garden"), "' '"),
+        (0, "' bearer '", word.format(1, "shares"), "' '"),
+        (0, "' password is '", word.format(1, "required"), "' '"),
+        (0, "' auth: '", f"concat_ws('-', {word.format(1, 'section')}, {word.format(2, 'chapter')})", "' '"),
+        (0, "' api_key = '", f"concat_ws('_', 'your', lower({word.format(1, 'number')}), 'here')", "' '"),
+        (0, "' '", f"concat('sk-', lower({word.format(1, 'learning')}), '-', lower({word.format(2, 'version')}))", "' '"),
+        (0, "' http://user:'", "if(left(s, 1) < '8', 'password', 'your-password')", "'@example.com/ '"),
         (0, "' '", f"left({number.format('k')}, 16)", "' '"),
         (0, "' commit '", f"left({hx.format('l')}, 40)", "' '"),
         (0, "' sha256: '", hx.format("m"), "' '"),
@@ -144,7 +172,7 @@ def scanned(docs: DataFrame, forest: Forest, text_col: str = "text", dictionary=
     sql = ", ".join(feature_sql(dictionary).values())
     score = "(" + " + ".join(forest.trees) + f") / {len(forest.trees)}D"
     out = docs.withColumns({"__gaps": F.split(text, CANDIDATE, -1), "__hits": F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))})
-    parts = f"transform(__hits, (m, i) -> named_struct('i', i, 'm', m, 'v', regexp_replace(m, {_quoted('^' + ASSIGNED)}, '')))"
+    parts = f"transform(__hits, (m, i) -> named_struct('i', i, 'm', m, 'v', regexp_replace(m, {_quoted('^' + KEY)}, '')))"
     parts = (f"transform({parts}, x -> named_struct('i', x.i, 'v', x.v, 'key', left(x.m, length(x.m) - length(x.v)), "
              f"'l', right(concat(if(x.i > 0, __hits[greatest(x.i - 1, 0)], ''), __gaps[x.i], left(x.m, length(x.m) - length(x.v))), {CONTEXT}), "
              f"'r', left(__gaps[x.i + 1], {CONTEXT})))")
