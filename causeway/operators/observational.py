@@ -213,7 +213,11 @@ def _assembler(cols: Sequence[str], out: str = "features"):
     return VectorAssembler(inputCols=list(cols), outputCol=out, handleInvalid="keep")
 
 
-def _rf(kind: str, label: str, seed: int = 42, weight: str | None = None, trees: int = 100, depth: int = 8):
+#: The deepest trees that Spark allows; the reference sets no limit.
+DEEPEST = 30
+
+
+def _rf(kind: str, label: str, seed: int = 42, weight: str | None = None, trees: int = 100, depth: int = DEEPEST):
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.regression import RandomForestRegressor
     cls = RandomForestClassifier if kind == "classifier" else RandomForestRegressor
@@ -234,25 +238,25 @@ def _score(model, frame: DataFrame, keep: Sequence[str], binary: bool, name: str
 
 
 def t_learner_rf(df: DataFrame, treatment: str, outcome: str, features: Sequence[str], binary: bool = False,
-                 ite_col: str = "Estimated_ITE", seed: int = 42, trees: int = 100) -> DataFrame:
+                 ite_col: str = "Estimated_ITE", seed: int = 42, trees: int = 100, depth: int = DEEPEST) -> DataFrame:
     """T-learner: one forest per arm, both score every row; ITE = mu1 - mu0 (P(Y=1) for binary Y)."""
     data = _assembler(features).transform(df.withColumn("_y", F.col(outcome).cast("double")))
     kind = "classifier" if binary else "regressor"
-    m1 = _rf(kind, "_y", seed, trees=trees).fit(data.filter(F.col(treatment) == 1))
-    m0 = _rf(kind, "_y", seed, trees=trees).fit(data.filter(F.col(treatment) == 0))
+    m1 = _rf(kind, "_y", seed, trees=trees, depth=depth).fit(data.filter(F.col(treatment) == 1))
+    m0 = _rf(kind, "_y", seed, trees=trees, depth=depth).fit(data.filter(F.col(treatment) == 0))
     s = _score(m1, data, data.columns, binary, "_mu1")
     s = _score(m0, s, [*data.columns, "_mu1"], binary, "_mu0")
     return s.select(*df.columns, (F.col("_mu1") - F.col("_mu0")).alias(ite_col))
 
 
 def s_learner_rf(df: DataFrame, treatment: str, outcome: str, features: Sequence[str], binary: bool = False,
-                 ite_col: str = "Estimated_ITE", seed: int = 42, trees: int = 100) -> DataFrame:
+                 ite_col: str = "Estimated_ITE", seed: int = 42, trees: int = 100, depth: int = DEEPEST) -> DataFrame:
     """S-learner: one forest on (X, T); ITE = f(x, 1) - f(x, 0)."""
     cols = list(features) + [treatment]
     kind = "classifier" if binary else "regressor"
     va = _assembler(cols)
     base = df.withColumn("_t0", F.col(treatment)).withColumn("_y", F.col(outcome).cast("double"))
-    model = _rf(kind, "_y", seed, trees=trees).fit(va.transform(base.withColumn(treatment, F.col(treatment).cast("double"))))
+    model = _rf(kind, "_y", seed, trees=trees, depth=depth).fit(va.transform(base.withColumn(treatment, F.col(treatment).cast("double"))))
     a = _score(model, va.transform(base.withColumn(treatment, F.lit(1.0))), base.columns, binary, "_f1")
     b = _score(model, va.transform(a.withColumn(treatment, F.lit(0.0))), [*base.columns, "_f1"], binary, "_f0")
     return b.withColumn(treatment, F.col("_t0")).select(*df.columns, (F.col("_f1") - F.col("_f0")).alias(ite_col))
@@ -290,7 +294,7 @@ def crossfit_saturated(df: DataFrame, treatment: str, outcome: str, cells: Seque
 
 
 def crossfit_rf(df: DataFrame, treatment: str, outcome: str, features: Sequence[str], k: int = 3,
-                binary_outcome: bool = False, seed: int = 42, trees: int = 100) -> DataFrame:
+                binary_outcome: bool = False, seed: int = 42, trees: int = 100, depth: int = DEEPEST) -> DataFrame:
     """Out-of-fold forest predictions: regressor (or classifier for binary Y) for Y, classifier for T."""
     va = _assembler(features)
     data = va.transform(df.withColumn("_y", F.col(outcome).cast("double"))
@@ -298,8 +302,8 @@ def crossfit_rf(df: DataFrame, treatment: str, outcome: str, features: Sequence[
     parts = []
     for f in range(k):
         train, test = data.filter(F.col("_fold") != f), data.filter(F.col("_fold") == f)
-        my = _rf("classifier" if binary_outcome else "regressor", "_y", seed, trees=trees).fit(train)
-        mt = _rf("classifier", "_t", seed, trees=trees).fit(train)
+        my = _rf("classifier" if binary_outcome else "regressor", "_y", seed, trees=trees, depth=depth).fit(train)
+        mt = _rf("classifier", "_t", seed, trees=trees, depth=depth).fit(train)
         s = my.transform(test)
         s = s.select(*test.columns, (_prob1() if binary_outcome else F.col("prediction")).alias("_m"))
         s = mt.transform(s).select(*test.columns, "_m", _prob1().alias("_e"))
@@ -339,7 +343,7 @@ def crossfit_linear(df: DataFrame, treatment: str, outcome: str, features: Seque
 
 def linear_dml(df: DataFrame, treatment: str, outcome: str, confounders: Sequence[str], row_id: str,
                nuisance: str = "saturated", modifiers: Sequence[str] | None = None, k: int = 3, seed: int = 42,
-               binary_outcome: bool = False, alpha: float = 0.05, trees: int = 100) -> DataFrame:
+               binary_outcome: bool = False, alpha: float = 0.05, trees: int = 100, depth: int = DEEPEST) -> DataFrame:
     """LinearDML: cross-fitted residuals y~ = y - m(x), t~ = t - e(x); final stage
     y~ = t~ * (theta0 + theta' (x - xbar)) by least squares without intercept (one Gram aggregate);
     ATE = theta0.  HC1 standard error from a second aggregate of the score outer products."""
@@ -354,7 +358,7 @@ def linear_dml(df: DataFrame, treatment: str, outcome: str, confounders: Sequenc
     elif nuisance == "linear":
         r = crossfit_linear(d, treatment, outcome, confounders, k)
     elif nuisance == "rf":
-        r = crossfit_rf(d, treatment, outcome, confounders, k, binary_outcome, seed, trees)
+        r = crossfit_rf(d, treatment, outcome, confounders, k, binary_outcome, seed, trees, depth)
     else:
         raise ValueError(nuisance)
     from ..functions.columns import dlit, one_row
@@ -405,16 +409,16 @@ def linear_dml(df: DataFrame, treatment: str, outcome: str, confounders: Sequenc
 
 def causal_forest(df: DataFrame, treatment: str, outcome: str, confounders: Sequence[str], row_id: str,
                   k: int = 3, seed: int = 42, binary_outcome: bool = False, trees: int = 100,
-                  ite_col: str = "Estimated_ITE") -> tuple[DataFrame, DataFrame]:
+                  ite_col: str = "Estimated_ITE", depth: int = DEEPEST) -> tuple[DataFrame, DataFrame]:
     """EST8 (R-learner forest): cross-fitted RF residuals, then a weighted forest on the
     pseudo-outcome y~/t~ with weights t~^2 gives CATE(x).  Returns (scored rows, importances)."""
     d = crossfit_folds(df.dropna(subset=[treatment, outcome, *confounders]), row_id, k, seed)
-    r = crossfit_rf(d, treatment, outcome, confounders, k, binary_outcome, seed, trees)
+    r = crossfit_rf(d, treatment, outcome, confounders, k, binary_outcome, seed, trees, depth)
     tt = F.col(treatment).cast("double") - F.col("_e")
     yt = F.col(outcome).cast("double") - F.col("_m")
     r = r.select("*", (yt / tt).alias("_pseudo"), (tt * tt).alias("_w")).filter(F.col("_w") > 1e-12)
     data = _assembler(confounders).transform(r)
-    model = _rf("regressor", "_pseudo", seed, weight="_w", trees=trees).fit(data)
+    model = _rf("regressor", "_pseudo", seed, weight="_w", trees=trees, depth=depth).fit(data)
     scored = model.transform(_assembler(confounders).transform(df)).select(*df.columns, F.col("prediction").alias(ite_col))
     imp = model.featureImportances.toArray()
     importances = df.sparkSession.createDataFrame(
