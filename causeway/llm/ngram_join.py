@@ -440,9 +440,10 @@ def _class_rows(width: int, names: list[str]):
 
 def near_classes(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, unit_size: int = 2_000_000,
                  id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, key, n_shingles, component_id of every row: components of links with Jaccard >= num / den.
+    """doc_id, key, n_shingles, component_id, root of every row: components of links with Jaccard >= num / den.
 
-    ``component_id`` is the smallest id of the component; ``key`` is :func:`row_key` of id and text.
+    ``component_id`` is the smallest id of the component; ``key`` is :func:`row_key` of id and text; ``root`` is
+    the component itself (a class of it, null without words), as two components may share their smallest id where ids are not unique.
     Words are runs without ASCII white space, A-Z lower-cased.
 
     * null, empty and blank texts have an empty set and link with nothing: their component is their own id;
@@ -471,19 +472,20 @@ def near_classes(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100,
     rooted = connected_components(found)
     placed = one.select("class", "low").join(rooted.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     least = placed.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = placed.join(least, "root").select("class", "component_id")
+    named = placed.join(least, "root").select("class", "component_id", "root")
     return (slim.join(named, "class", "left")
-            .select("doc_id", "key", "n_shingles", F.coalesce("component_id", F.when(F.col("class").isNull(), F.col("doc_id"))).alias("component_id")))
+            .select("doc_id", "key", "n_shingles", F.coalesce("component_id", F.when(F.col("class").isNull(), F.col("doc_id"))).alias("component_id"), "root"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with one row of each component: the row with the smallest id (of repeated rows, one).
 
+    Components whose smallest ids are equal keep a row each.
     Rows without words are no one's copies and all stay, as do rows with a null id (they cannot be told apart)."""
     classes = near_classes(docs, id_col=id_col, text_col=text_col, **options)
     key, mark = fresh(docs, "__key"), fresh(docs, "__stay")
-    stay = (classes.filter(F.col("doc_id").isNotNull() & (F.col("doc_id") == F.col("component_id")) & (F.col("n_shingles") > 0))
-            .groupBy("component_id").agg(F.min("key").alias(mark)).select(mark))
+    stay = (classes.filter(F.col("doc_id").isNotNull() & F.col("root").isNotNull())
+            .groupBy("root").agg(F.min(F.struct("doc_id", "key"))["key"].alias(mark)).select(mark))
     keyed = docs.withColumn(key, row_key(id_col, text_col))
     kept = keyed.join(stay, F.col(key) == F.col(mark), "left_semi").dropDuplicates([key])
     wordless = keyed.filter(F.col(id_col).isNull() | ~F.coalesce(F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))

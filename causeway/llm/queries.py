@@ -45,7 +45,7 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 5-word shingle sets have a Jaccard similarity of 0.8 or more."""
     docs = need(read_documents(spark, sf_dir), "doc_id", "text")
-    return ngram_join.near_classes(docs).drop("key")
+    return ngram_join.near_classes(docs).drop("key", "root")
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

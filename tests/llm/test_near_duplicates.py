@@ -147,3 +147,10 @@ def test_connected_components(spark):
     got = {r.node: r.root for r in connected_components(df).collect()}
     assert got == {x: root(x) for x in up if root(x) != x}
     assert connected_components(df.filter(F.lit(False))).count() == 0
+
+
+def test_components_that_share_their_smallest_id_keep_a_row_each(spark):
+    one, two = "the cat sat on the mat and looked at the moon", "a quiet river runs past seven old mills in the north"
+    rows = [(1, one), (2, one), (1, two), (3, two), (3, "one text of its own with other words in it")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r.doc_id, r.text) for r in J.keep_one(docs).collect()) == sorted([rows[0], rows[2], rows[4]])
