@@ -215,6 +215,6 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 4096, end_id: int = 2, t
     return src.mapInArrow(_pack_partition(list(keep), tokenizer, window, end_id, chunk_tokens, max_pad, words_kept), schema)
 
 
-def piece_digests(pieces: DataFrame) -> DataFrame:
-    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset of packed pieces."""
-    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+def piece_digests(pieces: DataFrame, *more: str) -> DataFrame:
+    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset of packed pieces, and the columns ``more``."""
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", *more)

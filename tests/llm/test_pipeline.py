@@ -66,3 +66,8 @@ def test_registered():
     q = E.queries()
     assert q.keys() >= {"pipeline"} and {n.split("_")[0] for n in q if n.startswith("op") and n[2].isdigit()} == {f"op{i}" for i in range(1, 11)}
 
+
+def test_the_last_stage_keeps_token_ids(spark):
+    docs = spark.createDataFrame([(1, "one text to pack", "en", "s", 16)], "doc_id long, text string, lang string, source string, n_chars long")
+    rows = P.packed(spark, docs, SF).collect()
+    assert rows and all(len(r.ids) == 4 * r.length for r in rows)
