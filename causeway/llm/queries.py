@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html, langid, ngram_join, packing, secrets, sharding, substrings, topk, urlfilter
+from . import decontaminate, fim, fingerprints, html, langid, ngram_join, packing, runs, secrets, sharding, substrings, topk, urlfilter
 from .common import need, read_documents
+from .sql import OP11_SQL, OP12_SQL, OP13_SQL
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -80,6 +81,41 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table, F.col("vec_id") % 50 == 0)
 
 
+def with_planted_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` where a tenth of the texts, told by the id's crc32, repeat a stretch of their own words up to the end."""
+    h = F.crc32(F.col(f"`{id_col}`").cast("string").cast("binary"))
+    words = F.when(h % 10 == 0, F.expr(rf"regexp_extract_all(`{text_col}`, '[^\\x20\\x09-\\x0D]+', 0)"))
+    d = docs.withColumn("__g", F.expr(f"crc32(cast(cast(`{id_col}` as string) as binary)) div 10")).withColumn("__w", words)
+    d = d.withColumn("__n", F.size("__w"))  # -1 where the text stands as it is
+    d = d.withColumn("__a", F.expr("case when __n > 0 then cast(__g % __n as int) end"))
+    d = d.withColumn("__p", F.expr("cast(1 + (__n - __a) div (3 + __g % 8) as int)"))
+    repeated = F.expr("""array_join(slice(concat(slice(__w, 1, __a),
+        flatten(array_repeat(slice(__w, __a + 1, __p), cast(ceil((__n - __a) / __p) as int)))), 1, __n), ' ')""")
+    return d.withColumn(text_col, F.when(F.col("__n") > 0, repeated).otherwise(F.col(f"`{text_col}`"))).drop("__g", "__w", "__n", "__a", "__p")
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words in all documents, a tenth of which repeat a stretch of their words."""
+    docs = with_planted_runs(need(read_documents(spark, sf_dir), "doc_id", "text"))
+    return runs.run_digests(runs.find_runs(docs), "doc_id")
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fill-in-middle form of all documents, and the texts restored from it."""
+    docs = need(read_documents(spark, sf_dir), "doc_id", "text")
+    columns = ("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256")
+    made = fim.fill_in_middle(docs).withColumn("output_sha256", F.sha2(F.col("output").cast("binary"), 256))
+    restored = fim.restore(made, keep=columns)
+    return restored.select(*columns, F.sha2(F.col("restored").cast("binary"), 256).alias("restored_sha256"))
+
+
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts, and how alike they are."""
+    prints = fingerprints.edited_prints(need(read_documents(spark, sf_dir), "doc_id", "text"))
+    return prints.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+                         "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 OP10_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
@@ -198,6 +234,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_language_id": op9_language_id,
     "op10_exact_top_k": op10_exact_top_k,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_fingerprints": op13_fingerprints,
 }
 ORACLES: dict[str, str] = {"op4_url_filter": OP4_SQL, "op5_ngram_join": OP5_SQL, "op8_substring_dedup": OP8_SQL,
-                           "op10_exact_top_k": OP10_SQL}
+                           "op10_exact_top_k": OP10_SQL, "op11_periodic_runs": OP11_SQL, "op12_fill_in_middle": OP12_SQL,
+                           "op13_fingerprints": OP13_SQL}
