@@ -9,6 +9,7 @@ oracle can reproduce them bit for bit.
 from __future__ import annotations
 
 import math
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -94,62 +95,76 @@ def col(c: Column | str) -> Column:
 
 
 # Replicate streams ------------------------------------------------------------------------------
-# Fixed values of the Lehmer ("minimal standard") generator: modulus 2^31 - 1, multiplier 48271.
-LEHMER_M = 2147483647
-LEHMER_A = 48271
+# Fixed values of a combined multiplicative generator: two moduli and their multipliers.
+STREAMS = ((2147483563, 40014), (2147483399, 40692))
+LOW_BITS = 1 << 31
+SPREAD_FROM = 20  # draws a row from which rows are dealt out to all tasks before they are copied
 
 
-def lehmer_consts(replicates: int, per_rep: int = 1) -> list[list[int]]:
-    """a^k mod m for the ``per_rep`` draws of every replicate r = 1..replicates (k = (r-1)*per_rep + j + 1)."""
-    return [[pow(LEHMER_A, (r - 1) * per_rep + j + 1, LEHMER_M) for j in range(per_rep)]
+def stream_consts(replicates: int, per_rep: int = 1) -> list[list[tuple[int, int]]]:
+    """a^k mod m of both generators for the ``per_rep`` draws of every replicate r = 1..replicates (k = (r-1)*per_rep + j + 1)."""
+    return [[tuple(pow(a, (r - 1) * per_rep + j + 1, m) for m, a in STREAMS) for j in range(per_rep)]
             for r in range(1, replicates + 1)]
 
 
 def row_seed(*parts: Column | str) -> Column:
-    """Per-row stream seed in [1, m-1] from the first 32 bits of md5(parts)."""
-    h = F.conv(F.substring(F.md5(_key(*parts)), 1, 8), 16, 10).cast("long")
-    return F.pmod(h, F.lit(LEHMER_M - 1)) + F.lit(1)
+    """Per-row stream seed from 64 bits of md5(parts): a seed of either generator, about 2^62 values, in one long."""
+    h = F.md5(_key(*parts))
+    a, b = [F.pmod(F.conv(F.substring(h, 8 * k + 1, 8), 16, 10).cast("long"), F.lit(m - 1)) + F.lit(1) for k, (m, _) in enumerate(STREAMS)]
+    return a * F.lit(LOW_BITS) + b
 
 
 def sql_row_seed(*parts: str) -> str:
     inner = ", ".join(f"CAST({p} AS VARCHAR)" for p in parts)
-    return f"((CAST(('0x' || substr(md5(concat_ws('|', {inner})), 1, 8)) AS BIGINT) % {LEHMER_M - 1}) + 1)"
+    a, b = [f"(CAST(('0x' || substr(md5(concat_ws('|', {inner})), {8 * k + 1}, 8)) AS BIGINT) % {m - 1} + 1)" for k, (m, _) in enumerate(STREAMS)]
+    return f"({a} * {LOW_BITS} + {b})"
 
 
 def explode_replicates(df, seed_col: Column, replicates: int, per_rep: int = 1, rep_name: str = "_rep",
                        u_prefix: str = "_u"):
     """Replicate every row ``replicates`` times with ``per_rep`` uniforms each.
 
-    u_j = x / m for x = seed * a^k mod m, the k-th element of the row's Lehmer stream
-    (k = (r-1) * per_rep + j + 1), so a row costs one md5 however many replicates it feeds and
+    A uniform is the difference of the k-th elements x = seed * a^k mod m of the row's two streams
+    (k = (r-1) * per_rep + j + 1), modulo m - 1, over m, so a row costs one md5 however many replicates it feeds and
     the draws stay partition independent and exactly reproducible in SQL.
 
-    The seed is computed in a projection *below* the ``posexplode`` of the bigint constant
+    The seed is computed in a projection *below* the ``posexplode`` of the constant
     array.  Catalyst would otherwise move that md5 projection above the ``Generate`` (or
     inline it into a lambda) and hash every exploded row; marking the projection
     non-deterministic (a ``rand() >= 0`` guard that is always true) pins it in place.
     Later draws of a replicate follow from x_{k+j} = x_k * a^j mod m."""
-    consts = lehmer_consts(replicates, per_rep)
-    m = F.lit(LEHMER_M)
-    first = F.array(*[F.lit(cs[0]).cast("long") for cs in consts])
+    first = F.array(*[F.struct(*[F.lit(c).cast("long").alias(n) for n, c in zip("ab", cs[0], strict=True)]) for cs in stream_consts(replicates, per_rep)])
     pinned = F.when(F.rand(0) >= F.lit(0.0), seed_col.cast("long")).otherwise(seed_col.cast("long"))
-    x = df.select("*", pinned.alias("_seed")).select("*", F.posexplode(first).alias("_pos", "_a0"))
-    x0 = F.pmod(F.col("_seed") * F.col("_a0"), m)
-    steps = [pow(LEHMER_A, j, LEHMER_M) for j in range(per_rep)]
-    us = [((x0 if j == 0 else F.pmod(x0 * F.lit(steps[j]).cast("long"), m))
-           .cast("double") / F.lit(float(LEHMER_M))).alias(f"{u_prefix}{j}") for j in range(per_rep)]
+    x = df.select("*", pinned.alias("_seed"))
+    if replicates * per_rep >= SPREAD_FROM:  # the work is the copies': give every core rows, however few files they lie in
+        spark = df.sparkSession
+        x = x.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), "_seed")
+    x = x.select("*", F.posexplode(first).alias("_pos", "_c"))
+    m1, m2 = STREAMS[0][0], STREAMS[1][0]
+    x1 = F.pmod(F.shiftright("_seed", 31) * F.col("_c.a"), F.lit(m1))
+    x2 = F.pmod(F.col("_seed").bitwiseAND(F.lit(LOW_BITS - 1)) * F.col("_c.b"), F.lit(m2))
+    us = []
+    for j in range(per_rep):
+        a, b = [v if j == 0 else F.pmod(v * F.lit(pow(mult, j, m)).cast("long"), F.lit(m)) for v, (m, mult) in zip((x1, x2), STREAMS, strict=True)]
+        z = F.pmod(a - b, F.lit(m1 - 1))
+        us.append((F.when(z == 0, F.lit(m1 - 1)).otherwise(z).cast("double") / F.lit(float(m1))).alias(f"{u_prefix}{j}"))
     return x.select(*[c for c in df.columns], (F.col("_pos") + 1).cast("int").alias(rep_name), *us)
 
 
 def sql_replicate_values(replicates: int, per_rep: int = 1) -> str:
-    """VALUES table (rep, a0, a1, ...) of the replicate constants for the oracle SQL."""
-    rows = ", ".join("(" + ", ".join(str(v) for v in [r + 1, *cs]) + ")" for r, cs in enumerate(lehmer_consts(replicates, per_rep)))
-    cols = ", ".join(["rep"] + [f"a{j}" for j in range(per_rep)])
+    """VALUES table (rep, a0, b0, a1, b1, ...) of the replicate constants for the oracle SQL."""
+    rows = ", ".join("(" + ", ".join(str(v) for v in [r + 1, *[x for c in cs for x in c]]) + ")" for r, cs in enumerate(stream_consts(replicates, per_rep)))
+    cols = ", ".join(["rep"] + [f"{n}{j}" for j in range(per_rep) for n in "ab"])
     return f"(SELECT * FROM (VALUES {rows}) AS c({cols}))"
 
 
-def sql_lehmer_u(seed_expr: str, a_col: str) -> str:
-    return f"(CAST((({seed_expr}) * {a_col}) % {LEHMER_M} AS DOUBLE) / CAST({LEHMER_M} AS DOUBLE))"
+def sql_stream_u(seed_expr: str, a_col: str) -> str:
+    """Uniform of a seed and the constants ``a_col`` (and its b) of :func:`sql_replicate_values`."""
+    (m1, _), (m2, _) = STREAMS
+    b_col = re.sub(r"a(\d+)$", r"b\1", a_col)
+    x = f"(((({seed_expr}) // {LOW_BITS}) * {a_col}) % {m1} - ((({seed_expr}) % {LOW_BITS}) * {b_col}) % {m2})"
+    z = f"(({x} % {m1 - 1} + {m1 - 1}) % {m1 - 1})"
+    return f"(CAST(CASE WHEN {z} = 0 THEN {m1 - 1} ELSE {z} END AS DOUBLE) / CAST({m1} AS DOUBLE))"
 
 
 def one_row(agg_df) -> dict:

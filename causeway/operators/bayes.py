@@ -1,188 +1,12 @@
-"""Bayesian impact estimators (QX4, QX5, QX16, QX17, QX18).
-
-Samplers run as one ``applyInPandas`` task per (unit, chain): the structural
-time-series model sees one unit's series (dates x few columns); the Bayesian
-synthetic control sees only the donor Gram of its unit (units^2 numbers,
-because its likelihood depends on the data through w'Gw - 2w'c + g).  Both
-emit *draws as rows*, and every posterior summary is an ordinary Spark
-aggregate or window over the draws of one unit.
-"""
+"""Summaries of posterior draws (QX5, QX17, QX18): aggregates and windows over draws that are rows of a table."""
 
 from __future__ import annotations
 
-import math
-import zlib
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# QX4: structural time-series (local level / local linear trend + regression) ---------------------
-
-
-def _inv_gamma(rng, shape, scale):
-    return scale / rng.gamma(shape)
-
-
-def _ffbs_level(y, q, H, a0, p0, rng):
-    """Scalar forward filter / backward sample for the local level y_t = a_t + e_t,
-    a_{t+1} = a_t + n_t (the default model; plain float arithmetic)."""
-    n = len(y)
-    af = np.empty(n)
-    pf = np.empty(n)
-    a, P = float(a0), float(p0)
-    for t in range(n):
-        F_ = P + H
-        K = P / F_
-        a = a + K * (y[t] - a)
-        P = P - K * P
-        af[t], pf[t] = a, P
-        P = P + q
-    z = rng.standard_normal(n)
-    out = np.empty(n)
-    out[-1] = af[-1] + math.sqrt(max(pf[-1], 0.0)) * z[-1]
-    for t in range(n - 2, -1, -1):
-        pp = pf[t] + q
-        J = pf[t] / pp
-        m = af[t] + J * (out[t + 1] - af[t])
-        v = pf[t] - J * pf[t]
-        out[t] = m + math.sqrt(max(v, 0.0)) * z[t]
-    return out.reshape(-1, 1)
-
-
-def _mvn(rng, mean, cov):
-    L = np.linalg.cholesky(_sym(cov) + 1e-12 * np.eye(len(mean)))
-    return mean + L @ rng.standard_normal(len(mean))
-
-
-def _ffbs(y, Tm, Q, H, a0, P0, rng):
-    """Forward filter, backward sample for y_t = Z a_t + e_t, a_{t+1} = Tm a_t + n_t."""
-    n, d = len(y), Tm.shape[0]
-    if d == 1:
-        return _ffbs_level(y, float(Q[0, 0]), H, a0[0], P0[0, 0], rng)
-    Z = np.zeros(d)
-    Z[0] = 1.0
-    af = np.empty((n, d))
-    Pf = np.empty((n, d, d))
-    a, P = a0.copy(), P0.copy()
-    for t in range(n):
-        v = y[t] - Z @ a
-        Fv = Z @ P @ Z + H
-        K = P @ Z / Fv
-        a = a + K * v
-        P = P - np.outer(K, Z @ P)
-        af[t], Pf[t] = a, P
-        a = Tm @ a
-        P = Tm @ P @ Tm.T + Q
-    states = np.empty((n, d))
-    states[-1] = _mvn(rng, af[-1], Pf[-1])
-    for t in range(n - 2, -1, -1):
-        Pp = Tm @ Pf[t] @ Tm.T + Q
-        J = Pf[t] @ Tm.T @ np.linalg.inv(Pp)
-        mean = af[t] + J @ (states[t + 1] - Tm @ af[t])
-        cov = Pf[t] - J @ Tm @ Pf[t]
-        states[t] = _mvn(rng, mean, cov)
-    return states
-
-
-def _sym(P):
-    P = 0.5 * (P + P.T)
-    w, V = np.linalg.eigh(P)
-    return (V * np.clip(w, 1e-12, None)) @ V.T
-
-
-def bsts_draws(y: np.ndarray, X: np.ndarray | None, n_pre: int, niter: int = 1000, burn: int = 200,
-               trend: bool = False, seed: int = 42, level_sd: float = 0.01) -> np.ndarray:
-    """Posterior predictive draws of the counterfactual for the post positions (n_pre..len-1).
-
-    Standardised series; priors: level sd ~ IG(16, 16 * level_sd^2) (32 prior obs around
-    ``level_sd``), observation variance ~ IG(0.5, 0.5 * 0.1^2)-weak, beta ~ N(0, 10^2 I).
-    Returns array (niter - burn, n_post) on the original scale.
-    """
-    rng = np.random.default_rng(seed)
-    pre = y[:n_pre]
-    mu_y, sd_y = float(np.mean(pre)), float(np.std(pre)) or 1.0
-    z = (y - mu_y) / sd_y
-    zp = z[:n_pre]
-    k = 0 if X is None else X.shape[1]
-    if k:
-        xm, xs = X[:n_pre].mean(0), X[:n_pre].std(0)
-        xs[xs == 0] = 1.0
-        Xs = (X - xm) / xs
-    d = 2 if trend else 1
-    Tm = np.array([[1.0, 1.0], [0.0, 1.0]]) if trend else np.array([[1.0]])
-    s2_obs, s2_lvl, s2_slp = 0.1, level_sd ** 2, (level_sd / 10) ** 2
-    beta = np.zeros(k)
-    a0 = np.zeros(d)
-    a0[0] = zp[0]
-    P0 = np.eye(d) * 1.0
-    n_post = len(y) - n_pre
-    out = np.empty((niter - burn, n_post))
-    for it in range(niter):
-        resid = zp - (Xs[:n_pre] @ beta if k else 0.0)
-        Q = np.diag([s2_lvl, s2_slp][:d])
-        st = _ffbs(resid, Tm, Q, s2_obs, a0, P0, rng)
-        lvl = st[:, 0]
-        e = resid - lvl
-        s2_obs = _inv_gamma(rng, 0.5 + n_pre / 2, 0.5 * 0.01 + 0.5 * float(e @ e))
-        dl = np.diff(lvl) - (st[:-1, 1] if trend else 0.0)
-        s2_lvl = _inv_gamma(rng, 16 + (n_pre - 1) / 2, 16 * level_sd ** 2 + 0.5 * float(dl @ dl))
-        if trend:
-            ds = np.diff(st[:, 1])
-            s2_slp = _inv_gamma(rng, 16 + (n_pre - 1) / 2, 16 * (level_sd / 10) ** 2 + 0.5 * float(ds @ ds))
-        if k:
-            Xp = Xs[:n_pre]
-            prec = Xp.T @ Xp / s2_obs + np.eye(k) / 100.0
-            cov = np.linalg.inv(prec)
-            mean = cov @ (Xp.T @ (zp - lvl) / s2_obs)
-            beta = _mvn(rng, mean, cov)
-        if it >= burn:
-            lvl_noise = rng.normal(0, math.sqrt(s2_lvl), n_post)
-            obs_noise = rng.normal(0, math.sqrt(s2_obs), n_post)
-            if trend:
-                slope = st[-1, 1] + np.cumsum(rng.normal(0, math.sqrt(s2_slp), n_post))
-                level = st[-1, 0] + np.cumsum(np.concatenate([[st[-1, 1]], slope[:-1]]) + lvl_noise)
-            else:
-                level = st[-1, 0] + np.cumsum(lvl_noise)
-            path = level + obs_noise
-            if k:
-                path = path + Xs[n_pre:] @ beta
-            out[it - burn] = path * sd_y + mu_y
-    return out
-
-
-DRAW_SCHEMA = "unit string, chain int, draw int, date date, predicted double"
-
-
-def bsts_impact_draws(series: DataFrame, start: str, covariates: Sequence[str] = (), chains: int = 1,
-                      niter: int = 1000, burn: int = 200, trend: bool = False, seed: int = 42) -> DataFrame:
-    """QX4 sampling: ``series`` is long (unit, date, y, covariates...) at one row per (unit, date);
-    one task per (unit, chain) emits the post-period counterfactual draws."""
-    start_d = pd.Timestamp(start).date()
-    cols = ["unit", "date", "y", *covariates]
-    rep = series.select(*cols, F.explode(F.sequence(F.lit(0), F.lit(chains - 1))).alias("chain"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("date")
-        unit, chain = pdf["unit"].iloc[0], int(pdf["chain"].iloc[0])
-        y = pdf["y"].to_numpy(dtype=float)
-        dates = list(pdf["date"])
-        n_pre = int(sum(1 for d in dates if d < start_d))
-        if n_pre < 3 or n_pre >= len(dates):
-            return pd.DataFrame(columns=["unit", "chain", "draw", "date", "predicted"])
-        X = pdf[list(covariates)].to_numpy(dtype=float) if covariates else None
-        s = (seed * 1_000_003 + chain * 7919 + (zlib.crc32(str(unit).encode()) % 100_000)) % (2 ** 32)
-        draws = bsts_draws(y, X, n_pre, niter, burn, trend, s)
-        post_dates = dates[n_pre:]
-        D, H = draws.shape
-        return pd.DataFrame({"unit": unit, "chain": chain, "draw": np.repeat(np.arange(D), H),
-                             "date": post_dates * D, "predicted": draws.reshape(-1)})
-
-    return rep.groupBy("unit", "chain").applyInPandas(run, DRAW_SCHEMA)
-
-
 # QX5: summary of draws -------------------------------------------------------------------------------
 
 def impact_summary(draws: DataFrame, observed: DataFrame, alpha: float = 0.05, method: str = "BSTS") -> DataFrame:
@@ -213,87 +37,6 @@ def impact_summary(draws: DataFrame, observed: DataFrame, alpha: float = 0.05, m
                     F.lit(None).cast("string").alias("error"))
 
 
-# QX16: Bayesian synthetic control on the donor Gram -------------------------------------------------
-
-def _log_dir(w, a):
-    return float(np.sum((a - 1) * np.log(np.clip(w, 1e-300, None))) + math.lgamma(a.sum()) - np.sum([math.lgamma(x) for x in a]))
-
-
-def bayes_sc_weights(G: np.ndarray, c: np.ndarray, g: float, n: int, tune: int, draws: int, seed: int,
-                     target_accept: float = 0.3) -> tuple[np.ndarray, np.ndarray]:
-    """Metropolis-Hastings on the simplex (Dirichlet(1) prior, Dirichlet proposals around the
-    current point) with a Gibbs step for sigma^2 ~ IG(1 + n/2, 1 * s0 + RSS/2).
-    Returns (weight draws [draws, J], sigma draws [draws])."""
-    rng = np.random.default_rng(seed)
-    J = len(c)
-    w = np.full(J, 1.0 / J)
-    s0 = max(g / max(n, 1), 1e-12) * 0.01
-
-    def rss(v):
-        return max(g - 2 * v @ c + v @ G @ v, 0.0)
-    s2 = rss(w) / max(n, 1) + 1e-12
-    kappa = 200.0 * J
-    W = np.empty((draws, J))
-    S = np.empty(draws)
-    acc = 0
-    for it in range(tune + draws):
-        a_f = kappa * w + 0.5
-        prop = rng.dirichlet(a_f)
-        a_b = kappa * prop + 0.5
-        ll_new, ll_old = -rss(prop) / (2 * s2), -rss(w) / (2 * s2)
-        log_r = ll_new - ll_old + _log_dir(w, a_b) - _log_dir(prop, a_f)
-        if math.log(rng.uniform()) < log_r:
-            w, acc = prop, acc + 1
-        s2 = _inv_gamma(rng, 1.0 + n / 2, s0 + rss(w) / 2)
-        if it < tune and it % 50 == 49:
-            rate = acc / 50
-            kappa *= 0.7 if rate < target_accept else 1.4
-            acc = 0
-        if it >= tune:
-            W[it - tune], S[it - tune] = w, math.sqrt(s2)
-    return W, S
-
-
-def bayes_sc_draws(gram: DataFrame, panel_post: DataFrame, treated: Sequence[str], chains: int = 4, tune: int = 1000,
-                   draws: int = 1000, seed: int = 42, n_pre: int | None = None, thin: int = 5) -> DataFrame:
-    """QX16: posterior draws of the treated units' post-period counterfactual.
-
-    Gram rows (a, b, g) are replicated per (treated, chain) with ``explode`` and
-    each task samples weights from its Gram; the weight draws (thinned) are joined
-    with the donors' post-period rows and summed per (unit, chain, draw, date)."""
-    tset = list(treated)
-    rep = (gram.select("*", F.explode(F.array(*[F.lit(t) for t in tset])).alias("unit"))
-           .select("*", F.explode(F.sequence(F.lit(0), F.lit(chains - 1))).alias("chain")))
-    npre = int(n_pre or 0)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        unit, chain = pdf["unit"].iloc[0], int(pdf["chain"].iloc[0])
-        units = sorted(set(pdf["a"]).union(pdf["b"]))
-        pos = {u: i for i, u in enumerate(units)}
-        Gf = np.zeros((len(units), len(units)))
-        Gf[pdf["a"].map(pos).to_numpy(), pdf["b"].map(pos).to_numpy()] = pdf["g"].to_numpy()
-        j = pos[unit]
-        donors = [i for i in range(len(units)) if i != j]
-        s = (seed * 1_000_003 + chain * 7919 + (zlib.crc32(str(unit).encode()) % 100_000)) % (2 ** 32)
-        W, S = bayes_sc_weights(Gf[np.ix_(donors, donors)], Gf[donors, j], Gf[j, j], npre, tune, draws, s)
-        keep = np.arange(0, draws, thin)
-        rows = [(unit, chain, int(d), units[donors[k]], float(W[d, k]), float(S[d])) for d in keep
-                for k in range(len(donors))]
-        return pd.DataFrame(rows, columns=["unit", "chain", "draw", "donor", "weight", "sigma"])
-
-    wd = rep.groupBy("unit", "chain").applyInPandas(
-        run, "unit string, chain int, draw int, donor string, weight double, sigma double")
-    post = panel_post.select(F.col("unit").alias("donor"), "date", F.col("y").alias("yd"))
-    pred = (wd.join(post, "donor").groupBy("unit", "chain", "draw", "date")
-            .agg(F.sum(F.col("weight") * F.col("yd")).alias("mean"), F.first("sigma").alias("sigma")))
-    # posterior predictive noise from md5 normals (deterministic)
-    from ..functions.columns import std_normal, uniform
-    eps = std_normal(uniform(F.col("unit"), F.col("chain"), F.col("draw"), F.col("date"), F.lit("a")),
-                     uniform(F.col("unit"), F.col("chain"), F.col("draw"), F.col("date"), F.lit("b")))
-    return pred.select("unit", "chain", "draw", "date", (F.col("mean") + F.col("sigma") * eps).alias("predicted"),
-                       F.col("mean").alias("predicted_mean"))
-
-
 # QX17 / QX18: draw summaries ------------------------------------------------------------------------
 
 def hdi(values: DataFrame, keys: Sequence[str], value: str, prob: float = 0.95) -> DataFrame:

@@ -3,7 +3,8 @@
 Saturated ("cell") mode uses discrete confounders: every nuisance function is
 a cell mean computed by ``groupBy(cells)`` and joined back, so a hot cell is
 combined map-side rather than held by one task.  Logistic propensities use
-the distributed IRLS in ``regression``; forests use ``pyspark.ml``.
+the distributed IRLS in ``regression``; forests are grown
+from cell sums in ``forest``.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import dlit, exact_quantiles, one_row, rnd, uniform
 from ..functions.dist import norm_ppf, t_ppf, t_sf2, z_sf2
 from ..session import written
+from . import forest
 from .regression import logit_fit
 from .cells import dml_cells, iptw_cells, period_columns, t_learner_cells
 from .results import effect_df, effect_row
@@ -112,31 +114,32 @@ def score_cells(df: DataFrame, treatment: str, outcome: str, propensity: str = "
             .groupBy("arm", "score").agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("mean_y")))
 
 
-def nearest_scores(cells: DataFrame) -> DataFrame:
-    """Each score cell with ``matched_y``: the mean outcome of the nearest cell of the other arm (lower score on a tie).
+def nearest_scores(cells: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Each score cell with ``matched_y``: the mean outcome of the nearest cell of the other arm (lower score on a tie), within its ``keys``.
 
-    Cells are laid out by score over range partitions and written.  Inside a partition two windows find the
-    last cell of the other arm before a cell and the first after it; one row per partition carries the
-    ends of the partitions around it.  No arm is held by a task or the driver."""
-    laid = written(cells.repartitionByRange("score").withColumn("_p", F.spark_partition_id()), "scores")
+    Cells are laid out by key and score over range partitions and written.  Inside a partition two windows find the
+    last cell of the other arm before a cell and the first after it; one row per partition and key carries the
+    ends of the partitions around it.  No arm or key is held by a task or the driver."""
+    keys = list(keys)
+    laid = written(cells.repartitionByRange(*keys, "score").withColumn("_p", F.spark_partition_id()), "scores")
 
     def of(arm):
         return F.when(F.col("arm") == arm, F.struct("score", "mean_y"))
-    ends = laid.groupBy("_p").agg(*[f(of(a)).alias(f"{n}{a}") for a in (0, 1) for f, n in ((F.max, "last"), (F.min, "first"))])
-    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
-    after = Window.orderBy("_p").rowsBetween(1, Window.unboundedFollowing)
-    carried = ends.select("_p", *[F.last(f"last{a}", ignorenulls=True).over(before).alias(f"_b{a}") for a in (0, 1)],
+    ends = laid.groupBy(*keys, "_p").agg(*[f(of(a)).alias(f"{n}{a}") for a in (0, 1) for f, n in ((F.max, "last"), (F.min, "first"))])
+    by = Window.partitionBy(*keys).orderBy("_p")  # a row per partition
+    before, after = by.rowsBetween(Window.unboundedPreceding, -1), by.rowsBetween(1, Window.unboundedFollowing)
+    carried = ends.select(*keys, "_p", *[F.last(f"last{a}", ignorenulls=True).over(before).alias(f"_b{a}") for a in (0, 1)],
                           *[F.first(f"first{a}", ignorenulls=True).over(after).alias(f"_a{a}") for a in (0, 1)])
-    inside = Window.partitionBy("_p").orderBy("score", "arm")
+    inside = Window.partitionBy(*keys, "_p").orderBy("score", "arm")
     up, down = inside.rowsBetween(Window.unboundedPreceding, 0), inside.rowsBetween(0, Window.unboundedFollowing)
-    j = laid.join(F.broadcast(carried), "_p").select(
-        "arm", "score", "n", "mean_y",
+    j = laid.join(carried if keys else F.broadcast(carried), [*keys, "_p"]).select(
+        *keys, "arm", "score", "n", "mean_y",
         *[F.coalesce(F.last(of(a), ignorenulls=True).over(up), F.col(f"_b{a}")).alias(f"below{a}") for a in (0, 1)],
         *[F.coalesce(F.first(of(a), ignorenulls=True).over(down), F.col(f"_a{a}")).alias(f"above{a}") for a in (0, 1)])
     below = F.when(F.col("arm") == 1, F.col("below0")).otherwise(F.col("below1"))
     above = F.when(F.col("arm") == 1, F.col("above0")).otherwise(F.col("above1"))
     right = below.isNull() | (above["score"] - F.col("score") < F.col("score") - below["score"])
-    return j.select("arm", "score", "n", "mean_y", F.when(above.isNotNull() & right, above["mean_y"]).otherwise(below["mean_y"]).alias("matched_y"))
+    return j.select(*keys, "arm", "score", "n", "mean_y", F.when(above.isNotNull() & right, above["mean_y"]).otherwise(below["mean_y"]).alias("matched_y"))
 
 
 def psm(df: DataFrame, treatment: str, outcome: str, propensity: str = "propensity", digits: int | None = None) -> DataFrame:
@@ -208,58 +211,28 @@ def ate_from_ite(scored: DataFrame, ite_col: str = "Estimated_ITE", method: str
                  F.stddev_samp(ite_col).alias("ite_sd"), F.count(F.lit(1)).cast("long").alias("n"))
 
 
-def _assembler(cols: Sequence[str], out: str = "features"):
-    from pyspark.ml.feature import VectorAssembler
-    return VectorAssembler(inputCols=list(cols), outputCol=out, handleInvalid="keep")
-
-
-#: The deepest trees that Spark allows; the reference sets no limit.
-DEEPEST = 30
-
-
-def _rf(kind: str, label: str, seed: int = 42, weight: str | None = None, trees: int = 100, depth: int = DEEPEST):
-    from pyspark.ml.classification import RandomForestClassifier
-    from pyspark.ml.regression import RandomForestRegressor
-    cls = RandomForestClassifier if kind == "classifier" else RandomForestRegressor
-    kw = dict(featuresCol="features", labelCol=label, numTrees=trees, maxDepth=depth, seed=seed)
-    if weight:
-        kw["weightCol"] = weight
-    return cls(**kw)
-
-
-def _prob1(col: str = "probability") -> Column:
-    from pyspark.ml.functions import vector_to_array
-    return vector_to_array(F.col(col))[1]
-
-
-def _score(model, frame: DataFrame, keep: Sequence[str], binary: bool, name: str) -> DataFrame:
-    out = model.transform(frame)
-    return out.select(*keep, (_prob1() if binary else F.col("prediction")).alias(name))
+def _forest_rows(df: DataFrame, treatment: str, outcome: str, features: Sequence[str], row_id: str | None, bins: int) -> tuple[DataFrame, list[str]]:
+    """``df`` with _id (a hash of all columns where there is no row id: equal rows then share their weights), _t, _y and cells."""
+    known = df.withColumns({"_id": F.xxhash64(*df.columns) if row_id is None else F.col(row_id), "_t": F.col(treatment).cast("double"), "_y": F.col(outcome).cast("double")})
+    return forest.with_cells(known, features, bins)
 
 
 def t_learner_rf(df: DataFrame, treatment: str, outcome: str, features: Sequence[str], binary: bool = False,
-                 ite_col: str = "Estimated_ITE", seed: int = 42, trees: int = 100, depth: int = DEEPEST) -> DataFrame:
-    """T-learner: one forest per arm, both score every row; ITE = mu1 - mu0 (P(Y=1) for binary Y)."""
-    data = _assembler(features).transform(df.withColumn("_y", F.col(outcome).cast("double")))
-    kind = "classifier" if binary else "regressor"
-    m1 = _rf(kind, "_y", seed, trees=trees, depth=depth).fit(data.filter(F.col(treatment) == 1))
-    m0 = _rf(kind, "_y", seed, trees=trees, depth=depth).fit(data.filter(F.col(treatment) == 0))
-    s = _score(m1, data, data.columns, binary, "_mu1")
-    s = _score(m0, s, [*data.columns, "_mu1"], binary, "_mu0")
-    return s.select(*df.columns, (F.col("_mu1") - F.col("_mu0")).alias(ite_col))
+                 ite_col: str = "Estimated_ITE", seed: int = 42, trees: int = forest.TREES, bins: int = forest.BINS,
+                 row_id: str | None = None) -> DataFrame:
+    """T-learner: a forest of unlimited depth for each arm; ITE = mu1 - mu0 (P(Y=1) for binary Y), null where an arm has no rows."""
+    rows, xs = _forest_rows(df, treatment, outcome, features, row_id, bins)
+    means = forest.arm_table(rows, xs, binary=binary, trees=trees, seed=seed)
+    return rows.join(means, xs, "left").select(*[F.col(c) for c in df.columns], (F.col("_mu1") - F.col("_mu0")).alias(ite_col))
 
 
 def s_learner_rf(df: DataFrame, treatment: str, outcome: str, features: Sequence[str], binary: bool = False,
-                 ite_col: str = "Estimated_ITE", seed: int = 42, trees: int = 100, depth: int = DEEPEST) -> DataFrame:
-    """S-learner: one forest on (X, T); ITE = f(x, 1) - f(x, 0)."""
-    cols = list(features) + [treatment]
-    kind = "classifier" if binary else "regressor"
-    va = _assembler(cols)
-    base = df.withColumn("_t0", F.col(treatment)).withColumn("_y", F.col(outcome).cast("double"))
-    model = _rf(kind, "_y", seed, trees=trees, depth=depth).fit(va.transform(base.withColumn(treatment, F.col(treatment).cast("double"))))
-    a = _score(model, va.transform(base.withColumn(treatment, F.lit(1.0))), base.columns, binary, "_f1")
-    b = _score(model, va.transform(a.withColumn(treatment, F.lit(0.0))), [*base.columns, "_f1"], binary, "_f0")
-    return b.withColumn(treatment, F.col("_t0")).select(*df.columns, (F.col("_f1") - F.col("_f0")).alias(ite_col))
+                 ite_col: str = "Estimated_ITE", seed: int = 42, trees: int = forest.TREES, bins: int = forest.BINS,
+                 row_id: str | None = None) -> DataFrame:
+    """S-learner: one forest of unlimited depth on (X, T); ITE = f(x, 1) - f(x, 0)."""
+    rows, xs = _forest_rows(df, treatment, outcome, features, row_id, bins)
+    means = forest.treated_table(rows, xs, binary=binary, trees=trees, seed=seed)
+    return rows.join(means, xs, "left").select(*[F.col(c) for c in df.columns], (F.col("_mu1") - F.col("_mu0")).alias(ite_col))
 
 
 # EST7 / EST8: double machine learning ------------------------------------------------------------
@@ -293,27 +266,6 @@ def crossfit_saturated(df: DataFrame, treatment: str, outcome: str, cells: Seque
     return join_cells(df, nuis, ["_fold", *cells])
 
 
-def crossfit_rf(df: DataFrame, treatment: str, outcome: str, features: Sequence[str], k: int = 3,
-                binary_outcome: bool = False, seed: int = 42, trees: int = 100, depth: int = DEEPEST) -> DataFrame:
-    """Out-of-fold forest predictions: regressor (or classifier for binary Y) for Y, classifier for T."""
-    va = _assembler(features)
-    data = va.transform(df.withColumn("_y", F.col(outcome).cast("double"))
-                        .withColumn("_t", F.col(treatment).cast("double")))
-    parts = []
-    for f in range(k):
-        train, test = data.filter(F.col("_fold") != f), data.filter(F.col("_fold") == f)
-        my = _rf("classifier" if binary_outcome else "regressor", "_y", seed, trees=trees, depth=depth).fit(train)
-        mt = _rf("classifier", "_t", seed, trees=trees, depth=depth).fit(train)
-        s = my.transform(test)
-        s = s.select(*test.columns, (_prob1() if binary_outcome else F.col("prediction")).alias("_m"))
-        s = mt.transform(s).select(*test.columns, "_m", _prob1().alias("_e"))
-        parts.append(s)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.drop("features", "_y", "_t")
-
-
 def crossfit_linear(df: DataFrame, treatment: str, outcome: str, features: Sequence[str], k: int = 3) -> DataFrame:
     """Out-of-fold OLS nuisances (one moment aggregate per fold, coefficients as literals)."""
     from .gram import moments
@@ -343,22 +295,22 @@ def crossfit_linear(df: DataFrame, treatment: str, outcome: str, features: Seque
 
 def linear_dml(df: DataFrame, treatment: str, outcome: str, confounders: Sequence[str], row_id: str,
                nuisance: str = "saturated", modifiers: Sequence[str] | None = None, k: int = 3, seed: int = 42,
-               binary_outcome: bool = False, alpha: float = 0.05, trees: int = 100, depth: int = DEEPEST) -> DataFrame:
+               binary_outcome: bool = False, alpha: float = 0.05, trees: int = forest.TREES, bins: int = forest.BINS) -> DataFrame:
     """LinearDML: cross-fitted residuals y~ = y - m(x), t~ = t - e(x); final stage
     y~ = t~ * (theta0 + theta' (x - xbar)) by least squares without intercept (one Gram aggregate);
     ATE = theta0.  HC1 standard error from a second aggregate of the score outer products."""
     spark = df.sparkSession
     modifiers = list(confounders if modifiers is None else modifiers)
     cols = list(dict.fromkeys([treatment, outcome, row_id, *confounders, *modifiers]))
-    # the folded input feeds several nuisance aggregates and the final stages: keep it for this eager fit
     d = crossfit_folds(df.select(*cols).dropna(subset=[treatment, outcome, *confounders]), row_id, k, seed)
-    d = d.persist()
     if nuisance == "saturated":
         r = crossfit_saturated(d, treatment, outcome, confounders, k)
     elif nuisance == "linear":
         r = crossfit_linear(d, treatment, outcome, confounders, k)
     elif nuisance == "rf":
-        r = crossfit_rf(d, treatment, outcome, confounders, k, binary_outcome, seed, trees, depth)
+        rows, xs = _forest_rows(d, treatment, outcome, confounders, row_id, bins)
+        rows = written(forest.dealt(rows, xs), "rows")  # several jobs read them
+        r = forest.with_nuisances(rows, xs, k=k, binary=binary_outcome, trees=trees, seed=seed, deal=False)
     else:
         raise ValueError(nuisance)
     from ..functions.columns import dlit, one_row
@@ -367,8 +319,9 @@ def linear_dml(df: DataFrame, treatment: str, outcome: str, confounders: Sequenc
     yt = F.col(outcome).cast("double") - F.col("_m")
     tt = F.col(treatment).cast("double") - F.col("_e")
     z = [tt] + [tt * (F.col(c).cast("double") - dlit(means[f"m{i}"])) for i, c in enumerate(modifiers)]
-    res = r.select(*[zi.alias(f"_z{i}") for i, zi in enumerate(z)], yt.alias("_yt")).persist()
+    res = r.select(*[zi.alias(f"_z{i}") for i, zi in enumerate(z)], yt.alias("_yt"))
     try:
+        res.persist()
         p = len(z)
         aggs = [F.count(F.lit(1)).alias("n"), F.sum(F.col("_yt") * F.col("_yt")).alias("yy")]
         for i in range(p):
@@ -392,7 +345,6 @@ def linear_dml(df: DataFrame, treatment: str, outcome: str, confounders: Sequenc
         mrow = res.agg(*meat_aggs).collect()[0]
     finally:
         res.unpersist()
-        d.unpersist()
     meat = np.empty((p, p))
     for i in range(p):
         for j in range(i, p):
@@ -408,24 +360,38 @@ def linear_dml(df: DataFrame, treatment: str, outcome: str, confounders: Sequenc
 
 
 def causal_forest(df: DataFrame, treatment: str, outcome: str, confounders: Sequence[str], row_id: str,
-                  k: int = 3, seed: int = 42, binary_outcome: bool = False, trees: int = 100,
-                  ite_col: str = "Estimated_ITE", depth: int = DEEPEST) -> tuple[DataFrame, DataFrame]:
-    """EST8 (R-learner forest): cross-fitted RF residuals, then a weighted forest on the
-    pseudo-outcome y~/t~ with weights t~^2 gives CATE(x).  Returns (scored rows, importances)."""
-    d = crossfit_folds(df.dropna(subset=[treatment, outcome, *confounders]), row_id, k, seed)
-    r = crossfit_rf(d, treatment, outcome, confounders, k, binary_outcome, seed, trees, depth)
-    tt = F.col(treatment).cast("double") - F.col("_e")
-    yt = F.col(outcome).cast("double") - F.col("_m")
-    r = r.select("*", (yt / tt).alias("_pseudo"), (tt * tt).alias("_w")).filter(F.col("_w") > 1e-12)
-    data = _assembler(confounders).transform(r)
-    model = _rf("regressor", "_pseudo", seed, weight="_w", trees=trees, depth=depth).fit(data)
-    scored = model.transform(_assembler(confounders).transform(df)).select(*df.columns, F.col("prediction").alias(ite_col))
-    imp = model.featureImportances.toArray()
-    importances = df.sparkSession.createDataFrame(
-        [(c, float(v)) for c, v in zip(confounders, imp)], "feature string, importance double")
+                  k: int = 3, seed: int = 42, binary_outcome: bool = False, trees: int = forest.TREES,
+                  ite_col: str = "Estimated_ITE", bins: int = forest.BINS, least: int = 5) -> tuple[DataFrame, DataFrame]:
+    """EST8: honest causal forest on cross-fitted residuals.  Returns (scored rows, importances).
+
+    Residuals of outcome and treatment come from cross-fitted forests.  Every tree of a little bag finds its splits on one half of its
+    rows, by the gradient of the local moment, and fills its leaves from the other half; a row's effect is the ratio of its leaves' mean
+    moments, its standard error (``<ite_col>_se``) comes from the variance between bags.  Rows without the treatment, the outcome or a confounder
+    teach nothing; all rows are scored."""
+    every, xs = _forest_rows(df, treatment, outcome, confounders, row_id, bins)
+    rows = crossfit_folds(every.dropna(subset=[treatment, outcome, *confounders]), row_id, k, seed).select("_id", "_t", "_y", "_fold", *xs)
+    rows = written(forest.dealt(rows, xs), "rows")  # several jobs read them
+    rows = forest.with_nuisances(rows, xs, k=k, binary=binary_outcome, trees=trees, seed=seed, deal=False)
+    rows = rows.select("_id", *xs, (F.col("_t") - F.col("_e")).alias("_tt"), (F.col("_y") - F.col("_m")).alias("_yt")).dropna()
+    grown = written(forest.honest_trees(forest.bag_sums(rows, xs, trees=trees, seed=seed, deal=False), xs, least=least), "trees")
+    scored = every.join(forest.forest_effects(grown, xs, ite_col), xs, "left").select(*[F.col(c) for c in df.columns], ite_col, f"{ite_col}_se")
+    parts = grown.filter("importance IS NOT NULL").select(F.posexplode("importance").alias("k", "v")).groupBy("k").agg(F.sum("v").alias("v"))
+    names = F.element_at(F.array(*[F.lit(c) for c in confounders]), F.col("k") + 1)
+    total = one_row(parts.agg(F.sum("v").alias("s")))["s"]
+    importances = parts.select(names.alias("feature"), (F.try_divide(F.col("v"), dlit(total or 1.0))).alias("importance"))
     return scored, importances
 
 
+def causal_ate(scored: DataFrame, ite_col: str = "Estimated_ITE", alpha: float = 0.05, method: str = "CausalForestDML") -> DataFrame:
+    """method, estimate, std_error (root of the mean squared error of the effects: an upper bound), ci_lower, ci_upper, n."""
+    s = scored.filter(F.col(ite_col).isNotNull())
+    z = norm_ppf(1 - alpha / 2)
+    se = F.sqrt(F.avg(F.col(f"{ite_col}_se") * F.col(f"{ite_col}_se")))
+    return s.agg(F.avg(ite_col).alias("estimate"), se.alias("std_error"), F.count(F.lit(1)).cast("long").alias("n")).select(
+        F.lit(method).alias("method"), "estimate", "std_error", (F.col("estimate") - z * F.col("std_error")).alias("ci_lower"),
+        (F.col("estimate") + z * F.col("std_error")).alias("ci_upper"), "n")
+
+
 # EST11 --------------------------------------------------------------------------------------------
 
 def effect_by_period(df: DataFrame, treatment: str, outcome: str, confounders: Sequence[str], period: str,

@@ -8,12 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import dlit, explode_replicates, one_row, row_seed, std_normal, uniform
-from ..session import written
+from ..functions.columns import dlit, explode_replicates, row_seed, std_normal
+from ..session import remove_written, shared_path
+from . import effects
 from .gram import moments, ols, solve_moments
+from .permute import permuted
 
 
 def _summary(per: DataFrame, original, about_zero: bool = False) -> DataFrame:
@@ -61,33 +63,15 @@ def random_common_cause(df: DataFrame, treatment: str, outcome: str, confounders
     return per, _summary(per, original)
 
 
-BRACKET = 2_000  # accuracy of the approximate quantile that brackets a replicate's cut
-
-
 def placebo_treatment(df: DataFrame, treatment: str, outcome: str, confounders: Sequence[str], row_id: str,
                       replicates: int = 100, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """REF2: permute the treatment and re-estimate.
-
-    Every row has a random key in every replicate.  If the treatment takes two values, permuting it is
-    the same as giving the higher value, which n1 rows have, to the n1 rows with the smallest keys (ties by id).  The n1-th key of
-    each replicate is bracketed by an approximate quantile, rows below the bracket are counted, and the few rows inside are ranked;
-    the moments then come from one grouped aggregate.  Only the brackets' rows are shuffled.  Other treatments are
-    permuted by joining two independent rankings of the rows, each ranked over range partitions.
-    Either way the placebo is independent of (Y, X) and has the original values."""
+    """REF2: permute the treatment (:func:`permute.permuted`) and re-estimate; returns (per-replicate estimates, summary).
+
+    The placebo is independent of (Y, X) and has the original values as often as the treatment; the moments of all replicates come
+    from one grouped aggregate."""
     xs = [treatment, *confounders]
     base = df.select(F.col(row_id), *[F.col(c) for c in xs], F.col(outcome)).dropna()
-    t = F.col(treatment).cast("double")
-    b = one_row(base.agg(F.min(t).alias("lo"), F.max(t).alias("hi"), F.count(F.lit(1)).alias("n")))
-    between = one_row(base.agg(F.count(F.when((t > dlit(b["lo"])) & (t < dlit(b["hi"])), 1)).alias("m"), F.count(F.when(t == dlit(b["hi"]), 1)).alias("n1")))
-    rep = explode_replicates(base, row_seed(F.col(row_id), F.lit(seed)), replicates, 3)
-    if b["n"] and not between["m"]:
-        cuts = _cuts(rep, row_id, int(between["n1"]), int(b["n"]))
-        chosen = (F.col("_u1") < F.col("_cut")) | ((F.col("_u1") == F.col("_cut")) & (F.col(row_id) <= F.col("_cut_id")))
-        perm = rep.join(F.broadcast(cuts), "_rep").withColumn("_placebo", F.when(chosen, dlit(b["hi"])).otherwise(dlit(b["lo"])))
-    else:
-        first = _ranked(rep, "_u1", row_id)
-        second = _ranked(rep, "_u2", row_id).select("_rep", "_rank", F.col(treatment).alias("_placebo"))
-        perm = first.join(second, ["_rep", "_rank"])
+    perm = permuted(base, treatment, row_id, replicates, seed)
     exprs = {"_placebo": F.col("_placebo"), **{c: F.col(c) for c in confounders}}
     exprs["__y"] = F.col(outcome)
     g, names = moments(perm, exprs, keys=["_rep"])
@@ -98,51 +82,33 @@ def placebo_treatment(df: DataFrame, treatment: str, outcome: str, confounders:
     return per, _summary(per, original, about_zero=True)
 
 
-def _cuts(rep: DataFrame, row_id: str, n1: int, n: int) -> DataFrame:
-    """(_rep, _cut, _cut_id): key and id of the ``n1``-th row of each replicate by (_u1, id); a row per replicate."""
-    p, width = n1 / n, 2 / BRACKET
-    if n1 == 0:
-        return rep.groupBy("_rep").agg(F.lit(-1.0).alias("_cut"), F.min(row_id).alias("_cut_id"))
-    ends = rep.groupBy("_rep").agg(F.percentile_approx("_u1", [max(0.0, p - width), min(1.0, p + width)], BRACKET).alias("q"))
-    ends = written(ends.select("_rep", F.col("q")[0].alias("_a"), F.col("q")[1].alias("_b")), "brackets")
-    inside = rep.join(F.broadcast(ends), "_rep")
-    below = inside.filter(F.col("_u1") < F.col("_a")).groupBy("_rep").agg(F.count(F.lit(1)).alias("_below"))
-    band = inside.filter((F.col("_u1") >= F.col("_a")) & (F.col("_u1") <= F.col("_b"))).select("_rep", "_u1", row_id)
-    rank = F.row_number().over(Window.partitionBy("_rep").orderBy("_u1", row_id))
-    return (band.select("*", rank.alias("_r")).join(F.broadcast(below), "_rep", "left")
-            .filter(F.col("_r") + F.coalesce("_below", F.lit(0)) == n1).select("_rep", F.col("_u1").alias("_cut"), F.col(row_id).alias("_cut_id")))
-
-
-def _ranked(rep: DataFrame, key: str, row_id: str) -> DataFrame:
-    """``rep`` with ``_rank``: the place of a row in its replicate by (key, id), over range partitions."""
-    laid = written(rep.repartitionByRange("_rep", key, row_id).withColumn("_p", F.spark_partition_id()), "ranked")
-    per = laid.groupBy("_rep", "_p").agg(F.count(F.lit(1)).alias("_c"))
-    before = Window.partitionBy("_rep").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    per = per.select("_rep", "_p", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"))
-    place = F.row_number().over(Window.partitionBy("_rep", "_p").orderBy(key, row_id))
-    return laid.join(per, ["_rep", "_p"]).withColumn("_rank", F.col("_off") + place).drop("_off", "_p")
-
-
 def re_estimated(df: DataFrame, treatment: str, outcome: str, confounders: Sequence[str], row_id: str, estimator,
                  refuter: str, replicates: int, seed: int) -> tuple[DataFrame, DataFrame]:
     """REF1 / REF2 for any ``estimator(df, treatment, outcome, confounders) -> row(s) with estimate``: one job per replicate.
 
-    The common cause is a md5 normal per row and replicate; the placebo gives each row the treatment of a random draw from
-    the observed arm shares (two-valued treatments)."""
+    The common cause is a normal per row and replicate; the placebo permutes the treatment, whatever values it has.  The rows of all
+    replicates are written once, by replicate.  Replicates without an estimate are left out."""
     spark = df.sparkSession
-    original = estimator(df, treatment, outcome, list(confounders)).select("estimate").first()["estimate"]
-    t = F.col(treatment).cast("double")
-    b = one_row(df.agg(F.min(t).alias("lo"), F.max(t).alias("hi"), F.count(F.lit(1)).alias("n")))
-    share = one_row(df.agg(F.avg((t == dlit(b["hi"])).cast("double")).alias("p")))["p"]
-    rows = []
+    first = estimator(df, treatment, outcome, list(confounders)).select("estimate").first()
+    original = first["estimate"] if first else None
+    rows = df.dropna(subset=[treatment, row_id])
+    if refuter == "random_common_cause":
+        rep = explode_replicates(rows, row_seed(F.col(row_id), F.lit(seed)), replicates, 2).withColumn("_rcc", std_normal(F.col("_u0"), F.col("_u1")))
+        xs = [*confounders, "_rcc"]
+    else:
+        kind = df.schema[treatment].dataType
+        rep = permuted(rows, treatment, row_id, replicates, seed).withColumn(treatment, F.col("_placebo").cast(kind))
+        xs = list(confounders)
+    path = shared_path(spark, "replicates")
+    rep.write.partitionBy("_rep").parquet(path)
+    rep = spark.read.parquet(path)
+    found = []
     for r in range(1, replicates + 1):
-        u0, u1 = uniform(F.col(row_id), F.lit(seed), F.lit(f"a{r}")), uniform(F.col(row_id), F.lit(seed), F.lit(f"b{r}"))
-        if refuter == "random_common_cause":
-            est = estimator(df.withColumn("_rcc", std_normal(u0, u1)), treatment, outcome, [*confounders, "_rcc"])
-        else:
-            est = estimator(df.withColumn(treatment, F.when(u0 < dlit(share), dlit(b["hi"])).otherwise(dlit(b["lo"]))), treatment, outcome, list(confounders))
-        rows.append((r, float(est.select("estimate").first()["estimate"])))
-    per = spark.createDataFrame(rows, "rep int, estimate double")
+        row = estimator(rep.filter(F.col("_rep") == r), treatment, outcome, xs).select("estimate").first()
+        if row is not None and row["estimate"] is not None:
+            found.append((r, float(row["estimate"])))
+    remove_written(spark, path)
+    per = spark.createDataFrame(found, "rep int, estimate double")
     return per, _summary(per, dlit(original), about_zero=refuter != "random_common_cause")
 
 
@@ -157,10 +123,10 @@ def refutation_supported(method: str, binary_outcome_logit: bool = False) -> str
 
 def refute_effect(df: DataFrame, treatment: str, outcome: str, confounders: Sequence[str], row_id: str,
                   method: str = "OLS", refuter: str = "random_common_cause", binary_outcome_logit: bool = False,
-                  replicates: int = 100, seed: int = 42, post: str | None = None, estimator=None) -> DataFrame:
+                  replicates: int = 100, seed: int = 42, post: str | None = None, estimator=None, **options) -> DataFrame:
     """Refutation dispatcher with the REF3 support rule.
 
-    OLS is refuted in one job for all replicates.  Any other method needs its ``estimator(df, treatment,
+    OLS and every method of ``effects`` are refuted in one job for all replicates.  Another method needs its ``estimator(df, treatment,
     outcome, confounders)``, which is run again for every replicate; without one, and for methods that cannot be refuted (DiD,
     logit outcomes), the row carries the reason in ``error``."""
     reason = refutation_supported(method, binary_outcome_logit)
@@ -175,11 +141,17 @@ def refute_effect(df: DataFrame, treatment: str, outcome: str, confounders: Sequ
                           F.col("estimate").alias("original_effect"), F.lit(None).cast("double").alias("new_effect"),
                           F.lit(None).cast("double").alias("p_value"), F.lit(None).cast("boolean").alias("passed"),
                           F.lit(reason).alias("error"))
+    if refuter not in ("random_common_cause", "placebo"):
+        raise ValueError(f"unknown refuter {refuter!r}")
     if estimator is not None:
         _, s = re_estimated(df, treatment, outcome, confounders, row_id, estimator, refuter, replicates, seed)
     elif method.lower() in ("ols", "linear regression", "ols (adjusted)"):
         fn = random_common_cause if refuter == "random_common_cause" else placebo_treatment
         _, s = fn(df, treatment, outcome, confounders, row_id, replicates=replicates, seed=seed)
+    elif method in effects.METHODS:
+        per = effects.refuted(df, method, refuter, treatment, outcome, confounders, row_id, replicates, seed, **options)
+        original = effects.original_effect(df, method, treatment, outcome, confounders, row_id, seed=seed, **options)
+        s = _summary(per.filter("estimate IS NOT NULL"), original.scalar(), about_zero=refuter != "random_common_cause")
     else:
         none = F.lit(None)
         return df.sparkSession.range(1).select(

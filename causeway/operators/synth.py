@@ -376,33 +376,26 @@ def conformal_pvalue(shifts: DataFrame, stat_test: str = "Total", keys: Sequence
                                         F.count(F.lit(1)).alias("n_shifts"))
 
 
-def effect_grid_ci(shifts: DataFrame, att: DataFrame, alpha: float = 0.1, grid: int = 250, stat_test: str = "Total",
-                   keys: Sequence[str] = ()) -> DataFrame:
-    """QX10: CI for the per-period effect by test inversion on a grid of ``grid`` values around
-    the ATT (+-5 x max(|ATT|, residual scale)); H0: effect theta shifts the post residuals by theta,
-    so A_s(theta) = A_s - theta * c_s.  Keeps theta with p >= alpha; returns min/max."""
-    g = att.select(*keys, "unit", "ate", "scale")
-    span = F.lit(5.0) * F.greatest(F.abs(F.col("ate")), F.col("scale"), F.lit(1e-9))
-    g = g.select(*keys, "unit", "ate", span.alias("span"))
-    # one row per unit with its T shifts; the T x grid comparison is one array operation in the task
-    j = (shifts.groupBy(*keys, "unit").agg(F.collect_list(F.struct("shift", "A", "c")).alias("s")).join(g, [*keys, "unit"])
-         .select(*keys, "unit", "ate", "span", F.col("s.shift").alias("shift"), F.col("s.A").alias("A"), F.col("s.c").alias("c")))
-    sign = {"Total": np.abs, "Positive": np.positive, "Negative": np.negative}[stat_test]
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in j.schema.fields if f.name in (*keys, "unit"))
-
-    def invert(batches):
-        for pdf in batches:
-            lo, hi = [], []
-            for ate, span, shift, a, c in zip(pdf["ate"], pdf["span"], pdf["shift"], pdf["A"], pdf["c"], strict=True):
-                theta = ate - span + np.arange(grid) * 2.0 * span / (grid - 1)
-                stat = sign(np.asarray(a, float)[:, None] - theta * np.asarray(c, float)[:, None])
-                observed = stat[np.flatnonzero(np.asarray(shift) == 0)[0]]
-                kept = theta[(stat >= observed - 1e-12).mean(axis=0) >= alpha]
-                lo.append(kept.min() if len(kept) else None)
-                hi.append(kept.max() if len(kept) else None)
-            yield pdf[[*keys, "unit"]].assign(ate_lower=pd.array(lo, "Float64"), ate_upper=pd.array(hi, "Float64"))
+def effect_interval(shifts: DataFrame, alpha: float = 0.1, stat_test: str = "Total", keys: Sequence[str] = ()) -> DataFrame:
+    """QX10: exact CI of the per-period effect by test inversion: keys, unit, ate_lower, ate_upper.
 
-    return j.mapInPandas(invert, f"{fields}, ate_lower double, ate_upper double")
+    Under H0 an effect theta is taken off the post residuals, so A_s(theta) = A_s - theta * c_s.  A shift reaches the statistic of
+    shift 0 on one interval of theta around the estimate, whose ends are crossings of two lines; theta is kept while at least
+    alpha * T shifts reach it, so a bound is an order statistic of the crossings.  It is null (unbounded) where the p-value stays above alpha."""
+    w = Window.partitionBy(*keys, "unit")  # one unit's T shift rows
+    s = shifts.select("*", F.max(F.when(F.col("shift") == 0, F.col("A"))).over(w).alias("A0"), F.max(F.when(F.col("shift") == 0, F.col("c"))).over(w).alias("c0"),
+                      F.ceil(F.lit(float(alpha)) * F.count(F.lit(1)).over(w) - 1e-9).alias("k"))
+    same = (F.col("A0") - F.col("A")) / (F.col("c0") - F.col("c"))
+    opposite = (F.col("A0") + F.col("A")) / (F.col("c0") + F.col("c"))
+    moved = F.col("c") < F.col("c0")  # the others (shift 0) reach it everywhere
+    ends = {"Total": (F.least(same, opposite), F.greatest(same, opposite)), "Positive": (same, None), "Negative": (None, same)}[stat_test]
+    out = []
+    for end, name, order in ((ends[0], "ate_lower", F.col("_lo").asc_nulls_first()), (ends[1], "ate_upper", F.col("_hi").desc_nulls_first())):
+        column = "_lo" if name == "ate_lower" else "_hi"
+        s = s.withColumn(column, F.lit(None).cast("double") if end is None else F.when(moved, end))
+        s = s.withColumn(f"{column}_rank", F.row_number().over(w.orderBy(order)))
+        out.append(F.max(F.when(F.col(f"{column}_rank") == F.col("k"), F.col(column))).alias(name))
+    return s.groupBy(*keys, "unit").agg(*out)
 
 
 # Impact -----------------------------------------------------------------------------------------
@@ -429,7 +422,7 @@ def prepare_panel(df: DataFrame, date: str, unit: str, kpi: str, start: str, dur
 
 def synth_impact(df: DataFrame, date: str, unit: str, kpi: str, treated: Sequence[str] | None, start: str,
                  duration: int = 14, model: str = "none", alpha: float = 0.1, stat_test: str = "Total",
-                 fixed_effects: bool = True, grid: int = 250, with_ci: bool = True,
+                 fixed_effects: bool = True, with_ci: bool = True,
                  gsyn_rank: int = 2) -> dict[str, DataFrame]:
     """QX6: synthetic-control impact for the treated units (None = every unit, in-space placebo).
 
@@ -472,7 +465,7 @@ def synth_impact(df: DataFrame, date: str, unit: str, kpi: str, treated: Sequenc
                                                             F.first("scaled_l2_imbalance").alias("scaled_l2_imbalance"))
     out = att.join(pv, "unit").join(imb, "unit")
     if with_ci:
-        ci = effect_grid_ci(shifts, att, alpha, grid, stat_test)
+        ci = effect_interval(shifts, alpha, stat_test)
         out = out.join(ci, "unit", "left")
     else:
         out = out.select("*", F.lit(None).cast("double").alias("ate_lower"), F.lit(None).cast("double").alias("ate_upper"))

@@ -5,9 +5,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.columns import (rnd, sql_lehmer_u, sql_poisson1, sql_replicate_values, sql_rnd,
-                                 sql_row_seed, sql_uniform)
-from ..operators import cells, hte, observational as O, refute
+from ..functions.columns import (rnd, sql_poisson1, sql_replicate_values, sql_rnd, sql_row_seed,
+                                 sql_stream_u, sql_uniform)
+from ..operators import cells, effects, forest, hte, observational as O, refute
 from ..operators.regression import logit_effect, ols_effect
 from .registry import query
 from .views import SQL_V1, SQL_V3, table, v1_lineitem
@@ -259,17 +259,30 @@ def hte3_interaction_scan(spark, sf_dir):
 @query("est9_s_learner_rf")
 def est9_s_learner_rf(spark, sf_dir):
     """EST9 S-learner with a random forest on (X, T): ATE and ITE spread (rows-only check)."""
-    s = O.s_learner_rf(_v1(spark, sf_dir), "treated", "l_extendedprice", ["l_quantity", "l_tax", "l_linenumber"])
+    s = O.s_learner_rf(_v1(spark, sf_dir), "treated", "l_extendedprice", ["l_quantity", "l_tax", "l_linenumber"], row_id="rid")
     return O.ate_from_ite(s, method="S-Learner")
 
 
 @query("est10_t_learner_rf")
 def est10_t_learner_rf(spark, sf_dir):
     """EST10 T-learner with random forests per arm (rows-only check)."""
-    s = O.t_learner_rf(_v1(spark, sf_dir), "treated", "l_extendedprice", ["l_quantity", "l_tax", "l_linenumber"])
+    s = O.t_learner_rf(_v1(spark, sf_dir), "treated", "l_extendedprice", ["l_quantity", "l_tax", "l_linenumber"], row_id="rid")
     return O.ate_from_ite(s, method="T-Learner (RF)")
 
 
+@query("est10_tree_unit_weights", sql=f"""WITH {SQL_V1}
+SELECT l_tax, l_linenumber, {sql_rnd('avg(CASE WHEN treated = 0 THEN l_extendedprice END)', 4)} AS mu0,
+  {sql_rnd('avg(CASE WHEN treated = 1 THEN l_extendedprice END)', 4)} AS mu1, count(*) AS n FROM v1 GROUP BY 1, 2
+HAVING count(*) FILTER (treated = 0) > 0 AND count(*) FILTER (treated = 1) > 0""")
+def est10_tree_unit_weights(spark, sf_dir):
+    """EST10 one tree an arm, every row once, no depth limit: its leaves are the feature cells, its predictions their means."""
+    rows = _v1(spark, sf_dir).withColumns({"_id": F.col("rid"), "_t": F.col("treated").cast("double"), "_y": F.col("l_extendedprice")})
+    rows, xs = forest.with_cells(rows, ["l_tax", "l_linenumber"])
+    means = rows.join(forest.arm_table(rows, xs, trees=1, unit_weights=True), xs)
+    return (means.groupBy("l_tax", "l_linenumber").agg(rnd(F.max("_mu0"), 4).alias("mu0"), rnd(F.max("_mu1"), 4).alias("mu1"), F.count(F.lit(1)).alias("n"),
+                                                       F.countDistinct("treated").alias("arms")).filter("arms = 2").drop("arms"))
+
+
 # EST7 / EST8 / HTE5 -------------------------------------------------------------------------------
 
 _FOLD = sql_uniform("rid", "42", "'fold'")
@@ -302,9 +315,9 @@ def est7_dml_rf(spark, sf_dir):
 
 @query("est8_causal_forest")
 def est8_causal_forest(spark, sf_dir):
-    """EST8 R-learner causal forest: ATE from CATE(x) (rows-only)."""
+    """EST8 honest causal forest: ATE of CATE(x) with its interval (rows-only)."""
     scored, _ = O.causal_forest(_v1(spark, sf_dir), "treated", "l_extendedprice", ["l_quantity", "l_tax"], "rid")
-    return O.ate_from_ite(scored, method="CausalForestDML")
+    return O.causal_ate(scored)
 
 
 @query("hte5_importances")
@@ -345,7 +358,7 @@ def _v7(spark, sf_dir):
 
 _B = 50
 _SEED = sql_row_seed("o_orderkey", "42")
-_W = sql_poisson1(sql_lehmer_u("s", "c.a0"))
+_W = sql_poisson1(sql_stream_u("s", "c.a0"))
 
 
 @query("est12_bootstrap", sql=f"""WITH {_V7},
@@ -364,7 +377,7 @@ def est12_bootstrap(spark, sf_dir):
 
 
 _R = 100
-_N1, _N2 = sql_lehmer_u("s", "c.a0"), sql_lehmer_u("s", "c.a1")
+_N1, _N2 = sql_stream_u("s", "c.a0"), sql_stream_u("s", "c.a1")
 
 
 @query("ref1_random_common_cause", sql=f"""WITH {_V7},
@@ -392,7 +405,7 @@ def ref1_random_common_cause_full(spark, sf_dir):
     return refute.random_common_cause(_v7(spark, sf_dir), "t", "o_totalprice", [], "o_orderkey", replicates=_R)[1]
 
 
-_K1 = sql_lehmer_u("s", "c.a1")
+_K1 = sql_stream_u("s", "c.a1")
 
 
 @query("ref2_placebo", sql=f"""WITH {_V7},
@@ -561,7 +574,7 @@ def est11_tlearner_by_quarter(spark, sf_dir):
     return e.select("period", rnd("ATE", 4).alias("ATE"), "n")
 
 
-_W1 = sql_poisson1(sql_lehmer_u("s", "c.a0"))
+_W1 = sql_poisson1(sql_stream_u("s", "c.a0"))
 
 
 @query("est12_bootstrap_gformula", sql=f"""WITH {SQL_V1R},
@@ -585,3 +598,111 @@ def est12_bootstrap_gformula(spark, sf_dir):
     b = O.bootstrap_standardization(_v1(spark, sf_dir), "treated", "l_extendedprice", CELLS, "rid", replicates=_B)
     return b.select(*[rnd(c, 4).alias(c) for c in ("estimate", "boot_mean", "boot_se", "ci_lower", "ci_upper")],
                     "replicates_ok")
+
+
+# EST11 / EST12 / REF through the dispatcher ---------------------------------------------------------
+
+_HIGH = "CAST(l_quantity > 25 AS INTEGER)"
+
+
+def _quarters(spark, sf_dir):
+    return _v1(spark, sf_dir).withColumns({"period": F.to_date(F.date_trunc("quarter", "l_shipdate")), "high": (F.col("l_quantity") > 25).cast("int")})
+
+
+@query("est11_iptw_logistic_by_quarter", sql=f"""WITH {SQL_V1},
+p AS (SELECT CAST(date_trunc('quarter', l_shipdate) AS DATE) AS period, {_HIGH} AS high, treated, l_extendedprice AS y FROM v1),
+e AS (SELECT *, avg(treated) OVER (PARTITION BY period, high) AS e, avg(high) OVER (PARTITION BY period) AS h FROM p),
+a AS (SELECT period, treated * y / e - (1 - treated) * y / (1 - e) AS a FROM e WHERE e > 0 AND e < 1 AND h > 0 AND h < 1)
+SELECT period, {sql_rnd('avg(a)', 4)} AS ATE, {sql_rnd('stddev_samp(a) / sqrt(count(*))', 4)} AS std_error, count(*) AS n FROM a GROUP BY period HAVING count(*) >= 20""")
+def est11_iptw_logistic_by_quarter(spark, sf_dir):
+    """EST11 IPTW with a logistic propensity for every quarter: all fits in one job a Newton step (one binary confounder: exact)."""
+    e = effects.by_period(_quarters(spark, sf_dir), "iptw", "treated", "l_extendedprice", ["high"], "period", "rid")
+    return e.filter("ATE IS NOT NULL").select("period", rnd("ATE", 4).alias("ATE"), rnd("std_error", 4).alias("std_error"), "n")
+
+
+@query("est11_psm_by_quarter", sql=f"""WITH {SQL_V1},
+p AS (SELECT CAST(date_trunc('quarter', l_shipdate) AS DATE) AS period, treated AS arm, l_extendedprice AS y, l_tax, l_linenumber FROM v1),
+s AS (SELECT *, sum(arm) OVER cell / CAST(count(*) OVER cell AS DOUBLE) AS score FROM p WINDOW cell AS (PARTITION BY period, l_tax, l_linenumber)),
+c AS (SELECT period, arm, score, count(*) AS n, avg(y) AS m FROM s GROUP BY 1, 2, 3),
+w AS (SELECT *, last_value(CASE WHEN arm = 0 THEN score END IGNORE NULLS) OVER up AS b0, last_value(CASE WHEN arm = 1 THEN score END IGNORE NULLS) OVER up AS b1,
+  first_value(CASE WHEN arm = 0 THEN score END IGNORE NULLS) OVER down AS a0, first_value(CASE WHEN arm = 1 THEN score END IGNORE NULLS) OVER down AS a1
+  FROM c WINDOW up AS (PARTITION BY period ORDER BY score, arm ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+  down AS (PARTITION BY period ORDER BY score, arm ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+o AS (SELECT period, arm, score, n, m, CASE WHEN arm = 1 THEN b0 ELSE b1 END AS b, CASE WHEN arm = 1 THEN a0 ELSE a1 END AS a FROM w),
+x AS (SELECT *, CASE WHEN b IS NULL OR (a IS NOT NULL AND a - score < score - b) THEN a ELSE b END AS to_score FROM o),
+j AS (SELECT x.period, x.n, CASE WHEN x.arm = 1 THEN x.m - c.m ELSE c.m - x.m END AS d FROM x JOIN c ON c.period = x.period AND c.arm = 1 - x.arm AND c.score = x.to_score)
+SELECT period, {sql_rnd('sum(n * d) / sum(n)', 4)} AS ATE, CAST(sum(n) AS BIGINT) AS n FROM j GROUP BY period HAVING sum(n) >= 20""")
+def est11_psm_by_quarter(spark, sf_dir):
+    """EST11 nearest-score matching within every quarter, all in one query."""
+    e = effects.by_period(_quarters(spark, sf_dir), "psm_cells", "treated", "l_extendedprice", ["l_tax", "l_linenumber"], "period", "rid")
+    return e.filter("ATE IS NOT NULL").select("period", rnd("ATE", 4).alias("ATE"), "n")
+
+
+@query("est11_forests_by_quarter")
+def est11_forests_by_quarter(spark, sf_dir):
+    """EST11 forest learners for every quarter: T-learner and S-learner ATE (25 trees a quarter; rows-only)."""
+    v, out = _quarters(spark, sf_dir), None
+    for method in ("t_learner", "s_learner"):
+        e = effects.by_period(v, method, "treated", "l_extendedprice", ["l_tax", "l_linenumber"], "period", "rid", trees=25)
+        e = e.select(F.lit(method).alias("method"), "period", "ATE", "n")
+        out = e if out is None else out.unionByName(e)
+    return out
+
+
+@query("est12_bootstrap_iptw_logistic", sql=f"""WITH {SQL_V1R},
+c AS {sql_replicate_values(_B, 1)},
+w AS (SELECT c.rep, {_HIGH} AS high, treated AS t, l_extendedprice AS y, {_W1} AS w FROM (SELECT *, {sql_row_seed("rid", "42")} AS s FROM v1r) x, c),
+g AS (SELECT rep, high, sum(w * t) / CAST(sum(w) AS DOUBLE) AS e FROM w GROUP BY 1, 2),
+d AS (SELECT w.rep, sum(w * (t * y / e - (1 - t) * y / (1 - e))) / sum(w) AS est FROM w JOIN g ON w.rep = g.rep AND w.high = g.high GROUP BY w.rep),
+q AS (SELECT {_HIGH} AS high, treated AS t, l_extendedprice AS y, avg(treated) OVER (PARTITION BY {_HIGH}) AS e FROM v1),
+pt AS (SELECT avg(t * y / e - (1 - t) * y / (1 - e)) AS p FROM q)
+SELECT {sql_rnd('(SELECT p FROM pt)', 3)} AS estimate, {sql_rnd('avg(est)', 3)} AS boot_mean, {sql_rnd('stddev_samp(est)', 3)} AS boot_se,
+  {sql_rnd('quantile_cont(est, 0.025)', 3)} AS ci_lower, {sql_rnd('quantile_cont(est, 0.975)', 3)} AS ci_upper, count(*) AS replicates_ok FROM d""")
+def est12_bootstrap_iptw_logistic(spark, sf_dir):
+    """EST12 50 bootstrap replicates of IPTW with a logistic propensity refitted in each: one job a Newton step for all of them."""
+    v = _v1(spark, sf_dir).withColumn("high", (F.col("l_quantity") > 25).cast("int"))
+    b = effects.bootstrap(v, "iptw", "treated", "l_extendedprice", ["high"], "rid", replicates=_B)
+    return b.select(*[rnd(c, 3).alias(c) for c in ("estimate", "boot_mean", "boot_se", "ci_lower", "ci_upper")], "replicates_ok")
+
+
+_LEVEL = "CASE o_orderpriority WHEN '1-URGENT' THEN 2 WHEN '2-HIGH' THEN 1 ELSE 0 END"
+
+
+@query("ref2_placebo_three_values", sql=f"""WITH v7 AS (SELECT o_orderkey, o_totalprice AS y, {_LEVEL} AS t FROM orders),
+c AS {sql_replicate_values(_R, 3)},
+n AS (SELECT count(*) FILTER (t = 2) AS n2, count(*) FILTER (t >= 1) AS n1 FROM v7),
+x AS (SELECT c.rep, y, row_number() OVER (PARTITION BY c.rep ORDER BY {_K1}, o_orderkey) AS r FROM (SELECT *, {_SEED} AS s FROM v7) v, c),
+p AS (SELECT rep, y, CASE WHEN r <= n2 THEN 2 WHEN r <= n1 THEN 1 ELSE 0 END AS pt FROM x, n),
+e AS (SELECT rep, regr_slope(y, pt) AS est FROM p GROUP BY rep)
+SELECT {sql_rnd('(SELECT regr_slope(y, t) FROM v7)', 4)} AS original_effect, {sql_rnd('avg(est)', 4)} AS new_effect,
+  {sql_rnd('stddev_samp(est)', 4)} AS new_sd, count(*) AS replicates FROM e""")
+def ref2_placebo_three_values(spark, sf_dir):
+    """REF2 placebo of a treatment with three values, each as often in every replicate as in truth."""
+    level = F.when(F.col("o_orderpriority") == "1-URGENT", 2).when(F.col("o_orderpriority") == "2-HIGH", 1).otherwise(0)
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", level.alias("t"))
+    _, s = refute.placebo_treatment(o, "t", "o_totalprice", [], "o_orderkey", replicates=_R)
+    return s.select(*[rnd(c, 4).alias(c) for c in ("original_effect", "new_effect", "new_sd")], "replicates")
+
+
+@query("ref2_placebo_iptw", sql=f"""WITH v7 AS (SELECT o_orderkey, o_totalprice AS y, CAST(coalesce(o_orderpriority = '1-URGENT', false) AS INTEGER) AS t, o_orderstatus AS g FROM orders),
+c AS {sql_replicate_values(_R, 3)},
+x AS (SELECT c.rep, y, g, row_number() OVER (PARTITION BY c.rep ORDER BY {_K1}, o_orderkey) AS r, sum(t) OVER (PARTITION BY c.rep) AS n1
+  FROM (SELECT *, {_SEED} AS s FROM v7) v, c),
+p AS (SELECT rep, g, y, CAST(r <= n1 AS INTEGER) AS t FROM x),
+e AS (SELECT *, avg(t) OVER (PARTITION BY rep, g) AS e FROM p),
+a AS (SELECT rep, avg(t * y / e - (1 - t) * y / (1 - e)) AS est FROM e WHERE e > 0 AND e < 1 GROUP BY rep),
+o AS (SELECT t, y, avg(t) OVER (PARTITION BY g) AS e FROM v7)
+SELECT 'iptw_cells' AS method, {sql_rnd('(SELECT avg(t * y / e - (1 - t) * y / (1 - e)) FROM o WHERE e > 0 AND e < 1)', 3)} AS original_effect,
+  {sql_rnd('avg(est)', 3)} AS new_effect, abs(avg(est)) / stddev_samp(est) < 1.959963984540054 AS passed FROM a""")
+def ref2_placebo_iptw(spark, sf_dir):
+    """REF2 placebo of IPTW with cell propensities: 100 replicates re-estimated by the chosen method in one job."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus", F.coalesce(F.col("o_orderpriority") == "1-URGENT", F.lit(False)).cast("int").alias("t"))
+    r = refute.refute_effect(o, "t", "o_totalprice", ["o_orderstatus"], "o_orderkey", method="iptw_cells", refuter="placebo", replicates=_R)
+    return r.select("method", rnd("original_effect", 3).alias("original_effect"), rnd("new_effect", 3).alias("new_effect"), "passed")
+
+
+@query("ref1_common_cause_psm")
+def ref1_common_cause_psm(spark, sf_dir):
+    """REF1 random common cause for matching on cells: 50 replicates in one job (rows-only)."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus", F.coalesce(F.col("o_orderpriority") == "1-URGENT", F.lit(False)).cast("int").alias("t"))
+    return refute.refute_effect(o, "t", "o_totalprice", ["o_orderstatus"], "o_orderkey", method="psm_cells", replicates=50)

@@ -138,21 +138,36 @@ _SHIFTS_SQL = """u AS (SELECT s.idx, obs - pred AS u, post, pred FROM s WHERE un
 sh AS (SELECT g.range AS shift, sum(CASE WHEN ((u.idx - g.range) % (kk.p1 + 1) + (kk.p1 + 1)) % (kk.p1 + 1) BETWEEN kk.p0 AND kk.p1 THEN u ELSE 0 END) AS a,
   sum(CASE WHEN post = 1 AND ((u.idx - g.range) % (kk.p1 + 1) + (kk.p1 + 1)) % (kk.p1 + 1) BETWEEN kk.p0 AND kk.p1 THEN 1 ELSE 0 END) AS c
   FROM u, kk, range(0, (SELECT p1 + 1 FROM kk)) g GROUP BY g.range),
-att AS (SELECT avg(CASE WHEN post = 1 THEN u END) AS ate, sqrt(avg(CASE WHEN post = 0 THEN u * u END)) AS scale FROM u),
-th AS (SELECT ate - 5 * greatest(abs(ate), scale, 1e-9) + g.range * 2.0 * (5 * greatest(abs(ate), scale, 1e-9)) / 249 AS theta FROM att, range(0, 250) g),
-pt AS (SELECT theta, avg(CASE WHEN abs(a - theta * c) >= abs(a0 - theta * c0) - 1e-12 THEN 1.0 ELSE 0.0 END) AS p
-  FROM th, sh, (SELECT a AS a0, c AS c0 FROM sh WHERE shift = 0) z GROUP BY theta)"""
+z AS (SELECT a AS a0, c AS c0 FROM sh WHERE shift = 0),
+x AS (SELECT CASE WHEN c < c0 THEN (a0 - a) / (c0 - c) END AS t1, CASE WHEN c < c0 THEN (a0 + a) / (c0 + c) END AS t2 FROM sh, z),
+hi AS (SELECT greatest(t1, t2) AS v, row_number() OVER (ORDER BY greatest(t1, t2) DESC NULLS FIRST) AS r, count(*) OVER () AS n FROM x),
+lo AS (SELECT least(t1, t2) AS v, row_number() OVER (ORDER BY least(t1, t2) NULLS FIRST) AS r, count(*) OVER () AS n FROM x)"""
 
 
-@query("qx10_test_inversion", sql=f"""WITH {_TWO_UNITS}, {_SHIFTS_SQL}
-SELECT 'purchase' AS unit, {sql_rnd('max(ate)', 4)} AS ate, {sql_rnd('min(theta)', 4)} AS ate_lower, {sql_rnd('max(theta)', 4)} AS ate_upper
-FROM pt, att WHERE p >= 0.1""")
-def qx10_test_inversion(spark, sf_dir):
-    """QX10 confidence interval by inverting the cyclic-shift test on a grid of 250 effects (weights exactly 1)."""
-    r = S.synth_impact(_two_units(spark, sf_dir), "date", "unit", "y", ["purchase"], START_V4, duration=7)
+def _inversion_sql(alpha: float) -> str:
+    """The bounds are the order statistics at which the share of shifts that reach the statistic falls below alpha; null if shift 0 alone does."""
+    bound = lambda t: f"(SELECT max(v) FROM {t} WHERE r = CAST(ceil({alpha} * n - 1e-9) AS BIGINT))"
+    return f"""WITH {_TWO_UNITS}, {_SHIFTS_SQL}
+SELECT 'purchase' AS unit, {sql_rnd('(SELECT avg(u) FROM u WHERE post = 1)', 4)} AS ate, {sql_rnd(bound('lo'), 4)} AS ate_lower, {sql_rnd(bound('hi'), 4)} AS ate_upper"""
+
+
+def _inverted(spark, sf_dir, alpha):
+    r = S.synth_impact(_two_units(spark, sf_dir), "date", "unit", "y", ["purchase"], START_V4, duration=7, alpha=alpha)
     return r["impact"].select("unit", *[rnd(c, 4).alias(c) for c in ("ate", "ate_lower", "ate_upper")])
 
 
+@query("qx10_test_inversion", sql=_inversion_sql(0.1))
+def qx10_test_inversion(spark, sf_dir):
+    """QX10 confidence interval by inverting the cyclic-shift test (weights exactly 1)."""
+    return _inverted(spark, sf_dir, 0.1)
+
+
+@query("qx10_unbounded_interval", sql=_inversion_sql(0.03))
+def qx10_unbounded_interval(spark, sf_dir):
+    """QX10 at a level below one shift's share: no effect can be rejected, the interval has no ends."""
+    return _inverted(spark, sf_dir, 0.03)
+
+
 @query("qx19_placebo_in_space")
 def qx19_placebo_in_space(spark, sf_dir):
     """QX19 every nation as pseudo-treated; rank of NATION_0 among all units."""

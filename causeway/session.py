@@ -96,7 +96,19 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 def written(df, name: str):
     """Write ``df`` as Parquet in the shared folder and read it back (cuts the lineage)."""
+    return written_at(df, name)[0]
+
+
+def written_at(df, name: str):
+    """(``df`` written as Parquet in the shared folder and read back, its path)."""
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def remove_written(spark: SparkSession, *paths: str) -> None:
+    """Remove written tables that no result reads any more."""
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

@@ -27,3 +27,13 @@ def test_contract_works_without_the_optional_modules(tmp_path):
     shutil.copy(E.__file__, tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert len(q) >= 100 and not any(n.startswith('op1') or n == 'pipeline' for n in q); e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={**os.environ, "PYTHONPATH": ""})
+
+
+def test_contract_works_without_the_vocabulary(tmp_path):
+    import os
+    import subprocess
+    import sys
+    root = os.path.dirname(os.path.abspath(E.__file__))
+    code = ("import sys; sys.modules['public_tokenizers'] = None; import __spark_entry__ as e; q = e.queries(); "
+            "assert len(q) >= 100 and not any(n.startswith('op1') or n == 'pipeline' for n in q); e.oracle_sql()")
+    subprocess.run([sys.executable, "-c", code], cwd=root, check=True)

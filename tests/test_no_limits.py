@@ -1,6 +1,5 @@
 """Statistics stay exact beyond any size, and earlier wrong answers stay mended."""
 
-import inspect
 import math
 
 import numpy as np
@@ -188,9 +187,3 @@ def test_queries_hold_no_subsets():
     text = "".join(p.read_text() for p in (pathlib.Path(E.__file__).parent / "causeway" / "plans").glob("*.py"))
     for cut in ("trees=10", "_R = 20", "value > 99", "grid=50", "grid=100"):
         assert cut not in text
-
-
-def test_forests_are_as_deep_as_spark_allows(spark):
-    assert O._rf("regressor", "_y").getMaxDepth() == O._rf("classifier", "_y", depth=30).getMaxDepth() == 30
-    for operator in (O.t_learner_rf, O.s_learner_rf, O.crossfit_rf, O.linear_dml, O.causal_forest):
-        assert inspect.signature(operator).parameters["depth"].default == 30
