@@ -200,6 +200,11 @@ def row_key(*cols: str):
     return F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\u0000null")) for c in cols])
 
 
+def let(value, body):
+    """``body`` of a column that is computed once a row, however often ``body`` refers to it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def need(df: DataFrame, *cols: str) -> DataFrame:
     """Only the named columns; clashing extra columns of the input never get further."""
     return df.select(*[F.col(f"`{c}`") for c in cols])

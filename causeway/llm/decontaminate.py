@@ -227,7 +227,7 @@ def _agreeing(width: int):
 LINES = "id long, row long, item_id long, item_tokens int, line int, matched int, slots int, changed int"
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = 8, least_tokens: int = 13, least_share: float = 0.5,
+def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = 8, least_tokens: int = 13, least_share: float = 0.5, least_item: int = 3,
                broadcast_up_to: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text",
                item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """doc_id, row, item_id, matched (tokens), item_tokens, share, slots, changed of every leaked (row, item).
@@ -236,11 +236,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = 8, least_toke
     slots cover ``least_tokens`` tokens or ``least_share`` of the item.  ``changed`` counts slots with other values:
     0 for a literal copy.  ``row`` is :func:`row_key` of id and text.
 
-    * null or empty texts and items, and items without words, leak nothing;
+    * null or empty texts and items, and items without words, leak nothing; neither do items of fewer than ``least_item`` tokens:
+      a word or two of a language are found in any text;
     * items shorter than ``width`` are one window of their own length;
     * template windows need half literal words; windows of equal words, in any case, count whatever the words are;
     * repeated rows share their result; a null id stays null; ties between alignments: the longest counts;
-    * empty tables give an empty result; other columns are ignored.
+    * very long texts and items are read whole; empty tables give an empty result; other columns are ignored.
 
     Up to ``broadcast_up_to`` window hashes of the benchmark (8 bytes each) go to the tasks, which then
     emit joined windows only; beyond that all windows of the documents meet them in a shuffled join."""
@@ -248,12 +249,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = 8, least_toke
                              F.col(f"`{item_text_col}`").cast("binary").alias("__text"))
     src = small_batches(docs).select(F.col(f"`{id_col}`").cast("long").alias("__id"), row_key(id_col, text_col).alias("__row"),
                       F.col(f"`{text_col}`").cast("binary").alias("__text"))
-    bench = items.mapInArrow(_rows_of(width, True, None, None, "__id"), ROWS).select(
+    bench = items.mapInArrow(_rows_of(width, True, None, None, "__id"), ROWS).filter(F.col("n") >= least_item).select(
         F.col("id").alias("item_id"), F.col("n").alias("item_tokens"), F.col("pos").alias("item_pos"), "h", "literal", F.col("slots").alias("item_slots"))
     widths = sorted({width, *(r[0] for r in bench.filter(F.col("item_tokens") < width).select("item_tokens").distinct().collect())})
-    few = bench.select("h").distinct().limit(broadcast_up_to + 1).collect()
+    few = bench.select("h").distinct().limit(broadcast_up_to + 1).toArrow()["h"].to_numpy()
     bounded = len(few) <= broadcast_up_to
-    wanted = np.sort(np.array([r["h"] for r in few], np.int64).view(np.uint64)) if bounded else None
+    wanted = np.sort(few.astype(np.int64).view(np.uint64)) if bounded else None
     found = src.mapInArrow(_rows_of(width, False, wanted, widths, "__id"), ROWS).drop("n", "literal")
     joined = found.join(bench, "h").withColumn("slots", F.when(F.col("literal"), F.col("item_slots")).otherwise(F.col("slots")))
     lines = (joined.withColumn("line", F.col("pos") - F.col("item_pos"))

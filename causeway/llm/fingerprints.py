@@ -13,7 +13,7 @@ from math import isqrt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, shuffle_width
+from .common import fresh, let, shuffle_width
 
 DIGITS = 12
 FRACTION = 0.25
@@ -21,11 +21,6 @@ BUCKETS_A_TASK, ROWS_A_BUCKET = 8, 500
 SPACES = " \t\n\x0b\x0c\r"
 
 
-def _let(value: Column, body) -> Column:
-    """``body`` of a column that is computed once a row, whatever lambdas refer to it."""
-    return F.transform(F.array(value), body)[0]
-
-
 def shingle_hashes(text: Column, width: int = 5) -> Column:
     """First 12 hex digits of md5 of every run of ``width`` words (joined by one space); of the whole sequence where it is
     shorter; an empty array without words.  Words are runs without ASCII white space."""
@@ -33,7 +28,7 @@ def shingle_hashes(text: Column, width: int = 5) -> Column:
     runs = lambda w: F.transform(
         F.sequence(F.lit(1), F.greatest(F.size(w) - (width - 1), F.lit(1))),
         lambda i: F.substring(F.md5(F.array_join(F.slice(w, i, width), " ").cast("binary")), 1, DIGITS))
-    return F.when(F.length(bare) > 0, _let(F.split(bare, r"[\x20\x09-\x0D]+"), runs)).otherwise(F.array().cast("array<string>"))
+    return F.when(F.length(bare) > 0, let(F.split(bare, r"[\x20\x09-\x0D]+"), runs)).otherwise(F.array().cast("array<string>"))
 
 
 def sketch(hashes: Column, fraction: float = FRACTION) -> Column:
@@ -41,8 +36,8 @@ def sketch(hashes: Column, fraction: float = FRACTION) -> Column:
     if not 0 < fraction <= 1:
         raise ValueError("fraction must be above 0 and at most 1")
     below = format(int(fraction * 16 ** DIGITS) - 1, f"0{DIGITS}x")
-    kept = lambda h: _let(F.greatest(F.lit(below), F.array_min(h)), lambda top: F.filter(h, lambda x: x <= top))
-    return F.array_join(F.sort_array(F.array_distinct(_let(hashes, kept))), ",")
+    kept = lambda h: let(F.greatest(F.lit(below), F.array_min(h)), lambda top: F.filter(h, lambda x: x <= top))
+    return F.array_join(F.sort_array(F.array_distinct(let(hashes, kept))), ",")
 
 
 def fingerprint(text: Column, width: int = 5, fraction: float = FRACTION) -> Column:

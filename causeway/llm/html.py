@@ -45,6 +45,9 @@ MARKS = frozenset("ad ads advert advertisement adverts advertising banner breadc
                   "disqus footer gdpr login menu modal nav navbar navigation newsletter notice notices overlay pager pagination paywall "
                   "popup promo promoted promotion related reply replies recommended share sharing sidebar signup social sponsor sponsored "
                   "subscribe subscription toolbar widget masthead contentinfo complementary".split())
+#: Words at the end of a class name that say what shape an element has, not what it holds.
+SHAPES = frozenset("area bar block body box button buttons container content form group holder icon icons inner item items link links list outer panel "
+                   "placeholder row section slot thread title unit wrap wrapper zone".split())
 WHOLE = frozenset(("html", "body", "article", "main"))
 MAX_DEPTH = 500
 
@@ -108,6 +111,15 @@ def _close(stack, tags, stops) -> None:
             return
 
 
+def _names_a_mark(name: str) -> bool:
+    """Whether a class name as a whole is a mark (``site-notice``, ``adBox``): its last word is one, words of shape aside.  Inside an article
+    a mark that only qualifies another thing (``notice-board``, ``share-price``) says nothing."""
+    words = [w.lower() for w in WORD.findall(name)]
+    while len(words) > 1 and words[-1] in SHAPES:
+        words.pop()
+    return bool(words) and words[-1] in MARKS
+
+
 def marked(node: Node, in_article: bool) -> bool:
     """Whether tag or attributes say that the element is not part of an article."""
     if node.tag in DROPPED:
@@ -123,7 +135,7 @@ def marked(node: Node, in_article: bool) -> bool:
         if name == "style":
             if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
                 return True
-        elif any(w.lower() in MARKS for w in WORD.findall(value)) and name in ("class", "id", "role"):
+        elif name in ("class", "id", "role") and (any(_names_a_mark(v) for v in value.split()) if in_article else any(w.lower() in MARKS for w in WORD.findall(value))):
             return True
         elif name in ("class", "id") and not in_article and any(w.lower() == "header" for w in WORD.findall(value)):
             return True
@@ -303,10 +315,10 @@ def extract_text(pages: DataFrame, min_articles: int = 8, min_share: float = 0.2
                           .groupBy("host", "key").count().filter(F.col("count") >= min_articles), "subtrees")
     hosts = counts.filter("key IS NULL").select("host", F.col("count").alias("articles"))
     counted = counts.filter("key IS NOT NULL").join(hosts, "host").filter(F.col("count") >= F.col("articles") * min_share).select("key")
-    few = counted.limit(broadcast_up_to + 1).collect()
+    few = counted.limit(broadcast_up_to + 1).toArrow()["key"].to_numpy()
     schema = T.StructType([src.schema[c] for c in keep] + [T.StructField("text", T.StringType())])
     if len(few) <= broadcast_up_to:
-        templates = np.sort(np.array([r["key"] for r in few], np.int64))
+        templates = np.sort(few.astype(np.int64))
         return src.withColumn("__own", F.lit(None).cast("array<long>")).mapInArrow(_extract_rows(list(keep), templates), schema)
     src = src.withColumn("__row", row_key(*keep))
     mine = (src.select("__host", "__html", "__row").mapInArrow(_subtree_rows, SUBTREES)

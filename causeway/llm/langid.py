@@ -17,7 +17,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -142,25 +142,27 @@ def _threshold(score: np.ndarray, right: np.ndarray, target_error: float, k: int
 
 
 def labelled_sample(rows: DataFrame, per_language: int, id_col: str = "doc_id", text_col: str = "text",
-                    lang_col: str = "lang") -> tuple[list[str], list[str]]:
-    """At most ``per_language`` non-null texts of each language, the ones with the smallest id hash.
+                    lang_col: str = "lang", max_bytes: int = 40_000_000) -> tuple[list[str], list[str]]:
+    """At most ``per_language`` non-null texts and ``max_bytes`` of text of each language, the ones with the smallest id hash.
 
-    One aggregate counts the languages; a hash threshold per language cuts the rows down before any
-    sort, so no task sorts a language that holds most rows.  The driver gets the sample alone."""
+    One aggregate counts the languages; a second scan joins a hash limit for each of them (a row a language), which leaves about as many rows as
+    are wanted before any is ranked, so no task sorts a language that holds most rows.  The driver gets the sample alone."""
     base = rows.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(
         F.col(lang_col).alias("lang"), F.col(text_col).alias("text"),
         F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.col(text_col)), F.lit(7)).alias("h"))
-    counts = {r["lang"]: r["n"] for r in base.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    texts, langs = [], []
-    for lang in sorted(counts):
-        share = min(1.0, 1.5 * per_language / counts[lang] + 20 / counts[lang])
-        top = int(-(1 << 63) + share * ((1 << 64) - 1)) if share < 1 else (1 << 63) - 1
-        got = (base.filter((F.col("lang") == lang) & (F.col("h") <= F.lit(top).cast("long")))
-               .orderBy("h", "text").limit(per_language).collect())
-        texts += [r["text"] for r in got]
-        langs += [lang] * len(got)
-    order = np.random.default_rng(3).permutation(len(texts))
-    return [texts[i] for i in order], [langs[i] for i in order]
+    limits = []
+    for r in base.groupBy("lang").agg(F.count("*").alias("n")).collect():
+        share = min(1.0, 1.5 * per_language / r["n"] + 20 / r["n"])
+        limits.append((r["lang"], int(-(1 << 63) + share * ((1 << 64) - 1)) if share < 1 else (1 << 63) - 1))
+    if not limits:
+        return [], []
+    few = base.join(F.broadcast(rows.sparkSession.createDataFrame(limits, "lang string, top long")), "lang").filter("h <= top")
+    first = Window.partitionBy("lang").orderBy("h", "text")
+    before = F.sum(F.octet_length("text")).over(first.rowsBetween(Window.unboundedPreceding, -1))
+    few = few.select("lang", "text", F.row_number().over(first).alias("k"), F.coalesce(before, F.lit(0)).alias("bytes"))
+    got = sorted((r["lang"], r["k"], r["text"]) for r in few.filter((F.col("k") <= per_language) & (F.col("bytes") <= max_bytes)).collect())
+    order = np.random.default_rng(3).permutation(len(got))
+    return [got[i][2] for i in order], [got[i][0] for i in order]
 
 
 def _scorer(model: LanguageModel, names: list[str], text_name: str):
@@ -199,7 +201,7 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", keep
     """``keep`` columns (default: all of ``docs``) with lang_pred, score (0 to 1) and rejected.
 
     * a null text, an empty text and a text without any letter get ``und``, score 0, rejected;
-    * ties between languages go to the first label; repeated rows are scored alike;
+    * very long texts are scored whole, a million characters at a time; ties between languages go to the first label; repeated rows are scored alike;
     * an empty table gives an empty result; a model without labels answers ``und``;
     * columns of ``docs`` named like an output column are replaced."""
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score", "rejected")]

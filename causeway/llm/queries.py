@@ -8,6 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from causeway.session import shared_path
+
 from . import decontaminate, fim, fingerprints, html, langid, ngram_join, packing, runs, secrets, sharding, substrings, topk, urlfilter
 from .common import need, read_documents
 from .sql import OP11_SQL, OP12_SQL, OP13_SQL
@@ -22,10 +24,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents laid out by source, resharded to 24 shards of equal bytes with the fewest bytes moved."""
+    """Documents laid out by source, resharded on files to 24 shards of equal bytes with the fewest bytes moved, and read back."""
     docs = need(read_documents(spark, sf_dir), "doc_id", "text", "source")
     old = F.pmod(F.crc32(F.coalesce("source", F.lit("")).cast("binary")), F.lit(24))
-    return sharding.reshard(docs, old, 24).select(
+    return sharding.reshard_files(docs, old, 24, shared_path(spark, "shards")).select(
         "doc_id", "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"), F.col("old").alias("old_shard"))
 
@@ -142,23 +144,44 @@ def _path(url: str) -> str:
     return f"coalesce({_NODE.format(url, 2)}, '')"
 
 
+_HREF = """'(?is)\\bhref\\s*=\\s*["'']?\\s*([^"''\\s>]+)'"""
+
+
+def _sql_text(s: str) -> str:
+    return s.replace("'", "''")
+
+
+def _folded(path: str) -> str:
+    parts = f"string_split(substr({path}, 2), '/')"
+    kept = (f"list_reduce(list_prepend(CAST([] AS VARCHAR[]), list_transform({parts}, lambda s: [s])), "
+            "lambda a, s: CASE s[1] WHEN '..' THEN a[1:len(a) - 1] WHEN '.' THEN a ELSE list_concat(a, s) END)")
+    return (f"CASE WHEN regexp_matches({path}, '/\\.\\.?(?:/|$)') THEN '/' || array_to_string(list_concat({kept}, "
+            f"CASE WHEN {parts}[-1] IN ('.', '..') THEN [''] ELSE [] END), '/') ELSE {path} END")
+
+
+def _resolved(href: str, url: str) -> str:
+    """Absolute form of a link, dot segments folded; the query does not matter to a node."""
+    link = f"replace({href}, '&amp;', '&')"
+    whole = (f"CASE WHEN contains({link}, '://') THEN {link} WHEN starts_with({link}, '//') THEN regexp_extract({url}, '(?s)^(.*?)://', 1) || ':' || {link} "
+             f"WHEN starts_with({link}, '/') THEN regexp_extract({url}, '(?s)^(.*?://[^/?#]*)', 1) || {link} "
+             f"ELSE regexp_extract({url}, '(?s)^(.*?://[^/?#]*)', 1) || coalesce(nullif(regexp_extract({_path(url)}, '(?s)^(.*/)', 1), ''), '/') || {link} END")
+    return f"(SELECT regexp_extract(x, '(?s)^(.*?://[^/?#]*)', 1) || {_folded(_path('x'))} FROM (SELECT {whole} AS x))"
+
+
 OP4_SQL = f"""
 WITH RECURSIVE rules(verdict, rule) AS (VALUES {", ".join(f"('{v}', '{r}')" for v, r in urlfilter.RULES)}),
 rule_parts AS (SELECT *, split_part(rule, '/', 1) AS rhost, substr(rule, strpos(rule, '/')) AS rpath FROM rules),
+read AS (SELECT url, regexp_replace(html, '{_sql_text(urlfilter.UNREAD)}', ' ', 'g') AS html FROM pages WHERE url IS NOT NULL),
 tags AS (
-  SELECT url, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\\s[^>]*>')) AS t FROM pages WHERE url IS NOT NULL),
+  SELECT url, regexp_extract(regexp_extract(html, '(?is)<base\\s[^>]*>'), {_HREF}, 1) AS base, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\\s[^>]*>')) AS t FROM read),
 links AS (
-  SELECT url AS src, replace(regexp_extract(t, '(?is)\\bhref\\s*=\\s*["'']?\\s*([^"''\\s>]+)', 1), '&amp;', '&') AS href FROM tags
+  SELECT url AS src, base, regexp_extract(t, {_HREF}, 1) AS href FROM tags
   WHERE regexp_matches(t, '(?is)^<link\\s.*\\brel\\s*=\\s*["'']?canonical\\b')
   UNION ALL
-  SELECT url, replace(regexp_extract(t, '(?is)\\burl\\s*=\\s*["'']?\\s*([^"''\\s>]+)', 1), '&amp;', '&') FROM tags
+  SELECT url, base, regexp_extract(t, '(?is)\\burl\\s*=\\s*["'']?\\s*([^"''\\s>]+)', 1) FROM tags
   WHERE regexp_matches(t, '(?is)^<meta\\s.*\\bhttp-equiv\\s*=\\s*["'']?refresh\\b')),
-urls AS (
-  SELECT src, CASE WHEN contains(href, '://') THEN href
-    WHEN starts_with(href, '//') THEN regexp_extract(src, '(?s)^(.*?)://', 1) || ':' || href
-    WHEN starts_with(href, '/') THEN regexp_extract(src, '(?s)^(.*?://[^/?#]*)', 1) || href
-    ELSE regexp_extract(src, '(?s)^(.*?://[^/?#]*)', 1) || coalesce(nullif(regexp_extract({_path('src')}, '(?s)^(.*/)', 1), ''), '/') || href END AS dst
-  FROM links WHERE href <> ''),
+based AS (SELECT src, href, CASE WHEN base <> '' THEN {_resolved('base', 'src')} ELSE src END AS start FROM links WHERE href <> ''),
+urls AS (SELECT src, {_resolved('href', 'start')} AS dst FROM based),
 edge AS (
   SELECT {_host('src')} || ' ' || {_path('src')} AS a, {_host('dst')} || ' ' || {_path('dst')} AS b FROM urls),
 both_ways AS (SELECT a, b FROM edge WHERE a <> ' ' AND b <> ' ' UNION SELECT b, a FROM edge WHERE a <> ' ' AND b <> ' '),

@@ -16,7 +16,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh
+from .common import fresh, write_shared
 
 ASSIGNED = r"(?:[pP]assword|PASSWORD|[pP]asswd|PASSWD|pwd|PWD|[sS]ecret|SECRET)[\"']?\s{0,3}[=:]\s{0,3}[\"']?"
 # The other names of KEYWORD; their values end before signs of code, markup and query strings, and before a sentence's end.
@@ -87,7 +87,7 @@ def feature_sql(dictionary=DICTIONARY) -> dict[str, str]:
 
 
 def labelled_findings(docs: DataFrame, rows: int = 600, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """l, v, r, label: labelled findings derived from at most ``rows`` rows of ``docs``.
+    """l, v, r, label: labelled findings derived from at most ``rows`` rows of ``docs`` (their first 400 characters lend the words around a value).
 
     Each sampled row's own words stand around a value made from its hash, in the forms in which secrets (label 1) and
     harmless look-alikes (label 0) are usually found.  The sample is the rows with the smallest id hash."""
@@ -120,6 +120,17 @@ def labelled_findings(docs: DataFrame, rows: int = 600, id_col: str = "doc_id",
         (1, "' https://me:'", f"concat({word.format(1, 'Hunter')}, left({number.format('G')}, 1), left({hx.format('G')}, 2))", "'@host/ '"),
         (1, "' '", f"concat('ghp_', left({letters.format('H')}, 36))", "' '"),
         (1, "' Authorization: Bearer '", f"left({letters.format('I')}, 32)", "' '"),
+        (1, "' '", f"concat('xoxb-', left({number.format('J')}, 12), '-', left({b64.format('J')}, 24))", "' '"),
+        (1, "' '", f"concat('xoxp-', left({number.format('K')}, 10), '-', left({letters.format('K')}, 16))", "' '"),
+        (1, "' '", f"concat('glpat-', left({b64.format('L')}, 20))", "' '"),
+        (1, "' '", f"concat('github_pat_', left({b64.format('M')}, 22), '_', left({b64.format('N')}, 40))", "' '"),
+        (1, "' '", f"concat('AIza', left({b64.format('O')}, 35))", "' '"),
+        (1, "' '", f"concat('ya29.', left({b64.format('P')}, 40))", "' '"),
+        (1, "' '", f"concat('npm_', left({b64.format('Q')}, 36))", "' '"),
+        (1, "' '", f"concat('rk_live_', left({b64.format('R')}, 24))", "' '"),
+        (1, "' '", f"concat('ASIA', upper(left({b64.format('S')}, 16)))", "' '"),
+        (1, "' password='", f"lower(concat({word.format(1, 'correct')}, {word.format(2, 'battery')}, {word.format(3, 'horse')}))", "' '"),
+        (1, "' passwd: \"'", f"lower(concat({word.format(2, 'staple')}, {word.format(1, 'correct')}))", "'\" '"),
         (0, "' token: '", word.format(1, "chapter"), "' '"),
         (0, "' secret: '", word.format(2, "garden"), "' '"),
         (0, "' bearer '", word.format(1, "shares"), "' '"),
@@ -153,6 +164,7 @@ def train_forest(findings: DataFrame, trees: int = 15, depth: int = 6, threshold
             .select(array_to_vector(F.expr(f"array({', '.join(sql.values())})").cast("array<double>")).alias("features"), "label"))
     if rows.isEmpty():
         return Forest(["0.0D"], threshold, list(sql))  # nothing to learn from: nothing is confirmed
+    rows = write_shared(rows, "findings")  # a bounded sample, read for every level of the trees
     model = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="sqrt", maxMemoryInMB=64).fit(rows)
     return Forest([_tree_sql(t._call_java("rootNode")) for t in model.trees], threshold, list(sql))
 
@@ -167,7 +179,7 @@ def _tree_sql(node) -> str:
 
 
 def scanned(docs: DataFrame, forest: Forest, text_col: str = "text", dictionary=DICTIONARY) -> DataFrame:
-    """``docs`` with ``__gaps`` (text between candidates) and ``__found``: array of (i, key, v, score) of all candidates."""
+    """``docs`` with ``__gaps`` (text between candidates), ``__hits`` (the candidates) and ``__found``: array of (i, key, v, score) of all of them."""
     text = F.col(f"`{text_col}`")
     sql = ", ".join(feature_sql(dictionary).values())
     score = "(" + " + ".join(forest.trees) + f") / {len(forest.trees)}D"
@@ -178,7 +190,7 @@ def scanned(docs: DataFrame, forest: Forest, text_col: str = "text", dictionary=
              f"'r', left(__gaps[x.i + 1], {CONTEXT})))")
     scored = (f"transform(transform({parts}, x -> named_struct('i', x.i, 'key', x.key, 'v', x.v, 'f', cast(array({sql}) as array<double>))), "
               f"y -> named_struct('i', y.i, 'key', y.key, 'v', y.v, 'score', {score.replace('f[', 'y.f[')}))")
-    return out.withColumn("__found", F.expr(scored)).drop("__hits")
+    return out.withColumn("__found", F.expr(scored))
 
 
 def find_secrets(docs: DataFrame, forest: Forest, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -189,8 +201,7 @@ def find_secrets(docs: DataFrame, forest: Forest, id_col: str = "doc_id", text_c
     * an empty table gives an empty result; other columns are ignored."""
     src = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("__text"))
     rows = scanned(src, forest, "__text").withColumn("__found", F.filter("__found", lambda x: x["score"] >= forest.threshold)).filter(F.size("__found") > 0)
-    hits = F.regexp_extract_all(F.col("__text"), F.lit(CANDIDATE), F.lit(0))
-    rows = rows.withColumn("__hits", hits).select("doc_id", "__gaps", "__hits", F.explode("__found").alias("x"))
+    rows = rows.select("doc_id", "__gaps", "__hits", F.explode("__found").alias("x"))
     begin = F.expr("aggregate(slice(__gaps, 1, x.i + 1), 0L, (a, g) -> a + length(g)) + aggregate(slice(__hits, 1, x.i), 0L, (a, g) -> a + length(g)) + length(x.key)")
     kind = (F.when(F.col("x.v").startswith("-----BEGIN"), "private_key").when(F.col("x.v").rlike(KNOWN), "known_prefix")
             .when(F.col("x.key") != "", "assigned").otherwise("token"))
@@ -201,11 +212,10 @@ def redact(docs: DataFrame, forest: Forest, text_col: str = "text", mark: str =
     """``docs`` with every confirmed secret in the text replaced by ``mark``; all rows and columns stay.
 
     Null and empty texts stay as they are; names before an assigned value stay."""
-    taken = [c for c in docs.columns if c.lower() in ("__gaps", "__found", "__hits", "__m")]
+    taken = [c for c in docs.columns if c.lower() in ("__gaps", "__found", "__hits")]
     names, inner = docs.columns, docs.withColumnsRenamed({c: fresh(docs, c) for c in taken})
-    hits = F.regexp_extract_all(F.col(f"`{text_col}`"), F.lit(CANDIDATE), F.lit(0))
-    rows = scanned(inner, forest, text_col).withColumn("__m", hits)
-    new = F.expr(f"concat(array_join(transform(__found, x -> concat(__gaps[x.i], if(x.score >= {forest.threshold!r}D, concat(x.key, {_quoted(mark)}), __m[x.i]))), ''), "
+    rows = scanned(inner, forest, text_col)
+    new = F.expr(f"concat(array_join(transform(__found, x -> concat(__gaps[x.i], if(x.score >= {forest.threshold!r}D, concat(x.key, {_quoted(mark)}), __hits[x.i]))), ''), "
                  "element_at(__gaps, -1))")
     clean = F.when(F.exists("__found", lambda x: x["score"] >= forest.threshold), new).otherwise(F.col(f"`{text_col}`"))
     return rows.withColumn(text_col, clean).select(*[F.col(f"`{c}`").alias(n) for c, n in zip(inner.columns, names, strict=True)])

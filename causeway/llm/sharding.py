@@ -96,6 +96,19 @@ def _block(h: Column, blocks: int) -> Column:
 
 def solve(rows: DataFrame, n_new: int, capacities: list[int] | None = None, cost=None) -> DataFrame:
     """``rows`` (old int, size long, h long) with their new ``shard``.  See :func:`reshard`."""
+    return placed(rows, *plan_of(rows, n_new, capacities, cost))
+
+
+def placed(rows: DataFrame, table: DataFrame, share: float) -> DataFrame:
+    """``rows`` (old, size, h, ...) with the ``shard`` that a plan gives them, without a shuffle."""
+    keyed = rows.withColumns({"class": _size_class(F.col("size"), share), "block": _block(F.col("h"), BLOCKS)})
+    # at most CLASSES * BLOCKS * old shards rows and a few cuts: bounded, whatever the data
+    found = keyed.join(F.broadcast(table), ["class", "old", "block"])
+    return found.withColumn("shard", F.filter("cuts", lambda c: F.col("h") <= c["hi"])[0]["shard"]).drop("cuts", "class", "block")
+
+
+def plan_of(rows: DataFrame, n_new: int, capacities: list[int] | None = None, cost=None) -> tuple[DataFrame, float]:
+    """(table of hash intervals and their new shards, bytes of an average shard) for ``rows`` (old, size, h)."""
     spark = rows.sparkSession
     cost = cost or (lambda i, j: int(i != j))
     totals = {r["old"]: int(r["s"]) for r in rows.groupBy("old").agg(F.sum("size").alias("s")).collect()}
@@ -105,7 +118,8 @@ def solve(rows: DataFrame, n_new: int, capacities: list[int] | None = None, cost
         capacities = [total // n_new + (j < total % n_new) for j in range(n_new)]
     if sum(capacities) < total:
         raise ValueError("capacities are smaller than the rows")
-    rows = rows.withColumns({"class": _size_class(F.col("size"), max(1.0, total / n_new)), "block": _block(F.col("h"), BLOCKS)})
+    share = max(1.0, total / n_new)
+    rows = rows.withColumns({"class": _size_class(F.col("size"), share), "block": _block(F.col("h"), BLOCKS)})
     blocks = defaultdict(dict)
     for r in rows.groupBy("class", "old", "block").agg(F.sum("size").alias("s")).collect():
         blocks[r["class"]][r["old"], r["block"]] = int(r["s"])
@@ -145,9 +159,7 @@ def solve(rows: DataFrame, n_new: int, capacities: list[int] | None = None, cost
     schema = "class int, old int, block int, hi long, shard int"
     table = (spark.createDataFrame(plan, schema).groupBy("class", "old", "block")
              .agg(F.array_sort(F.collect_list(F.struct("hi", "shard"))).alias("cuts")))
-    # at most CLASSES * BLOCKS * old shards rows and a few cuts: bounded, whatever the data
-    placed = rows.join(F.broadcast(table), ["class", "old", "block"])
-    return placed.withColumn("shard", F.filter("cuts", lambda c: F.col("h") <= c["hi"])[0]["shard"]).drop("cuts", "class", "block")
+    return table, share
 
 
 def _cut(rows: DataFrame, spark, k: int, cuts, filled: list[int]) -> list[tuple]:
@@ -196,17 +208,52 @@ def reshard(docs: DataFrame, old: Column, n_new: int, capacities: list[int] | No
     Size: UTF-8 bytes of the text plus 8.
 
     * a null text has 8 bytes and crc 0; a null id or old shard (taken as 0) is allowed;
-    * repeated rows share a hash and go to one shard, with slots of their own;
+    * repeated rows share a hash and go to one shard, with slots of their own; ties (equal costs) go to the lower shard;
     * a row larger than a shard fills one alone; an empty table gives an empty result; other columns are ignored."""
-    raw = F.col(f"`{text_col}`").cast("binary")
-    slim = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(old.cast("int"), F.lit(0)).alias("old"),
-                       (F.coalesce(F.octet_length(raw), F.lit(0)) + 8).cast("long").alias("size"),
-                       F.coalesce(F.crc32(raw), F.lit(0)).cast("long").alias("crc"))
-    rows = write_shared(slim.withColumn("h", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "crc")), "sizes")
+    rows = write_shared(_sized(docs, old, id_col, text_col).drop("text"), "sizes")
     if rows.limit(1).count() == 0:
         return rows.select("doc_id", "size", "crc", "old", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
-    placed = write_shared(solve(rows, n_new, capacities, cost), "placed")
-    return numbered(placed).select("doc_id", "size", "crc", "old", "shard", "slot")
+    return numbered(write_shared(solve(rows, n_new, capacities, cost), "placed")).select("doc_id", "size", "crc", "old", "shard", "slot")
+
+
+def _sized(docs: DataFrame, old: Column, id_col: str, text_col: str, *more: str) -> DataFrame:
+    """doc_id, text, old, size, crc, h (hash of id and checksum) and the columns ``more`` of every row."""
+    raw = F.col(f"`{text_col}`").cast("binary")
+    slim = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.coalesce(old.cast("int"), F.lit(0)).alias("old"),
+                       (F.coalesce(F.octet_length(raw), F.lit(0)) + 8).cast("long").alias("size"),
+                       F.coalesce(F.crc32(raw), F.lit(0)).cast("long").alias("crc"), *more)
+    return slim.withColumn("h", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "crc"))
+
+
+def reshard_files(docs: DataFrame, old: Column, n_new: int, path: str, capacities: list[int] | None = None, id_col: str = "doc_id",
+                  text_col: str = "text", cost=None) -> DataFrame:
+    """:func:`reshard` carried out on files: doc_id, size, crc, old, shard, slot as read back from ``path``/shard=<n>.
+
+    The rows are laid out by their old shard, the flow is solved over their sizes, and the files of the shards that lose or gain rows are written
+    anew by one scan that applies the plan; files of other shards stay as they are.  A file holds doc_id, text and old.  Edge cases are
+    those of :func:`reshard`."""
+    spark = docs.sparkSession
+    rows = _sized(docs, old, id_col, text_col)
+    slim = write_shared(rows.drop("text"), "sizes")
+    if slim.limit(1).count() == 0:
+        return slim.select("doc_id", "size", "crc", "old", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
+    rows.select("doc_id", "text", "old", F.col("old").alias("shard")).write.partitionBy("shard").parquet(path)
+    table, share = plan_of(slim, n_new, capacities, cost)
+    table = write_shared(table, "plan")
+    moves = placed(slim, table, share).groupBy("old", "shard").count().collect()  # a row a pair of shards
+    affected = sorted({s for r in moves for s in (r["old"], r["shard"]) if r["old"] != r["shard"]})
+    if affected:
+        anew = placed(rows, table, share).filter(F.col("shard").isin(affected)).select("doc_id", "text", "old", "shard")
+        anew.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
+        _remove_empty(spark, path, set(affected) - {r["shard"] for r in moves})
+    back = _sized(spark.read.schema("doc_id long, text string, old int, shard int").parquet(path).select("doc_id", "text", "old", "shard"), F.col("old"), "doc_id", "text", "shard")
+    return numbered(write_shared(back.drop("text"), "back")).select("doc_id", "size", "crc", "old", "shard", "slot")
+
+
+def _remove_empty(spark, path: str, shards) -> None:
+    for n in sorted(shards):
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/shard={n}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def rewrite_affected(docs: DataFrame, plan: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> list[int]:
@@ -227,11 +274,7 @@ def rewrite_affected(docs: DataFrame, plan: DataFrame, path: str, id_col: str =
         goes, F.col(f"`{id_col}`").eqNullSafe(F.col("_id")) & (F.col("_c") == F.col("_crc"))).select(*names, "shard")
     written = write_shared(out, "affected")
     written.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
-    filled = {r[0] for r in goes.select("shard").distinct().collect()}
-    for n in affected:
-        if n not in filled:
-            folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/shard={n}")
-            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    _remove_empty(spark, path, set(affected) - {r[0] for r in goes.select("shard").distinct().collect()})
     return affected
 
 

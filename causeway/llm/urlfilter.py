@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import let
 from .components import connected_components
 
 #: Contract rules, as (verdict, "host/path").
@@ -22,6 +23,9 @@ MAX_RULES = 10_000
 
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 ELEMENT = r"(?is)<(?:link|meta)\s[^>]*>"
+BASE = r"(?is)<base\s[^>]*>"
+#: What a browser does not read as elements: comments, and elements of raw text (cut off at the end of the page, too).
+UNREAD = r"(?is)<!--.*?(?:-->|\z)" + "".join(rf"|<{t}\b.*?(?:</{t}\s*>|\z)" for t in ("script", "style", "noscript", "template", "iframe", "textarea", "title", "xmp"))
 IS_CANONICAL = r"(?is)^<link\s.*\brel\s*=\s*[\"']?canonical\b"
 IS_REFRESH = r"(?is)^<meta\s.*\bhttp-equiv\s*=\s*[\"']?refresh\b"
 HREF = r"(?is)\bhref\s*=\s*[\"']?\s*([^\"'\s>]+)"
@@ -48,25 +52,46 @@ def rule_for(host: Column, path: Column, rules) -> Column:
     return found
 
 
+def folded(path: Column) -> Column:
+    """A path without its ``.`` and ``..`` segments."""
+    up = lambda a: F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))
+
+    def without_dots(parts):
+        kept = F.aggregate(parts, F.array().cast("array<string>"), lambda a, s: F.when(s == "..", up(a)).when(s == ".", a).otherwise(F.concat(a, F.array(s))))
+        open_end = F.when(F.element_at(parts, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+        return F.concat(F.lit("/"), F.array_join(F.concat(kept, open_end), "/"))
+    return let(path, lambda p: F.when(p.rlike(r"/\.\.?(?:/|$)"), let(F.split(F.substr(p, F.lit(2)), "/", -1), without_dots)).otherwise(p))
+
+
 def resolved(href: Column, url: Column) -> Column:
-    """Absolute form of a link found at ``url`` (absolute, //host, /path, or relative to the folder)."""
-    scheme = F.regexp_extract(url, r"(?s)^(.*?)://", 1)
-    site = F.concat(scheme, F.lit("://"), F.regexp_extract(url, URL, 1))
-    folder = F.regexp_extract(path_of(url), r"(?s)^(.*/)", 1)
-    folder = F.when(folder == "", "/").otherwise(folder)
-    href = F.replace(href, F.lit("&amp;"), F.lit("&"))
-    return (F.when(href.contains("://"), href).when(href.startswith("//"), F.concat(scheme, F.lit(":"), href))
-            .when(href.startswith("/"), F.concat(site, href)).otherwise(F.concat(site, folder, href)))
+    """Absolute form of a link found at ``url`` (absolute, //host, /path, or relative to the folder), dot segments folded."""
+    def from_url(u, link):
+        scheme = F.regexp_extract(u, r"(?s)^(.*?)://", 1)
+        site = F.concat(scheme, F.lit("://"), F.regexp_extract(u, URL, 1))
+        folder = F.regexp_extract(path_of(u), r"(?s)^(.*/)", 1)
+        folder = F.when(folder == "", "/").otherwise(folder)
+        return (F.when(link.contains("://"), link).when(link.startswith("//"), F.concat(scheme, F.lit(":"), link))
+                .when(link.startswith("/"), F.concat(site, link)).otherwise(F.concat(site, folder, link)))
+
+    def tidy(whole):
+        front, rest = F.regexp_extract(whole, r"(?s)^(.*?://[^/?#]*)", 1), F.regexp_extract(whole, r"(?s)^.*?://[^?#]*(.*)$", 1)
+        return F.concat(front, folded(path_of(whole)), rest)
+    return let(url, lambda u: let(F.replace(href, F.lit("&amp;"), F.lit("&")), lambda link: let(from_url(u, link), tidy)))
 
 
 def page_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(src, dst) URLs of canonical links and refresh redirects of the pages (whole html)."""
-    url = F.col(f"`{url_col}`")
-    tags = F.regexp_extract_all(F.col(f"`{html_col}`"), F.lit(ELEMENT), F.lit(0))
+    """(src, dst) URLs of canonical links and refresh redirects of the pages (whole html).
+
+    Comments, scripts and other raw text hold no links; a ``<base href>`` is what relative links start from."""
+    url, html = F.col(f"`{url_col}`"), F.col(f"`{html_col}`")
+    linked = pages.filter(url.isNotNull() & html.rlike("(?i)canonical|refresh")).select(url.alias("src"), F.regexp_replace(html, UNREAD, " ").alias("html"))
+    tags = F.regexp_extract_all(F.col("html"), F.lit(ELEMENT), F.lit(0))
     named = F.transform(F.filter(tags, lambda t: t.rlike(IS_CANONICAL)), lambda t: F.regexp_extract(t, HREF, 1))
     sent = F.transform(F.filter(tags, lambda t: t.rlike(IS_REFRESH)), lambda t: F.regexp_extract(t, REFRESH_URL, 1))
-    return (pages.filter(url.isNotNull()).select(url.alias("src"), F.explode(F.concat(named, sent)).alias("href"))
-            .filter(F.col("href") != "").select("src", resolved(F.col("href"), F.col("src")).alias("dst")))
+    base = F.regexp_extract(F.regexp_extract(F.col("html"), BASE, 0), HREF, 1)
+    found = linked.select("src", base.alias("base"), F.explode(F.concat(named, sent)).alias("href")).filter(F.col("href") != "")
+    start = F.when(F.col("base") != "", resolved(F.col("base"), F.col("src"))).otherwise(F.col("src"))
+    return found.select("src", resolved(F.col("href"), start).alias("dst"))
 
 
 def _nodes(urls: DataFrame, col: str, rules) -> DataFrame:
@@ -79,7 +104,7 @@ def judge_urls(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None
                url_col: str = "url", html_col: str | None = "html") -> DataFrame:
     """page id, host, path, rule, verdict and ``alias_blocked`` of every row of ``pages``.
 
-    * a null url or one without ``://`` has an empty host and path, no rule and no alias: allowed;
+    * very long urls and pages are read whole; a null url or one without ``://`` has an empty host and path, no rule and no alias: allowed;
     * a url that a rule fits gets the rule's verdict, whatever its aliases;
     * without a rule: blocked if an alias is blocked by a rule and none is allowed by one, else allowed;
     * repeated rows are judged alike; rules of equal length: allow wins; null html has no links;

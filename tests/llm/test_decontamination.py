@@ -17,11 +17,12 @@ def test_copies_and_reparameterised_items_are_found(spark):
         f"Some words before. {ITEM} And some after it.",
         ITEM.upper().replace("?", " ?"),
         ITEM.replace("12", "480").replace("30 dollars", "7 euros").replace("Anna", "Miguel"),
-        ITEM.replace("Anna, how", "Bob, how"),                                    # one name became two: slots are not consistent
+        ITEM.replace("Anna, how", "Bob, how"),                                    # one name became two: the rest is literal and counts
         "A text of its own that shares the old farmer and baskets of fresh plums with no item at all, whatever the day.",
     ]
     found = leaks(spark, texts)
-    assert set(found) == {(0, 1), (1, 1), (2, 1)} or set(found) == {(0, 1), (2, 1)}
+    # a copy in capitals and one with a single altered name are leaks: literal windows are judged by themselves
+    assert set(found) == {(0, 1), (1, 1), (2, 1), (3, 1)}
     assert found[0, 1].changed == 0 and found[0, 1].share > 0.9
     assert found[2, 1].changed == 3 or found[2, 1].changed == 4
 
@@ -34,7 +35,45 @@ def test_joined_path_without_broadcast_gives_the_same(spark):
 def test_short_and_empty_items(spark):
     items = [(1, "green apples taste better"), (2, ""), (3, None), (4, "7 8 9"), (None, "quiet rivers run deep today")]
     found = leaks(spark, ["we say green apples taste better now", "1 2 3 7 8 9", "", None, "quiet rivers run deep today"], items)
-    assert set(found) == {(0, 1), (4, None)}
+    assert set(found) == {(0, 1), (1, 4), (4, None)}  # an item of numbers is found like any other
+
+
+def test_a_word_or_two_are_no_item(spark):
+    texts = [f"the sky over town {i} and the hill" for i in range(50)]
+    assert leaks(spark, texts, [(1, "the"), (2, "The sky"), (3, "the sky over")]).keys() == {(i, 3) for i in range(50)}
+    assert len(leaks(spark, texts, [(1, "the"), (2, "The sky")], least_item=1)) == 100
+
+
+def brute_leaks(texts, items, width=8, least_tokens=13, least_share=0.5):
+    """Literal leaks by plain search: tokens of an item covered by equal windows along one alignment."""
+    out = set()
+    for i, t in enumerate(texts):
+        d = [w for w in ("".join(c for c in w if c.isalnum()) for w in (t or "").lower().split()) if w]
+        for k, item in items:
+            b = [w for w in ("".join(c for c in w if c.isalnum()) for w in item.lower().split()) if w]
+            wide = min(width, len(b))
+            for line in range(-len(b), len(d)):
+                hit = {p + j for p in range(len(b) - wide + 1) if 0 <= p + line and p + line + wide <= len(d) and b[p:p + wide] == d[p + line:p + line + wide] for j in range(wide)}
+                if len(hit) >= least_tokens or len(hit) >= least_share * len(b):
+                    out.add((i, k))
+    return out
+
+
+def test_equals_brute_force_on_plain_words(spark):
+    import random
+    rng = random.Random(3)
+    word = lambda: rng.choice("abcdefgh") + rng.choice("klmno")
+    items = [(k, " ".join(word() for _ in range(rng.randint(3, 40)))) for k in range(12)]
+    texts = []
+    for _ in range(40):
+        w = [word() for _ in range(rng.randint(0, 30))]
+        source = rng.choice(items)[1].split()
+        a = rng.randrange(len(source))
+        at = rng.randint(0, len(w))
+        w[at:at] = source[a:a + rng.randint(1, 30)]
+        texts.append(" ".join(w))
+    want = brute_leaks(texts, items)
+    assert want and set(leaks(spark, texts, items)) == want == set(leaks(spark, texts, items, broadcast_up_to=0))
 
 
 def test_edge_rows(spark, edge_docs, clashing, no_docs):

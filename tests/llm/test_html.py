@@ -90,3 +90,9 @@ def test_parts_of_the_main_content_are_never_template(spark):
     got = {r.page_id: r.text.split("\n\n") for r in H.extract_text(df).collect()}
     assert got[3] == got[1003] == ["Story 3", "Introduction", "Short note", "3", "0"]
     assert got[2003] == ["Story 3", "Introduction", "3", "0"]
+
+
+def test_names_that_only_mention_a_mark_stay_in_the_article():
+    page = ("<article><p>Story</p><div class='notice-board'><p>On the board</p></div><p class=share-price>It rose</p><p class='social-history'>Of the town</p>"
+            "<div class='ad-container'>buy</div><div class='cookie-banner wide'>cookies</div><div id=commentList>first!</div><p class='lead newsletter-signup'>Sign up</p></article>")
+    assert text(page) == ["Story", "On the board", "It rose", "Of the town"]

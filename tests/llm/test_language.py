@@ -52,3 +52,26 @@ def test_sample_is_bounded_and_leaves_held_out_rows_alone(spark):
     texts, langs = L.labelled_sample(docs.filter(~L.held_out()), 50)
     assert langs.count("aa") == 50 and langs.count("bb") == 50
     assert all(zlib.crc32(t[1:].encode()) % 4 != 2 for t in texts)
+
+
+def test_predictions_equal_plain_scoring(spark, edge_docs):
+    model = L.train(["the cat and the dog"] * 10 + ["le chat et le chien"] * 10, ["en"] * 10 + ["fr"] * 10)
+    for r in L.identify(edge_docs, model).collect():
+        x = L.features(r.text or "")
+        if not len(x):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        z = (model.table[x].astype(float).mean(axis=0) + model.bias) / model.temperature
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        assert r.lang_pred == model.labels[int(p.argmax())] and abs(r.score - p.max()) < 1e-6
+
+
+def test_ties_go_to_the_first_label(spark, edge_docs):
+    model = L.train(["abc abd"] * 5 + ["abc abd"] * 5, ["bb"] * 5 + ["aa"] * 5, epochs=0)
+    assert {r.lang_pred for r in L.identify(edge_docs, model).collect()} <= {"aa", "und"}
+
+
+def test_sample_is_bounded_in_bytes(spark):
+    docs = spark.range(40).select(F.col("id").alias("doc_id"), F.repeat(F.lit("long "), 2000).alias("text"), F.lit("aa").alias("lang"))
+    texts, _ = L.labelled_sample(docs, 30, max_bytes=50_000)
+    assert len(texts) == 6 and all(len(t) == 10_000 for t in texts)

@@ -96,3 +96,21 @@ def test_rewrite_on_a_folder_with_all_old_shards(spark, tmp_path):
     assert sorted((r.doc_id, r.text, r.shard) for r in spark.read.parquet(path).collect()) == sorted((r.doc_id, f"text {r.doc_id}", r.shard) for r in plan.collect())
     assert {f: f.stat().st_mtime_ns for f in (tmp_path / "shards" / "shard=2").iterdir()} == kept
     assert not (tmp_path / "shards" / "shard=3").exists()
+
+
+def test_files_hold_what_the_plan_says(spark, edge_docs, no_docs, tmp_path):
+    texts = [(r.doc_id, r.text) for r in edge_docs.collect()]
+    check(S.reshard_files(edge_docs, F.coalesce(F.col("doc_id"), F.lit(0)) % 5, 3, str(tmp_path / "a")).collect(), texts, 3)
+    back = spark.read.parquet(str(tmp_path / "a"))
+    assert sorted(map(str, ((r.doc_id, r.text) for r in back.collect()))) == sorted(map(str, texts))
+    assert {r.shard for r in back.select("shard").distinct().collect()} <= {0, 1, 2}  # the folders of old shards 3 and 4 are gone
+    assert S.reshard_files(no_docs, F.lit(0), 3, str(tmp_path / "b")).count() == 0
+
+
+def test_files_of_unaffected_shards_stay(spark, tmp_path):
+    docs = spark.range(300).select(F.col("id").alias("doc_id"), F.lit("text of one size").alias("text"))
+    old = F.when(F.col("doc_id") < 100, 0).when(F.col("doc_id") < 160, 1).otherwise(2)
+    rows = S.reshard_files(docs, old, 3, str(tmp_path / "x"), [2400, 2400, 2400]).collect()
+    assert sum(r.old != r.shard for r in rows) == 40 and all(r.shard == 0 for r in rows if r.old == 0)
+    same = S.reshard_files(docs, F.col("doc_id") % 3, 3, str(tmp_path / "y")).collect()
+    assert all(r.old == r.shard for r in same)
