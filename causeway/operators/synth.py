@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -133,41 +134,120 @@ def unit_correlations(panel_pre: DataFrame, y: str = "y") -> DataFrame:
     return pm.select("a", "b", F.try_divide(num, den).alias("corr"), F.col("n").cast("long").alias("n"))
 
 
+def _dtw_many(x: np.ndarray, zs: np.ndarray, window: int | None = None, stop_above: float = np.inf) -> np.ndarray:
+    """DTW distances (absolute differences) of ``x`` to every row of ``zs`` by anti-diagonals, all rows at once.
+
+    Abandoned (inf) as soon as no row can stay below ``stop_above``: two neighbouring diagonals bound every path from below."""
+    n, m = len(x), zs.shape[1]
+    w = max(window if window is not None else max(n, m), abs(n - m))
+    before, last = np.full((len(zs), n + 2), np.inf), np.full((len(zs), n + 2), np.inf)
+    last[:, 0] = 0.0  # cell (0, 0); column i of a diagonal holds cell (i, diagonal - i)
+    for d in range(2, n + m + 1):
+        lo, hi = max(1, d - m, -(-(d - w) // 2)), min(n, d - 1, (d + w) // 2)
+        now = np.full((len(zs), n + 2), np.inf)
+        if lo <= hi:
+            i = np.arange(lo, hi + 1)
+            # at diagonal d: (i-1, j-1) lies on d - 2, (i-1, j) and (i, j-1) on d - 1
+            diagonal = last[:, i - 1] if d == 2 else before[:, i - 1]
+            step = np.minimum(diagonal, np.minimum(now[:, i] if d == 2 else last[:, i - 1], now[:, i] if d == 2 else last[:, i]))
+            now[:, lo:hi + 1] = np.abs(x[i - 1] - zs[:, d - i - 1]) + step
+        if d > 2 and np.minimum(now.min(axis=1), last.min(axis=1)).min() > stop_above:
+            return np.full(len(zs), np.inf)
+        before, last = (np.full_like(now, np.inf), now) if d == 2 else (last, now)
+    return last[:, n]
+
+
+def _envelope(x: np.ndarray, window: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Smallest and largest value of ``x`` within ``window`` of every position."""
+    if window is None:
+        return np.full(len(x), x.min()), np.full(len(x), x.max())
+    lo = np.lib.stride_tricks.sliding_window_view(np.pad(x, window, constant_values=np.inf), 2 * window + 1).min(axis=1)
+    hi = np.lib.stride_tricks.sliding_window_view(np.pad(x, window, constant_values=-np.inf), 2 * window + 1).max(axis=1)
+    return lo, hi
+
+
+def _nearest_dtw(x: np.ndarray, zs: np.ndarray, top: int, window: int | None, at_once: int = 32) -> list[tuple[int, float]]:
+    """(row of ``zs``, distance) of the ``top`` nearest, exact: candidates by their envelope bound, until the bound exceeds the worst kept."""
+    lo, hi = _envelope(x, window)
+    bound = np.maximum(np.maximum(zs - hi, lo - zs), 0.0).sum(axis=1)
+    order, best = np.argsort(bound, kind="stable"), []
+    for at in range(0, len(order), at_once):
+        part = order[at:at + at_once]
+        worst = best[top - 1][0] if len(best) >= top else np.inf
+        part = part[bound[part] <= worst]
+        if not len(part):
+            break
+        best = sorted(best + [(d, k) for d, k in zip(_dtw_many(x, zs[part], window, worst).tolist(), part.tolist(), strict=True) if np.isfinite(d)])[:max(top, 1) + at_once]
+    return [(k, d) for d, k in best[:top]]
+
+
+def _series(panel: DataFrame, y: str) -> DataFrame:
+    """unit and v: its values by date, one array a unit."""
+    return (panel.groupBy("unit").agg(F.sort_array(F.collect_list(F.struct("date", F.col(y).cast("double").alias("v")))).alias("s"))
+            .select("unit", F.col("s.v").alias("v")))
+
+
 def unit_dtw(panel_pre: DataFrame, treated: Sequence[str], y: str = "y", window: int | None = None) -> DataFrame:
     """QX15 (DTW): dynamic-time-warping distance between each treated unit and every other unit.
 
     Each unit's (date-ordered) series is one array -- its length is the number
     of dates, not rows.  Donor series rows are replicated to the treated units
-    with ``explode`` and matched by an equi-join; the O(T^2) recursion (optional
-    Sakoe-Chiba ``window``) runs in Arrow batches of pairs."""
+    with ``explode`` and matched by an equi-join; the recursion (optional
+    Sakoe-Chiba ``window``) runs over whole anti-diagonals in Arrow batches of pairs."""
     from pyspark.sql.functions import pandas_udf
     from pyspark.sql.types import DoubleType
 
-    series = (panel_pre.groupBy("unit")
-              .agg(F.sort_array(F.collect_list(F.struct("date", F.col(y).alias("v")))).alias("s"))
-              .select("unit", F.col("s.v").alias("v")))
+    series = _series(panel_pre, y)
     a = series.filter(F.col("unit").isin(list(treated))).select(F.col("unit").alias("a"), F.col("v").alias("va"))
     b = series.select(F.col("unit").alias("b"), F.col("v").alias("vb"),
                       F.explode(F.array(*[F.lit(t) for t in treated])).alias("a")).filter(F.col("a") != F.col("b"))
-    pairs = a.join(b, "a")
-
-    def dtw(x, z):
-        n, m = len(x), len(z)
-        w = max(window or max(n, m), abs(n - m))
-        D = np.full((n + 1, m + 1), np.inf)
-        D[0, 0] = 0.0
-        for i in range(1, n + 1):
-            lo, hi = max(1, i - w), min(m, i + w)
-            for j in range(lo, hi + 1):
-                c = abs(x[i - 1] - z[j - 1])
-                D[i, j] = c + min(D[i - 1, j], D[i, j - 1], D[i - 1, j - 1])
-        return float(D[n, m])
 
     def dist(va: pd.Series, vb: pd.Series) -> pd.Series:
-        return pd.Series([dtw(np.asarray(x, float), np.asarray(z, float)) for x, z in zip(va, vb)])
+        return pd.Series([float(_dtw_many(np.asarray(x, float), np.asarray(z, float)[None, :], window)[0]) for x, z in zip(va, vb, strict=True)])
 
     udf = pandas_udf(dist, DoubleType())
-    return pairs.select("a", "b", udf(F.col("va"), F.col("vb")).alias("dtw"))
+    return a.join(b, "a").select("a", "b", udf(F.col("va"), F.col("vb")).alias("dtw"))
+
+
+def neighbours(panel: DataFrame, top: int, measure: str = "corr", y: str = "y", window: int | None = None, block: int = 256) -> DataFrame:
+    """QX15: unit, other, score, rank of the ``top`` most similar units of every unit, over series with a value on every date.
+
+    ``corr``: highest Pearson correlation; ``dtw``: least warping distance within ``window`` dates.  Units lie in blocks; a task compares one block
+    with another and keeps the ``top`` of either unit, so no task and no shuffle holds all pairs.  Distances are computed only while an
+    envelope bound leaves them a chance.  Ties go to the smaller name; a constant series is like no other (null correlation, left out)."""
+    if measure not in ("corr", "dtw"):
+        raise ValueError(measure)
+    series = _series(panel, y)
+    n = max(1, -(-series.count() // block))
+    placed = series.withColumn("own", F.pmod(F.xxhash64("unit"), F.lit(n)).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    tiles = (placed.select("unit", "v", F.col("own").alias("i"), every.alias("j"), F.lit(0).alias("side"))
+             .unionByName(placed.select("unit", "v", F.col("own").alias("j"), every.alias("i"), F.lit(1).alias("side"))))
+
+    def tile(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("unit")
+        left, right = f[f["side"] == 0], f[f["side"] == 1]
+        out = []
+        if len(left) and len(right):
+            names, others = left["unit"].tolist(), right["unit"].tolist()
+            X, Z = np.stack([np.asarray(v, float) for v in left["v"]]), np.stack([np.asarray(v, float) for v in right["v"]])
+            if measure == "corr":
+                X, Z = (m - m.mean(axis=1, keepdims=True) for m in (X, Z))
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    score = (X @ Z.T) / np.sqrt((X * X).sum(axis=1)[:, None] * (Z * Z).sum(axis=1)[None, :])
+                for r, name in enumerate(names):
+                    order = [k for k in np.argsort(-np.nan_to_num(score[r], nan=-2.0), kind="stable").tolist() if others[k] != name and np.isfinite(score[r, k])]
+                    out += [(name, others[k], float(score[r, k])) for k in order[:top]]
+            else:
+                for r, name in enumerate(names):
+                    keep = np.array([k for k, o in enumerate(others) if o != name], int)
+                    out += [(name, others[keep[k]], float(d)) for k, d in (_nearest_dtw(X[r], Z[keep], top, window) if len(keep) else [])]
+        return pd.DataFrame(out, columns=["unit", "other", "score"])
+
+    found = tiles.groupBy("i", "j").applyInPandas(tile, "unit string, other string, score double")
+    best = F.col("score").desc() if measure == "corr" else F.col("score").asc()
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("unit").orderBy(best, "other")))
+    return ranked.filter(F.col("rank") <= top)
 
 
 # Weights --------------------------------------------------------------------------------------------
@@ -176,25 +256,39 @@ WEIGHT_SCHEMA = ("treated string, donor string, weight double, sc_weight double,
                  "scaled_l2_imbalance double, model string")
 
 
-def _solve_one(units: list, G: np.ndarray, S: list[int], gid: str, model: str, lam_scale: float):
+def _solve_one(units: list, G: np.ndarray, S: list[int], gid: str, model: str, lam_scale: float, Z: np.ndarray | None = None, lam: float | None = None):
     """Weights for the treated set S (one unit, or a group whose series is the members' sum):
-    donors are all units outside S; c = G[D, S] 1 and g = 1' G[S, S] 1 come from the unit Gram."""
+    donors are all units outside S; c = G[D, S] 1 and g = 1' G[S, S] 1 come from the unit Gram.
+
+    With covariates ``Z`` (units x covariates) the weights are found for what a regression on [1, Z] over the donors leaves of all series, which the
+    Gram gives by its Schur complement; the regression's own prediction of the treated series is a weighting of the donors, too, and is added."""
     sset = set(S)
     donors = [i for i in range(len(units)) if i not in sset]
     Gd = G[np.ix_(donors, donors)]
     c = G[np.ix_(donors, S)].sum(axis=1)
     gjj = float(G[np.ix_(S, S)].sum())
-    w = simplex_ls(Gd, c)
 
     def imb(v):
         return math.sqrt(max(gjj - 2.0 * v @ c + v @ Gd @ v, 0.0))
+
+    def whole(v):
+        return v
+    Gw, cw = Gd, c
+    if Z is not None and Z.shape[1]:
+        A, target = _adjustment(Z, donors, S)
+        B = A @ np.linalg.pinv(A.T @ A, rcond=1e-10)
+        left = np.eye(len(donors)) - B @ A.T
+        Gw, cw = left @ Gd @ left, left @ (c - Gd @ (B @ target))
+
+        def whole(v):
+            return v + B @ (target - A.T @ v)
+    w = simplex_ls(Gw, cw)
     uni = np.full(len(donors), 1.0 / len(donors))
-    base_imb, uni_imb = imb(w), imb(uni)
-    out_w, chosen = w, "none"
+    base_imb, uni_imb = imb(whole(w)), imb(uni)
+    out_w, chosen = whole(w), "none"
     if model in ("ridge", "best") and len(donors) > 1:
-        lam = lam_scale * float(np.trace(Gd)) / len(donors)
-        a = np.linalg.solve(Gd + lam * np.eye(len(donors)), c - Gd @ w)
-        w_r = w + a
+        lam = lam_scale * float(np.trace(Gw)) / len(donors) if lam is None else lam
+        w_r = whole(w + _ridge_step(Gw, cw, w, lam))
         if model == "ridge" or imb(w_r) < base_imb:
             out_w, chosen = w_r, "ridge"
     l2 = imb(out_w)
@@ -202,48 +296,94 @@ def _solve_one(units: list, G: np.ndarray, S: list[int], gid: str, model: str, l
     return [(gid, units[d], float(out_w[k]), float(w[k]), l2, scaled, chosen) for k, d in enumerate(donors)]
 
 
+def _adjustment(Z: np.ndarray, donors: list[int], S: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """([1, Z] of the donors, summed [1, Z] of the treated), the covariates centred and scaled over the donors."""
+    mean, sd = Z[donors].mean(axis=0), Z[donors].std(axis=0)
+    z = (Z - mean) / np.where(sd > 0, sd, 1.0)
+    full = np.column_stack([np.ones(len(Z)), z])
+    return full[donors], full[S].sum(axis=0)
+
+
+def _ridge_step(G: np.ndarray, c: np.ndarray, w: np.ndarray, lam: float) -> np.ndarray:
+    return np.linalg.solve(G + lam * np.eye(len(c)), c - G @ w)
+
+
 def group_id(members: Sequence[str]) -> str:
     return "+".join(sorted(str(m) for m in members))
 
 
+GRAM, COVARIATE, MEMBER, LAMBDA = range(4)  # kinds of rows that a solve task reads
+
+
+def _of_kind(rows: DataFrame, kind: int, a: str, b, g, keys: Sequence[str]) -> DataFrame:
+    return rows.select(*keys, F.lit(kind).alias("kind"), F.col(a).cast("string").alias("a"), b.cast("string").alias("b"), g.cast("double").alias("g"))
+
+
+def covariate_means(panel_pre: DataFrame, covariates: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """keys, unit, covariate (its number), z: mean of each covariate over a unit's pre-period."""
+    means = panel_pre.groupBy(*keys, "unit").agg(*[F.avg(c).alias(f"_z{i}") for i, c in enumerate(covariates)])
+    items = F.array(*[F.struct(F.lit(i).alias("covariate"), F.col(f"_z{i}").alias("z")) for i in range(len(covariates))])
+    return means.select(*keys, "unit", F.explode(items).alias("s")).select(*keys, "unit", "s.covariate", "s.z")
+
+
 def synth_weights(gram: DataFrame, treated: Sequence[str] | None = None, model: str = "none",
                   lam_scale: float = 0.1, buckets: int | None = None, keys: Sequence[str] = (),
-                  groups: dict[str, Sequence[str]] | None = None) -> DataFrame:
+                  groups: DataFrame | None = None, covariates: DataFrame | None = None, lambdas: DataFrame | None = None) -> DataFrame:
     """Simplex-constrained weights (w >= 0, sum 1) for each treated unit against all other units.
 
-    ``treated`` None = every unit (in-space placebo).  ``model`` ``none`` (plain SC),
+    ``treated`` None = every unit (in-space placebo); ``groups`` (treated, unit): groups of units treated together.  ``model`` ``none`` (plain SC),
     ``ridge`` (ridge-augmented SC: w + (G + lambda I)^-1 (c - G w), from the Gram only) or
-    ``best`` (lower pre-period imbalance).  Output: keys, treated, donor, weight, sc_weight,
+    ``best`` (lower pre-period imbalance); ``lambdas`` (treated, lam) from :func:`ridge_lambdas`, else ``lam_scale`` of the mean diagonal.
+    ``covariates`` (:func:`covariate_means`) adjusts the weights.  Output: keys, treated, donor, weight, sc_weight,
     l2_imbalance, scaled_l2_imbalance (ratio to uniform weights), model.
     """
-    n_units = gram.select("a").distinct().count() if (treated is None and groups is None) or buckets is None else None
-    if groups is not None:
-        treated = list(groups)
-    n_treated = len(treated) if treated is not None else n_units
-    B = buckets or max(1, min(n_treated, 64))
+    keys = list(keys)
+    if buckets is None:
+        n = groups.select("treated").distinct().count() if groups is not None else len(treated) if treated is not None else gram.select("a").distinct().count()
+        buckets = n
+    B = max(1, min(buckets, 64))
     tset = None if treated is None else set(treated)
-    rep = gram.select("*", F.explode(F.sequence(F.lit(0), F.lit(B - 1))).alias("_bucket"))
+    common = [_of_kind(gram, GRAM, "a", F.col("b"), F.col("g"), keys)]
+    if covariates is not None:
+        common.append(_of_kind(covariates, COVARIATE, "unit", F.col("covariate"), F.col("z"), keys))
+    rep = reduce(DataFrame.unionByName, common).withColumn("_bucket", F.explode(F.sequence(F.lit(0), F.lit(B - 1))))
+    own = lambda df: df.withColumn("_bucket", F.pmod(F.crc32(F.col("a").cast("binary")), F.lit(B)).cast("int"))
+    everywhere = gram.select(*keys).distinct() if keys else None
+    for extra, kind, b, g in ((groups, MEMBER, F.col("unit") if groups is not None else None, F.lit(0.0)),
+                              (lambdas, LAMBDA, F.lit("") if lambdas is not None else None, F.col("lam") if lambdas is not None else None)):
+        if extra is not None:
+            if keys and not set(keys) <= set(extra.columns):  # the same in every key: a row a key and member
+                listed = everywhere.agg(F.collect_list(F.struct(*keys)).alias("_k")).withColumn("_one", F.pmod(F.xxhash64(F.size("_k")), F.lit(1)))
+                extra = extra.withColumn("_one", F.pmod(F.xxhash64("treated"), F.lit(1))).join(F.broadcast(listed), "_one").withColumn("_k", F.explode("_k")).select(
+                    *[c for c in extra.columns if c not in keys], *[F.col(f"_k.{k}").alias(k) for k in keys])
+            rep = rep.unionByName(own(_of_kind(extra, kind, "treated", b, g, keys)))
     key_fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in gram.schema.fields if f.name in keys)
     schema = (key_fields + ", " if key_fields else "") + WEIGHT_SCHEMA
+    grouped = groups is not None
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         bucket = int(pdf["_bucket"].iloc[0])
-        units = sorted(set(pdf["a"]).union(pdf["b"]))
+        of = {k: pdf[pdf["kind"] == k] for k in (GRAM, COVARIATE, MEMBER, LAMBDA)}
+        units = sorted(set(of[GRAM]["a"]).union(of[GRAM]["b"]))
         pos = {u: i for i, u in enumerate(units)}
         G = np.zeros((len(units), len(units)))
-        G[pdf["a"].map(pos).to_numpy(), pdf["b"].map(pos).to_numpy()] = pdf["g"].to_numpy()
+        G[of[GRAM]["a"].map(pos).to_numpy(), of[GRAM]["b"].map(pos).to_numpy()] = of[GRAM]["g"].to_numpy()
+        Z = None
+        if len(of[COVARIATE]):
+            z = of[COVARIATE][of[COVARIATE]["a"].isin(pos)]
+            Z = np.zeros((len(units), z["b"].astype(int).max() + 1))
+            Z[z["a"].map(pos).to_numpy(), z["b"].astype(int).to_numpy()] = z["g"].to_numpy()
+        lam = dict(zip(of[LAMBDA]["a"], of[LAMBDA]["g"], strict=True))
         rows = []
-        if groups is not None:
-            for gid, members in groups.items():
-                S = [pos[m] for m in members if m in pos]
-                if _stable_hash(gid) % B != bucket or not S or len(S) != len(members) or len(units) - len(S) < 1:
-                    continue
-                rows.extend(_solve_one(units, G, S, gid, model, lam_scale))
+        if grouped:
+            for gid, members in of[MEMBER].groupby("a")["b"]:
+                S = [pos[m] for m in sorted(set(members)) if m in pos]
+                if len(S) == len(set(members)) and len(units) > len(S):
+                    rows.extend(_solve_one(units, G, S, gid, model, lam_scale, Z, lam.get(gid)))
         else:
             for j, u in enumerate(units):
-                if (tset is not None and u not in tset) or (_stable_hash(u) % B) != bucket or len(units) < 2:
-                    continue
-                rows.extend(_solve_one(units, G, [j], u, model, lam_scale))
+                if (tset is None or u in tset) and _stable_hash(u) % B == bucket and len(units) >= 2:
+                    rows.extend(_solve_one(units, G, [j], u, model, lam_scale, Z, lam.get(u)))
         out = pd.DataFrame(rows, columns=["treated", "donor", "weight", "sc_weight", "l2_imbalance",
                                           "scaled_l2_imbalance", "model"])
         for i, k in enumerate(keys):
@@ -258,16 +398,84 @@ def _stable_hash(s: str) -> int:
     return zlib.crc32(str(s).encode())
 
 
+LAMBDAS, LEAST_RATIO = 20, 1e-8  # length of the penalty path, its last element over its first
+
+
+def penalty_path(G: np.ndarray) -> np.ndarray:
+    """Penalties from the largest eigenvalue of the donors' Gram down, evenly on a log scale."""
+    return max(float(np.linalg.eigvalsh(G)[-1]), 1e-300) * LEAST_RATIO ** (np.arange(LAMBDAS) / (LAMBDAS - 1))
+
+
+def ridge_errors(gram: DataFrame, panel_pre: DataFrame, treated: Sequence[str] | None = None, y: str = "y_fit") -> DataFrame:
+    """QX8: treated, idx, step, lam, error: squared error at a pre-period date of weights fitted without it, for every penalty of the path.
+
+    Leaving a date out takes the product of its values off the Gram, so each (date, penalty) is solved from the Gram and one vector of
+    unit values; dates are dealt out to the tasks."""
+    dates = panel_pre.select("idx").distinct().count()
+    B = max(1, min(dates, 64))
+    rep = _of_kind(gram, GRAM, "a", F.col("b"), F.col("g"), []).withColumn("idx", F.lit(-1)).withColumn("_bucket", F.explode(F.sequence(F.lit(0), F.lit(B - 1))))
+    values = panel_pre.select(F.lit(COVARIATE).alias("kind"), F.col("unit").alias("a"), F.lit("").alias("b"), F.col(y).alias("g"), F.col("idx").cast("int").alias("idx"),
+                              F.pmod(F.col("idx"), F.lit(B)).cast("int").alias("_bucket"))
+    tset = None if treated is None else set(treated)
+
+    def errors(pdf: pd.DataFrame) -> pd.DataFrame:
+        of, dated = pdf[pdf["kind"] == GRAM], pdf[pdf["kind"] == COVARIATE]
+        units = sorted(set(of["a"]).union(of["b"]))
+        pos = {u: i for i, u in enumerate(units)}
+        G = np.zeros((len(units), len(units)))
+        G[of["a"].map(pos).to_numpy(), of["b"].map(pos).to_numpy()] = of["g"].to_numpy()
+        out = []
+        for j, u in enumerate(units):
+            if tset is not None and u not in tset or len(units) < 3:
+                continue
+            donors = [i for i in range(len(units)) if i != j]
+            path = penalty_path(G[np.ix_(donors, donors)])
+            for idx, day in dated.groupby("idx"):
+                v = np.zeros(len(units))
+                v[day["a"].map(pos).to_numpy()] = day["g"].to_numpy()
+                Gt, ct = G[np.ix_(donors, donors)] - np.outer(v[donors], v[donors]), G[donors, j] - v[donors] * v[j]
+                w = simplex_ls(Gt, ct)
+                for step, lam in enumerate(path.tolist()):
+                    miss = v[j] - v[donors] @ (w + _ridge_step(Gt, ct, w, lam))
+                    out.append((u, int(idx), step, lam, float(miss * miss)))
+        return pd.DataFrame(out, columns=["treated", "idx", "step", "lam", "error"])
+
+    both = rep.select("_bucket", "kind", "a", "b", "g", "idx").unionByName(values.select("_bucket", "kind", "a", "b", "g", "idx"))
+    return both.groupBy("_bucket").applyInPandas(errors, "treated string, idx int, step int, lam double, error double")
+
+
+def ridge_lambdas(errors: DataFrame) -> DataFrame:
+    """treated, lam: the penalty with the least mean error over the dates left out (ties: the largest)."""
+    mean = errors.groupBy("treated", "step").agg(F.avg("error").alias("error"), F.max("lam").alias("lam"))
+    return mean.groupBy("treated").agg(F.min_by("lam", F.struct("error", "step")).alias("lam"))
+
+
 # GSYN: interactive fixed effects ---------------------------------------------------------------
 
-def gsyn_series(panel: DataFrame, treated: Sequence[str], p0: int, rank: int = 2) -> DataFrame:
+def _loo_rank(factors: np.ndarray, y: np.ndarray, most: int) -> int:
+    """Number of factors (0 to ``most``) with the least squared error over dates left out one at a time (ties: fewer)."""
+    best, chosen = float(np.mean(y * y)), 0
+    for r in range(1, min(most, len(y) - 1, factors.shape[1]) + 1):
+        f = factors[:, :r]
+        hat = f @ np.linalg.pinv(f)
+        room = 1.0 - np.diag(hat)
+        if (room < 1e-9).any():
+            break
+        error = float(np.mean(((y - hat @ y) / room) ** 2))
+        if error < best * (1 - 1e-12):
+            best, chosen = error, r
+    return chosen
+
+
+def gsyn_series(panel: DataFrame, treated: Sequence[str], p0: int, rank: int | None = None, most: int = 5) -> DataFrame:
     """QX8 ``gsyn``: generalized synthetic control (interactive fixed effects) counterfactual.
 
     Time factors are the top ``rank`` eigenvectors of the dates x dates Gram of the control
     units' (demeaned) series -- ``pair_moments`` with the roles of unit and date swapped, so
     no unit-by-unit rows are emitted; the treated unit's own outer product is subtracted in
     its solve task.  Loadings are fitted on the pre-period (positions < p0) and the
-    counterfactual is F * loading (+ the unit's pre-mean).  Returns (unit, idx, predicted).
+    counterfactual is F * loading (+ the unit's pre-mean).  ``rank`` None: the number of factors, up to ``most``, whose predictions of
+    pre-period dates left out of the fit are best.  Returns (unit, idx, predicted).
     """
     T_ = int(panel.agg(F.max("idx") + 1).collect()[0][0])
     swapped = panel.select(F.col("idx").cast("string").alias("unit"), F.col("unit").alias("date"), "y_fit")
@@ -294,7 +502,8 @@ def gsyn_series(panel: DataFrame, treated: Sequence[str], p0: int, rank: int = 2
                 continue
             Gc = G - np.outer(y, y)
             vals, vecs = np.linalg.eigh(Gc)
-            Fm = vecs[:, ::-1][:, :rank]
+            Fm = vecs[:, ::-1]
+            Fm = Fm[:, :_loo_rank(Fm[:p0], y[:p0], most) if rank is None else rank]
             lam, *_ = np.linalg.lstsq(Fm[:p0], y[:p0], rcond=None)
             pred = Fm @ lam + mu
             rows.extend((u, int(t), float(pred[t])) for t in range(T_))
@@ -306,7 +515,7 @@ def gsyn_series(panel: DataFrame, treated: Sequence[str], p0: int, rank: int = 2
 # Counterfactual series --------------------------------------------------------------------------
 
 def counterfactual(panel: DataFrame, weights: DataFrame, keys: Sequence[str] = (),
-                   groups: dict[str, Sequence[str]] | None = None) -> DataFrame:
+                   groups: DataFrame | None = None) -> DataFrame:
     """(keys, unit=treated, date, idx, observed, predicted): predicted = treated pre-mean +
     sum_d w_d * y_fit_d (fixed effects) or sum_d w_d * y_d; a join on the donor then a grouped sum.
     A treated group observes the sum of its members (membership table: one row per member)."""
@@ -314,9 +523,7 @@ def counterfactual(panel: DataFrame, weights: DataFrame, keys: Sequence[str] = (
     pred = (weights.select(*keys, "treated", "donor", "weight").join(donors, [*keys, "donor"])
             .groupBy(*keys, "treated", "date", "idx").agg(F.sum(F.col("weight") * F.col("yd")).alias("_p")))
     if groups is not None:
-        members = panel.sparkSession.createDataFrame([(g, m) for g, ms in groups.items() for m in ms],
-                                                     "treated string, unit string")
-        obs = (panel.join(F.broadcast(members), "unit")
+        obs = (panel.join(groups.select("treated", "unit"), "unit")
                .groupBy(*keys, "treated", "date").agg(F.sum("y").alias("observed"),
                                                       F.sum(F.coalesce("mu", F.lit(0.0))).alias("_mu")))
     else:
@@ -400,14 +607,19 @@ def effect_interval(shifts: DataFrame, alpha: float = 0.1, stat_test: str = "Tot
 
 # Impact -----------------------------------------------------------------------------------------
 
+def _unit_dates(df: DataFrame, date: str, unit: str, kpi: str, covariates: Sequence[str] = ()) -> DataFrame:
+    """unit, date, y (sum) and _c<i> (means) of the rows that have all of them."""
+    covs = [f"_c{i}" for i in range(len(covariates))]
+    rows = df.select(F.col(unit).cast("string").alias("unit"), F.to_date(F.col(date)).alias("date"), F.col(kpi).cast("double").alias("y"),
+                     *[F.col(c).cast("double").alias(n) for c, n in zip(covariates, covs, strict=True)])
+    return rows.dropna().groupBy("unit", "date").agg(F.sum("y").alias("y"), *[F.avg(c).alias(c) for c in covs])
+
+
 def prepare_panel(df: DataFrame, date: str, unit: str, kpi: str, start: str, duration: int | None = None,
-                  fixed_effects: bool = True) -> tuple[DataFrame, int, int, int]:
-    """Aggregate to (unit, date, y), drop units with gaps (TS8), index dates, add FE columns.  Returns (panel, p0, p1, T):
+                  fixed_effects: bool = True, covariates: Sequence[str] = ()) -> tuple[DataFrame, int, int, int]:
+    """Aggregate to (unit, date, y, covariates as _c<i>), drop units with gaps (TS8), index dates, add FE columns.  Returns (panel, p0, p1, T):
     post positions p0..p1 = the ``duration`` dates from the first date >= start."""
-    panel = (df.select(F.col(unit).cast("string").alias("unit"), F.to_date(F.col(date)).alias("date"),
-                       F.col(kpi).cast("double").alias("y"))
-             .dropna().groupBy("unit", "date").agg(F.sum("y").alias("y")))
-    panel = index_dates(complete_units(panel))
+    panel = index_dates(complete_units(_unit_dates(df, date, unit, kpi, covariates)))
     b = panel.agg(F.min(F.when(F.col("date") >= F.lit(start).cast("date"), F.col("idx"))).alias("p0"),
                   (F.max("idx") + 1).alias("T")).collect()[0]
     if b["p0"] is None or b["p0"] == 0:
@@ -423,19 +635,28 @@ def prepare_panel(df: DataFrame, date: str, unit: str, kpi: str, start: str, dur
 def synth_impact(df: DataFrame, date: str, unit: str, kpi: str, treated: Sequence[str] | None, start: str,
                  duration: int = 14, model: str = "none", alpha: float = 0.1, stat_test: str = "Total",
                  fixed_effects: bool = True, with_ci: bool = True,
-                 gsyn_rank: int = 2) -> dict[str, DataFrame]:
+                 gsyn_rank: int | None = None, covariates: Sequence[str] = (), lam_scale: float | None = None) -> dict[str, DataFrame]:
     """QX6: synthetic-control impact for the treated units (None = every unit, in-space placebo).
 
     Returns dict of DataFrames: ``weights``, ``series`` (TS13 layout), ``impact`` (one row per
     unit: ATT, its CI by inversion, incremental (cum) and its CI, percent lift and its CI
     (relative CI = cum bound / (cum / lift)), conformal p, alpha, significant, imbalance).
+
+    ``covariates``: columns whose pre-period means the weights are adjusted for (not with ``gsyn``).  The ridge penalty is chosen by leaving out pre-period
+    dates, unless ``lam_scale`` sets it; so is the number of factors of ``gsyn``, unless ``gsyn_rank`` does.
     """
-    panel, p0, p1, T_ = prepare_panel(df, date, unit, kpi, start, duration, fixed_effects)
+    panel, p0, p1, T_ = prepare_panel(df, date, unit, kpi, start, duration, fixed_effects, covariates)
     # the aggregated panel is read by several jobs (Gram, counterfactual, tests): write it once to
     # the shared checkpoint folder so the source aggregation is not repeated and lineage is cut
     panel = panel.checkpoint(eager=True)
-    gram = donor_gram(panel.filter(F.col("idx") < p0))
-    w = synth_weights(gram, treated, "none" if model == "gsyn" else model)
+    before = panel.filter(F.col("idx") < p0)
+    gram = donor_gram(before)
+    lambdas = None
+    if model in ("ridge", "best") and lam_scale is None:
+        gram = gram.checkpoint(eager=True)
+        lambdas = ridge_lambdas(ridge_errors(gram, before, treated))
+    z = covariate_means(before, [f"_c{i}" for i in range(len(covariates))]) if covariates and model != "gsyn" else None
+    w = synth_weights(gram, treated, "none" if model == "gsyn" else model, 0.1 if lam_scale is None else lam_scale, covariates=z, lambdas=lambdas)
     if model == "gsyn":
         units = treated if treated is not None else [r[0] for r in panel.select("unit").distinct().collect()]
         g = gsyn_series(panel, units, p0, rank=gsyn_rank)
@@ -493,26 +714,71 @@ def placebo_rank(impact_all: DataFrame, treated: str) -> DataFrame:
 
 # Power analysis / market selection ----------------------------------------------------------------
 
+def market_groups(panel: DataFrame, sizes: Sequence[int], candidates: Sequence[str] | None = None, similarity: DataFrame | None = None) -> DataFrame:
+    """treated (the members' names joined by ``+``), unit: a row a member of every group of markets to try.
+
+    For every size n, each market is grouped with the n - 1 markets most similar to it; equal groups count once.  ``similarity`` (unit, other,
+    rank) replaces the correlations (for instance ``neighbours(..., "dtw")``).  Groups with a market outside of ``candidates`` are left out."""
+    most = max(sizes)
+    near = similarity if similarity is not None else neighbours(panel, most - 1)
+    near = near.filter(F.col("rank") < most).groupBy("unit").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "other"))), lambda s: s["other"]).alias("near"))
+    units = panel.select("unit").distinct().join(near, "unit", "left")
+    near_ = F.coalesce("near", F.array().cast("array<string>"))
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("n"), F.array_sort(F.concat(F.array("unit"), F.slice(near_, 1, n - 1))).alias("members")) for n in sorted(set(sizes))]))
+    groups = units.select(each.alias("s")).filter(F.size("s.members") == F.col("s.n")).select(F.col("s.members").alias("members")).distinct()
+    if candidates is not None:
+        groups = groups.filter(F.size(F.array_except("members", F.array(*[F.lit(str(c)) for c in candidates]))) == 0)
+    return groups.select(F.array_join("members", "+").alias("treated"), F.explode("members").alias("unit"))
+
+
+def random_sums(s: DataFrame, length: int, ns: int, seed: int = 42, keys: Sequence[str] = ()) -> DataFrame:
+    """A, c, B of the observed window (shift 0) and of ``ns`` random choices of as many dates, from rows like those of :func:`cyclic_sums`.
+
+    One row a unit carries its series of dates to the draws, which follow from seed, keys and unit."""
+    keys = list(keys)
+    rows = (s.groupBy(*keys, "unit").agg(F.sort_array(F.collect_list(F.struct("idx", "u", "predicted"))).alias("s"), F.max("_p0").alias("_p0"))
+            .select(*keys, "unit", "_p0", F.col("s.u").alias("u"), F.col("s.predicted").alias("predicted")))
+    fields = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in rows.schema.fields if f.name in (*keys, "unit"))
+
+    def draw(frames):
+        for f in frames:
+            for r in f.to_dict("records"):
+                u, pred, p0 = np.asarray(r["u"], float), np.asarray(r["predicted"], float), int(r["_p0"])
+                rng = np.random.default_rng([seed, _stable_hash("|".join(str(r[k]) for k in [*keys, "unit"]))])
+                at = np.vstack([np.arange(p0, p0 + length), rng.random((ns, len(u))).argsort(axis=1)[:, :length]])
+                post = (at >= p0) & (at < p0 + length)
+                yield pd.DataFrame({**{k: r[k] for k in [*keys, "unit"]}, "shift": np.arange(ns + 1), "A": u[at].sum(axis=1), "c": post.sum(axis=1),
+                                    "B": np.where(post, pred[at], 0.0).sum(axis=1)})
+
+    return rows.mapInPandas(draw, fields + "shift int, A double, c long, B double")
+
+
 def market_power(df: DataFrame, date: str, unit: str, kpi: str, duration: int = 14, lookback: int = 1,
                  effects: Sequence[float] = (0.0, 0.1), alpha: float = 0.1, stat_test: str = "Total",
                  candidates: Sequence[str] | None = None, fixed_effects: bool = True, model: str = "none",
                  cutoff: str | None = None, cpic: float | None = None, budget: float | None = None,
-                 n_markets: int = 1) -> dict:
+                 n_markets: int | Sequence[int] = 1, covariates: Sequence[str] = (), side: str | None = None, normalize: bool = False,
+                 ns: int = 0, seed: int = 42, similarity: DataFrame | None = None) -> dict:
     """QX11: simulated power of every candidate market.
 
     Simulation k = 1..lookback places a ``duration``-period test window ending k-1 windows
     before the last date; weights are fitted on the periods before the window (Gram keyed by
-    k), the relative effect e is injected as e * predicted on the window, and the cyclic-shift
-    conformal test decides detection.  Power(c, e) = share of the k simulations with p < alpha.
+    k), the relative effect e is injected as e * predicted on the window, and the conformal test decides detection.
+    Power(c, e) = share of the k simulations with p < alpha.
     Everything is keyed by (k, candidate[, effect]) so the simulations run as parallel groups.
-    ``n_markets`` > 1 tests every combination of that many candidate markets treated together
-    (their summed series).
+    ``n_markets``: how many markets are treated together (their summed series), one number or several; beyond one, every market is grouped with
+    those most like it (:func:`market_groups`, ``similarity``).  ``side``: ``one_sided`` (for increases) or ``two_sided`` in place of ``stat_test``.
+    ``ns`` > 0 tests against that many random choices of dates instead of cyclic shifts.  ``normalize`` divides the outcome by its standard deviation
+    while the weights are found.  ``covariates`` are adjusted for as in :func:`synth_impact`.
     """
+    if side is not None:
+        stat_test = {"one_sided": "Positive", "two_sided": "Total"}[side]
     base = df if cutoff is None else df.filter(F.to_date(F.col(date)) < F.lit(cutoff).cast("date"))
-    panel = (base.select(F.col(unit).cast("string").alias("unit"), F.to_date(F.col(date)).alias("date"),
-                         F.col(kpi).cast("double").alias("y")).dropna()
-             .groupBy("unit", "date").agg(F.sum("y").alias("y")))
-    panel = index_dates(complete_units(panel))
+    panel = index_dates(complete_units(_unit_dates(base, date, unit, kpi, covariates)))
+    scale = 1.0
+    if normalize:
+        scale = panel.agg(F.stddev_samp("y")).first()[0] or 1.0
+        panel = panel.withColumn("y", F.col("y") / scale)
     T_ = int(panel.agg(F.max("idx") + 1).collect()[0][0])
     if T_ - lookback * duration <= 1:
         raise ValueError("not enough history for the requested lookback")
@@ -529,20 +795,19 @@ def market_power(df: DataFrame, date: str, unit: str, kpi: str, duration: int =
         pk = pk.select("*", F.lit(0.0).alias("mu"), F.col("y").alias("y_fit"))
     pk = pk.checkpoint(eager=True)  # read by the Gram, counterfactual and test jobs
     gram = donor_gram(pk.filter(pre), keys=["k"])
+    sizes = [n_markets] if isinstance(n_markets, int) else list(n_markets)
     groups = None
-    if n_markets > 1:
-        from itertools import combinations
-        pool = sorted(candidates) if candidates is not None else panel_units(panel)
-        groups = {group_id(c): list(c) for c in combinations(pool, n_markets)}
-    w = synth_weights(gram, candidates, model, keys=["k"], groups=groups,
-                      buckets=max(1, min(64, len(groups or candidates or []) or 16)))
+    if sizes != [1]:
+        groups = market_groups(panel.filter(F.col("idx") < T_ - lookback * duration), sizes, candidates, similarity).checkpoint(eager=True)
+    z = covariate_means(pk.filter(pre), [f"_c{i}" for i in range(len(covariates))], ["k"]) if covariates else None
+    w = synth_weights(gram, candidates, model, keys=["k"], groups=groups, covariates=z)
     series = counterfactual(pk, w, keys=["k"], groups=groups)
     series = series.select("*", (F.lit(T_) - F.col("k") * duration).alias("p0"),
                            (F.lit(T_) - (F.col("k") - 1) * duration - 1).alias("p1"))
     s = series.select("k", "unit", "idx", "observed", "predicted", "p0", "p1")
     # the injected effect e * predicted sits on post positions: B sums predicted over them
-    sh = cyclic_sums(s.select("k", "unit", "idx", (F.col("observed") - F.col("predicted")).alias("u"), "predicted",
-                              F.col("p0").alias("_p0"), (F.col("p1") + 1).alias("_T")), duration, ["k"])
+    rows = s.select("k", "unit", "idx", (F.col("observed") - F.col("predicted")).alias("u"), "predicted", F.col("p0").alias("_p0"), (F.col("p1") + 1).alias("_T"))
+    sh = random_sums(rows, duration, ns, seed, ["k"]) if ns > 0 else cyclic_sums(rows, duration, ["k"])
     grid = sh.select("*", F.explode(F.array(*[F.lit(float(e)) for e in effects])).alias("effect"))
     st = grid.select("k", "unit", "shift", "effect", _stat(F.col("A") + F.col("effect") * F.col("B"), stat_test).alias("S"))
     wv = Window.partitionBy("k", "unit", "effect")
@@ -556,14 +821,14 @@ def market_power(df: DataFrame, date: str, unit: str, kpi: str, duration: int =
     power = sim.groupBy(F.col("unit").alias("candidate"), "effect").agg(
         F.avg((F.col("p") < alpha).cast("double")).alias("power"),
         F.avg(detected_lift).alias("avg_detected_lift"),
-        F.avg(F.col("effect") * F.col("pred_post")).alias("avg_incremental"),
+        (F.avg(F.col("effect") * F.col("pred_post")) * scale).alias("avg_incremental"),
         F.count(F.lit(1)).alias("simulations"))
     if cpic is not None:
         power = power.withColumn("investment", F.lit(float(cpic)) * F.col("avg_incremental"))
         if budget is not None:
             power = power.withColumn("within_budget", F.col("investment") <= F.lit(float(budget)))
     imb = w.groupBy(F.col("treated").alias("candidate")).agg(F.avg("scaled_l2_imbalance").alias("scaled_l2_imbalance"),
-                                                             F.avg("l2_imbalance").alias("l2_imbalance"))
+                                                             (F.avg("l2_imbalance") * scale).alias("l2_imbalance"))
     return {"power": power.join(imb, "candidate", "left"), "weights": w, "panel": pk}
 
 

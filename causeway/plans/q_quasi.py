@@ -273,12 +273,111 @@ def qx18_directional(spark, sf_dir):
 
 @query("qx20_method_comparison")
 def qx20_method_comparison(spark, sf_dir):
-    """QX20/SNK4 comparison of the synthetic-control models (plain, ridge, best, interactive effects) for 'purchase'."""
+    """QX20/SNK4 comparison of plain and ridge-augmented synthetic control, each without and with a covariate, for 'purchase'."""
     d = v4_daily(spark, sf_dir)
     keep = ["method", "unit", "ate", "ate_lower", "ate_upper", "cum", "cum_lower", "cum_upper", "rel", "p_value"]
-    models = ["none", "ridge", "best", "gsyn"]
-    return S.method_comparison([S.synth_impact(d, "date", "unit", "y", ["purchase"], START_V4, duration=7, model=m)["impact"].select(*keep) for m in models],
-                               ["SC", "SC + ridge", "SC best", "SC interactive effects"])
+    runs = [(label + note, model, covs) for label, model in (("SC", "none"), ("SC + ridge", "ridge")) for note, covs in (("", ()), (", with covariate", ("n_events",)))]
+    return S.method_comparison([S.synth_impact(d, "date", "unit", "y", ["purchase"], START_V4, duration=7, model=m, covariates=c)["impact"].select(*keep) for _, m, c in runs],
+                               [label for label, _, _ in runs])
+
+
+def _three_units(spark, sf_dir):
+    """purchase and two donors: with one covariate their adjusted weights are the solution of two equations."""
+    return v4_daily(spark, sf_dir).withColumn("unit", F.when(F.col("unit") == "purchase", F.col("unit")).when(F.col("unit").isin("view", "click"), "a").otherwise("b"))
+
+
+@query("qx6_synth_covariate", sql=f"""WITH {SQL_V4_DAILY},
+w AS (SELECT CASE WHEN unit = 'purchase' THEN unit WHEN unit IN ('view', 'click') THEN 'a' ELSE 'b' END AS unit, date, sum(y) AS y, avg(n_events) AS x FROM v4d GROUP BY 1, 2),
+p AS (SELECT unit, date, y, x, dense_rank() OVER (ORDER BY date) - 1 AS idx FROM w),
+k AS (SELECT min(idx) FILTER (WHERE date >= DATE '{START_V4}') AS p0, max(idx) AS mx FROM p),
+kk AS (SELECT p0, least(p0 + 6, mx) AS p1 FROM k),
+m AS (SELECT unit, avg(y) AS mu, avg(x) AS z FROM p, kk WHERE idx < p0 GROUP BY unit),
+wt AS (SELECT (t.z - b.z) / (a.z - b.z) AS wa FROM m t, m a, m b WHERE t.unit = 'purchase' AND a.unit = 'a' AND b.unit = 'b'),
+f AS (SELECT p.unit, idx, y, y - mu AS yf, mu FROM p JOIN m ON p.unit = m.unit),
+s AS (SELECT t.idx, t.y AS obs, t.mu + wa * a.yf + (1 - wa) * b.yf AS pred, t.mu + 0.5 * a.yf + 0.5 * b.yf AS even
+  FROM f t JOIN f a ON t.idx = a.idx AND a.unit = 'a' JOIN f b ON t.idx = b.idx AND b.unit = 'b', wt, kk WHERE t.unit = 'purchase' AND t.idx <= kk.p1)
+SELECT 'purchase' AS unit, {sql_rnd('avg(CASE WHEN idx BETWEEN p0 AND p1 THEN obs - pred END)', 3)} AS ate,
+  {sql_rnd('sum(CASE WHEN idx BETWEEN p0 AND p1 THEN obs - pred END)', 3)} AS cum, {sql_rnd('max(wa)', 6)} AS weight_a,
+  {sql_rnd('sqrt(sum(CASE WHEN idx < p0 THEN (obs - pred) * (obs - pred) END))', 3)} AS l2_imbalance,
+  {sql_rnd('sqrt(sum(CASE WHEN idx < p0 THEN (obs - pred) * (obs - pred) END) / sum(CASE WHEN idx < p0 THEN (obs - even) * (obs - even) END))', 6)} AS scaled_l2_imbalance
+FROM s, kk, wt""")
+def qx6_synth_covariate(spark, sf_dir):
+    """QX6/QX13 with a covariate and two donors: adjusted weights, ATT, imbalance and its ratio to uniform weights (exact)."""
+    r = S.synth_impact(_three_units(spark, sf_dir), "date", "unit", "y", ["purchase"], START_V4, duration=7, with_ci=False, covariates=["n_events"])
+    w = r["weights"].filter("donor = 'a'").select(F.col("treated").alias("unit"), rnd("weight", 6).alias("weight_a"))
+    return r["impact"].join(w, "unit").select("unit", *[rnd(c, 3).alias(c) for c in ("ate", "cum")], "weight_a", rnd("l2_imbalance", 3).alias("l2_imbalance"),
+                                              rnd("scaled_l2_imbalance", 6).alias("scaled_l2_imbalance"))
+
+
+# QX11 / QX12 / QX14 with two markets: one donor each, so everything is exact --------------------------
+
+_POWER_EFFECTS = [0.0, 0.05, 0.1, 0.2, 0.4, 0.8, 1.6]
+_POWER_SQL = f"""{SQL_V4_DAILY},
+w AS (SELECT CASE WHEN unit = 'purchase' THEN unit ELSE 'other' END AS unit, date, sum(y) AS y FROM v4d GROUP BY 1, 2),
+p AS (SELECT unit, y, dense_rank() OVER (ORDER BY date) - 1 AS idx FROM w), t AS (SELECT max(idx) + 1 AS t FROM p),
+win AS (SELECT range AS k, t - range * 5 AS p0, t - (range - 1) * 5 - 1 AS p1 FROM range(1, 3), t),
+pk AS (SELECT p.*, k, p0, p1 FROM p JOIN win ON idx <= p1),
+mu AS (SELECT k, unit, avg(y) AS mu FROM pk WHERE idx < p0 GROUP BY 1, 2),
+f AS (SELECT pk.*, y - mu AS yf, mu FROM pk JOIN mu USING (k, unit)),
+s AS (SELECT a.k, a.unit, a.idx, a.p0, a.p1, a.y AS obs, b.yf + a.mu AS pred FROM f a JOIN f b ON a.k = b.k AND a.idx = b.idx AND a.unit <> b.unit),
+sh AS (SELECT s.k, s.unit, g.range AS shift, sum(CASE WHEN ((idx - g.range) % (p1 + 1) + (p1 + 1)) % (p1 + 1) BETWEEN p0 AND p1 THEN obs - pred ELSE 0 END) AS a,
+  sum(CASE WHEN idx BETWEEN p0 AND p1 AND ((idx - g.range) % (p1 + 1) + (p1 + 1)) % (p1 + 1) BETWEEN p0 AND p1 THEN pred ELSE 0 END) AS b
+  FROM s JOIN range(0, 10000) g ON g.range <= s.p1 GROUP BY 1, 2, 3),
+e AS (SELECT CAST(unnest({_POWER_EFFECTS}) AS DOUBLE) AS effect),
+st AS (SELECT k, unit, shift, effect, abs(a + effect * b) AS s FROM sh, e),
+pv AS (SELECT x.k, x.unit, x.effect, avg(CASE WHEN x.s >= z.s - 1e-12 THEN 1.0 ELSE 0.0 END) AS p
+  FROM st x JOIN st z ON x.k = z.k AND x.unit = z.unit AND x.effect = z.effect AND z.shift = 0 GROUP BY 1, 2, 3),
+pt AS (SELECT k, unit, sum(CASE WHEN idx >= p0 THEN pred END) AS pp, sum(CASE WHEN idx >= p0 THEN obs - pred END) AS rp,
+  sqrt(sum(CASE WHEN idx < p0 THEN (obs - pred) * (obs - pred) END)) AS l2 FROM s GROUP BY 1, 2),
+pw AS (SELECT unit AS candidate, effect, avg(CAST(p < 0.1 AS DOUBLE)) AS power, avg((rp + effect * pp) / pp) AS lift, avg(effect * pp) AS inc, avg(l2) AS l2, count(*) AS n
+  FROM pv JOIN pt USING (k, unit) GROUP BY 1, 2)"""
+
+
+def _power_two(spark, sf_dir):
+    return S.market_power(_two_units(spark, sf_dir), "date", "unit", "y", duration=5, lookback=2, effects=_POWER_EFFECTS, alpha=0.1, cpic=2.0, budget=5e4)["power"]
+
+
+@query("qx11_power_two_units", sql=f"""WITH {_POWER_SQL}
+SELECT candidate, effect, {sql_rnd('power', 6)} AS power, {sql_rnd('lift', 6)} AS avg_detected_lift, {sql_rnd('inc', 3)} AS avg_incremental,
+  {sql_rnd('2.0 * inc', 3)} AS investment, 2.0 * inc <= 5e4 AS within_budget, {sql_rnd('l2', 3)} AS l2_imbalance, n AS simulations FROM pw""")
+def qx11_power_two_units(spark, sf_dir):
+    """QX11/QX14 simulated power, detected lift, increment, investment and budget of two markets (weights exactly 1)."""
+    return _power_two(spark, sf_dir).select("candidate", "effect", rnd("power", 6).alias("power"), rnd("avg_detected_lift", 6).alias("avg_detected_lift"),
+                                            rnd("avg_incremental", 3).alias("avg_incremental"), rnd("investment", 3).alias("investment"), "within_budget",
+                                            rnd("l2_imbalance", 3).alias("l2_imbalance"), "simulations")
+
+
+@query("qx12_ranking_two_units", sql=f"""WITH {_POWER_SQL},
+m AS (SELECT candidate, min(effect) FILTER (effect > 0 AND power >= 0.8) AS mde, arg_min(lift, effect) FILTER (effect > 0 AND power >= 0.8) AS mde_detected_lift FROM pw GROUP BY 1)
+SELECT candidate, mde, {sql_rnd('mde_detected_lift', 6)} AS mde_detected_lift, false AS strong_fit,
+  CAST(row_number() OVER (ORDER BY mde NULLS LAST, candidate) AS INTEGER) AS rank FROM m""")
+def qx12_ranking_two_units(spark, sf_dir):
+    """QX12 minimum detectable effect at 80 % power and ranking of two markets (exact)."""
+    return S.rank_markets(_power_two(spark, sf_dir)).select("candidate", "mde", rnd("mde_detected_lift", 6).alias("mde_detected_lift"), "strong_fit", "rank")
+
+
+@query("qx11_market_sizes")
+def qx11_market_sizes(spark, sf_dir):
+    """QX11 groups of one to three nations, one-sided, against 200 random choices of months, outcome normalised (rows-only)."""
+    return S.market_power(_v5_balanced(spark, sf_dir), "date", "unit", "y", duration=3, lookback=1, effects=[0.0, 0.2], n_markets=[1, 2, 3], side="one_sided",
+                          ns=200, normalize=True, covariates=["n_orders"])["power"]
+
+
+@query("qx15_neighbours_corr", sql=f"""WITH {_V5_FILLED},
+c AS (SELECT a.unit, b.unit AS other, corr(a.y, b.y) AS score FROM f a JOIN f b ON a.date = b.date AND a.unit <> b.unit WHERE a.date < DATE '{START_V5}' GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY score DESC, other) AS rank FROM c)
+SELECT unit, other, {sql_rnd('score', 6)} AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 3""")
+def qx15_neighbours_corr(spark, sf_dir):
+    """QX15 the three nations most correlated with each nation."""
+    p = _v5_balanced(spark, sf_dir).filter(F.col("date") < F.lit(START_V5).cast("date"))
+    return S.neighbours(p, 3).select("unit", "other", rnd("score", 6).alias("score"), "rank")
+
+
+@query("qx15_neighbours_dtw")
+def qx15_neighbours_dtw(spark, sf_dir):
+    """QX15 the three nations nearest to each nation by warping distance within six months (rows-only)."""
+    p = _v5_balanced(spark, sf_dir).filter(F.col("date") < F.lit(START_V5).cast("date"))
+    return S.neighbours(p, 3, "dtw", window=6)
 
 
 # ARC1 / ARC3 ----------------------------------------------------------------------------------------
@@ -360,7 +459,7 @@ def snk3_series_roundtrip(spark, sf_dir):
 
 @query("qx11_market_power_pairs")
 def qx11_market_power_pairs(spark, sf_dir):
-    """QX11 with n_markets = 2: every pair of nations treated together (300 groups)."""
+    """QX11 with n_markets = 2: every nation treated together with the one most correlated with it."""
     r = S.market_power(_v5_balanced(spark, sf_dir), "date", "unit", "y", duration=3, lookback=2,
                        effects=[0.0, 0.1], alpha=0.1, n_markets=2)
     return r["power"]
