@@ -1,7 +1,8 @@
 """Saturated estimators from cell sums (EST4, EST5, EST7, EST10, EST11).
 
 With discrete confounders every estimator is a function of n, mean and variance of the outcome in each
-(confounder cell, treatment value): one grouped aggregate over one scan, with no join back to rows.
+(confounder cell, treatment value): one grouped aggregate over one scan, with no join back to rows.  The table of
+cells is written, as totals are joined back to it: no window spans all cells.
 Cells are grouped, so rows with a null confounder form cells of their own and are never lost.
 """
 
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import uniform
 from ..functions.dist import norm_ppf
+from ..session import written
 
 
 def arm_cells(df: DataFrame, treatment: str, outcome: str, cells: Sequence[str], keys: Sequence[str] = (), weight: str | None = None) -> DataFrame:
@@ -56,7 +58,7 @@ def iptw_cells(df: DataFrame, treatment: str, outcome: str, cells: Sequence[str]
 
     Horvitz-Thompson: SE of the mean of the weighted outcomes.  Hajek (``normalized``): SE from the centred
     influence terms w1 (y - mu1) / W1 and w0 (y - mu0) / W0."""
-    g = with_propensity(arm_cells(df, treatment, outcome, cells, keys, weight), [*keys, *cells])
+    g = with_propensity(written(arm_cells(df, treatment, outcome, cells, keys, weight), "cells"), [*keys, *cells])  # read for the totals, too
     inside = (F.col("e") > 0) & (F.col("e") < 1)
     g = g.withColumn("w", F.when(inside, F.when(F.col("t") == 1, F.lit(1.0) / F.col("e")).otherwise(F.lit(1.0) / (F.lit(1.0) - F.col("e")))))
     g = g.withColumn("s", F.when(F.col("t") == 1, 1.0).otherwise(-1.0))
@@ -77,7 +79,7 @@ def iptw_cells(df: DataFrame, treatment: str, outcome: str, cells: Sequence[str]
 
 def t_learner_cells(df: DataFrame, treatment: str, outcome: str, cells: Sequence[str], keys: Sequence[str] = (), weight: str | None = None) -> DataFrame:
     """EST10 / EST11: keys, estimate (mean ITE over rows of cells with both arms), ite_sd, n."""
-    g = arm_cells(df, treatment, outcome, cells, keys, weight)
+    g = written(arm_cells(df, treatment, outcome, cells, keys, weight), "cells")
     c = (g.groupBy(*keys, *cells).agg(F.sum("n").alias("n"), F.max(F.when(F.col("t") == 1, F.col("m"))).alias("m1"), F.max(F.when(F.col("t") == 0, F.col("m"))).alias("m0"))
          .select(*keys, "n", (F.col("m1") - F.col("m0")).alias("ite")).filter(F.col("ite").isNotNull()))
     c = _with_totals(c, keys, {"total": F.col("n") * F.col("ite"), "n_all": F.col("n")}).withColumn("mean", F.col("total") / F.col("n_all"))
@@ -91,7 +93,7 @@ def dml_cells(df: DataFrame, treatment: str, outcome: str, cells: Sequence[str],
 
     Folds come from md5 uniforms of ``row_id``.  A cell unseen in the other folds takes their grand mean."""
     fold = F.floor(uniform(F.col(row_id), F.lit(seed), F.lit("fold")) * k).cast("int")
-    g = arm_cells(df.withColumn("_fold", fold), treatment, outcome, ["_fold", *cells], keys, weight)
+    g = written(arm_cells(df.withColumn("_fold", fold), treatment, outcome, ["_fold", *cells], keys, weight), "cells")
     n, t, m = F.col("n"), F.col("t"), F.col("m")
     sums = {"cn": n, "cy": n * m, "ct": n * t}
     by_fold = _with_totals(g.groupBy("_fold").agg(*[F.sum(e).alias(c) for c, e in {"n": n, "fy": n * m, "ft": n * t}.items()]), [],

@@ -260,7 +260,7 @@ def bootstrap(df: DataFrame, method: str, treatment: str, outcome: str, confound
 def original_effect(df: DataFrame, method: str, treatment: str, outcome: str, confounders: Sequence[str], row_id: str, **options) -> DataFrame:
     """One row with the method's ``estimate`` over all rows."""
     rows, xs = rows_of(df, method, treatment, outcome, confounders, row_id, (), options.pop("bins", forest.BINS))
-    return effects(rows.withColumn("_all", F.when(F.col("_t").isNotNull(), 1)), method, xs, ["_all"], **options).select("estimate")
+    return effects(rows.withColumn("_all", F.pmod(F.xxhash64("_id"), F.lit(1))), method, xs, ["_all"], **options).select("estimate")
 
 
 # REF1 / REF2 --------------------------------------------------------------------------------------
