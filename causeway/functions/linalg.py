@@ -86,19 +86,21 @@ def project_simplex(v: np.ndarray) -> np.ndarray:
     return np.maximum(v - theta, 0.0)
 
 
-def simplex_ls(G: np.ndarray, c: np.ndarray, iters: int = 20000, tol: float = 1e-12) -> np.ndarray:
+def simplex_ls(G: np.ndarray, c: np.ndarray, iters: int = 20000, tol: float = 1e-12, start: np.ndarray | None = None, top: float | None = None
+               ) -> np.ndarray:
     """Minimise w'Gw - 2c'w over the probability simplex (accelerated projected gradient).
 
-    ``G`` = Y_D'Y_D (donor Gram over the pre period), ``c`` = Y_D'y_treated.
+    ``G`` = Y_D'Y_D (donor Gram over the pre period), ``c`` = Y_D'y_treated.  ``start``: weights to start from
+    (equal ones otherwise); ``top``: the largest eigenvalue of G where it is known.
     """
     k = G.shape[0]
     if k == 1:
         return np.ones(1)
-    L = 2.0 * float(np.linalg.eigvalsh(G)[-1])
+    L = 2.0 * float(np.linalg.eigvalsh(G)[-1] if top is None else top)
     if not np.isfinite(L) or L <= 0:
         return np.full(k, 1.0 / k)
     step = 1.0 / L
-    w = np.full(k, 1.0 / k)
+    w = np.full(k, 1.0 / k) if start is None else start.copy()
     z = w.copy()
     tk = 1.0
     f_old = float(w @ G @ w - 2 * c @ w)

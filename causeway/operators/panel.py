@@ -73,6 +73,29 @@ def daily_regularize(df: DataFrame, date: str, value_cols: Sequence[str], unit:
     return j.select(*keys, date, *[F.last(c, ignorenulls=True).over(w).alias(c) for c in value_cols])
 
 
+def causal_series(df: DataFrame, date: str, outcome: str, unit: str | None = None, treated=None, use_panel: bool = False,
+                  covariates: Sequence[str] = ()) -> DataFrame:
+    """TS1-TS5 in one: the daily series that an impact analysis reads, the outcome first, gaps filled forward.
+
+    Without ``unit`` and ``treated``: means over all rows (TS1); with them: means over the treated unit (TS2), or with ``use_panel`` a column
+    per unit, the treated one first (TS3), and the treated unit's covariate means (TS4).  Dates are cut to days first, rows without a
+    date take no part; raises :class:`PanelError` where the treated unit is absent or a covariate has the name of a unit."""
+    rows = df.withColumn(date, F.to_date(F.col(date)))
+    if unit is None or treated is None:
+        s = aggregate_series(rows, date, outcome, covariates)
+    elif not use_panel:
+        s = unit_series(rows, date, unit, treated, outcome, covariates)
+    else:
+        s = panel_pivot(rows, date, unit, outcome, treated)
+        clash = sorted(set(covariates) & set(s.columns))
+        if clash:
+            raise PanelError(f"Covariates with the name of a unit or of the date: {clash}")
+        s = join_treated_covariates(s, rows, date, unit, treated, covariates) if covariates else s
+    names = s.columns  # the names of units may hold dots and quotes
+    values = [f"_v{i}" for i in range(1, len(names))]
+    return daily_regularize(s.toDF(date, *values), date, values).toDF(*names)
+
+
 def fill_both(df: DataFrame, date: str, value_cols: Sequence[str], unit: str | None = None) -> DataFrame:
     """Forward fill then backward fill along dates (per unit)."""
     keys = [unit] if unit else []

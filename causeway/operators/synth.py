@@ -312,7 +312,7 @@ def group_id(members: Sequence[str]) -> str:
     return "+".join(sorted(str(m) for m in members))
 
 
-GRAM, COVARIATE, MEMBER, LAMBDA = range(4)  # kinds of rows that a solve task reads
+GRAM, COVARIATE, MEMBER, LAMBDA, POST, STEP = range(6)  # kinds of rows that a solve task reads
 
 
 def _of_kind(rows: DataFrame, kind: int, a: str, b, g, keys: Sequence[str]) -> DataFrame:
@@ -605,6 +605,88 @@ def effect_interval(shifts: DataFrame, alpha: float = 0.1, stat_test: str = "Tot
     return s.groupBy(*keys, "unit").agg(*out)
 
 
+# Conformal test with weights refitted under each null -----------------------------------------------
+
+GRID, STEPS_AT_ONCE = 250, 32  # effects of the grid; neighbouring ones that a task solves in one go
+
+
+def effect_grid(att: DataFrame, grid_size: int = GRID, span: float = 4.0) -> DataFrame:
+    """treated, step, theta: ``grid_size`` effects evenly around the estimate of a unit, wide enough to hold 0 and ``span`` times the spread of
+    its pre-period residuals (``att``: unit, ate, scale); step -1 is the effect 0."""
+    half = F.abs("ate") + F.lit(float(span)) * F.coalesce("scale", F.lit(0.0))
+    theta = F.when(F.col("step") < 0, 0.0).otherwise(F.col("ate") + half * (F.col("step") * (2.0 / max(grid_size - 1, 1)) - 1.0))
+    steps = F.explode(F.sequence(F.lit(-1), F.lit(grid_size - 1))).alias("step")
+    return att.filter(F.col("ate").isNotNull()).select("unit", "ate", "scale", steps).select(F.col("unit").alias("treated"), "step", theta.alias("theta"))
+
+
+def null_weights(gram: DataFrame, post_sums: DataFrame, grid: DataFrame, buckets: int = 64) -> DataFrame:
+    """treated, step, theta, donor, weight (> 0): simplex weights for the treated series less theta in the post period.
+
+    Over the whole period the Gram of the donors does not depend on theta, and their products with the treated series are affine in it:
+    c - theta * d, d = a donor's sum over the post period (``post_sums``: unit, d).  So a step needs one vector and starts from the
+    weights of the step before; units and stretches of steps are dealt out to the tasks."""
+    B = max(1, min(buckets, 64))
+    shared = _of_kind(gram, GRAM, "a", F.col("b"), F.col("g"), []).unionByName(_of_kind(post_sums, POST, "unit", F.lit(""), F.col("d"), []))
+    shared = shared.withColumn("_bucket", F.explode(F.sequence(F.lit(0), F.lit(B - 1))))
+    stretch = F.pmod(F.xxhash64("treated", F.floor(F.col("step") / STEPS_AT_ONCE)), F.lit(B)).cast("int")
+    asked = grid.select(F.lit(STEP).alias("kind"), F.col("treated").alias("a"), F.col("step").cast("string").alias("b"), F.col("theta").alias("g"), stretch.alias("_bucket"))
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        of = {k: pdf[pdf["kind"] == k] for k in (GRAM, POST, STEP)}
+        units = sorted(set(of[GRAM]["a"]))
+        pos = {u: i for i, u in enumerate(units)}
+        G, d = np.zeros((len(units), len(units))), np.zeros(len(units))
+        G[of[GRAM]["a"].map(pos).to_numpy(), of[GRAM]["b"].map(pos).to_numpy()] = of[GRAM]["g"].to_numpy()
+        d[of[POST]["a"].map(pos).to_numpy()] = of[POST]["g"].to_numpy()
+        steps = of[STEP].assign(step=of[STEP]["b"].astype(int)).sort_values(["a", "step"])
+        rows = []
+        for u, mine in steps.groupby("a", sort=False):
+            if u not in pos or len(units) < 2:
+                continue
+            donors = [i for i in range(len(units)) if i != pos[u]]
+            Gd, c = G[np.ix_(donors, donors)], G[donors, pos[u]]
+            top, w, last = float(np.linalg.eigvalsh(Gd)[-1]), None, None
+            for step, theta in zip(mine["step"].tolist(), mine["g"].tolist(), strict=True):
+                if last is None or step // STEPS_AT_ONCE != last // STEPS_AT_ONCE:
+                    w = None  # a stretch starts afresh, whichever others the task holds
+                w, last = simplex_ls(Gd, c - theta * d[donors], start=w, top=top), step
+                rows.extend((u, step, theta, units[i], float(w[k])) for k, i in enumerate(donors) if w[k] > 0)
+        return pd.DataFrame(rows, columns=["treated", "step", "theta", "donor", "weight"])
+
+    both = shared.select("_bucket", "kind", "a", "b", "g").unionByName(asked.select("_bucket", "kind", "a", "b", "g"))
+    return both.groupBy("_bucket").applyInPandas(solve, "treated string, step int, theta double, donor string, weight double")
+
+
+def refit_tests(panel: DataFrame, p0: int, p1: int, grid: DataFrame, stat_test: str = "Total", fixed_effects: bool = True, buckets: int = 64) -> DataFrame:
+    """QX9 with refit: unit, step, theta, p_value, n_shifts.
+
+    Under each null the effect theta is taken off the treated unit's post period, the weights are fitted to all periods 0..p1 (fixed effects:
+    means of all of them), and the cyclic shifts of the residuals give the p-value."""
+    whole = panel.filter(F.col("idx") <= p1).select("unit", "date", "idx", "y")
+    whole = with_fixed_effects(whole, F.lit(True)) if fixed_effects else whole.withColumn("y_fit", F.col("y"))
+    post = _post_flag(F.col("idx"), F.lit(p0), F.lit(p1))
+    sums = whole.groupBy("unit").agg(F.sum(F.when(post, F.col("y_fit")).otherwise(0.0)).alias("d"))
+    w = null_weights(donor_gram(whole), sums, grid, buckets)
+    donors = whole.select(F.col("unit").alias("donor"), "idx", F.col("y_fit").alias("yd"))
+    fitted = w.join(donors, "donor").groupBy("treated", "step", "theta", "idx").agg(F.sum(F.col("weight") * F.col("yd")).alias("predicted"))
+    own = whole.select(F.col("unit").alias("treated"), "idx", "y_fit")
+    share = (p1 - p0 + 1) / (p1 + 1) if fixed_effects else 0.0
+    u = F.col("y_fit") - F.col("theta") * (F.when(post, 1.0).otherwise(0.0) - F.lit(share)) - F.col("predicted")
+    rows = fitted.join(own, ["treated", "idx"]).select("step", "theta", F.col("treated").alias("unit"), "idx", u.alias("u"), "predicted",
+                                                       F.lit(p0).alias("_p0"), F.lit(p1 + 1).alias("_T"))
+    return conformal_pvalue(cyclic_sums(rows, p1 - p0 + 1, ["step", "theta"]), stat_test, ["step", "theta"])
+
+
+def refit_interval(tests: DataFrame, alpha: float = 0.1) -> DataFrame:
+    """unit, p_value (of no effect), n_shifts, ate_lower, ate_upper: the least and the greatest effect of the grid whose test keeps it at level alpha;
+    null where that is an end of the grid (no bound found) or no effect is kept."""
+    kept = (F.col("step") >= 0) & (F.col("p_value") >= alpha - 1e-12)
+    g = tests.groupBy("unit").agg(F.max(F.when(F.col("step") < 0, F.col("p_value"))).alias("p_value"), F.max("n_shifts").alias("n_shifts"), F.max("step").alias("_last"),
+                                  F.min(F.when(kept, F.struct("step", "theta"))).alias("_lo"), F.max(F.when(kept, F.struct("step", "theta"))).alias("_hi"))
+    return g.select("unit", "p_value", "n_shifts", F.when(F.col("_lo.step") > 0, F.col("_lo.theta")).alias("ate_lower"),
+                    F.when(F.col("_hi.step") < F.col("_last"), F.col("_hi.theta")).alias("ate_upper"))
+
+
 # Impact -----------------------------------------------------------------------------------------
 
 def _unit_dates(df: DataFrame, date: str, unit: str, kpi: str, covariates: Sequence[str] = ()) -> DataFrame:
@@ -635,7 +717,8 @@ def prepare_panel(df: DataFrame, date: str, unit: str, kpi: str, start: str, dur
 def synth_impact(df: DataFrame, date: str, unit: str, kpi: str, treated: Sequence[str] | None, start: str,
                  duration: int = 14, model: str = "none", alpha: float = 0.1, stat_test: str = "Total",
                  fixed_effects: bool = True, with_ci: bool = True,
-                 gsyn_rank: int | None = None, covariates: Sequence[str] = (), lam_scale: float | None = None) -> dict[str, DataFrame]:
+                 gsyn_rank: int | None = None, covariates: Sequence[str] = (), lam_scale: float | None = None, refit: bool = False,
+                 grid_size: int = GRID) -> dict[str, DataFrame]:
     """QX6: synthetic-control impact for the treated units (None = every unit, in-space placebo).
 
     Returns dict of DataFrames: ``weights``, ``series`` (TS13 layout), ``impact`` (one row per
@@ -644,7 +727,12 @@ def synth_impact(df: DataFrame, date: str, unit: str, kpi: str, treated: Sequenc
 
     ``covariates``: columns whose pre-period means the weights are adjusted for (not with ``gsyn``).  The ridge penalty is chosen by leaving out pre-period
     dates, unless ``lam_scale`` sets it; so is the number of factors of ``gsyn``, unless ``gsyn_rank`` does.
+
+    ``refit`` (plain weights without covariates): the p-value and the interval come from weights fitted under each null of a grid of ``grid_size``
+    effects (:func:`refit_tests`), returned as ``tests``, instead of from the residuals of one fit.
     """
+    if refit and (model != "none" or covariates):
+        raise ValueError("refit is for plain synthetic control without covariates")
     panel, p0, p1, T_ = prepare_panel(df, date, unit, kpi, start, duration, fixed_effects, covariates)
     # the aggregated panel is read by several jobs (Gram, counterfactual, tests): write it once to
     # the shared checkpoint folder so the source aggregation is not repeated and lineage is cut
@@ -673,7 +761,9 @@ def synth_impact(df: DataFrame, date: str, unit: str, kpi: str, treated: Sequenc
         F.sum(F.when(post, F.col("predicted"))).alias("pred_post"), F.sum(F.when(post, 1)).alias("n_post"),
         F.sqrt(F.avg(F.when(~post, eff * eff))).alias("scale"))
     shifts = shift_sums(series.select("unit", "idx", "observed", "predicted"), p0, p1, n_periods=p1 + 1)
-    pv = conformal_pvalue(shifts, stat_test)
+    tests = refit_tests(panel, p0, p1, effect_grid(att, grid_size if with_ci else 1), stat_test, fixed_effects).checkpoint(eager=True) if refit else None
+    under_null = refit_interval(tests, alpha) if refit else None
+    pv = under_null.select("unit", "p_value", "n_shifts") if refit else conformal_pvalue(shifts, stat_test)
     if model == "gsyn":  # pre-period fit of the factor model; scaled by the plain SC's uniform-weight imbalance
         pre_sq = series.filter(F.col("idx") < p0).groupBy("unit").agg(
             F.sqrt(F.sum((F.col("observed") - F.col("predicted")) ** 2)).alias("l2_imbalance"))
@@ -686,7 +776,7 @@ def synth_impact(df: DataFrame, date: str, unit: str, kpi: str, treated: Sequenc
                                                             F.first("scaled_l2_imbalance").alias("scaled_l2_imbalance"))
     out = att.join(pv, "unit").join(imb, "unit")
     if with_ci:
-        ci = effect_interval(shifts, alpha, stat_test)
+        ci = under_null.select("unit", "ate_lower", "ate_upper") if refit else effect_interval(shifts, alpha, stat_test)
         out = out.join(ci, "unit", "left")
     else:
         out = out.select("*", F.lit(None).cast("double").alias("ate_lower"), F.lit(None).cast("double").alias("ate_upper"))
@@ -699,7 +789,7 @@ def synth_impact(df: DataFrame, date: str, unit: str, kpi: str, treated: Sequenc
         (F.try_divide(F.col("ate_upper") * F.col("n_post"), ratio) * 100).alias("rel_upper"),
         "p_value", F.lit(float(alpha)).alias("alpha"), (F.col("p_value") < alpha).alias("significant"),
         "l2_imbalance", "scaled_l2_imbalance", F.lit(None).cast("string").alias("error"))
-    return {"weights": w, "series": series, "impact": impact, "panel": panel, "shifts": shifts}
+    return {"weights": w, "series": series, "impact": impact, "panel": panel, "shifts": shifts} | ({"tests": tests} if refit else {})
 
 
 def placebo_rank(impact_all: DataFrame, treated: str) -> DataFrame:

@@ -150,6 +150,40 @@ def ts5_daily_ffill(spark, sf_dir):
     return r.select("unit", "date", rnd("y", 4).alias("y"))
 
 
+def _daily_sql(ctes: str, values: dict[str, int]) -> str:
+    """Daily spine of the series ``r`` with every value (name: decimals) filled forward."""
+    filled = ", ".join(f"{sql_rnd(f'last_value({c} IGNORE NULLS) OVER (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)', n)} AS {c}" for c, n in values.items())
+    return f"""WITH {ctes}, b AS (SELECT min(date) AS lo, max(date) AS hi FROM r),
+d AS (SELECT CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS date FROM b),
+j AS (SELECT d.date, {', '.join(f'r.{c}' for c in values)} FROM d LEFT JOIN r ON d.date = r.date)
+SELECT date, {filled} FROM j"""
+
+
+@query("ts_series_panel", sql=_daily_sql(f"""{SQL_V4},
+w AS (SELECT date, """ + ", ".join(f"sum(CASE WHEN event_type = '{t}' THEN value END) AS {t}" for t in _TYPES) + """ FROM v4 GROUP BY date),
+c AS (SELECT date, avg(user_id) AS user_id FROM v4 WHERE event_type = 'purchase' GROUP BY date),
+r AS (SELECT w.*, user_id FROM w LEFT JOIN c ON w.date = c.date)""", {**dict.fromkeys(_TYPES, 4), "user_id": 6}))
+def ts_series_panel(spark, sf_dir):
+    """TS3 + TS4 + TS5 in one: a column per event type, purchase first, its covariate, daily."""
+    s = TS.causal_series(table(spark, sf_dir, "events"), "ts", "value", "event_type", "purchase", True, ["user_id"])
+    return s.select(F.col("ts").alias("date"), *[rnd(t, 4).alias(t) for t in _TYPES], rnd("user_id", 6).alias("user_id"))
+
+
+@query("ts_series_unit", sql=_daily_sql(f"""{SQL_V5},
+r AS (SELECT date, avg(o_totalprice) AS o_totalprice, avg(o_orderkey) AS o_orderkey FROM v5 WHERE unit = 'NATION_0' GROUP BY date)""", {"o_totalprice": 4, "o_orderkey": 4}))
+def ts_series_unit(spark, sf_dir):
+    """TS2 + TS5 in one: monthly means of one nation, filled to days."""
+    s = TS.causal_series(v5_orders(spark, sf_dir), "date", "o_totalprice", "unit", "NATION_0", covariates=["o_orderkey"])
+    return s.select("date", *[rnd(c, 4).alias(c) for c in ("o_totalprice", "o_orderkey")])
+
+
+@query("ts_series_all", sql=_daily_sql(f"""{SQL_V5}, r AS (SELECT date, avg(o_totalprice) AS o_totalprice FROM v5 GROUP BY date)""", {"o_totalprice": 4}))
+def ts_series_all(spark, sf_dir):
+    """TS1 + TS5 in one: monthly means of all orders, filled to days."""
+    s = TS.causal_series(v5_orders(spark, sf_dir), "date", "o_totalprice")
+    return s.select("date", rnd("o_totalprice", 4).alias("o_totalprice"))
+
+
 @query("ts6_bayes_panel", sql=f"""WITH g AS (SELECT user_id AS unit, CAST(ts AS DATE) AS date, avg(value) AS y
   FROM events GROUP BY 1, 2),
 c AS (SELECT CAST(ts AS DATE) AS date, avg(event_id) AS cov FROM events GROUP BY 1),

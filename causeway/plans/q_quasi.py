@@ -168,6 +168,44 @@ def qx10_unbounded_interval(spark, sf_dir):
     return _inverted(spark, sf_dir, 0.03)
 
 
+_REFIT = 51  # effects of the grid
+
+_REFIT_SQL = f"""{_TWO_UNITS},
+e AS (SELECT ate, abs(ate) + 4.0 * scale AS half FROM (SELECT avg(CASE WHEN post = 1 THEN obs - pred END) AS ate, sqrt(avg(CASE WHEN post = 0 THEN (obs - pred) * (obs - pred) END)) AS scale
+  FROM s WHERE unit = 'purchase')),
+g AS (SELECT CAST(range AS INTEGER) AS step, CASE WHEN range < 0 THEN 0.0 ELSE ate + half * (range * (2.0 / {_REFIT - 1}) - 1.0) END AS theta FROM range(-1, {_REFIT}), e),
+df AS (SELECT t.idx, CASE WHEN t.idx >= kk.p0 THEN 1 ELSE 0 END AS post, t.y - d.y AS y FROM p t JOIN p d ON t.idx = d.idx AND t.unit = 'purchase' AND d.unit = 'other', kk WHERE t.idx <= kk.p1),
+u AS (SELECT step, theta, idx, y - avg(y) OVER (PARTITION BY step) - theta * (post - avg(post) OVER (PARTITION BY step)) AS u FROM df, g),
+sh AS (SELECT step, theta, r.range AS shift, sum(CASE WHEN ((u.idx - r.range) % (kk.p1 + 1) + (kk.p1 + 1)) % (kk.p1 + 1) BETWEEN kk.p0 AND kk.p1 THEN u ELSE 0 END) AS a
+  FROM u, kk, range(0, (SELECT p1 + 1 FROM kk)) r GROUP BY 1, 2, 3),
+pv AS (SELECT sh.step, sh.theta, avg(CASE WHEN abs(sh.a) >= abs(z.a) - 1e-12 THEN 1.0 ELSE 0.0 END) AS p FROM sh JOIN sh z ON z.step = sh.step AND z.shift = 0 GROUP BY 1, 2)"""
+
+
+def _refitted(spark, sf_dir):
+    return S.synth_impact(_two_units(spark, sf_dir), "date", "unit", "y", ["purchase"], START_V4, duration=7, refit=True, grid_size=_REFIT)
+
+
+@query("qx9_refit_tests", sql=f"""WITH {_REFIT_SQL} SELECT 'purchase' AS unit, step, {sql_rnd('theta', 3)} AS theta, {sql_rnd('p', 6)} AS p_value FROM pv""")
+def qx9_refit_tests(spark, sf_dir):
+    """QX9 p-value of every effect of a grid, the fit made anew under each null over all periods (weights exactly 1)."""
+    return _refitted(spark, sf_dir)["tests"].select("unit", "step", rnd("theta", 3).alias("theta"), rnd("p_value", 6).alias("p_value"))
+
+
+@query("qx9_refit_interval", sql=f"""WITH {_REFIT_SQL},
+b AS (SELECT min(step) AS lo, max(step) AS hi FROM pv WHERE step >= 0 AND p >= 0.1 - 1e-12)
+SELECT 'purchase' AS unit, {sql_rnd('(SELECT p FROM pv WHERE step = -1)', 6)} AS p_value, {sql_rnd('(SELECT ate FROM e)', 3)} AS ate,
+  {sql_rnd('(SELECT theta FROM pv JOIN b ON step = lo WHERE lo > 0)', 3)} AS ate_lower, {sql_rnd(f'(SELECT theta FROM pv JOIN b ON step = hi WHERE hi < {_REFIT - 1})', 3)} AS ate_upper""")
+def qx9_refit_interval(spark, sf_dir):
+    """QX9/QX10 p-value of no effect and the interval kept by the refitted tests."""
+    return _refitted(spark, sf_dir)["impact"].select("unit", rnd("p_value", 6).alias("p_value"), *[rnd(c, 3).alias(c) for c in ("ate", "ate_lower", "ate_upper")])
+
+
+@query("qx9_refit_nations")
+def qx9_refit_nations(spark, sf_dir):
+    """QX9 with refit for NATION_0 against all other nations, 250 effects (impact schema)."""
+    return S.synth_impact(_v5_balanced(spark, sf_dir), "date", "unit", "y", ["NATION_0"], START_V5, duration=12, refit=True)["impact"]
+
+
 @query("qx19_placebo_in_space")
 def qx19_placebo_in_space(spark, sf_dir):
     """QX19 every nation as pseudo-treated; rank of NATION_0 among all units."""

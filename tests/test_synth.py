@@ -146,3 +146,69 @@ def test_power_with_random_choices_of_dates(spark):
     assert all(abs(plain[k].avg_incremental - scaled[k].avg_incremental) < 1e-2 * (1 + abs(plain[k].avg_incremental)) and plain[k].power == scaled[k].power for k in plain)
     none = run(side="one_sided", alpha=0.3)
     assert sum(r.power for (_, e), r in none.items() if e == 0.0) <= 5
+
+
+def refit_by_hand(Y, j, theta, p0, T):
+    """p-value of the effect theta: two donors, so the weight is a projection cut to [0, 1]."""
+    post = (np.arange(T) >= p0).astype(float)
+    own = Y[j, :T] - theta * post
+    own = own - own.mean()
+    a, b = (Y[i, :T] - Y[i, :T].mean() for i in range(3) if i != j)
+    w = np.clip((own - b) @ (a - b) / ((a - b) @ (a - b)), 0, 1)
+    u = own - w * a - (1 - w) * b
+    sums = np.array([abs(u[(np.arange(p0, T) + s) % T].sum()) for s in range(T)])
+    return (sums >= sums[0] - 1e-9).mean()
+
+
+@pytest.mark.parametrize("treated", [["u1"], None])
+def test_weights_refitted_under_each_null(spark, treated):
+    Y, _ = series(n=3, seed=4)
+    Y[1, P0:] += 25.0
+    r = synth.synth_impact(frame(spark, Y), "date", "unit", "y", treated, "2024-01-31", duration=10, refit=True, grid_size=41)
+    rows = r["tests"].collect()
+    assert len(rows) == 42 * (1 if treated else 3) and all(x.n_shifts == 40 for x in rows)
+    for x in rows:
+        assert abs(x.p_value - refit_by_hand(Y, int(x.unit[1:]), x.theta, P0, 40)) < 1e-9
+    impact = {x.unit: x for x in r["impact"].collect()}["u1"]
+    mine = {x.step: x for x in rows if x.unit == "u1"}
+    kept = [s for s, x in mine.items() if s >= 0 and x.p_value >= 0.1]
+    assert impact.p_value == mine[-1].p_value < 0.1 and mine[-1].theta == 0.0
+    assert impact.ate_lower == (mine[min(kept)].theta if min(kept) > 0 else None) and impact.ate_upper == (mine[max(kept)].theta if max(kept) < 40 else None)
+
+
+def test_refitted_interval_holds_a_planted_effect(spark):
+    Y, _ = series(n=3, seed=4)
+    Y[1] = 0.3 * Y[0] + 0.7 * Y[2] + np.random.default_rng(6).normal(size=40)
+    Y[1, P0:] += 5.0
+    r = synth.synth_impact(frame(spark, Y), "date", "unit", "y", ["u1"], "2024-01-31", duration=10, refit=True)["impact"].first()
+    assert r.p_value < 0.1 and 0 < r.ate_lower < 5 < r.ate_upper < 10
+
+
+def test_refit_with_many_donors_equals_plain_solves(spark):
+    Y, _ = series(n=6, seed=5)
+    panel, p0, p1, T = synth.prepare_panel(frame(spark, Y), "date", "unit", "y", "2024-01-31", 10, fixed_effects=False)
+    grid = spark.createDataFrame([("u0", s, float(t)) for s, t in enumerate(np.linspace(-80, 80, 70))], "treated string, step int, theta double")
+    got = {x.step: x.p_value for x in synth.refit_tests(panel, p0, p1, grid, "Positive", fixed_effects=False, buckets=3).collect()}
+    assert len(got) == 70
+    D, post = Y[1:], (np.arange(40) >= p0).astype(float)
+    differ = 0
+    for x in grid.collect():
+        own = Y[0] - x.theta * post
+        u = own - simplex_ls(D @ D.T, D @ own) @ D
+        sums = np.array([u[(np.arange(p0, 40) + s) % 40].sum() for s in range(40)])
+        differ += abs(got[x.step] - (sums >= sums[0] - 1e-9).mean()) > 1e-9
+    assert differ <= 2  # a crossing may fall on either side of the solver's tolerance
+
+
+def test_refit_takes_plain_weights_only(spark):
+    Y, Z = series(n=3)
+    for more in ({"model": "ridge"}, {"covariates": ["x"]}):
+        with pytest.raises(ValueError, match="refit"):
+            synth.synth_impact(frame(spark, Y, Z), "date", "unit", "y", ["u0"], "2024-01-31", refit=True, **more)
+
+
+def test_interval_has_no_end_where_the_grid_has(spark):
+    cells = [("a", -1, 0.0, 0.5, 4), ("a", 0, -1.0, 0.5, 4), ("a", 1, 0.0, 0.5, 4), ("a", 2, 1.0, 0.05, 4), ("b", -1, 0.0, 0.05, 4), ("b", 0, 1.0, 0.05, 4), ("b", 1, 2.0, 0.05, 4)]
+    got = {r.unit: r for r in synth.refit_interval(spark.createDataFrame(cells, "unit string, step int, theta double, p_value double, n_shifts long"), 0.1).collect()}
+    assert (got["a"].ate_lower, got["a"].ate_upper, got["a"].p_value) == (None, 0.0, 0.5)
+    assert (got["b"].ate_lower, got["b"].ate_upper, got["b"].p_value) == (None, None, 0.05)
