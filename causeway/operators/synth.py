@@ -393,6 +393,61 @@ def synth_weights(gram: DataFrame, treated: Sequence[str] | None = None, model:
     return rep.groupBy(*keys, "_bucket").applyInPandas(solve, schema)
 
 
+def column_weights(panel_pre: DataFrame, treated: Sequence[str] | None, y: str = "y_fit", at_once: int = 16, tol: float = 1e-7) -> DataFrame:
+    """The plain simplex weights of :func:`synth_weights` (rows of weight > 0 only) without a matrix of all pairs of units.
+
+    Each round takes the gradient of every donor, sum over dates of y times the treated unit's residual, in one grouped sum; the ``at_once`` donors with the
+    lowest ones below the weighted mean enter, and the weights are solved anew over the donors entered so far.  A treated unit is settled when no donor
+    lies more than ``tol`` of its own sum of squares below: the condition of the optimum over all donors.  A task holds the series of the
+    donors that entered for one treated unit.  ``panel_pre`` (unit, date, y) is read every round, so it should be a written table."""
+    rows = panel_pre.select("unit", "date", F.col(y).cast("double").alias("y"))
+    own = rows if treated is None else rows.filter(F.col("unit").isin(list(treated)))
+    own = own.select(F.col("unit").alias("treated"), "date", F.col("y").alias("own")).checkpoint(eager=True)
+    size = own.groupBy("treated").agg(F.sum(F.col("own") ** 2).alias("_size"))
+    totals = rows.groupBy("date").agg(F.sum("y").alias("_sum"), F.count(F.lit(1)).alias("_n"))
+    even = own.join(totals, "date").select("treated", "date", ((F.col("_sum") - F.col("own")) / F.nullif(F.col("_n") - 1, F.lit(0)) - F.col("own")).alias("r"))
+    even = even.filter("r IS NOT NULL").checkpoint(eager=True)
+    lowest = Window.partitionBy("treated").orderBy("g", "donor")
+    donors = rows.withColumnRenamed("unit", "donor")
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        u = pdf["treated"].iloc[0]
+        wide = pdf.pivot(index="unit", columns="date", values="y").sort_index()
+        D, own_y = wide.drop(index=u), wide.loc[u].to_numpy()
+        w = simplex_ls(D.to_numpy() @ D.to_numpy().T, D.to_numpy() @ own_y, tol=1e-15)
+        return pd.DataFrame({"treated": u, "donor": D.index, "weight": w})
+
+    def residuals(weights):
+        fitted = weights.join(donors, "donor").groupBy("treated", "date").agg(F.sum(F.col("weight") * F.col("y")).alias("_p"))
+        return fitted.join(own, ["treated", "date"]).select("treated", "date", (F.col("_p") - F.col("own")).alias("r"))
+
+    weights, left = None, even
+    while True:
+        grad = donors.join(left, "date").filter(F.col("donor") != F.col("treated")).groupBy("treated", "donor").agg(F.sum(F.col("y") * F.col("r")).alias("g"))
+        outside = grad
+        if weights is not None:
+            grad = grad.join(weights, ["treated", "donor"], "left").checkpoint(eager=True)
+            bound = grad.groupBy("treated").agg(F.sum(F.col("weight") * F.col("g")).alias("_mean")).join(size, "treated")
+            outside = grad.filter("weight IS NULL").join(bound, "treated").filter(F.col("g") < F.col("_mean") - tol * F.col("_size"))
+        entered = outside.withColumn("_rank", F.row_number().over(lowest)).filter(F.col("_rank") <= at_once).select("treated", "donor").checkpoint(eager=True)
+        if entered.isEmpty():
+            break
+        going = entered.select("treated").distinct()
+        kept = None if weights is None else weights.join(going, "treated", "left_anti")
+        active = entered if weights is None else entered.unionByName(weights.join(going, "treated", "left_semi").select("treated", "donor"))
+        members = active.unionByName(going.select("treated", F.col("treated").alias("donor"))).withColumnRenamed("donor", "unit")
+        solved = members.join(rows, "unit").groupBy("treated").applyInPandas(solve, "treated string, donor string, weight double").checkpoint(eager=True)
+        left = residuals(solved)
+        weights = (solved if kept is None else solved.unionByName(kept)).checkpoint(eager=True)
+    if weights is None:
+        return panel_pre.sparkSession.createDataFrame([], WEIGHT_SCHEMA)
+    l2 = residuals(weights).groupBy("treated").agg(F.sqrt(F.sum(F.col("r") ** 2)).alias("l2_imbalance"))
+    base = even.groupBy("treated").agg(F.sqrt(F.sum(F.col("r") ** 2)).alias("_even"))
+    return weights.filter("weight > 0").join(l2.join(base, "treated"), "treated").select(
+        "treated", "donor", "weight", F.col("weight").alias("sc_weight"), "l2_imbalance",
+        F.try_divide("l2_imbalance", "_even").alias("scaled_l2_imbalance"), F.lit("none").alias("model"))
+
+
 def _stable_hash(s: str) -> int:
     import zlib
     return zlib.crc32(str(s).encode())
@@ -718,7 +773,7 @@ def synth_impact(df: DataFrame, date: str, unit: str, kpi: str, treated: Sequenc
                  duration: int = 14, model: str = "none", alpha: float = 0.1, stat_test: str = "Total",
                  fixed_effects: bool = True, with_ci: bool = True,
                  gsyn_rank: int | None = None, covariates: Sequence[str] = (), lam_scale: float | None = None, refit: bool = False,
-                 grid_size: int = GRID) -> dict[str, DataFrame]:
+                 grid_size: int = GRID, by_columns: bool = False) -> dict[str, DataFrame]:
     """QX6: synthetic-control impact for the treated units (None = every unit, in-space placebo).
 
     Returns dict of DataFrames: ``weights``, ``series`` (TS13 layout), ``impact`` (one row per
@@ -729,22 +784,26 @@ def synth_impact(df: DataFrame, date: str, unit: str, kpi: str, treated: Sequenc
     dates, unless ``lam_scale`` sets it; so is the number of factors of ``gsyn``, unless ``gsyn_rank`` does.
 
     ``refit`` (plain weights without covariates): the p-value and the interval come from weights fitted under each null of a grid of ``grid_size``
-    effects (:func:`refit_tests`), returned as ``tests``, instead of from the residuals of one fit.
+    effects (:func:`refit_tests`), returned as ``tests``, instead of from the residuals of one fit.  ``by_columns`` (the same restriction, not
+    with ``refit``): weights by :func:`column_weights`, for panels whose pairs of units do not fit a task.
     """
     if refit and (model != "none" or covariates):
         raise ValueError("refit is for plain synthetic control without covariates")
+    if by_columns and (model != "none" or covariates or refit):
+        raise ValueError("by_columns is for plain synthetic control without covariates and refit")
     panel, p0, p1, T_ = prepare_panel(df, date, unit, kpi, start, duration, fixed_effects, covariates)
     # the aggregated panel is read by several jobs (Gram, counterfactual, tests): write it once to
     # the shared checkpoint folder so the source aggregation is not repeated and lineage is cut
     panel = panel.checkpoint(eager=True)
     before = panel.filter(F.col("idx") < p0)
-    gram = donor_gram(before)
+    gram = None if by_columns else donor_gram(before)
     lambdas = None
     if model in ("ridge", "best") and lam_scale is None:
         gram = gram.checkpoint(eager=True)
         lambdas = ridge_lambdas(ridge_errors(gram, before, treated))
     z = covariate_means(before, [f"_c{i}" for i in range(len(covariates))]) if covariates and model != "gsyn" else None
-    w = synth_weights(gram, treated, "none" if model == "gsyn" else model, 0.1 if lam_scale is None else lam_scale, covariates=z, lambdas=lambdas)
+    w = column_weights(before, treated) if by_columns else synth_weights(gram, treated, "none" if model == "gsyn" else model,
+                                                                         0.1 if lam_scale is None else lam_scale, covariates=z, lambdas=lambdas)
     if model == "gsyn":
         units = treated if treated is not None else [r[0] for r in panel.select("unit").distinct().collect()]
         g = gsyn_series(panel, units, p0, rank=gsyn_rank)

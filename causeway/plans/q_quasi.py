@@ -324,6 +324,27 @@ def _three_units(spark, sf_dir):
     return v4_daily(spark, sf_dir).withColumn("unit", F.when(F.col("unit") == "purchase", F.col("unit")).when(F.col("unit").isin("view", "click"), "a").otherwise("b"))
 
 
+@query("qx6_weights_by_columns", sql=f"""WITH {SQL_V4_DAILY},
+w AS (SELECT CASE WHEN unit = 'purchase' THEN unit WHEN unit IN ('view', 'click') THEN 'a' ELSE 'b' END AS unit, date, sum(y) AS y FROM v4d GROUP BY 1, 2),
+p AS (SELECT unit, date, y, y - avg(y) OVER (PARTITION BY unit) AS yf FROM w WHERE date < DATE '{START_V4}'),
+t AS (SELECT o.yf AS o, a.yf AS a, b.yf AS b FROM p o JOIN p a ON o.date = a.date JOIN p b ON o.date = b.date WHERE o.unit = 'purchase' AND a.unit = 'a' AND b.unit = 'b'),
+wt AS (SELECT greatest(0.0, least(1.0, sum((o - b) * (a - b)) / sum((a - b) * (a - b)))) AS wa FROM t),
+l AS (SELECT sqrt(sum((o - wa * a - (1 - wa) * b) * (o - wa * a - (1 - wa) * b))) AS l2, sqrt(sum((o - 0.5 * a - 0.5 * b) * (o - 0.5 * a - 0.5 * b))) AS ev FROM t, wt)
+SELECT 'purchase' AS treated, donor, {sql_rnd('weight', 4)} AS weight, {sql_rnd('l2', 3)} AS l2_imbalance, {sql_rnd('l2 / ev', 4)} AS scaled_l2_imbalance
+FROM (SELECT 'a' AS donor, wa AS weight FROM wt UNION ALL SELECT 'b', 1 - wa FROM wt) x, l WHERE weight > 0""")
+def qx6_weights_by_columns(spark, sf_dir):
+    """QX6/QX13 weights found by entering donors (two donors: a projection cut to [0, 1]) and both imbalances."""
+    r = S.synth_impact(_three_units(spark, sf_dir), "date", "unit", "y", ["purchase"], START_V4, duration=7, with_ci=False, by_columns=True)
+    return r["weights"].select("treated", "donor", rnd("weight", 4).alias("weight"), rnd("l2_imbalance", 3).alias("l2_imbalance"),
+                               rnd("scaled_l2_imbalance", 4).alias("scaled_l2_imbalance"))
+
+
+@query("qx6_nations_by_columns")
+def qx6_nations_by_columns(spark, sf_dir):
+    """QX6 impact for every nation, the weights found by entering donors."""
+    return S.synth_impact(_v5_balanced(spark, sf_dir), "date", "unit", "y", None, START_V5, duration=12, by_columns=True)["impact"]
+
+
 @query("qx6_synth_covariate", sql=f"""WITH {SQL_V4_DAILY},
 w AS (SELECT CASE WHEN unit = 'purchase' THEN unit WHEN unit IN ('view', 'click') THEN 'a' ELSE 'b' END AS unit, date, sum(y) AS y, avg(n_events) AS x FROM v4d GROUP BY 1, 2),
 p AS (SELECT unit, date, y, x, dense_rank() OVER (ORDER BY date) - 1 AS idx FROM w),

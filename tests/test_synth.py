@@ -212,3 +212,34 @@ def test_interval_has_no_end_where_the_grid_has(spark):
     got = {r.unit: r for r in synth.refit_interval(spark.createDataFrame(cells, "unit string, step int, theta double, p_value double, n_shifts long"), 0.1).collect()}
     assert (got["a"].ate_lower, got["a"].ate_upper, got["a"].p_value) == (None, 0.0, 0.5)
     assert (got["b"].ate_lower, got["b"].ate_upper, got["b"].p_value) == (None, None, 0.05)
+
+
+def test_weights_by_entering_donors(spark):
+    rng = np.random.default_rng(8)
+    n = 300
+    Y = rng.random((n, 3)) @ np.cumsum(rng.normal(size=(3, 40)), axis=1) + 0.3 * rng.normal(size=(n, 40))
+    panel, p0, _, _ = synth.prepare_panel(frame(spark, Y), "date", "unit", "y", "2024-01-31", 10)
+    before = panel.filter(F.col("idx") < p0).checkpoint()
+    rows = synth.column_weights(before, ["u0", "u7"], at_once=8).collect()
+    Yd = demeaned(Y)[:, :P0]
+    for j in (0, 7):
+        mine = {int(r.donor[1:]): r for r in rows if r.treated == f"u{j}"}
+        w = np.zeros(n)
+        w[list(mine)] = [r.weight for r in mine.values()]
+        gradient = Yd @ (w @ Yd - Yd[j])
+        size = Yd[j] @ Yd[j]
+        assert abs(w.sum() - 1) < 1e-9 and w[j] == 0 and len(mine) < 60
+        assert np.delete(gradient, j).min() > w @ gradient - 1e-6 * size  # the optimum over all donors
+        dense = simplex_ls(np.delete(Yd, j, 0) @ np.delete(Yd, j, 0).T, np.delete(Yd, j, 0) @ Yd[j], tol=1e-15)
+        best = np.linalg.norm(dense @ np.delete(Yd, j, 0) - Yd[j])
+        r = next(iter(mine.values()))
+        assert abs(r.l2_imbalance - np.linalg.norm(w @ Yd - Yd[j])) < 1e-8 and r.l2_imbalance < best + 1e-4 * np.sqrt(size)
+        even = np.linalg.norm(np.delete(Yd, j, 0).mean(axis=0) - Yd[j])
+        assert abs(r.scaled_l2_imbalance - r.l2_imbalance / even) < 1e-8
+
+
+def test_entering_donors_without_donors_or_rows(spark):
+    one = frame(spark, series(n=1)[0]).withColumn("y_fit", F.col("y"))
+    assert synth.column_weights(one, ["u0"]).collect() == [] and synth.column_weights(one.filter("false"), None).collect() == []
+    with pytest.raises(ValueError, match="by_columns"):
+        synth.synth_impact(one, "date", "unit", "y", ["u0"], "2024-01-31", model="ridge", by_columns=True)
