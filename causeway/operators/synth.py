@@ -397,7 +397,7 @@ def column_weights(panel_pre: DataFrame, treated: Sequence[str] | None, y: str =
     """The plain simplex weights of :func:`synth_weights` (rows of weight > 0 only) without a matrix of all pairs of units.
 
     Each round takes the gradient of every donor, sum over dates of y times the treated unit's residual, in one grouped sum; the ``at_once`` donors with the
-    lowest ones below the weighted mean enter, and the weights are solved anew over the donors entered so far.  A treated unit is settled when no donor
+    lowest ones below the weighted mean enter, and the weights are solved anew over the donors entered so far.  A treated unit is settled when no other donor
     lies more than ``tol`` of its own sum of squares below: the condition of the optimum over all donors.  A task holds the series of the
     donors that entered for one treated unit.  ``panel_pre`` (unit, date, y) is read every round, so it should be a written table."""
     rows = panel_pre.select("unit", "date", F.col(y).cast("double").alias("y"))
