@@ -64,7 +64,7 @@ def test_empty_table(spark, no_docs):
 def test_registered():
     import __spark_entry__ as E
     q = E.queries()
-    assert q.keys() >= {"pipeline"} and {n.split("_")[0] for n in q if n.startswith("op") and n[2].isdigit()} == {f"op{i}" for i in range(1, 11)}
+    assert q.keys() >= {"pipeline"} and {n.split("_")[0] for n in q if n.startswith("op") and n[2].isdigit()} == {f"op{i}" for i in range(1, 14)}
 
 
 def test_the_last_stage_keeps_token_ids(spark):
