@@ -820,9 +820,8 @@ def synth_impact(df: DataFrame, date: str, unit: str, kpi: str, treated: Sequenc
         F.sum(F.when(post, F.col("predicted"))).alias("pred_post"), F.sum(F.when(post, 1)).alias("n_post"),
         F.sqrt(F.avg(F.when(~post, eff * eff))).alias("scale"))
     shifts = shift_sums(series.select("unit", "idx", "observed", "predicted"), p0, p1, n_periods=p1 + 1)
-    tests = refit_tests(panel, p0, p1, effect_grid(att, grid_size if with_ci else 1), stat_test, fixed_effects).checkpoint(eager=True) if refit else None
-    under_null = refit_interval(tests, alpha) if refit else None
-    pv = under_null.select("unit", "p_value", "n_shifts") if refit else conformal_pvalue(shifts, stat_test)
+    tests = refit_tests(panel, p0, p1, effect_grid(att, grid_size if with_ci else 1), stat_test, fixed_effects) if refit else None
+    pv = refit_interval(tests, alpha) if refit else conformal_pvalue(shifts, stat_test)
     if model == "gsyn":  # pre-period fit of the factor model; scaled by the plain SC's uniform-weight imbalance
         pre_sq = series.filter(F.col("idx") < p0).groupBy("unit").agg(
             F.sqrt(F.sum((F.col("observed") - F.col("predicted")) ** 2)).alias("l2_imbalance"))
@@ -835,10 +834,9 @@ def synth_impact(df: DataFrame, date: str, unit: str, kpi: str, treated: Sequenc
                                                             F.first("scaled_l2_imbalance").alias("scaled_l2_imbalance"))
     out = att.join(pv, "unit").join(imb, "unit")
     if with_ci:
-        ci = under_null.select("unit", "ate_lower", "ate_upper") if refit else effect_interval(shifts, alpha, stat_test)
-        out = out.join(ci, "unit", "left")
+        out = out if refit else out.join(effect_interval(shifts, alpha, stat_test), "unit", "left")
     else:
-        out = out.select("*", F.lit(None).cast("double").alias("ate_lower"), F.lit(None).cast("double").alias("ate_upper"))
+        out = out.withColumns({c: F.lit(None).cast("double") for c in ("ate_lower", "ate_upper")})
     rel = F.try_divide(F.col("cum"), F.col("pred_post"))
     ratio = F.col("pred_post")  # cum / rel: the predicted post-period total
     impact = out.select(
