@@ -75,8 +75,11 @@ def ols_from_moments(M: np.ndarray, shifts: np.ndarray, n_eff: float, alpha: flo
 
 
 def project_simplex(v: np.ndarray) -> np.ndarray:
-    """Euclidean projection onto {w >= 0, sum w = 1} (sort-based)."""
+    """Euclidean projection onto {w >= 0, sum w = 1} (sort-based).
+
+    Adding a constant to ``v`` changes nothing, so its largest value is made 0: beside large values the 1 would be rounded away."""
     n = v.size
+    v = v - v.max()
     u = np.sort(v)[::-1]
     css = np.cumsum(u) - 1.0
     idx = np.arange(1, n + 1)

@@ -279,6 +279,8 @@ def _solve_one(units: list, G: np.ndarray, S: list[int], gid: str, model: str, l
         B = A @ np.linalg.pinv(A.T @ A, rcond=1e-10)
         left = np.eye(len(donors)) - B @ A.T
         Gw, cw = left @ Gd @ left, left @ (c - Gd @ (B @ target))
+        if np.linalg.norm(Gw) <= 10 * len(donors) * np.finfo(float).eps * np.linalg.norm(Gd):
+            Gw, cw = np.zeros_like(Gw), np.zeros_like(cw)  # only rounding is left (as many regressors as donors): no weights fit it better than others
 
         def whole(v):
             return v + B @ (target - A.T @ v)
@@ -288,7 +290,7 @@ def _solve_one(units: list, G: np.ndarray, S: list[int], gid: str, model: str, l
     out_w, chosen = whole(w), "none"
     if model in ("ridge", "best") and len(donors) > 1:
         lam = lam_scale * float(np.trace(Gw)) / len(donors) if lam is None else lam
-        w_r = whole(w + _ridge_step(Gw, cw, w, lam))
+        w_r = whole(w + _ridge_step(Gw, cw, w, lam)) if Gw.any() else out_w
         if model == "ridge" or imb(w_r) < base_imb:
             out_w, chosen = w_r, "ridge"
     l2 = imb(out_w)

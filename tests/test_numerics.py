@@ -37,6 +37,12 @@ def test_ols_core_recovers_exact_fit():
     assert r["rss"] < 1e-18 + 1e-9
 
 
+def test_simplex_projection_of_large_values():
+    for top in (1.0, 1e9, 1e20, -1e20):
+        assert np.array_equal(project_simplex(np.array([top, top - abs(top)])), [1.0, 0.0])
+        assert np.allclose(project_simplex(np.array([top, top])), [0.5, 0.5])
+
+
 def test_simplex_projection_and_exact_convex_combination():
     w = project_simplex(np.array([0.2, -1.0, 3.0]))
     assert abs(w.sum() - 1) < 1e-12 and (w >= 0).all()

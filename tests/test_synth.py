@@ -29,6 +29,19 @@ def demeaned(Y):
     return Y - Y[:, :P0].mean(axis=1, keepdims=True)
 
 
+def test_as_many_covariates_as_leave_no_choice():
+    """Two donors and a covariate: the weights are the solution of two equations, whatever rounding leaves of the Gram."""
+    rng = np.random.default_rng(0)
+    for k in range(300):
+        Y, z = rng.normal(size=(3, 20)) * 10 ** rng.uniform(0, 7), rng.random((3, 1)) * 100
+        Y -= Y.mean(axis=1, keepdims=True)
+        want = (z[2, 0] - z[1, 0]) / (z[0, 0] - z[1, 0])
+        for model in ("none", "ridge"):
+            r = synth._solve_one(["a", "b", "p"], Y @ Y.T, [2], "p", model, 0.1, z)
+            assert np.allclose([r[0][2], r[1][2]], [want, 1 - want], rtol=1e-6, atol=1e-6)
+            assert np.isclose(r[0][4], np.linalg.norm(Y[2] - want * Y[0] - (1 - want) * Y[1]), rtol=1e-6)
+
+
 def test_covariate_adjusted_weights(spark):
     Y, Z = series()
     r = synth.synth_impact(frame(spark, Y, Z), "date", "unit", "y", ["u0"], "2024-01-31", duration=10, with_ci=False, covariates=["x"])
