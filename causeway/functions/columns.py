@@ -190,10 +190,11 @@ BAND_ACCURACY = 2_000   # accuracy of the bounds that narrow a band; it only set
 def exact_quantiles(df, cols, probs) -> dict:
     """{column: [quantile or None]}: exact quantiles with linear interpolation, at every size.
 
-    Each quantile needs one or two order statistics.  A pass brackets each of them between two
-    approximate percentiles and counts the rows below and inside the bracket, which says exactly
-    where the order statistic lies; the bracket is narrowed until it holds few rows or one value, and
-    those few values are read.  Every pass is one aggregate over all columns; no column is sorted or held by a task."""
+    Each quantile needs one or two order statistics.  A pass brackets all of those that lie in one band of values between
+    approximate percentiles, and counts the rows at each of these values and in the gaps around them, which says exactly where
+    every order statistic lies.  The gaps leave out the values themselves, so every pass narrows the band, also where it holds two
+    frequent values only; this goes on until a band holds few rows or one value, and those few values are read.  Every pass is two aggregates
+    over all columns (one digest a band); no column is sorted or held by a task."""
     cols, probs = list(cols), [float(p) for p in probs]
     if not cols:
         return {}
@@ -201,52 +202,62 @@ def exact_quantiles(df, cols, probs) -> dict:
     def value(c):
         x = F.col(c).cast("double")
         return F.when(~F.isnan(x), x)
+
+    def inside(c, lo, hi):
+        x = value(c)
+        return F.when((x >= lo) & (x <= hi), x)
     first = one_row(df.agg(*[F.count(value(c)).alias(f"n{i}") for i, c in enumerate(cols)],
                            *[F.min(value(c)).alias(f"lo{i}") for i, c in enumerate(cols)],
                            *[F.max(value(c)).alias(f"hi{i}") for i, c in enumerate(cols)]))
     n = {c: int(first[f"n{i}"] or 0) for i, c in enumerate(cols)}
-    bands, known = {}, {}  # (column, rank) -> [lo, hi, rows below lo, rows in [lo, hi]]
+    bands, known = [], {}  # bands: (column, lo, hi, rows below lo, rows in [lo, hi], ranks wanted); known: (column, rank) -> value
     for i, c in enumerate(cols):
-        for p in probs if n[c] else []:
-            for k in {math.floor(p * (n[c] - 1)), math.ceil(p * (n[c] - 1))}:
-                bands[c, k] = [first[f"lo{i}"], first[f"hi{i}"], 0, n[c]]
+        if n[c]:
+            ranks = {r for p in probs for r in (math.floor(p * (n[c] - 1)), math.ceil(p * (n[c] - 1)))}
+            bands.append((c, first[f"lo{i}"], first[f"hi{i}"], 0, n[c], sorted(ranks)))
+    few = []
     while bands:
-        for key, (lo, hi, _, _) in list(bands.items()):
-            if lo == hi:
-                known[key] = lo
-                del bands[key]
-        wide = {k: b for k, b in bands.items() if b[3] > BAND_ROWS}
-        if not wide:
+        known.update({(c, k): lo for c, lo, hi, _, _, ranks in bands if lo == hi for k in ranks})
+        bands = [b for b in bands if b[1] != b[2]]
+        few += [b for b in bands if b[4] <= BAND_ROWS]
+        bands = [b for b in bands if b[4] > BAND_ROWS]
+        if not bands:
             break
-        aggs = []
-        for j, ((c, k), (lo, hi, below, inside)) in enumerate(wide.items()):
-            x = value(c)
-            r = (k - below) / max(1, inside - 1)
-            ps = [max(0.0, r - 2 / BAND_ACCURACY), min(1.0, r + 2 / BAND_ACCURACY)]
-            aggs.append(F.percentile_approx(F.when((x >= lo) & (x <= hi), x), ps, BAND_ACCURACY).alias(f"q{j}"))
-        bounds = one_row(df.agg(*aggs))
-        aggs = []
-        for j, ((c, _), (lo, hi, _, _)) in enumerate(wide.items()):
-            x, (a, b) = value(c), bounds[f"q{j}"]
-            aggs += [F.count(F.when((x >= lo) & (x < a), 1)).alias(f"l{j}"), F.count(F.when((x >= a) & (x <= b), 1)).alias(f"m{j}"),
-                     F.max(F.when((x >= lo) & (x < a), x)).alias(f"x{j}"), F.min(F.when((x > b) & (x <= hi), x)).alias(f"y{j}")]
-        found = one_row(df.agg(*aggs))
-        for j, ((c, k), (lo, hi, below, inside)) in enumerate(wide.items()):
-            (a, b), left, mid = bounds[f"q{j}"], int(found[f"l{j}"]), int(found[f"m{j}"])
-            if k < below + left:
-                bands[c, k] = [lo, found[f"x{j}"], below, left]
-            elif k < below + left + mid:
-                bands[c, k] = [a, b, below + left, mid]
-            else:
-                bands[c, k] = [found[f"y{j}"], hi, below + left + mid, inside - left - mid]
-    if bands:
-        rows = one_row(df.agg(*[F.sort_array(F.collect_list(F.when((value(c) >= lo) & (value(c) <= hi), value(c)))).alias(f"v{j}")
-                                for j, ((c, _), (lo, hi, _, _)) in enumerate(bands.items())]))
-        for j, ((c, k), (_, _, below, _)) in enumerate(bands.items()):
-            known[c, k] = rows[f"v{j}"][k - below]
+        bounds = one_row(df.agg(*[F.percentile_approx(inside(c, lo, hi), _brackets([(k - below) / (rows - 1) for k in ranks]), BAND_ACCURACY).alias(f"q{j}")
+                                  for j, (c, lo, hi, below, rows, ranks) in enumerate(bands)]))
+        each = [F.struct(F.lit(j).alias("band"), inside(c, lo, hi).alias("x")) for j, (c, lo, hi, *_) in enumerate(bands)]
+        part, x = F.lit(0), F.col("x")  # part 2i: between values i - 1 and i; part 2i + 1: at value i
+        for j in range(len(bands)):
+            at = sum((F.when(x > v, 2).when(x == v, 1).otherwise(0) for v in sorted(set(bounds[f"q{j}"]))), F.lit(0))
+            part = F.when(F.col("band") == j, at).otherwise(part)
+        found = (df.select(F.explode(F.array(*each)).alias("s")).select("s.band", "s.x").filter("x IS NOT NULL").groupBy("band", part.alias("part"))
+                 .agg(F.count(F.lit(1)).alias("rows"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect())  # a few rows a band
+        narrow = []
+        for j, (c, _, _, below, _, ranks) in enumerate(bands):
+            for r in sorted((r for r in found if r["band"] == j), key=lambda r: r["part"]):
+                mine = [k for k in ranks if below <= k < below + r["rows"]]
+                if mine:
+                    narrow.append((c, r["lo"], r["hi"], below, r["rows"], mine))
+                below += r["rows"]
+        bands = narrow
+    if few:
+        rows = one_row(df.agg(*[F.sort_array(F.collect_list(inside(c, lo, hi))).alias(f"v{j}") for j, (c, lo, hi, *_) in enumerate(few)]))
+        known.update({(c, k): rows[f"v{j}"][k - below] for j, (c, _, _, below, _, ranks) in enumerate(few) for k in ranks})
     return {c: [_interpolated(known, c, p * (n[c] - 1)) if n[c] else None for p in probs] for c in cols}
 
 
+def _brackets(at: list[float]) -> list[float]:
+    """Ends of the intervals around the given shares of a band, those that meet joined to one."""
+    ends: list[float] = []
+    for r in at:
+        lo, hi = max(0.0, r - 2 / BAND_ACCURACY), min(1.0, r + 2 / BAND_ACCURACY)
+        if ends and lo <= ends[-1]:
+            ends[-1] = hi
+        else:
+            ends += [lo, hi]
+    return ends
+
+
 def _interpolated(known: dict, c: str, position: float) -> float:
     low, high = math.floor(position), math.ceil(position)
     a, b = known[c, low], known[c, high]

@@ -1,6 +1,7 @@
 """Statistics stay exact beyond any size, and earlier wrong answers stay mended."""
 
 import math
+import threading
 
 import numpy as np
 import pytest
@@ -30,6 +31,24 @@ def test_exact_quantiles_with_ties_and_skew(spark):
     assert np.allclose(exact_quantiles(df, ["x"], probs)["x"], np.quantile(x, probs), rtol=1e-12)
 
 
+def test_exact_quantiles_between_two_frequent_values(spark):
+    """The ranks asked for are the last row of one value and the first of the next: no bracket of them is narrower than both values."""
+    done = threading.Event()
+
+    def stop():  # instead of passes without an end
+        while not done.wait(1):
+            spark.sparkContext.cancelAllJobs()
+    timer = threading.Timer(90, stop)
+    timer.start()
+    try:
+        df = spark.range(40_000, numPartitions=3).select((F.col("id") % 2).cast("double").alias("x"), F.floor(F.col("id") / 10_000).alias("y"))
+        q = exact_quantiles(df, ["x", "y"], [0.25, 0.5, 0.75])
+    finally:
+        timer.cancel()
+        done.set()
+    assert q == {"x": [0.0, 0.5, 1.0], "y": [0.75, 1.5, 2.25]}
+
+
 def test_grouped_quantiles(spark):
     rng = np.random.default_rng(1)
     rows = [(g, float(v)) for g, n in (("a", 5000), ("b", 7), ("c", 1), (None, 40)) for v in rng.integers(0, 900, n)]
