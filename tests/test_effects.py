@@ -91,6 +91,29 @@ def test_a_permutation_keeps_every_value_in_every_replicate(spark):
             assert sorted((r._placebo, r["count"]) for r in got if r._rep == k) == want
 
 
+@pytest.mark.parametrize("ids", [600, 40, 1])
+def test_cuts_of_a_permutation(spark, ids):
+    """The cuts are the rows of the ranks asked for by (key, id), also where ids repeat and the keys are bunched."""
+    from causeway.functions.columns import explode_replicates, row_seed
+    from causeway.operators import permute
+    base = spark.range(600).select((F.col("id") % ids).alias("id")).repartition(3)
+    rep = explode_replicates(base, row_seed(F.col("id"), F.lit(7)), 5, 3).select("_rep", "id", "_u1")
+    rows = {k: sorted(zip(g["_u1"], g["id"], strict=True)) for k, g in rep.toPandas().groupby("_rep")}
+    for ranks in ([120], [3, 5, 300, 599], [600]):
+        got = {r["_rep"]: [(c["u"], c["id"]) for c in r["_cuts"]] for r in permute._cuts(rep, "id", ranks, 600, 5).collect()}
+        assert got == {k: [v[r - 1] for r in ranks] for k, v in rows.items()}
+
+
+def test_brackets_of_a_permutation_hold_few_rows(spark, monkeypatch):
+    """Nothing but the counts and the rows near a cut is kept: about the root of all rows."""
+    from causeway.operators import permute
+    kept = []
+    monkeypatch.setattr(permute, "written", lambda df, name: kept.append(df.count()) or df)
+    d = spark.range(40_000).select("id", (F.col("id") % 5 == 0).cast("double").alias("t"))
+    assert permuted(d, "t", "id", 4, 42).groupBy("_rep").agg(F.sum("_placebo").alias("s")).select("s").distinct().first().s == 8_000
+    assert len(kept) == 1 and kept[0] < 4 * 20 * 200
+
+
 def test_custom_estimators_see_a_permuted_treatment(spark, panel):
     """Three values: none vanishes from the placebo; replicates without an estimate are left out."""
     d = panel.filter("p = 'a'").withColumn("t", (F.col("id") % 3).cast("int"))
