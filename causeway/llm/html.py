@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import column_bytes, longs, row_key, small_batches, write_shared
+from .common import column_bytes, longs, row_key, shuffle_width, small_batches, write_shared
 from .urlfilter import host_of
 
 TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)(>|\Z)", re.S)
@@ -311,8 +311,10 @@ def extract_text(pages: DataFrame, min_articles: int = 8, min_share: float = 0.2
     src = small_batches(pages).select(*[F.col(f"`{c}`").alias(c) for c in keep], host_of(F.col(f"`{url_col}`")).alias("__host"),
                        F.col(f"`{html_col}`").cast("binary").alias("__html"))
     rows = src.select("__host", "__html", F.lit(0).cast("long").alias("__row"))
+    # Few of the counted subtrees are left: a file for each task that counted would hold a few rows, and tasks start a process (chmod) for each file.
     counts = write_shared(rows.mapInArrow(_subtree_rows, SUBTREES).select("host", "key", "article").distinct()
-                          .groupBy("host", "key").count().filter(F.col("count") >= min_articles), "subtrees")
+                          .groupBy("host", "key").count().filter(F.col("count") >= min_articles)
+                          .repartition(max(4, shuffle_width(pages.sparkSession) // 50)), "subtrees")
     hosts = counts.filter("key IS NULL").select("host", F.col("count").alias("articles"))
     counted = counts.filter("key IS NOT NULL").join(hosts, "host").filter(F.col("count") >= F.col("articles") * min_share).select("key")
     few = counted.limit(broadcast_up_to + 1).toArrow()["key"].to_numpy()

@@ -96,3 +96,25 @@ def test_names_that_only_mention_a_mark_stay_in_the_article():
     page = ("<article><p>Story</p><div class='notice-board'><p>On the board</p></div><p class=share-price>It rose</p><p class='social-history'>Of the town</p>"
             "<div class='ad-container'>buy</div><div class='cookie-banner wide'>cookies</div><div id=commentList>first!</div><p class='lead newsletter-signup'>Sign up</p></article>")
     assert text(page) == ["Story", "On the board", "It rose", "Of the town"]
+
+
+def test_the_counted_subtrees_are_written_in_few_files(spark):
+    from pathlib import Path
+
+    pages = [(100 * h + i, f"http://h{h}.net/{i}", f"<body><div>Top of {h}</div><article><p>Story {h} {i}</p></article></body>") for h in range(30) for i in range(10)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    conf = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in conf}
+    base = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:"))
+    before = set(base.glob("subtrees-*"))
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = {r.page_id: r.text for r in H.extract_text(df).collect()}
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    new, = set(base.glob("subtrees-*")) - before
+    assert len(list(new.glob("*.parquet"))) <= 4
+    assert spark.read.parquet(str(new)).count() == 30 * 2  # of each host its articles and the line on top
+    assert got == {100 * h + i: f"Story {h} {i}" for h in range(30) for i in range(10)}
