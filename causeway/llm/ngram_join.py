@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, grouped_stream, key_filter, mixed, passing, row_key, shuffle_width, small_batches, window_hashes, write_shared
+from .common import fresh, grouped_stream, key_filter, mixed, passing_rows, row_key, shuffle_width, small_batches, window_hashes, write_shared
 from .components import connected_components
 from .words import batch_codes, word_codes
 
@@ -275,8 +275,7 @@ def candidate_groups(texts: DataFrame, classes: DataFrame, width: int, num: int,
     sent = texts.mapInArrow(_prefix_rows(width, num, den, often, 4 * p), PAYLOAD)
     lists = sent.repartition(p, "bucket").sortWithinPartitions("bucket").mapInArrow(_bucket_lists, "unit long, class long")
     lists = lists.join(classes.select("class", "n", "bits"), "class")
-    pairs = lists.repartition(p, "unit").sortWithinPartitions("unit").mapInArrow(_list_pairs(num, den), "a long, b long")
-    rooted = connected_components(pairs)
+    rooted = connected_components(lists.repartition(p, "unit").sortWithinPartitions("unit"), _list_pairs(num, den))
     roots = rooted.select("root").distinct()
     return rooted.select(F.col("node").alias("class"), F.col("root").alias("grp")).unionByName(roots.select(F.col("root").alias("class"), F.col("root").alias("grp")))
 
@@ -396,12 +395,13 @@ def link_sets(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int
     return out
 
 
-def _set_rows(width: int):
+def _set_rows(width: int, members):
+    """(key, class, set) of the rows that ``members`` lets pass."""
     def run(batches):
-        for batch in batches:
+        for batch in members(batches):
             sets = [set_of(c, width) for c in batch_codes(batch, "__text", True)]
-            yield pa.RecordBatch.from_arrays([batch.column("grp"), batch.column("blocks"), pa.array([fingerprint(s) if len(s) else 0 for s in sets], pa.int64()),
-                                              pa.array([s.tobytes() for s in sets], pa.binary())], ["grp", "blocks", "class", "set"])
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([fingerprint(s) if len(s) else 0 for s in sets], pa.int64()),
+                                              pa.array([s.tobytes() for s in sets], pa.binary())], ["key", "class", "set"])
 
     return run
 
@@ -463,13 +463,13 @@ def near_classes(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100,
     members = one.join(groups, "class")
     sizes = members.groupBy("grp").agg(F.ceil(F.sum("n") / F.lit(unit_size)).cast("int").alias("blocks"), F.count("*").alias("m")).filter("m > 1").drop("m")
     members = write_shared(members.join(sizes, "grp").select("key", "grp", "blocks"), "members")
-    sets = (passing(texts.select("key", "__text"), "key", key_filter(members, "key")).join(members, "key").select("grp", "blocks", "__text")
-            .mapInArrow(_set_rows(width), "grp long, blocks int, class long, set binary"))
+    # One Python step a stage: a second one would hold a second worker for each task, as long as the first.
+    sets = (texts.select("key", "__text").mapInArrow(_set_rows(width, passing_rows("key", key_filter(members, "key"))), "key long, class long, set binary")
+            .join(members, "key").select("grp", "blocks", "class", "set"))
     block = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
     units = (sets.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
              .select(F.xxhash64("grp", F.least("block", "other"), F.greatest("block", "other")).alias("unit"), "class", "set"))
-    found = units.repartition("unit").sortWithinPartitions("unit").mapInArrow(_unit_links(num, den), "a long, b long")
-    rooted = connected_components(found)
+    rooted = connected_components(units.repartition("unit").sortWithinPartitions("unit"), _unit_links(num, den))
     placed = one.select("class", "low").join(rooted.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     least = placed.groupBy("root").agg(F.min("low").alias("component_id"))
     named = placed.join(least, "root").select("class", "component_id", "root")

@@ -3,8 +3,10 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from causeway.llm import components
 from causeway.llm import ngram_join as J
 from causeway.llm.components import connected_components
 
@@ -154,3 +156,41 @@ def test_components_that_share_their_smallest_id_keep_a_row_each(spark):
     rows = [(1, one), (2, one), (1, two), (3, two), (3, "one text of its own with other words in it")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted((r.doc_id, r.text) for r in J.keep_one(docs).collect()) == sorted([rows[0], rows[2], rows[4]])
+
+
+def chained_python_steps(plan, above=False):
+    """Python steps that stand right above another in the same stage of a physical plan."""
+    name = plan.nodeName()
+    if name == "AdaptiveSparkPlan":
+        return chained_python_steps(plan.executedPlan(), above)
+    if "Exchange" in name:
+        above = False
+    own = name.startswith("MapInArrow")
+    below = plan.children()
+    return int(own and above) + sum(chained_python_steps(below.apply(i), own or above) for i in range(below.size()))
+
+
+def test_a_task_holds_one_python_worker(spark, monkeypatch):
+    found = []
+
+    def watched(df, name, write=components.write_shared):
+        found.append((name, chained_python_steps(df._jdf.queryExecution().executedPlan())))
+        return write(df, name)
+
+    monkeypatch.setattr(components, "write_shared", watched)
+    monkeypatch.setattr(J, "write_shared", watched)
+    rows = corpus(8, 60)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert result(J.near_classes(docs, unit_size=400)) == brute(rows)
+    assert {name for name, _ in found} >= {"classes", "edges", "groups", "members"}
+    assert [x for x in found if x[1]] == []
+
+
+def test_connected_components_of_edges_that_are_found(spark):
+    def find(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("x"), pa.array([7 * (x // 7) for x in batch.column("x").to_pylist()], pa.int64())], ["a", "b"])
+
+    df = spark.range(50).withColumnRenamed("id", "x").repartition(4)
+    assert {r.node: r.root for r in connected_components(df, find).collect()} == {x: 7 * (x // 7) for x in range(50) if x % 7}
+    assert connected_components(df.filter(F.lit(False)), find).count() == 0
