@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, grouped_stream, key_filter, mixed, passing_rows, row_key, shuffle_width, small_batches, window_hashes, write_shared
+from .common import few_files, fresh, grouped_stream, key_filter, mixed, passing_rows, row_key, shuffle_width, small_batches, window_hashes, write_shared
 from .components import connected_components
 from .words import batch_codes, word_codes
 
@@ -455,14 +455,14 @@ def near_classes(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100,
                         F.col(f"`{text_col}`").cast("binary").alias("__text"))
     schema = T.StructType([texts.schema["doc_id"], texts.schema["key"], T.StructField("n_shingles", T.LongType()), T.StructField("class", T.LongType()),
                            T.StructField("bits", T.BinaryType())])
-    slim = write_shared(texts.mapInArrow(_class_rows(width, ["doc_id", "key"]), schema), "classes")
+    slim = write_shared(few_files(texts.mapInArrow(_class_rows(width, ["doc_id", "key"]), schema)), "classes")
     one = slim.filter("class IS NOT NULL").groupBy("class").agg(F.min("key").alias("key"), F.max("n_shingles").alias("n"), F.min("doc_id").alias("low"), F.min("bits").alias("bits"))
-    one = write_shared(one, "representatives")
-    groups = write_shared(candidate_groups(texts.select("__text"), one, width, num, den), "groups")
+    one = write_shared(few_files(one), "representatives")
+    groups = write_shared(few_files(candidate_groups(texts.select("__text"), one, width, num, den)), "groups")
 
     members = one.join(groups, "class")
     sizes = members.groupBy("grp").agg(F.ceil(F.sum("n") / F.lit(unit_size)).cast("int").alias("blocks"), F.count("*").alias("m")).filter("m > 1").drop("m")
-    members = write_shared(members.join(sizes, "grp").select("key", "grp", "blocks"), "members")
+    members = write_shared(few_files(members.join(sizes, "grp").select("key", "grp", "blocks")), "members")
     # One Python step a stage: a second one would hold a second worker for each task, as long as the first.
     sets = (texts.select("key", "__text").mapInArrow(_set_rows(width, passing_rows("key", key_filter(members, "key"))), "key long, class long, set binary")
             .join(members, "key").select("grp", "blocks", "class", "set"))

@@ -194,3 +194,27 @@ def test_connected_components_of_edges_that_are_found(spark):
     df = spark.range(50).withColumnRenamed("id", "x").repartition(4)
     assert {r.node: r.root for r in connected_components(df, find).collect()} == {x: 7 * (x // 7) for x in range(50) if x % 7}
     assert connected_components(df.filter(F.lit(False)), find).count() == 0
+
+
+def test_tables_between_steps_are_written_in_few_files(spark, monkeypatch):
+    held = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before, files = {k: spark.conf.get(k) for k in held}, []
+
+    def watched(df, name, write=components.write_shared):
+        out = write(df, name)
+        files.append((name, len(out.inputFiles())))
+        return out
+
+    monkeypatch.setattr(components, "write_shared", watched)
+    monkeypatch.setattr(J, "write_shared", watched)
+    rows = corpus(9, 60)
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    try:
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(12)
+        assert result(J.near_classes(docs)) == brute(rows)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {name for name, _ in files} == {"classes", "representatives", "edges", "groups", "members"}
+    assert [x for x in files if x[1] > 40 // 16] == []
